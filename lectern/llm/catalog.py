@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import quality
+from . import quality, simhash
 
 QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 ORACLE_SQL = {
     "op4_quality_rules": quality.OP4_SQL,
