@@ -1,11 +1,16 @@
 """The queries of this subpackage and their SQL."""
 
-from . import quality, simhash
+from . import decontam, mixing, quality, sharding, simhash
 
 QUERIES = {
+    "op3_decontaminate": decontam.op3_decontaminate,
     "op4_quality_rules": quality.op4_quality_rules,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op7_reshard": sharding.op7_reshard,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLE_SQL = {
+    "op3_decontaminate": decontam.OP3_SQL,
+    "op10_mix_sources": mixing.OP10_SQL,
     "op4_quality_rules": quality.OP4_SQL,
 }
