@@ -5,9 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import base, quality
+from lectern.llm import base, decontam, mixing, quality, sharding, simhash
 
-STAGES = [("quality", quality.stage)]
+STAGES = [
+    ("quality rules", quality.stage),
+    ("simhash near-dedup", simhash.stage),
+    ("benchmark decontamination", decontam.stage),
+    ("mixing", mixing.stage),
+    ("sharding", sharding.stage),
+]
 
 #: SimHash bits and anchors have no SQL form; the tests hold the rows against
 #: a brute-force version instead.
@@ -17,5 +23,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = base.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = base.stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
