@@ -265,7 +265,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     one of them shares a group with a numbered document."""
     found = base.stored(near_duplicates(docs).select("doc_id", "component_id"), "groups")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    # a merge join at every size: the list of removed ids grows with the data
+    kept = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if again else kept
 
