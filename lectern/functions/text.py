@@ -39,7 +39,7 @@ def quarter_label(index: Column) -> Column:
 
 def days_between(a: Column, b: Column) -> Column:
     """Whole days from ISO text a to b; null where either is no date."""
-    day = lambda x: F.try_to_date(F.substring(x, 1, 10), F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.to_date(x)
+    day = lambda x: F.try_to_date(F.substring(x, 1, 10), "yyyy-MM-dd")
     return F.datediff(day(b), day(a))
 
 
@@ -103,7 +103,7 @@ def parsed_date(text: Column) -> Column:
 
 def title_topics(title: Column) -> Column:
     """The parts of a title joined by ` + `; none if there is no such mark."""
-    parts = F.filter(F.transform(F.split(title, r" \+ "), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(title, r" \+ "), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.contains(title, F.lit(" + ")), parts).otherwise(F.array().cast("array<string>"))
 
 

@@ -189,3 +189,54 @@ def note_stats(notes: DataFrame, least: int = 3) -> DataFrame:
     own = notes.where("status = 'landed'").agg(F.count("*").alias("landed"), F.expr("median(CASE WHEN lead_days >= 0 THEN lead_days END)").alias("median_lead"), F.count_if("on_time").alias("on_time"), F.count("on_time").alias("judged"))
     enough = F.col("landed") >= least
     return own.select("landed", *[F.when(enough, F.col(c)).alias(c) for c in ("median_lead", "on_time", "judged")])
+
+
+def by_precedence(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Upsert where what was entered by hand beats what was found: automatic
+    changes add rows but never replace any; manual ones replace."""
+    rank = lambda df, turn: df.withColumn("__r", F.when(F.col("source") == "manual", 2 + turn).otherwise(1 - turn))
+    return latest(rank(current, 0).unionByName(rank(changes, 1)), keys, ["__r"]).select(*current.columns)
+
+
+def dismiss(enrichments: DataFrame, reviews: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates leave with their verdicts; a primary summary stays."""
+    leaving = enrichments.where("NOT is_primary").join(gone.select("id"), "id", "left_semi").select("id")
+    dead = leaving.select(F.col("id").alias("subject_id"), F.lit("enrichment").alias("scope"))
+    return enrichments.join(leaving, "id", "left_anti"), reviews.join(dead, ["scope", "subject_id"], "left_anti").select(*reviews.columns)
+
+
+def resummarised(vectors: DataFrame, topics: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A new primary summary makes its one-liner's vector and topics void."""
+    own = changed.select("publication_id").distinct()
+    dead = own.select("publication_id", F.lit("one_liner").alias("source_type"))
+    return vectors.join(dead, ["publication_id", "source_type"], "left_anti").select(*vectors.columns), topics.join(own, "publication_id", "left_anti")
+
+
+def reindexed(docs: DataFrame) -> DataFrame:
+    """What the keyword index holds of docs(id, title, subtitle, description,
+    body): the description only where there is no body."""
+    return docs.select("id", "title", "subtitle", F.when(F.col("body").isNull(), F.col("description")).alias("description"), "body")
+
+
+def cascaded(catalog: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """The catalog without publications gone(id): their children go too,
+    chapters lose their parent."""
+    out = dict(catalog)
+    ids = gone.select("id").distinct()
+    p = catalog["publications"].join(ids, "id", "left_anti")
+    lost = ids.select(F.col("id").alias("parent_id"), F.lit(True).alias("__lost"))
+    p = p.join(lost, "parent_id", "left").withColumn("parent_id", F.when(F.col("__lost").isNull(), F.col("parent_id")))
+    out["publications"] = p.select(*catalog["publications"].columns)
+    for name in ("credits", "publication_site_tags", "publication_text", "sections", "enrichments", "publication_topics", "blurbs", "shortlist", "publication_collections", "landscape_coords"):
+        if name in out:
+            out[name] = out[name].join(ids.select(F.col("id").alias("publication_id")), "publication_id", "left_anti").select(*catalog[name].columns)
+    return out
+
+
+def note_problems(notes: DataFrame, topics: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, problem): over three topics, unknown ones, a malformed quarter, a
+    note both landed and shelved, or shelved without a reason."""
+    many = topics.groupBy(F.col("note_id").alias("id")).agg(F.count("*").alias("n")).where("n > 3").select("id", F.lit("more than three topics").alias("problem"))
+    unknown = topics.join(F.broadcast(vocabulary.select(F.col("slug").alias("topic_slug"))), "topic_slug", "left_anti").select(F.col("note_id").alias("id"), F.lit("a topic is unknown").alias("problem")).distinct()
+    both = F.when(F.col("landed_at").isNotNull() & F.col("shelved_at").isNotNull(), "landed and shelved").when(F.col("shelved_at").isNotNull() & (F.trim(F.coalesce("note", F.lit(""))) == ""), "shelved without a reason").when(~F.col("expected").rlike(r"^\d{4}-Q[1-4]$"), "no quarter")
+    return many.union(unknown).union(notes.select("id", both.alias("problem")).where("problem IS NOT NULL"))

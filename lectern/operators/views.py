@@ -383,3 +383,56 @@ def throughput(c: Catalog, last: int = 60) -> DataFrame:
     """Seconds per summary over the newest `last` of them."""
     top = c["enrichments"].orderBy(F.desc("enriched_at"), F.desc("id")).limit(last)
     return top.agg(F.count("*").alias("n"), (F.unix_timestamp(F.max("enriched_at")) - F.unix_timestamp(F.min("enriched_at"))).alias("span_seconds"), F.sum("seconds").alias("busy_seconds"))
+
+
+def flagged(c: Catalog) -> DataFrame:
+    """Summaries whose last verdict is flagged, with the note."""
+    own = c["reviews"].where("scope = 'enrichment'").groupBy("subject_id").agg(F.max_by(F.struct("verdict", "note"), F.struct("created_at", "id")).alias("r"))
+    return own.where("r.verdict = 'flagged'").join(c["enrichments"].select("id", "publication_id"), F.col("subject_id") == F.col("id")).select("id", "publication_id", F.col("r.note").alias("note"))
+
+
+def backlog(c: Catalog, parked: DataFrame) -> DataFrame:
+    """(kind, id) of what is unfinished: thin records and paywalled ones
+    without words, but for those parked(id). What is incomplete by design is
+    no task."""
+    thin = thin_records(c).select(F.lit("thin").alias("kind"), "id")
+    words = c["publication_text"].where("word_count > 0").select(F.col("publication_id").alias("id"))
+    paywalled = c["publications"].where("access <> 'public'").join(words, "id", "left_anti").select(F.lit("paywalled").alias("kind"), "id")
+    return thin.union(paywalled).join(parked.select("id"), "id", "left_anti").select("kind", "id")
+
+
+def homeless_urls(urls: DataFrame, publications: DataFrame) -> DataFrame:
+    """Addresses settled as publications that no record has."""
+    return urls.where("disposition = 'ingest'").join(publications.select("url"), "url", "left_anti").select("url")
+
+
+def glossary(c: Catalog) -> DataFrame:
+    """The vocabulary with its counts, topics without any included."""
+    return c["topics"].join(topic_counts(c), F.col("slug") == F.col("topic_slug"), "left").select("slug", "label", "cluster", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_primary", F.lit(0)).alias("n_primary"))
+
+
+def upcoming_edge(notes: DataFrame, note_topics: DataFrame, today_quarter: str, horizon: int = 8) -> DataFrame:
+    """Open notes per topic and quarter, up to `horizon` quarters ahead;
+    undated ones apart, as quarter null."""
+    own = notes.where("landed_at IS NULL AND shelved_at IS NULL")
+    now = X.quarter_index(F.lit(today_quarter))
+    near = own.where(F.col("expected").isNull() | X.quarter_index(F.col("expected")).between(now, now + horizon))
+    return near.join(note_topics.withColumnRenamed("note_id", "id"), "id").groupBy("topic_slug", F.col("expected").alias("quarter")).agg(F.count("*").alias("n"))
+
+
+def ordered_notes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(open, closed): open by quarter with undated last, then by age; closed
+    newest first."""
+    shut = F.coalesce("landed_at", "shelved_at")
+    return notes.where(shut.isNull()).orderBy(F.asc_nulls_last("expected"), "created_at", "id"), notes.where(shut.isNotNull()).orderBy(F.desc(shut), "id")
+
+
+def coverage(c: Catalog, direct: DataFrame, about: DataFrame, similarity: DataFrame | None) -> DataFrame:
+    """One row: mentions and about with chapters rolled up, their weight, the
+    best similarity (null without a scan), and the verdict."""
+    from . import vectors
+
+    n = lambda hits, names: tier(c, hits).agg(*[F.coalesce(F.sum(a), F.lit(0)).alias(b) for a, b in names])
+    one = n(direct, (("n", "mentions"), ("weighted", "weighted"))).crossJoin(n(about, (("n", "about"),)))
+    scan = similarity.agg(F.max("similarity").alias("sim1")) if similarity is not None else direct.sparkSession.range(1).select(F.lit(None).cast("double").alias("sim1"))
+    return one.crossJoin(scan).withColumn("verdict", vectors.verdict(F.col("about"), F.col("mentions"), F.coalesce("sim1", F.lit(0.0)), F.col("sim1").isNull()))

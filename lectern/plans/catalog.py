@@ -620,3 +620,94 @@ def _(c):
 @query("document_sections")
 def _(c):
     return D.sections(c["documents"].selectExpr("doc_id AS publication_id", "text AS body"))
+
+
+# --- composites ---
+
+
+@query("flagged_summaries", """
+WITH last AS (SELECT subject_id, arg_max(verdict, (created_at, id)) AS verdict, arg_max(note, (created_at, id)) AS note FROM reviews WHERE scope = 'enrichment' GROUP BY subject_id)
+SELECT e.id, publication_id, note FROM last JOIN enrichments e ON subject_id = e.id WHERE verdict = 'flagged'""", "reviews", "enrichments")
+def _(c):
+    return V.flagged(c)
+
+
+@query("backlog", f"""WITH {_NORMS}, parked AS (SELECT subject_id AS id FROM reviews WHERE scope = 'backlog'), rows AS (
+SELECT 'thin' AS kind, id FROM publications JOIN publication_text ON publication_id = id JOIN norms USING (pub_type) WHERE access = 'public' AND word_count < floor(median_words * 0.25)
+UNION ALL SELECT 'paywalled', id FROM publications WHERE access <> 'public' AND id NOT IN (SELECT publication_id FROM publication_text WHERE word_count > 0))
+SELECT kind, id FROM rows WHERE id NOT IN (SELECT id FROM parked)""", "publications", "publication_text", "reviews")
+def _(c):
+    return V.backlog(c, c["reviews"].where("scope = 'backlog'").selectExpr("subject_id AS id"))
+
+
+@query("glossary", """
+SELECT slug, label, cluster, coalesce(n, 0) AS n, coalesce(n_primary, 0) AS n_primary FROM topics
+LEFT JOIN (SELECT topic_slug, count(*) AS n, count(*) FILTER (position = 1) AS n_primary FROM publication_topics GROUP BY 1) ON slug = topic_slug""", "topics", "publication_topics")
+def _(c):
+    return V.glossary(c)
+
+
+_NOTES = """notes AS (SELECT event_id AS id, CASE WHEN event_id % 7 <> 0 THEN concat(2024 + event_id % 3, '-Q', 1 + event_id % 4) END AS expected, CAST(ts AS DATE) AS created_at,
+  CASE WHEN event_type = 'purchase' THEN CAST(ts AS DATE) + CAST(user_id AS INT) END AS landed_at, CASE WHEN event_type = 'error' THEN CAST(ts AS DATE) END AS shelved_at FROM events)"""
+
+
+def _notes(c):
+    return c["events"].selectExpr("event_id AS id", "CASE WHEN event_id % 7 <> 0 THEN concat(2024 + event_id % 3, '-Q', 1 + event_id % 4) END AS expected", "CAST(ts AS DATE) AS created_at",
+                                  "CASE WHEN event_type = 'purchase' THEN date_add(CAST(ts AS DATE), CAST(user_id AS INT)) END AS landed_at", "CASE WHEN event_type = 'error' THEN CAST(ts AS DATE) END AS shelved_at")
+
+
+@query("note_status", f"""WITH {_NOTES} SELECT id, CASE WHEN landed_at IS NOT NULL THEN 'landed' WHEN shelved_at IS NOT NULL THEN 'shelved' WHEN expected < '2024-Q4' THEN 'overdue' ELSE 'open' END AS status,
+date_diff('day', created_at, DATE '2024-10-15') AS age_days, date_diff('day', created_at, landed_at) AS lead_days,
+CASE WHEN landed_at IS NOT NULL AND expected IS NOT NULL THEN concat(year(landed_at), '-Q', quarter(landed_at)) <= expected END AS on_time FROM notes""")
+def _(c):
+    return M.note_status(_notes(c), "2024-10-15").select("id", "status", F.col("age_days").cast("long"), F.col("lead_days").cast("long"), "on_time")
+
+
+@query("note_stats", f"""WITH {_NOTES} SELECT count(*) AS landed, median(date_diff('day', created_at, landed_at)) AS median_lead, count(*) FILTER (concat(year(landed_at), '-Q', quarter(landed_at)) <= expected) AS on_time,
+count(expected) AS judged FROM notes WHERE landed_at IS NOT NULL""")
+def _(c):
+    return M.note_stats(M.note_status(_notes(c), "2024-10-15"))
+
+
+@query("upcoming_edge", f"""WITH {_NOTES} SELECT CASE id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS topic_slug, expected AS quarter, count(*) AS n FROM notes
+WHERE landed_at IS NULL AND shelved_at IS NULL AND (expected IS NULL OR expected BETWEEN '2024-Q4' AND '2026-Q4') GROUP BY ALL""")
+def _(c):
+    topics = c["events"].selectExpr("event_id AS note_id", "CASE event_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS topic_slug")
+    return V.upcoming_edge(_notes(c), topics, "2024-Q4")
+
+
+@query("collections_by_precedence", """
+WITH current AS (SELECT custkey, orderkey AS slug, src FROM (SELECT o_custkey AS custkey, o_orderkey % 40 AS orderkey, CASE WHEN max(o_orderstatus) = 'P' THEN 'manual' ELSE 'auto' END AS src FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2)),
+new AS (SELECT o_custkey AS custkey, o_orderkey % 40 AS slug, CASE WHEN max(o_orderpriority) = '5-LOW' THEN 'manual' ELSE 'auto' END AS src FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2)
+SELECT custkey, slug, CASE WHEN c.src IS NULL THEN n.src WHEN n.src = 'manual' THEN 'manual' ELSE c.src END AS source, coalesce(c.src IS NULL OR n.src = 'manual', false) AS renewed FROM current c FULL JOIN new n USING (custkey, slug)""")
+def _(c):
+    o = c["orders"]
+    own = lambda rows, best, renewed: rows.groupBy(F.col("o_custkey").alias("custkey"), (F.col("o_orderkey") % 40).alias("slug")).agg(F.when(best, "manual").otherwise("auto").alias("source")).withColumn("renewed", F.lit(renewed))
+    return M.by_precedence(own(o.where("o_orderkey % 2 = 0"), F.max("o_orderstatus") == "P", False), own(o.where("o_orderkey % 3 = 0"), F.max("o_orderpriority") == "5-LOW", True), ["custkey", "slug"])
+
+
+@query("cascade_delete", """
+WITH gone AS (SELECT id FROM publications WHERE id % 32 = 0)
+SELECT 'publications' AS name, count(*) AS n, count(parent_id) - count(CASE WHEN parent_id IN (FROM gone) THEN 1 END) AS children FROM publications WHERE id NOT IN (FROM gone)
+UNION ALL SELECT 'credits', count(*), 0 FROM credits WHERE publication_id NOT IN (FROM gone)
+UNION ALL SELECT 'publication_topics', count(*), 0 FROM publication_topics WHERE publication_id NOT IN (FROM gone)""", "publications", "credits", "publication_topics")
+def _(c):
+    out = M.cascaded({k: c[k] for k in ("publications", "credits", "publication_topics")}, c["publications"].where("id % 32 = 0"))
+    rows = out["publications"].agg(F.lit("publications").alias("name"), F.count("*").alias("n"), F.count("parent_id").alias("children"))
+    for k in ("credits", "publication_topics"):
+        rows = rows.union(out[k].agg(F.lit(k), F.count("*"), F.lit(0).cast("long")))
+    return rows
+
+
+@query("coverage_view", f"""
+WITH direct AS (SELECT id FROM publications WHERE list_contains(regexp_extract_all(lower(concat_ws(' ', title, series)), '[a-z0-9]+'), 'watch')),
+about AS (SELECT id FROM publications WHERE list_contains(regexp_extract_all(lower(title), '[a-z0-9]+'), 'finance') AND id % 10 = 0),
+tier AS (SELECT 'm' AS k, count(*) AS n, sum({_WEIGHT}) AS w FROM publications WHERE id IN (SELECT coalesce(parent_id, p.id) FROM direct JOIN publications p USING (id))
+  UNION ALL SELECT 'a', count(*), sum({_WEIGHT}) FROM publications WHERE id IN (SELECT coalesce(parent_id, p.id) FROM about JOIN publications p USING (id)))
+SELECT mentions, weighted, about, 4 AS band, round((4 + least(greatest((ln(1 + mentions + 10 * about) - ln(151)) / (ln(1501) - ln(151)), 0), 1)) / 5, 4) AS pos
+FROM (SELECT CAST(sum(n) FILTER (k = 'm') AS BIGINT) AS mentions, CAST(sum(w) FILTER (k = 'm') AS BIGINT) AS weighted, CAST(sum(n) FILTER (k = 'a') AS BIGINT) AS about FROM tier)""", "publications")
+def _(c):
+    index = S.Index.build(c["publications"].select("id", "title", "series"), ("title", "series"))
+    direct = S.match(index, "watch", (1.0, 1.0)).select("id")
+    about = S.match(index, "{title} : (finance)", (1.0, 1.0)).select("id").where("id % 10 = 0")
+    return V.coverage(c, direct, about, None).select("mentions", "weighted", "about", "verdict.band", "verdict.pos")
