@@ -4,10 +4,15 @@
 and one for each document with its length. A query reads only the postings of
 its own terms (a filter that reaches the scan of a stored index); two numbers,
 the count of documents and their mean length, are all the driver learns.
+
+``Scan`` answers the same queries from the documents themselves, for catalogs
+that have no stored index: two passes that look for the query's own terms in
+each row, and no shuffle but that of a few sums.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -71,7 +76,21 @@ class Index:
         return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), fields, stemmed)
 
     def terms(self, text: str) -> list[str]:
-        return stemming.tokens(text, True) if self.stemmed else re.findall(r"[^\W_]+", text.lower())
+        return query_terms(text, self.stemmed)
+
+
+@dataclass(frozen=True)
+class Scan:
+    docs: DataFrame  # id, *fields
+    fields: tuple[str, ...]
+    stemmed: bool = False
+
+    def terms(self, text: str) -> list[str]:
+        return query_terms(text, self.stemmed)
+
+
+def query_terms(text: str, stemmed: bool) -> list[str]:
+    return stemming.tokens(text, True) if stemmed else re.findall(r"[^\W_]+", text.lower())
 
 
 @dataclass(frozen=True)
@@ -126,7 +145,7 @@ def _lex(query: str) -> list[tuple[str, str]]:
 class _Parser:
     """OR binds loosest, then AND, then NOT, then juxtaposition."""
 
-    def __init__(self, query: str, index: Index):
+    def __init__(self, query: str, index: Index | Scan):
         self.tokens, self.at, self.index = _lex(query), 0, index
 
     def peek(self, ahead: int = 0) -> str | None:
@@ -223,7 +242,7 @@ def _within(node, names: frozenset[str]):
     return type(node)(tuple(_within(p, names) for p in node.parts))
 
 
-def parse(query: str, index: Index):
+def parse(query: str, index: Index | Scan):
     """The tree of a match expression; MatchError if it is none."""
     return _Parser(query, index).whole()
 
@@ -261,7 +280,7 @@ def _phrase_hits(index: Index, p: Phrase) -> DataFrame:
     return found.select("id", "field", F.size("here").alias("hits")).where("hits > 0")
 
 
-def _matches(index: Index, node, weights: tuple[float, ...], scored: DataFrame | None, totals) -> DataFrame:
+def _matches(index: Index, node, weights: tuple[float, ...], totals) -> DataFrame:
     """(id, score) of the documents that satisfy node. A branch that does not
     hold for a document adds nothing, even if some of its terms occur."""
     if isinstance(node, Phrase):
@@ -273,20 +292,80 @@ def _matches(index: Index, node, weights: tuple[float, ...], scored: DataFrame |
         score = -F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.lit(totals.mean)))
         return rows.select("id", score.alias("score"))
     if isinstance(node, Without):
-        return _matches(index, node.keep, weights, scored, totals).join(_matches(index, node.drop, weights, scored, totals), "id", "left_anti")
-    parts = [_matches(index, p, weights, scored, totals) for p in node.parts]
+        return _matches(index, node.keep, weights, totals).join(_matches(index, node.drop, weights, totals), "id", "left_anti")
+    parts = [_matches(index, p, weights, totals) for p in node.parts]
     both = reduce(DataFrame.union, parts).groupBy("id").agg(F.sum("score").alias("score"), F.count("*").alias("n"))
     return (both.where(F.col("n") == len(parts)) if isinstance(node, Both) else both).select("id", "score")
 
 
-def match(index: Index, query: str, weights: tuple[float, ...]) -> DataFrame:
+def _leaves(node) -> list[Phrase]:
+    if isinstance(node, Phrase):
+        return [node]
+    return [p for n in ((node.keep, node.drop) if isinstance(node, Without) else node.parts) for p in _leaves(n)]
+
+
+def _occurrences(tokens: Column, p: Phrase) -> Column:
+    """How often one field's tokens hold a phrase."""
+
+    def here(x: Column, i: Column) -> Column:
+        out = F.lit(True) if not p.initial else i == 0
+        for k, term in enumerate(p.terms):
+            word = x if k == 0 else F.coalesce(F.get(tokens, i + k), F.lit(""))
+            out = out & (word.startswith(term) if p.prefix and k == len(p.terms) - 1 else word == term)
+        return out
+
+    return F.size(F.filter(tokens, here)) if p.terms else F.lit(0)
+
+
+def _scan(scan: Scan, node, weights: tuple[float, ...]) -> DataFrame:
+    cut = stemmed_tokens if scan.stemmed else plain_tokens
+    rows = scan.docs.select("id", *[cut(F.col(f)).alias(f"t{i}") for i, f in enumerate(scan.fields)])
+    leaves = _leaves(node)
+    weighted = [
+        sum((F.lit(weights[i]) * _occurrences(F.col(f"t{i}"), p) for i, f in enumerate(scan.fields) if p.fields is None or f in p.fields), F.lit(0.0)) for p in leaves
+    ]
+    length = sum((F.size(f"t{i}") for i in range(len(scan.fields))), F.lit(0))
+    found = rows.select("id", length.alias("length"), *[w.alias(f"f{k}") for k, w in enumerate(weighted)])
+    stats = found.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(leaves))]).first()
+    turn = iter(range(len(leaves)))
+
+    def said(n) -> tuple[Column, Column]:
+        if isinstance(n, Phrase):
+            k = next(turn)
+            f, df = F.col(f"f{k}"), stats[f"n{k}"]
+            idf = math.log((stats.n - df + 0.5) / (df + 0.5))
+            return f > 0, -(idf if idf > 0 else LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(stats.mean)))
+        if isinstance(n, Without):
+            (keep, score), (drop, _) = said(n.keep), said(n.drop)
+            return keep & ~drop, score
+        parts = [said(p) for p in n.parts]
+        both = isinstance(n, Both)
+        holds = reduce(lambda a, b: a & b if both else a | b, [h for h, _ in parts])
+        return holds, sum((s if both else F.when(h, s).otherwise(0.0) for h, s in parts), F.lit(0.0))
+
+    holds, score = said(node)
+    return found.where(holds).select("id", score.alias("score"))
+
+
+def match(index: Index | Scan, query: str, weights: tuple[float, ...]) -> DataFrame:
     """(id, score) of all documents that match; a lower score is better."""
     node = parse(query, index)
+    if isinstance(index, Scan):
+        return _scan(index, node, weights)
     totals = index.lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
-    return _matches(index, node, weights, None, totals)
+    return _matches(index, node, weights, totals)
+
+
+def term_stats(docs: DataFrame, field: str) -> DataFrame:
+    """(term, documents, occurrences): each document marks the first of equal
+    tokens in its own sorted list, so one shuffle by term with map-side sums
+    is all."""
+    tokens = docs.select(F.sort_array(plain_tokens(F.col(field))).alias("t"))
+    marked = F.explode(F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get(F.col("t"), i - 1))).cast("long").alias("first")))).alias("m")
+    return tokens.select(marked).groupBy("m.term").agg(F.sum("m.first").alias("documents"), F.count("*").alias("occurrences"))
 
 
-def search(index: Index, query: str, weights: tuple[float, ...], limit: int) -> DataFrame:
+def search(index: Index | Scan, query: str, weights: tuple[float, ...], limit: int) -> DataFrame:
     """The best matches: id, score and position from 1; ties by id."""
     top = match(index, query, weights).orderBy("score", "id").limit(limit)
     return top.selectExpr("id", "score", "row_number() OVER (ORDER BY score, id) AS position")

@@ -48,12 +48,12 @@ def fuse(rankings: Sequence[DataFrame]) -> DataFrame:
     )
 
 
-def hybrid(index: S.Index, query: str, vectors: Sequence[tuple[DataFrame, Sequence[float]]], limit: int = 10, shortlist: DataFrame | None = None, weights=S.PUBLICATION_WEIGHTS) -> tuple[DataFrame, list[str]]:
+def hybrid(index: S.Index | S.Scan, query: str, vectors: Sequence[tuple[DataFrame, Sequence[float]]], limit: int = 10, shortlist: DataFrame | None = None, weights=S.PUBLICATION_WEIGHTS) -> tuple[DataFrame, list[str]]:
     """Keyword and vector rankings fused; (hits, notes). A query that does not
     parse costs its half and leaves a note, as do missing vectors. Pass no
     shortlist for pure retrieval."""
     depth, notes, rankings = max(3 * limit, 20), [], []
-    spark = index.lengths.sparkSession
+    spark = (index.docs if isinstance(index, S.Scan) else index.lengths).sparkSession
     try:
         rankings.append(S.search(index, S.safe_query(query), weights, depth).select("id", "position"))
     except S.MatchError as why:

@@ -203,7 +203,7 @@ cells AS (SELECT {_QUARTER} AS quarter, sum({_WEIGHT}) AS w, sum(coalesce(word_c
   LEFT JOIN publication_text ON publication_id = id GROUP BY 1), axis AS ({_SPINE.format(src='dated')})
 SELECT quarter, CAST(coalesce(w, 0) AS BIGINT) AS w, CAST(coalesce(words, 0) AS BIGINT) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n FROM axis LEFT JOIN cells USING (quarter)""", "publications", "enrichments", "publication_text")
 def _(c):
-    index = S.Index.build(c["publications"].select("id", "title", "series"), ("title", "series"))
+    index = S.Scan(c["publications"].select("id", "title", "series"), ("title", "series"))
     hits = S.match(index, "outlook", (1.0, 1.0)).select("id").union(V.summary_hits(c, "outlook")).distinct()
     return V.term_time(c, hits)
 
@@ -465,7 +465,7 @@ top AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9), id) AS po
 
 
 def _doc_index(c, stemmed=False):
-    return S.Index.build(c["documents_"].select("id", "title", "body"), ("title", "body"), stemmed)
+    return S.Scan(c["documents_"].select("id", "title", "body"), ("title", "body"), stemmed)
 
 
 def _top(index, text, limit):
@@ -499,8 +499,12 @@ def _(c):
 WITH words AS (SELECT id, unnest({_TOKENS.format('body')}) AS term FROM documents_)
 SELECT term, count(DISTINCT id) AS documents, count(*) AS occurrences FROM words GROUP BY term""", "documents_")
 def _(c):
-    index = S.Index.build(c["documents_"].select("id", "body"), ("body",))
-    return index.postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
+    return S.term_stats(c["documents_"], "body")
+
+
+@query("indexed_search", _bm25(["pathetic", "clown"], True, 20) + "SELECT id, round(score, 9) AS score, position FROM top", "documents_")
+def _(c):
+    return _top(S.Index.build(c["documents_"].select("id", "title", "body"), ("title", "body")), "pathetic clown", 20)
 
 
 _QUERY_VEC = "(SELECT embedding FROM embeddings WHERE vec_id = 7)"
@@ -707,7 +711,7 @@ tier AS (SELECT 'm' AS k, count(*) AS n, sum({_WEIGHT}) AS w FROM publications W
 SELECT mentions, weighted, about, 4 AS band, round((4 + least(greatest((ln(1 + mentions + 10 * about) - ln(151)) / (ln(1501) - ln(151)), 0), 1)) / 5, 4) AS pos
 FROM (SELECT CAST(sum(n) FILTER (k = 'm') AS BIGINT) AS mentions, CAST(sum(w) FILTER (k = 'm') AS BIGINT) AS weighted, CAST(sum(n) FILTER (k = 'a') AS BIGINT) AS about FROM tier)""", "publications")
 def _(c):
-    index = S.Index.build(c["publications"].select("id", "title", "series"), ("title", "series"))
+    index = S.Scan(c["publications"].select("id", "title", "series"), ("title", "series"))
     direct = S.match(index, "watch", (1.0, 1.0)).select("id")
     about = S.match(index, "{title} : (finance)", (1.0, 1.0)).select("id").where("id % 10 = 0")
     return V.coverage(c, direct, about, None).select("mentions", "weighted", "about", "verdict.band", "verdict.pos")

@@ -36,12 +36,14 @@ def test_matches_and_scores_are_those_of_fts5(spark, stemmed):
     rows = corpus(3)
     index = S.Index.build(spark.createDataFrame(rows, "id long, title string, subtitle string, description string, body string"), FIELDS, stemmed)
     index = S.Index(index.postings.cache(), index.lengths.cache(), FIELDS, stemmed)
+    scan = S.Scan(spark.createDataFrame(rows, "id long, title string, subtitle string, description string, body string").cache(), FIELDS, stemmed)
     c = fts(rows, stemmed)
     for q in QUERIES:
         want = {i: s for i, s in c.execute("SELECT rowid, bm25(f, 10, 5, 3, 1) FROM f WHERE f MATCH ?", (q,))}
-        got = {x.id: x.score for x in S.match(index, q, S.PUBLICATION_WEIGHTS).collect()}
-        assert set(got) == set(want), q
-        assert all(abs(got[i] - want[i]) < 1e-9 + 1e-9 * abs(want[i]) for i in want), q
+        for way in (index, scan):
+            got = {x.id: x.score for x in S.match(way, q, S.PUBLICATION_WEIGHTS).collect()}
+            assert set(got) == set(want), q
+            assert all(abs(got[i] - want[i]) < 1e-9 + 1e-9 * abs(want[i]) for i in want), q
 
 
 def test_malformed_queries_raise(spark):
