@@ -256,7 +256,8 @@ def classes_of(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed) and component_id of every document."""
     prints = base.stored(fingerprinted(docs), "prints")
-    return prints.join(classes_of(prints), "fp").select("doc_id", "fp", "component_id")
+    classes = base.stored(classes_of(prints), "groups-of")  # both sides of the join shuffle plainly, so AQE can split a hot fingerprint
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
