@@ -436,3 +436,42 @@ def coverage(c: Catalog, direct: DataFrame, about: DataFrame, similarity: DataFr
     one = n(direct, (("n", "mentions"), ("weighted", "weighted"))).crossJoin(n(about, (("n", "about"),)))
     scan = similarity.agg(F.max("similarity").alias("sim1")) if similarity is not None else direct.sparkSession.range(1).select(F.lit(None).cast("double").alias("sim1"))
     return one.crossJoin(scan).withColumn("verdict", vectors.verdict(F.col("about"), F.col("mentions"), F.coalesce("sim1", F.lit(0.0)), F.col("sim1").isNull()))
+
+
+def filtered_hits(hits: DataFrame, pubs: DataFrame, **facets) -> DataFrame:
+    """Search hits cut down by facets, after the search's own limit: a filter
+    never brings up what the search left out."""
+    keep = hits.join(pubs, "id")
+    for column, values in facets.items():
+        keep = keep.where(F.col(column).isin(*(values if isinstance(values, (list, tuple, set)) else [values])))
+    return keep.select(*hits.columns)
+
+
+ROLE_ORDER = ("author", "guest", "host")
+
+
+def bylines(c: Catalog) -> DataFrame:
+    """People of each publication, authors first, then guests and hosts."""
+    rank = F.array_position(F.array(*[F.lit(r) for r in ROLE_ORDER]), F.col("role"))
+    own = c["credits"].join(c["people"].select(F.col("id").alias("person_id"), "name"), "person_id")
+    return own.groupBy("publication_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "position", "name"))), lambda x: x["name"]), ", ").alias("byline"))
+
+
+def matrix_order(cells: DataFrame, topic: str) -> DataFrame:
+    """People of a matrix by their cell in one topic, then by their total."""
+    own = cells.groupBy("id", "name").agg(F.coalesce(F.max(F.when(F.col("topic") == topic, F.col("n"))), F.lit(0)).alias("own"), F.max("mapped_total").alias("total"))
+    return own.selectExpr("id", "name", "own", "total", "row_number() OVER (ORDER BY own DESC, total DESC, id) AS position")
+
+
+def roster_entries(people: DataFrame, roster: DataFrame) -> DataFrame:
+    """Each person's roster entry by their own slug, or else by the slug of a
+    row that was merged into them, the least id first."""
+    own = people.where("merged_into IS NULL").select(F.col("id").alias("person_id"), "slug", F.lit(0).alias("turn"), F.col("id").alias("via"))
+    old = people.where("merged_into IS NOT NULL").select(F.col("merged_into").alias("person_id"), "slug", F.lit(1), "id")
+    found = own.union(old).join(roster.select("slug", "title"), "slug")
+    return found.groupBy("person_id").agg(F.min_by(F.struct("slug", "title"), F.struct("turn", "via")).alias("e")).select("person_id", "e.slug", "e.title")
+
+
+def named_entities(enrichments: DataFrame, kind: str) -> DataFrame:
+    """(name, n): how many summaries name each entity of a kind."""
+    return enrichments.select("id", F.explode(F.col("entities")[kind]).alias("name")).groupBy("name").agg(F.countDistinct("id").alias("n"))

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from lectern.plans import bind, catalog
+from lectern.plans import bind, catalog, more  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
