@@ -37,7 +37,7 @@ METRICS = {
     "word_length": (("low", "high"), 4.0),
     "symbol_share": (("high",), 0.05),
     "repeated_lines": (("high",), 0.45),
-    "repeated_words": (("high",), 0.15),
+    "repeated_words": (("high",), 0.2),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
