@@ -10,8 +10,9 @@ A turn is `<|im_start|>role\\ntext<|im_end|>\\n`. In texts, `<|` becomes `<\\|`
 `<\\|` takes one more backslash, so no marker can occur inside one; roles are
 escaped with `%`. The loss mask covers the texts of assistant turns.
 
-Null text or role: empty. Null score: 0. A parent that is null or missing in
-its tree: the node is a root. Nodes on a cycle reach no root and belong to no
+Null text or role: empty. Null score: 0. Null tree: a tree of its own. Null
+node: ignored. A parent that is null or missing in its tree: the node is a
+root. Nodes on a cycle reach no root and belong to no
 path. Several rows of one (tree, node): the least by parent, role and text
 counts. Equal path scores: the least leaf first. Empty table: empty result.
 Extra columns: ignored.
@@ -45,9 +46,10 @@ def role_unescaped(role: Column) -> Column:
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """One row for each node, with parents that exist."""
-    own = rows.select(
-        "tree_id", "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
+    """One row for each node. Trees go by `t` and their id as text, so that a
+    null tree joins like any other."""
+    own = rows.where("node_id IS NOT NULL").select(
+        F.concat_ws("", F.lit("t"), F.col("tree_id").cast("string")).alias("tree_id"), "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
     )
     return own.groupBy("tree_id", "node_id").agg(F.min(F.struct("parent_id", "role", "text", "score")).alias("n")).select("tree_id", "node_id", "n.*")
 
@@ -126,7 +128,9 @@ def format_reply_trees(rows: DataFrame, branches: int = 1) -> DataFrame:
     conversation for each of the best `branches` paths of a tree. A path's
     score is the mean of its nodes' scores."""
     nodes = base.stored(nodes_of(rows), "nodes")
-    return formatted(best_paths(nodes, branches), ["tree_id", "leaf_id", "branch"])
+    out = formatted(best_paths(nodes, branches), ["tree_id", "leaf_id", "branch"])
+    kind = rows.schema["tree_id"].dataType
+    return out.withColumn("tree_id", F.when(F.col("tree_id") != "t", F.substring("tree_id", 2, 1 << 30)).cast(kind))
 
 
 def as_trees(conversations: DataFrame) -> DataFrame:

@@ -63,11 +63,11 @@ def test_best_paths_and_round_trip(spark, branches):
 
 
 def test_linear_conversations(spark):
-    rows = [(1, 2, "assistant", "c", 9), (1, 0, "user", chat.PROBE, 9), (1, 1, "assistant", None, 9), (2, None, "a%3C\nb", "<|x", 9), (2, None, None, "y", 9)]
+    rows = [(1, 2, "assistant", "c", 9), (1, 0, "user", chat.PROBE, 9), (1, 1, "assistant", None, 9), (2, None, "a%3C\nb", "<|x", 9), (2, None, None, "y", 9), (None, 1, "user", "n", 9), (None, 0, "assistant", "m", 9)]
     trees = chat.as_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, score int"))
     out = chat.format_reply_trees(trees).select("tree_id", chat.read_back(F.col("formatted")).alias("t")).collect()
     got = {x.tree_id: [(t.role, t.text) for t in x.t] for x in out}
-    assert got == {1: [("user", chat.PROBE), ("assistant", ""), ("assistant", "c")], 2: [("", "y"), ("a%3C\nb", "<|x")]}
+    assert got == {1: [("user", chat.PROBE), ("assistant", ""), ("assistant", "c")], 2: [("", "y"), ("a%3C\nb", "<|x")], None: [("assistant", "m"), ("user", "n")]}
 
 
 def test_empty(spark):
