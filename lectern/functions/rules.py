@@ -94,3 +94,13 @@ def enrichment_prompt(title: Column, body: Column, executive: Column, outline: C
     long = (word_count(body) > limit) & (word_count(executive) >= 150)
     text = F.when(long, F.concat_ws("\n\n", executive, F.lit("Outline:"), outline)).when(word_count(body) > limit, first_words(body, limit)).otherwise(body)
     return F.concat_ws("\n\n", F.concat(F.lit("Title: "), title), text)
+
+
+def series_from_subtitle(subtitle: Column, runs: list[tuple[str, str, str]]) -> Column:
+    """struct(pub_type, series) of the first run (pattern, type, series) whose
+    pattern a subtitle begins with; null if there is none."""
+    out = F.lit(None).cast("struct<pub_type:string,series:string>")
+    for pattern, kind, series in reversed(runs):
+        hit = F.trim(F.coalesce(subtitle, F.lit(""))).rlike(f"(?i)^{pattern}")
+        out = F.when(hit, F.struct(F.lit(kind).alias("pub_type"), F.lit(series).alias("series"))).otherwise(out)
+    return out

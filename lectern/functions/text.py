@@ -96,8 +96,8 @@ def same_page(a: Column, b: Column) -> Column:
 
 
 def parsed_date(text: Column) -> Column:
-    """ISO dates and date-times, `1 March 2025`, `March 1, 2025`, `01.03.2025`."""
-    formats = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "d MMMM yyyy", "MMMM d, yyyy", "dd.MM.yyyy")
+    """ISO dates and date-times, `1 March 2025`, `Mar 1, 2025`, `01.03.2025`."""
+    formats = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "dd.MM.yyyy")
     return F.to_date(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
 
 

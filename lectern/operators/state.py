@@ -240,3 +240,19 @@ def note_problems(notes: DataFrame, topics: DataFrame, vocabulary: DataFrame) ->
     unknown = topics.join(F.broadcast(vocabulary.select(F.col("slug").alias("topic_slug"))), "topic_slug", "left_anti").select(F.col("note_id").alias("id"), F.lit("a topic is unknown").alias("problem")).distinct()
     both = F.when(F.col("landed_at").isNotNull() & F.col("shelved_at").isNotNull(), "landed and shelved").when(F.col("shelved_at").isNotNull() & (F.trim(F.coalesce("note", F.lit(""))) == ""), "shelved without a reason").when(~F.col("expected").rlike(r"^\d{4}-Q[1-4]$"), "no quarter")
     return many.union(unknown).union(notes.select("id", both.alias("problem")).where("problem IS NOT NULL"))
+
+
+def written_summaries(enrichments: DataFrame, written: DataFrame, now: str) -> DataFrame:
+    """enrichments with one-liners and summaries written by hand as primary
+    rows. written(publication_id, one_liner, summary) of over 30 words in the
+    one-liner is left out; findings and entities carry over from the primary
+    row there was."""
+    fit = written.where(F.regexp_count("one_liner", F.lit(r"\S+")) <= 30).select("publication_id", F.col("one_liner").alias("__line"), F.col("summary").alias("__text"))
+    old = enrichments.where("is_primary").join(fit, "publication_id")
+    last = enrichments.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
+    ranked = fit.join(old.drop("__line", "__text"), "publication_id", "left").crossJoin(F.broadcast(last)).selectExpr("*", "row_number() OVER (ORDER BY publication_id) + __last AS __id")
+    values = {"id": F.col("__id").cast("long"), "is_primary": F.lit(True), "one_liner": F.col("__line"), "summary": F.col("__text"), "model": F.lit("manual"), "enriched_at": F.lit(now).cast("timestamp")}
+    new = ranked.select(*[values.get(c, F.col(c)).alias(c) for c in enrichments.columns])
+    demoted = enrichments.join(fit.select("publication_id", F.lit(True).alias("__new")), "publication_id", "left")
+    demoted = demoted.withColumn("is_primary", F.col("is_primary") & F.col("__new").isNull()).select(*enrichments.columns)
+    return demoted.unionByName(new)

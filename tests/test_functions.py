@@ -25,7 +25,7 @@ def test_quarters_and_days(spark):
     assert one(spark, X.quarter_label(X.quarter_index(F.col("q")) + 1), q=("string", "2024-Q4")) == "2025-Q1"
     assert one(spark, X.days_between(F.col("a"), F.col("b")), a=("string", "2024-01-01T10:00"), b=("string", "2024-01-11")) == 10
     assert one(spark, X.days_between(F.col("a"), F.col("b")), a=("string", "soon"), b=("string", "2024-01-11")) is None
-    for text in ("2025-03-01", "2025-03-01T10:00:00+02:00", "1 March 2025", "March 1, 2025", "01.03.2025"):
+    for text in ("2025-03-01", "2025-03-01T10:00:00+02:00", "1 March 2025", "March 1, 2025", "Mar 1, 2025", "1 Mar 2025", "01.03.2025"):
         assert one(spark, X.parsed_date(F.col("t")), t=("string", text)) == datetime.date(2025, 3, 1), text
     assert one(spark, X.parsed_date(F.col("t")), t=("string", "soon")) is None
 

@@ -70,6 +70,14 @@ def test_primary_summaries(spark):
     assert [r.publication_id for r in M.stale_blurbs(blurbs, out).collect()] == [10]
 
 
+def test_summaries_by_hand(spark):
+    e = spark.createDataFrame([(1, 10, True, "a", "b", "m", None, ["f"]), (2, 11, True, "c", "d", "m", None, ["g"])], "id long, publication_id long, is_primary boolean, one_liner string, summary string, model string, enriched_at timestamp, key_findings array<string>")
+    w = spark.createDataFrame([(10, "new", "text"), (11, "w " * 31, "x")], "publication_id long, one_liner string, summary string")
+    out = M.written_summaries(e, w, "2024-01-01")
+    rows = {(r.id, r.is_primary, r.one_liner, r.model, tuple(r.key_findings)) for r in out.collect()}
+    assert rows == {(1, False, "a", "m", ("f",)), (2, True, "c", "m", ("g",)), (3, True, "new", "manual", ("f",))}
+
+
 def test_notes(spark):
     d = datetime.date
     rows = [(1, "2024-Q2", d(2024, 1, 1), d(2024, 5, 1), None), (2, "2024-Q1", d(2024, 1, 1), d(2024, 5, 1), None), (3, "2023-Q1", d(2024, 1, 1), None, None), (4, None, d(2024, 1, 1), None, None), (5, "2024-Q1", d(2024, 1, 1), None, d(2024, 2, 1))]
