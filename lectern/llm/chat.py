@@ -45,12 +45,14 @@ def role_unescaped(role: Column) -> Column:
     return F.replace(F.replace(F.replace(role, F.lit("%3C"), F.lit("<")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def nodes_of(rows: DataFrame) -> DataFrame:
-    """One row for each node. Trees go by `t` and their id as text, so that a
-    null tree joins like any other."""
+def nodes_of(rows: DataFrame, distinct: bool) -> DataFrame:
+    """One row for each node (as they are, if known to be distinct). Trees go
+    by `t` and their id as text, so that a null tree joins like any other."""
     own = rows.where("node_id IS NOT NULL").select(
         F.concat_ws("", F.lit("t"), F.col("tree_id").cast("string")).alias("tree_id"), "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
     )
+    if distinct:
+        return own
     return own.groupBy("tree_id", "node_id").agg(F.min(F.struct("parent_id", "role", "text", "score")).alias("n")).select("tree_id", "node_id", "n.*")
 
 
@@ -123,11 +125,11 @@ def loss_text(formatted: Column, mask: Column) -> Column:
     return F.array_join(F.transform(mask, lambda m: unescaped(F.substring(F.element_at(turns, (m["turn"] + 1).cast("int")), (m["start"] + 1).cast("int"), m["length"].cast("int")))), "")
 
 
-def format_reply_trees(rows: DataFrame, branches: int = 1) -> DataFrame:
+def format_reply_trees(rows: DataFrame, branches: int = 1, distinct: bool = False) -> DataFrame:
     """rows(tree_id, node_id, parent_id, role, text, score) to one formatted
     conversation for each of the best `branches` paths of a tree. A path's
-    score is the mean of its nodes' scores."""
-    nodes = base.stored(nodes_of(rows), "nodes")
+    score is the mean of its nodes' scores. distinct: no (tree, node) repeats."""
+    nodes = base.stored(nodes_of(rows, distinct), "nodes")
     out = formatted(best_paths(nodes, branches), ["tree_id", "leaf_id", "branch"])
     kind = rows.schema["tree_id"].dataType
     return out.withColumn("tree_id", F.when(F.col("tree_id") != "t", F.substring("tree_id", 2, 1 << 30)).cast(kind))
@@ -143,7 +145,7 @@ def as_trees(conversations: DataFrame) -> DataFrame:
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.table(spark, sf_dir, "conversations").selectExpr("cast(conv_id AS long) AS conv_id", "cast(turn AS long) AS turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    chats = format_reply_trees(as_trees(rows.unionByName(probe)))
+    chats = format_reply_trees(as_trees(rows.unionByName(probe)), distinct=True)
     turns = read_back(F.col("formatted"))
     loss = loss_text(F.col("formatted"), F.col("loss_mask"))
     return chats.select(F.col("tree_id").alias("conv_id"), "formatted", turns.alias("turns"), loss.alias("loss")).select(
