@@ -319,14 +319,21 @@ def _occurrences(tokens: Column, p: Phrase) -> Column:
 
 def _scan(scan: Scan, node, weights: tuple[float, ...]) -> DataFrame:
     cut = stemmed_tokens if scan.stemmed else plain_tokens
-    rows = scan.docs.select("id", *[cut(F.col(f)).alias(f"t{i}") for i, f in enumerate(scan.fields)])
     leaves = _leaves(node)
+
+    def tokenised(docs: DataFrame) -> DataFrame:
+        # a generator, so that no filter above it repeats the tokenising
+        one = F.struct(*[cut(F.col(f)).alias(f"t{i}") for i, f in enumerate(scan.fields)])
+        return docs.select("id", F.explode(F.array(one)).alias("t")).select("id", "t.*")
+
+    def counted(docs: DataFrame) -> DataFrame:
+        return tokenised(docs).select("id", length.alias("length"), *[w.alias(f"f{k}") for k, w in enumerate(weighted)])
+
     weighted = [
         sum((F.lit(weights[i]) * _occurrences(F.col(f"t{i}"), p) for i, f in enumerate(scan.fields) if p.fields is None or f in p.fields), F.lit(0.0)) for p in leaves
     ]
     length = sum((F.size(f"t{i}") for i in range(len(scan.fields))), F.lit(0))
-    found = rows.select("id", length.alias("length"), *[w.alias(f"f{k}") for k, w in enumerate(weighted)])
-    stats = found.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(leaves))]).first()
+    stats = counted(scan.docs).agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(leaves))]).first()
     turn = iter(range(len(leaves)))
 
     def said(n) -> tuple[Column, Column]:
@@ -344,7 +351,12 @@ def _scan(scan: Scan, node, weights: tuple[float, ...]) -> DataFrame:
         return holds, sum((s if both else F.when(h, s).otherwise(0.0) for h, s in parts), F.lit(0.0))
 
     holds, score = said(node)
-    return found.where(holds).select("id", score.alias("score"))
+    docs = scan.docs
+    if not scan.stemmed and all(p.terms for p in leaves):
+        # what holds none of the phrases' words as substrings can't match
+        has = lambda term: reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(term)) for f in scan.fields])
+        docs = docs.where(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, map(has, p.terms)) for p in leaves]))
+    return counted(docs).where(holds).select("id", score.alias("score"))
 
 
 def match(index: Index | Scan, query: str, weights: tuple[float, ...]) -> DataFrame:
