@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -56,25 +58,31 @@ VIEWS = {
         SELECT user_id AS n, concat('https://example.org/en/report/u', user_id) AS url, CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS lastmod,
                event_type AS kind, event_id AS seen
         FROM events""",
-    "documents_": "SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS body, lang, source FROM documents",
+    "documents_": "SELECT doc_id AS id, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS title, text AS body, lang, source FROM documents",
 }
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All driver tables and all roles, as DataFrames that nothing has run."""
-    found = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    for name, text in VIEWS.items():
-        own = {t: df for t, df in found.items() if f" {t}" in text}
-        for t in own:
-            text = _named(text, t)
-        found[name] = spark.sql(text, **own)
-    return found
+class Roles(dict):
+    """Tables and roles as DataFrames, each made when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._spark, self._dir = spark, sf_dir
 
+    def __missing__(self, name: str) -> DataFrame:
+        if name in TABLES:
+            self[name] = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        else:
+            text = VIEWS[name]
+            own = {t for t in TABLES if re.search(rf"(FROM|JOIN) {t}\b", text)}
+            for t in own:
+                text = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
+            self[name] = self._spark.sql(text, **{t: self[t] for t in own})
+        return self[name]
 
-def _named(text: str, table: str) -> str:
-    import re
 
-    return re.sub(rf"(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", text)
+def load(spark: SparkSession, sf_dir: str) -> Roles:
+    return Roles(spark, sf_dir)
 
 
 def prelude(*names: str) -> str:
