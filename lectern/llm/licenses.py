@@ -135,20 +135,25 @@ def scan(data: np.ndarray, at: np.ndarray, groups: dict[tuple[int, int], list[Te
         own_first = np.concatenate([[0], np.cumsum(np.maximum(0, np.diff(first) - k + 1))])
         sizes = [s for kk, s in groups if kk == k]
         layout = {s: _blocks(own_first, s) for s in sizes}
+        # blocks stand apart by the greatest hash between texts, so that sliding
+        # minima need no look at where texts end
+        place = {s: np.arange(start[-1]) + (BLOCKS - 1) * np.repeat(np.arange(n), np.diff(start)) for s, (_, start) in layout.items()}
+        marks = {s: np.zeros((BANDS, 1 << 16), bool) for s in sizes}
+        for s in sizes:
+            for t in groups[k, s]:
+                marks[s][np.arange(BANDS), np.array(t.bands, np.uint64) & np.uint64(0xFFFF)] = True
         found: dict[int, set[tuple[int, int]]] = {s: set() for s in sizes}
         for band in range(BANDS):
             h = _permuted(shingles, band)
             for s in sizes:
                 begin, start = layout[s]
-                low = np.minimum.reduceat(h, begin) if s > 1 else h
-                window = low.copy()
-                last = np.repeat(start[1:], np.diff(start)) - np.arange(start[-1])
+                line = np.full(start[-1] + (BLOCKS - 1) * n, ~np.uint64(0))
+                line[place[s]] = np.minimum.reduceat(h, begin) if s > 1 else h
+                window = line[: len(line) - BLOCKS + 1].copy()
                 for step in range(1, BLOCKS):
-                    inside = np.flatnonzero(last > step)
-                    window[inside] = np.minimum(window[inside], low[inside + step])
-                marks = np.zeros(1 << 16, bool)
-                marks[[t.bands[band] & 0xFFFF for t in groups[k, s]]] = True
-                hit = np.flatnonzero(marks[(window & np.uint64(0xFFFF)).astype(np.int64)])
+                    np.minimum(window, line[step : len(line) - BLOCKS + 1 + step], out=window)
+                window = window[place[s]]
+                hit = np.flatnonzero(marks[s][band][window.astype(np.uint16)])
                 for i, t in enumerate(groups[k, s]):
                     found[s].update((w, i) for w in hit[window[hit] == np.uint64(t.bands[band])].tolist())
         for s in sizes:
