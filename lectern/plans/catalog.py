@@ -238,7 +238,7 @@ def _(c):
 
 
 @query("merged_credits", """
-SELECT publication_id, coalesce(merged_into, id) AS person_id, role, min(position) AS position FROM credits JOIN people ON id = person_id GROUP BY ALL""", "credits", "people")
+SELECT publication_id, coalesce(merged_into, id) AS person_id, role, CAST(min(position) AS BIGINT) AS position FROM credits JOIN people ON id = person_id GROUP BY ALL""", "credits", "people")
 def _(c):
     return M.merge_credits(c["credits"], M.resolve_merged(c["people"]))
 
@@ -362,11 +362,11 @@ def _(c):
 WITH pp AS (SELECT publication_id, string_agg(concat(name, ':', role), '|' ORDER BY position, role, name) AS people FROM credits JOIN people ON person_id = people.id GROUP BY publication_id),
 tt AS (SELECT publication_id, string_agg(topic_slug, ',' ORDER BY position, topic_slug) AS topics FROM publication_topics GROUP BY publication_id),
 ch AS (SELECT parent_id, count(*) AS chapters FROM publications WHERE parent_id IS NOT NULL GROUP BY parent_id)
-SELECT p.id, title, pub_type, p.parent_id, pp.people, topics, word_count, summary, coalesce(chapters, 0) AS chapters FROM publications p LEFT JOIN pp ON pp.publication_id = p.id
+SELECT p.id, title, pub_type, coalesce(p.parent_id, -1) AS parent_id, pp.people, topics, coalesce(word_count, -1) AS word_count, summary, coalesce(chapters, 0) AS chapters FROM publications p LEFT JOIN pp ON pp.publication_id = p.id
 LEFT JOIN tt ON tt.publication_id = p.id LEFT JOIN publication_text x ON x.publication_id = p.id LEFT JOIN enrichments e ON e.publication_id = p.id AND is_primary LEFT JOIN ch ON ch.parent_id = p.id""",
 "publications", "credits", "people", "publication_topics", "publication_text", "enrichments")
 def _(c):
-    return V.publication_detail(c)
+    return V.publication_detail(c).fillna(-1, ["parent_id", "word_count"])
 
 
 @query("chapters_of_parents", """
@@ -434,10 +434,10 @@ def _(c):
 
 @query("stale_blurbs", """
 WITH blurbs AS (SELECT publication_id, max(id) AS source_enrichment_id FROM enrichments WHERE publication_id % 3 = 0 GROUP BY publication_id)
-SELECT publication_id, source_enrichment_id, e.id AS primary_id FROM blurbs LEFT JOIN (SELECT * FROM enrichments WHERE is_primary) e USING (publication_id) WHERE source_enrichment_id IS DISTINCT FROM e.id""", "enrichments")
+SELECT publication_id, source_enrichment_id, coalesce(e.id, -1) AS primary_id FROM blurbs LEFT JOIN (SELECT * FROM enrichments WHERE is_primary) e USING (publication_id) WHERE source_enrichment_id IS DISTINCT FROM e.id""", "enrichments")
 def _(c):
     e = c["enrichments"]
-    return M.stale_blurbs(e.where("publication_id % 3 = 0").groupBy("publication_id").agg(F.max("id").alias("source_enrichment_id")), e)
+    return M.stale_blurbs(e.where("publication_id % 3 = 0").groupBy("publication_id").agg(F.max("id").alias("source_enrichment_id")), e).fillna(-1, ["primary_id"])
 
 
 @query("attach_problems", """
@@ -661,10 +661,10 @@ def _notes(c):
 
 
 @query("note_status", f"""WITH {_NOTES} SELECT id, CASE WHEN landed_at IS NOT NULL THEN 'landed' WHEN shelved_at IS NOT NULL THEN 'shelved' WHEN expected < '2024-Q4' THEN 'overdue' ELSE 'open' END AS status,
-date_diff('day', created_at, DATE '2024-10-15') AS age_days, date_diff('day', created_at, landed_at) AS lead_days,
-CASE WHEN landed_at IS NOT NULL AND expected IS NOT NULL THEN concat(year(landed_at), '-Q', quarter(landed_at)) <= expected END AS on_time FROM notes""")
+date_diff('day', created_at, DATE '2024-10-15') AS age_days, coalesce(date_diff('day', created_at, landed_at), -1) AS lead_days,
+CASE WHEN landed_at IS NULL OR expected IS NULL THEN 'open' WHEN concat(year(landed_at), '-Q', quarter(landed_at)) <= expected THEN 'yes' ELSE 'no' END AS on_time FROM notes""")
 def _(c):
-    return M.note_status(_notes(c), "2024-10-15").select("id", "status", F.col("age_days").cast("long"), F.col("lead_days").cast("long"), "on_time")
+    return M.note_status(_notes(c), "2024-10-15").select("id", "status", F.col("age_days").cast("long"), F.coalesce(F.col("lead_days").cast("long"), F.lit(-1)).alias("lead_days"), F.when(F.col("on_time").isNull(), "open").when(F.col("on_time"), "yes").otherwise("no").alias("on_time"))
 
 
 @query("note_stats", f"""WITH {_NOTES} SELECT count(*) AS landed, median(date_diff('day', created_at, landed_at)) AS median_lead, count(*) FILTER (concat(year(landed_at), '-Q', quarter(landed_at)) <= expected) AS on_time,

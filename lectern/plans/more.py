@@ -121,7 +121,7 @@ def _(c):
 
 
 @query("replaced_topics", """
-SELECT publication_id, topic_slug, position FROM publication_topics WHERE publication_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 0)
+SELECT publication_id, topic_slug, CAST(position AS BIGINT) AS position FROM publication_topics WHERE publication_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 0)
 UNION ALL SELECT o_orderkey, 'Brand#1', 1 FROM orders WHERE o_orderkey % 6 = 0""", "publication_topics")
 def _(c):
     new = c["orders"].where("o_orderkey % 6 = 0").selectExpr("o_orderkey AS publication_id", "'Brand#1' AS topic_slug", "1 AS position")
