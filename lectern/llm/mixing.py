@@ -6,8 +6,8 @@ The level is found at once from sources sorted by cap per weight. A source's
 target then is so many whole repetitions of all its documents, and a seeded
 part of them once more: documents in the order of a seeded digest of their
 id, up to the digest where the words come nearest to the rest of the target.
-That cutoff is found from sums per block of digests, then inside one block,
-so no source is ever ordered in one task.
+That cutoff is found from sums per block of digests, then per block inside
+one of those, then by key, so no source is ever ordered in one task.
 
 Size: words `[^\\x20\\x09-\\x0D]+`; null text: 0. Null source: the last source.
 Null id: digest of the seed alone. Rows of one id are taken together. Empty
@@ -24,8 +24,9 @@ from . import base
 SHARE = 1.5
 MOST = 2
 SEED = "lectern-mix"
-#: Leading hex digits of the digest that make a block.
-BLOCK_DIGITS = 4
+#: Leading hex digits of the digest that make a block, level by level: a
+#: source has 256 blocks in line at each, and one of 65,536 is ordered by key.
+LEVELS = (2, 4)
 BROADCAST_SOURCES = 100_000
 
 #: From (source, source_size) to each source's target. Runs in Spark and DuckDB.
@@ -70,17 +71,18 @@ def plan(sizes: DataFrame, seed: str = SEED) -> DataFrame:
     few = goals.count()
     hint = lambda df: base.maybe_broadcast(df, few, BROADCAST_SOURCES)
     keyed = sizes.select("source", "size", digest(seed).alias("key"))
-    blocks = keyed.groupBy("source", F.substring("key", 1, BLOCK_DIGITS).alias("block")).agg(F.sum("size").alias("words"))
-    g = goals.select(F.col("source").alias("s"), "extra")
-    ranked = blocks.join(hint(g), F.col("source").eqNullSafe(F.col("s"))).selectExpr(
-        "source", "block", "extra", "sum(words) OVER (PARTITION BY source ORDER BY block) - words AS before"
-    )
-    edge = ranked.where("before <= extra").groupBy("source").agg(F.max_by(F.struct("block", "before", "extra"), "block").alias("e"))
-    edge = base.stored(edge.select(F.col("source").alias("s"), "e.*"), "edges")
-    inside = keyed.join(hint(edge), F.col("source").eqNullSafe(F.col("s")) & (F.substring("key", 1, BLOCK_DIGITS) == F.col("block")))
-    inside = inside.groupBy("source", "key", "before", "extra").agg(F.sum("size").alias("words"))
-    inside = inside.selectExpr("source", "key", "extra", "words", "before + sum(words) OVER (PARTITION BY source ORDER BY key) - words AS upto")
-    last = inside.where("upto + words / 2 <= extra").groupBy("source").agg(F.max("key").alias("last")).select(F.col("source").alias("t"), "last")
+    edge = goals.select(F.col("source").alias("s"), "extra", F.lit(0).cast("long").alias("before"), F.lit("").alias("block"))
+
+    def lines(digits: int) -> DataFrame:
+        """Words before each block of `digits`, inside the blocks found so far."""
+        inside = keyed.join(hint(edge), F.col("source").eqNullSafe(F.col("s")) & F.startswith("key", F.col("block")))
+        sums = inside.groupBy("source", "before", "extra", F.substring("key", 1, digits).alias("block")).agg(F.sum("size").alias("words"))
+        return sums.selectExpr("source", "block", "extra", "words", "before + sum(words) OVER (PARTITION BY source ORDER BY block) - words AS upto")
+
+    for digits in LEVELS:
+        found = lines(digits).where("upto <= extra").groupBy("source").agg(F.max_by(F.struct("block", F.col("upto").alias("before"), "extra"), "block").alias("e"))
+        edge = base.stored(found.select(F.col("source").alias("s"), "e.extra", "e.before", "e.block"), "edges")
+    last = lines(32).where("upto + words / 2 <= extra").groupBy("source").agg(F.max("block").alias("last")).select(F.col("source").alias("t"), "last")
     cut = edge.join(last, F.col("s").eqNullSafe(F.col("t")), "left").select("s", F.coalesce("last", "block").alias("cut"))
     return goals.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("__source"), "source_size", "target", "whole", "cut")
 
