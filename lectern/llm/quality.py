@@ -76,16 +76,18 @@ def count_texts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 
 def measured(docs: DataFrame, keep: list[str], field: str) -> DataFrame:
     """The columns keep, and a struct field of the COUNTS of the text."""
-    carried = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    names = keep if "text" in keep else [*keep, "text"]
+    carried = docs.select(*[F.col(f"`{c}`") for c in names])
     kind = T.StructType([T.StructField(c, T.LongType(), False) for c in COUNTS])
-    schema = T.StructType([*carried.schema.fields[:-1], T.StructField(field, kind)])
+    schema = T.StructType([*carried.schema.fields[: len(keep)], T.StructField(field, kind)])
+    parts = [pa.field(c, pa.int64(), False) for c in COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, at in buffers.slices(batch, "__text"):
+            for rows, data, at in buffers.slices(batch):
                 counts = count_texts(data, at)
-                struct = pa.StructArray.from_arrays([pa.array(counts[c], pa.int64()) for c in COUNTS], fields=[pa.field(c, pa.int64(), False) for c in COUNTS])
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], struct], names=[*keep, field])
+                struct = pa.StructArray.from_arrays([pa.array(counts[c], pa.int64()) for c in COUNTS], fields=parts)
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], struct], names=[*keep, field])
 
     return carried.mapInArrow(run, schema)
 
@@ -196,16 +198,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     counts = base.stored(measured(docs, ["lang", "source"], "__m").select("lang", "source", *[F.col(f"__m.{c}").alias(c) for c in COUNTS]), "quality")
     fences = fences_for(counts)
     names = docs.columns
-    kind = T.StructType([T.StructField(c, T.LongType(), False) for c in COUNTS])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, at in buffers.slices(batch):
-                found = count_texts(data, at)
-                struct = pa.StructArray.from_arrays([pa.array(found[c], pa.int64()) for c in COUNTS], fields=[pa.field(c, pa.int64(), False) for c in COUNTS])
-                yield pa.RecordBatch.from_arrays([*rows.columns, struct], names=[*names, "__m"])
-
-    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__m", kind)]))
+    rows = measured(docs, names, "__m")
     good = joined(rows, fences).where(~base_failed("__m.") & verdict("__m.", "__fence"))
     return good.select(*[rows[f"`{c}`"] for c in names])
 
