@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORDS = r"[^\s]+"
-
-
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for null and empty text."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
