@@ -83,15 +83,17 @@ def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every document; fp is the fingerprint as a signed long."""
+def fingerprinted(docs: DataFrame, keep: list[str] = []) -> DataFrame:
+    """(doc_id, fp) of every document, and the long columns keep; fp is the
+    fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, at in buffers.slices(batch):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprints(data, at).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(fingerprints(data, at).view(np.int64))], names=["doc_id", *keep, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    schema = "".join(f"{c} long, " for c in ["doc_id", *keep])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text").mapInArrow(run, schema + "fp long")
 
 
 def anchors_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,15 +263,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, that of the least doc_id. Rows
-    that repeat a doc_id count as one document. Rows without an id stay unless
-    one of them shares a group with a numbered document."""
-    found = base.stored(near_duplicates(docs).select("doc_id", "component_id"), "groups")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    # a merge join at every size: the list of removed ids grows with the data
-    kept = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    """docs with one row of each group: that of the least doc_id, rows without
+    an id last, and of equal ids the first row. Rows are removed, not ids, so
+    what a row shares with others is its group alone."""
+    # written with their keys, so that both readings see the same ones
+    rows = base.stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    prints = fingerprinted(rows, ["__row"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__row")).alias("first")
+    classes = base.stored(prints.groupBy("fp").agg(first), "classes")
+    reached = components.least_reachable(links(classes)).select(F.col("a").alias("fp"), F.col("b").alias("top"))
+    heads = classes.join(reached, "fp", "left").groupBy(F.coalesce("top", "fp").alias("top")).agg(F.min("first").alias("first"))
+    heads = base.stored(heads.select(F.col("first.__row").alias("__head")), "heads")
+    # a merge join at every size: the list of kept rows grows with the data
+    return rows.join(heads.hint("merge"), F.col("__row") == F.col("__head"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

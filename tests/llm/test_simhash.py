@@ -116,3 +116,13 @@ def test_keep_one_of_each_group(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(x.doc_id for x in kept.collect()) == [1, 2]
+
+
+def test_keep_one_removes_rows_not_ids(spark):
+    rows = [
+        (1, "a b c d", "kept"), (None, "a b c d", "copy"),  # a numbered group takes a row without an id
+        (None, "l m n o p", "kept"), (None, "v w x y z", "kept"), (None, "v w x y z", "copy"),
+        (5, "f g h i j", "kept"), (5, "q r s t u", "kept"), (5, "a b c d", "copy"),
+    ]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, what string")).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in kept) == sorted({(i or 0, t) for i, t, what in rows if what == "kept"})
