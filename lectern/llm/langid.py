@@ -2,10 +2,11 @@
 
 Each language has an interpolated Kneser-Ney model of ORDER letters, counted
 over every training text: the highest order by occurrences, lower orders by
-distinct left neighbours. N-grams are hashed to HASH_BITS bits and kept as
-sorted arrays of hashes with one column of probabilities for each language,
-so a language takes at most 3 * 2^HASH_BITS * 8 bytes whatever the corpus; the
-share of n-grams that meet in a hash is small for alphabets and harmless.
+distinct left neighbours. An n-gram is its ORDER symbols of 16 bits, a whole
+64-bit key: it is kept as it is, in sorted arrays with one column of
+probabilities for each language, and found by a hash index that checks the
+key. So no two n-grams meet, and the model grows with the distinct n-grams of
+the corpus.
 A text goes to the language of the lowest cross-entropy per letter. It is
 rejected where that lies beyond the CALIBRATION quantile of the training
 texts of the language, a mergeable sketch over all of them.
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 from . import base, buffers
 
 ORDER = 4
-HASH_BITS = 20
 CALIBRATION = 0.999
 #: Letters of evidence that the score counts at most.
 EVIDENCE = 12.0
@@ -88,11 +88,6 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.concatenate([[0], np.cumsum(n)])
 
 
-def hashed(gram: np.ndarray, order: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (buffers.mixed(gram + np.uint64(order) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-
-
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
     own, where = np.unique(k, return_inverse=True)
@@ -139,21 +134,40 @@ def continuations(counts: DataFrame, order: int) -> DataFrame:
 
 
 class Table:
-    """Sorted hashes with a row of values for each, and a default row."""
+    """Sorted keys with a row of values for each, found through an index of
+    slots: a key stands at the slot of its hash, or at the next free one."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys.astype(np.int32), values.astype(np.float32)
+        self.keys, self.values = keys, values.astype(np.float32)
         self._slot = None
 
     def __getstate__(self):
         return {"keys": self.keys, "values": self.values, "_slot": None}
 
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        bits = max(1, int(2 * len(self.keys)).bit_length())
+        return (buffers.mixed(keys) >> np.uint64(64 - bits)).astype(np.int64)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Rows of the keys, -1 where there is none."""
         if self._slot is None:
-            self._slot = np.full(1 << HASH_BITS, -1, np.int32)
-            self._slot[self.keys] = np.arange(len(self.keys), dtype=np.int32)
-        return self._slot[keys]
+            home = self._home(self.keys)
+            order = np.argsort(home, kind="stable")
+            index = np.arange(len(order))
+            place = np.maximum.accumulate(home[order] - index) + index
+            self._slot = np.full((1 << max(1, int(2 * len(order)).bit_length())) + len(order) + 1, -1, np.int32)
+            self._slot[place] = order
+        at = self._home(keys)
+        row = self._slot[at]
+        open_ = np.flatnonzero(row >= 0)
+        open_ = open_[self.keys[row[open_]] != keys[open_]]
+        while len(open_):
+            at[open_] += 1
+            row[open_] = own = self._slot[at[open_]]
+            some = own >= 0
+            open_, own = open_[some], own[some]
+            open_ = open_[self.keys[own] != keys[open_]]
+        return row
 
 
 class Model:
@@ -167,39 +181,38 @@ class Model:
         self.base = np.full(width, 1.0 / self.symbols)
         for order in range(1, ORDER + 1):
             rows = [parts[lang, order] for lang in langs]  # gram, n, discount
-            exact = np.unique(np.concatenate([r[0] for r in rows]))
-            context = lambda g: hashed(g >> np.uint64(16), order + 16)
-            keys = np.unique(hashed(exact, order))
-            ctx = np.unique(context(exact))
-            direct, weight = np.zeros((len(keys), width)), np.ones((len(ctx), width))
+            keys = np.unique(np.concatenate([r[0] for r in rows]))
+            ctx = np.unique(keys >> np.uint64(16))
+            direct, weight = np.zeros((len(keys), width), np.float32), np.ones((len(ctx), width), np.float32)
             for i, (gram, n, discount) in enumerate(rows):
                 if not len(gram):
                     continue
-                at = np.searchsorted(ctx, context(gram))
+                at = np.searchsorted(ctx, gram >> np.uint64(16))
                 total = np.bincount(at, n, len(ctx))
                 kinds = np.bincount(at, minlength=len(ctx))
                 some = total > 0
                 weight[some, i] = discount * kinds[some] / total[some]
-                np.add.at(direct[:, i], np.searchsorted(keys, hashed(gram, order)), np.maximum(n - discount, 0) / total[at])
+                direct[np.searchsorted(keys, gram), i] = np.maximum(n - discount, 0) / total[at]
             self.back[order] = Table(ctx, weight)
             self.full[order] = Table(keys, direct)
-            # from the discounted share to the whole interpolated probability
-            one = np.zeros(len(keys), np.uint64)
-            one[np.searchsorted(keys, hashed(exact, order))] = exact
-            lower = self.probability(one & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
-            self.full[order].values = (direct + weight[np.searchsorted(ctx, context(one))] * lower).astype(np.float32)
+            # from the discounted share to the whole interpolated probability,
+            # in steps that bound what is held besides the model
+            for j in range(0, len(keys), _COMPACT):
+                part = keys[j : j + _COMPACT]
+                lower = self.probability(part & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
+                self.full[order].values[j : j + _COMPACT] += weight[np.searchsorted(ctx, part >> np.uint64(16))] * lower
 
     def probability(self, gram: np.ndarray, order: int) -> np.ndarray:
         """P(newest symbol | the ones before) for each gram and language."""
         if order == 0:
             return np.broadcast_to(self.base, (len(gram), len(self.langs)))
-        row = self.full[order].find(hashed(gram, order))
+        row = self.full[order].find(gram)
         out = self.full[order].values[row].astype(np.float64) if len(self.full[order].keys) else np.zeros((len(gram), len(self.langs)))
         miss = np.flatnonzero(row < 0)
         if len(miss):
             own = gram[miss]
             lower = self.probability(own & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
-            at = self.back[order].find(hashed(own >> np.uint64(16), order + 16))
+            at = self.back[order].find(own >> np.uint64(16))
             weight = np.where((at >= 0)[:, None], self.back[order].values[at], 1.0) if len(self.back[order].keys) else 1.0
             out[miss] = weight * lower
         return out
@@ -229,27 +242,12 @@ def learn(docs: DataFrame) -> Model | None:
         return None
     parts, symbols = {}, counts[1].select("gram").distinct().count()
     for order, df in counts.items():
-        # hashes bound the rows a language can send: one for each pair of a
-        # hash and its context's hash, kept by one n-gram that has them
-        bounded = _bounded(df, order)
         for lang in langs:
-            t = bounded.where(F.col("lang") == lang).select("gram", "n").toArrow()
+            t = df.where(F.col("lang") == lang).select("gram", "n").toArrow()
             parts[lang, order] = (t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy().astype(np.float64), stats[lang, order])
     return Model(langs, parts, symbols)
 
 
-def _bounded(counts: DataFrame, order: int) -> DataFrame:
-    """n-grams of one language and hash are one: the least stands for all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram = batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashed(gram.view(np.uint64), order))], names=["lang", "gram", "n", "hash"])
-
-    keyed = counts.select("lang", "gram", "n").mapInArrow(run, "lang string, gram long, n long, hash long")
-    return base.stored(keyed.groupBy("lang", "hash").agg(F.min("gram").alias("gram"), F.sum("n").alias("n")), "model")
-
-
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns keep, lang_pred, score and bits (the lowest cross-entropy)."""
     carried = docs.select(*keep, F.col("text").alias("__text"))

@@ -63,3 +63,20 @@ def test_edges(spark):
     assert langid.learn(docs.limit(0)) is None
     assert {x.lang_pred for x in langid.identify(docs, None, ["doc_id"]).collect()} == {"und"}
     assert langid.identify(docs.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_no_two_grams_of_a_large_alphabet_meet(spark):
+    r = np.random.default_rng(4)
+    text = "".join(chr(0xAC00 + int(x)) for x in r.integers(0, 11172, 12_000))
+    model = langid.learn(spark.createDataFrame([(1, "ko", text, "")], SCHEMA))
+    found, _ = langid.grams(*slice_of([text]))
+    assert len(model.full[langid.ORDER].keys) == len(np.unique(found))
+    with np.errstate(over="ignore"):
+        slot = langid.buffers.mixed(found + np.uint64(langid.ORDER) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+    order = np.argsort(slot, kind="stable")
+    near = order[1:][slot[order][1:] == slot[order][:-1]][:4]
+    assert len(near) == 4
+    for gram in (*found[near], *(found[near] ^ np.uint64(1))):
+        key = tuple(chr(int(gram) >> s & 0xFFFF) for s in (48, 32, 16, 0))
+        want = langid.brute_probability([text], key, model.symbols)
+        assert np.allclose(model.probability(np.array([gram]), langid.ORDER)[0], want, rtol=1e-4)
