@@ -34,7 +34,9 @@ BLOCKS = 4
 LEAST_SIMILARITY = 0.25
 BANDS = math.ceil(math.log(1 - COLLISION) / math.log(1 - LEAST_SIMILARITY))
 
-# License lines and notices as they are published.
+# License lines, titles, notices and short licenses as they are
+# published. Where licenses share most of their words, a template is the part
+# that tells them apart: over 1 - MATCH of its shingles are in no other one.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0": (
@@ -43,28 +45,46 @@ TEMPLATES = {
         "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
         "either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
+    "apache-2.0-title": "Apache License Version 2.0, January 2004",
+    "apache-2.0-spdx": "SPDX-License-Identifier: Apache-2.0",
     "mit-line": "Released under the MIT License.",
+    "mit-line-licensed": "Licensed under the MIT License.",
+    "mit-line-distributed": "Distributed under the MIT License.",
+    "mit-line-available": "Available under the MIT License.",
+    "mit-line-terms": "Under the terms of the MIT License.",
+    "mit-spdx": "SPDX-License-Identifier: MIT",
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
         "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
         "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
         "of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
-        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
-    ),
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in "
-        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
-        "PARTICULAR PURPOSE. See the GNU General Public License for more details."
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS "
+        "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
+    "gpl-3.0-line": "GNU General Public License, version 3",
+    "gpl-3.0": "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "gpl-3.0-spdx": "SPDX-License-Identifier: GPL-3.0",
+    "gpl-2.0-line": "GNU General Public License, version 2",
+    "gpl-2.0": "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License",
+    "gpl-2.0-spdx": "SPDX-License-Identifier: GPL-2.0",
+    "lgpl-3.0-line": "GNU Lesser General Public License, version 3",
+    "lgpl-3.0": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "lgpl-3.0-spdx": "SPDX-License-Identifier: LGPL-3.0",
+    "lgpl-2.1-line": "GNU Lesser General Public License, version 2.1",
+    "lgpl-2.1": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License",
+    "lgpl-2.1-spdx": "SPDX-License-Identifier: LGPL-2.1",
+    "agpl-3.0-line": "GNU Affero General Public License, version 3",
+    "agpl-3.0": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "agpl-3.0-spdx": "SPDX-License-Identifier: AGPL-3.0",
     "bsd-3-clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution."
+        "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission."
     ),
+    "bsd-2-clause": "or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE",
+    "bsd-3-clause-spdx": "SPDX-License-Identifier: BSD-3-Clause",
+    "bsd-2-clause-spdx": "SPDX-License-Identifier: BSD-2-Clause",
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/."
@@ -73,8 +93,34 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         "the above copyright notice and this permission notice appear in all copies."
     ),
-    "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "0bsd": "for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\"",
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, "
+        "or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and "
+        "by any means."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software."
+    ),
+    "epl-2.0-line": "Eclipse Public License 2.0",
+    "epl-2.0-title": "Eclipse Public License - v 2.0",
+    "epl-1.0-line": "Eclipse Public License v1.0",
+    "epl-1.0-title": "Eclipse Public License - v 1.0",
+    "mpl-2.0-title": "Mozilla Public License Version 2.0",
+    "cc0-1.0-line": "CC0 1.0 Universal",
+    "cc-by-4.0-line": "Creative Commons Attribution 4.0 International",
+    "cc-by-4.0-short": "CC BY 4.0",
+    "cc-by-sa-4.0-name": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "cc-by-sa-4.0-line": "CC BY-SA 4.0",
+    "cc-by-nd-4.0-name": "Creative Commons Attribution-NoDerivatives 4.0 International",
+    "cc-by-nd-4.0-line": "CC BY-ND 4.0",
+    "cc-by-nc-4.0-name": "Creative Commons Attribution-NonCommercial 4.0 International",
+    "cc-by-nc-4.0-line": "CC BY-NC 4.0",
+    "cc-by-nc-sa-4.0-name": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International",
+    "cc-by-nc-sa-4.0-line": "CC BY-NC-SA 4.0",
+    "cc-by-nc-nd-4.0-name": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International",
+    "cc-by-nc-nd-4.0-line": "CC BY-NC-ND 4.0",
 }
 
 _rng = np.random.Generator(np.random.PCG64(77))

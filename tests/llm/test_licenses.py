@@ -65,3 +65,29 @@ def test_own_templates_and_empty(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, "a one two b")], "doc_id long, text string")
     assert [x.licenses for x in licenses.scanned(docs, {"t": "One, two!", "none": " . "}).orderBy("doc_id").collect()] == [["t"], ["t"]]
     assert licenses.scanned(docs.limit(0)).count() == 0
+
+
+BSD = "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+NOTICE = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+REAL = [
+    ("Licensed under the MIT license", "mit-line-licensed"),
+    (BSD.format(""), "bsd-2-clause"),
+    (BSD.format("3. Neither the name of Some Body nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "), "bsd-3-clause"),
+    (NOTICE.format("", "2"), "gpl-2.0"),
+    (NOTICE.format("", "3"), "gpl-3.0"),
+    (NOTICE.format("Lesser ", "2.1"), "lgpl-2.1"),
+    (NOTICE.format("Lesser ", "3"), "lgpl-3.0"),
+    (NOTICE.format("Affero ", "3"), "agpl-3.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "gpl-2.0-line"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "lgpl-3.0-line"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0-name"),
+    ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa-4.0-line"),
+    ("under the terms of the Eclipse Public License 2.0 which is available", "epl-2.0-line"),
+    (licenses.TEMPLATES["mit"], "mit"),
+]
+
+
+def test_relatives_are_told_apart(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(REAL)], "doc_id long, text string")
+    got = {x.doc_id: list(x.licenses) for x in licenses.scanned(docs).collect()}
+    assert got == {i: [name] for i, (_, name) in enumerate(REAL)}
