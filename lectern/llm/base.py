@@ -16,13 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where none is set."""
+    """The folder all executors see. Nothing stands in for one that is not
+    set: a folder of this machine would be another disk on each executor."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lectern-")
-        context.setCheckpointDir(folder)
+    if not folder and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        # one process, one disk: tests, bench and notebooks
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
         folder = context.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder
 
 
@@ -51,6 +54,33 @@ def crc32_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+def quoted(column: str) -> str:
+    """A column name as one identifier, whatever it holds."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, …: Python functions take no name that holds a
+    backtick. toDF() gives the names back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint only for a side counted and found small; beyond the
     limit the planner shuffles both sides and AQE splits skewed keys."""

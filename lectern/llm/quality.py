@@ -1,17 +1,28 @@
 """Quality rules whose cutoffs come from the corpus itself.
 
-Measures of every whole text are summed up in quantile sketches per language
-and source. A sketch counts values in buckets that grow by GROWTH, so any
-quantile is right to 1 %, and sketches merge by adding counts: the result
-does not depend on partitions, order or retries. Sketches of small groups
-give way to those of their language, and then of the whole corpus, which are
-sums of the same counts. A text fails when a measure lies beyond the middle
-of its group by REACH times the spread on that side (or by the measure's
-least slack), so that the share of rejected texts follows the data.
+Measures of every whole text, and the sizes they are shares of, are summed up
+in quantile sketches per language and source. A sketch counts values in
+buckets that grow by GROWTH, so any quantile is right to 1 %, and sketches
+merge by adding counts: the result does not depend on partitions, order or
+retries. The quantiles of a group are averaged with those of its language,
+and these with those of the whole corpus, which weigh like PRIOR_TEXTS texts
+each: the smaller a group, the more it borrows, without a switch.
+
+A text fails when a measure lies beyond the middle of its group by more than
+the group's reach, REACH times the distance from the median to the quartile on
+that side. Two sampling laws replace any least cutoff:
+
+* a mean over n words spreads as 1/sqrt(n): texts shorter than the middle text
+  of the group get a reach wider by that much;
+* a share of n things can't be told closer than to a few of them: seeing none
+  among n still allows a rate of 3/n (the rule of three). So a group whose
+  spread is zero reaches RULE_OF_THREE occurrences in its middle text, and a
+  shorter text that many of its own.
 
 Null text, empty text: no words, base_failed. Null language or source: a
-group of its own. Repeated rows: measured each. Empty table: empty result.
-Extra columns pass through stages untouched, whatever their names.
+group of its own. Repeated rows: measured each. A corpus of equal texts: all
+at the middle, none fails. Empty table: empty result. Extra columns pass
+through stages untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,16 +40,19 @@ from . import base, buffers
 
 GROWTH = 1.02
 REACH = 6.0
-LEAST_TEXTS = 200
+PRIOR_TEXTS = 50
+RULE_OF_THREE = 3
 MIN_WORDS = 10
 WINDOW = 5
-#: metric: (sides, least slack).
+#: metric: (sides, what it counts, out of what, the least that one occurrence
+#: adds; None for a mean). Two windows that are alike cover 2 * WINDOW words.
 METRICS = {
-    "word_length": (("low", "high"), 4.0),
-    "symbol_share": (("high",), 0.05),
-    "repeated_lines": (("high",), 0.45),
-    "repeated_words": (("high",), 0.2),
+    "word_length": (("low", "high"), "word_chars", "n_words", None),
+    "symbol_share": (("high",), "n_symbols", "word_chars", 1),
+    "repeated_lines": (("high",), "n_dup_lines", "n_lines", 1),
+    "repeated_words": (("high",), "n_repeat_words", "n_words", 2 * WINDOW),
 }
+SIZES = ("n_words", "word_chars", "n_lines")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
@@ -77,36 +91,34 @@ def count_texts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 def measured(docs: DataFrame, keep: list[str], field: str) -> DataFrame:
     """The columns keep, and a struct field of the COUNTS of the text."""
     names = keep if "text" in keep else [*keep, "text"]
-    carried = docs.select(*[F.col(f"`{c}`") for c in names])
+    carried = base.numbered(docs.select(*[F.col(base.quoted(c)) for c in names]))
+    text = carried.columns[names.index("text")]
     kind = T.StructType([T.StructField(c, T.LongType(), False) for c in COUNTS])
-    schema = T.StructType([*carried.schema.fields[: len(keep)], T.StructField(field, kind)])
+    schema = T.StructType([*carried.schema.fields[: len(keep)], T.StructField("counts", kind)])
     parts = [pa.field(c, pa.int64(), False) for c in COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, at in buffers.slices(batch):
+            for rows, data, at in buffers.slices(batch, text):
                 counts = count_texts(data, at)
                 struct = pa.StructArray.from_arrays([pa.array(counts[c], pa.int64()) for c in COUNTS], fields=parts)
-                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], struct], names=[*keep, field])
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], struct], names=schema.names)
 
-    return carried.mapInArrow(run, schema)
+    return carried.mapInArrow(run, schema).toDF(*keep, field)
 
 
 def metric_columns(c: str = "") -> dict:
     """Each metric as a double; 0 where a text has no words."""
     share = lambda a, b: F.when(F.col(c + b) > 0, F.col(c + a) / F.col(c + b)).otherwise(F.lit(0.0))
-    return {
-        "word_length": share("word_chars", "n_words"),
-        "symbol_share": share("n_symbols", "word_chars"),
-        "repeated_lines": share("n_dup_lines", "n_lines"),
-        "repeated_words": share("n_repeat_words", "n_words"),
-    }
+    return {m: share(part, size) for m, (_, part, size, _) in METRICS.items()}
 
 
 def sketches(counts: DataFrame) -> DataFrame:
-    """(lang, source, metric, bucket, n): a sketch for each group and metric.
-    Bucket b holds values in (GROWTH^(b-1), GROWTH^b]; null holds zeros."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in metric_columns().items()]))
+    """(lang, source, metric, bucket, n): a sketch for each group of every
+    metric and size. Bucket b holds values in (GROWTH^(b-1), GROWTH^b]; null
+    holds zeros."""
+    values = metric_columns() | {s: F.col(s).cast("double") for s in SIZES}
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()]))
     bucket = F.when(F.col("p.value") > 0, F.ceil(F.log(F.col("p.value")) / F.lit(math.log(GROWTH))).cast("int"))
     return counts.select("lang", "source", pairs.alias("p")).groupBy("lang", "source", F.col("p.metric").alias("metric"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -121,53 +133,61 @@ WITH levels AS (
          sum(n) OVER (PARTITION BY level, lang, source, metric) AS total
   FROM levels
 ), quantiles AS (
-  SELECT level, lang, source, metric, max(total) AS total,
+  SELECT level, lang, source, metric, CAST(max(total) AS DOUBLE) AS total,
          coalesce(min(CASE WHEN 4 * upto >= total THEN coalesce({value}, 0) END), 0) AS q1,
          coalesce(min(CASE WHEN 2 * upto >= total THEN coalesce({value}, 0) END), 0) AS q2,
          coalesce(min(CASE WHEN 4 * upto >= 3 * total THEN coalesce({value}, 0) END), 0) AS q3
   FROM ranked GROUP BY level, lang, source, metric
+), languages AS (
+  SELECT l.lang, l.metric, {l_mix}
+  FROM quantiles l JOIN quantiles a ON l.level = 1 AND a.level = 2 AND a.metric = l.metric
 ), own AS (
-  SELECT g.lang, g.source, g.metric,
-         CASE WHEN g.total >= {least} THEN g.q1 WHEN l.total >= {least} THEN l.q1 ELSE a.q1 END AS q1,
-         CASE WHEN g.total >= {least} THEN g.q2 WHEN l.total >= {least} THEN l.q2 ELSE a.q2 END AS q2,
-         CASE WHEN g.total >= {least} THEN g.q3 WHEN l.total >= {least} THEN l.q3 ELSE a.q3 END AS q3
-  FROM quantiles g
-  JOIN quantiles l ON g.level = 0 AND l.level = 1 AND g.metric = l.metric AND g.lang IS NOT DISTINCT FROM l.lang
-  JOIN quantiles a ON a.level = 2 AND a.metric = g.metric
+  SELECT g.lang, g.source, g.metric, {g_mix}
+  FROM quantiles g JOIN languages l ON g.level = 0 AND g.metric = l.metric AND g.lang IS NOT DISTINCT FROM l.lang
+), middles AS (
+  SELECT lang, source, {middles} FROM own GROUP BY lang, source
 )
-SELECT lang, source, {fences} FROM own GROUP BY lang, source
+SELECT lang, source, {sizes}, {fences} FROM middles
 """
 
 
 def thresholds_sql(sketch: str) -> str:
+    mix = lambda own, up: ", ".join(f"({own}.total * {own}.{q} + {PRIOR_TEXTS} * {up}.{q}) / ({own}.total + {PRIOR_TEXTS}) AS {q}" for q in ("q1", "q2", "q3"))
+    pick = lambda m, q: f"max(CASE WHEN metric = '{m}' THEN {q} END)"
+    middles = [f"greatest({pick(s, 'q2')}, 1e0) AS middle_{s}" for s in SIZES]
     fences = []
-    for m, (sides, slack) in METRICS.items():
+    for m, (sides, _, size, least) in METRICS.items():
+        middles += [f"{pick(m, 'q2')} AS {m}", *[f"{REACH}e0 * {pick(m, 'q3 - q2' if side == 'high' else 'q2 - q1')} AS {m}_{side}" for side in sides]]
+        fences.append(m)
         for side in sides:
-            edge = f"q2 + {REACH} * (q3 - q2), q2 + {slack}" if side == "high" else f"q2 - {REACH} * (q2 - q1), q2 - {slack}"
-            pick = "greatest" if side == "high" else "least"
-            fences.append(f"max(CASE WHEN metric = '{m}' THEN {pick}({edge}) END) AS {m}_{side}")
+            blur = f"{m} * {GROWTH - 1:.6g}e0"  # a sketch tells values no closer
+            fences.append(f"greatest({m}_{side}, {blur}{f', {RULE_OF_THREE * least}e0 / middle_{size}' if least else ''}) AS {m}_{side}")
     value = f"2 * power({GROWTH}e0, bucket) / ({GROWTH}e0 + 1)"
-    return _THRESHOLDS.format(sketch=sketch, value=value, least=LEAST_TEXTS, fences=", ".join(fences))
+    return _THRESHOLDS.format(sketch=sketch, value=value, l_mix=mix("l", "a"), g_mix=mix("g", "l"), middles=", ".join(middles), sizes=", ".join(f"middle_{s}" for s in SIZES), fences=", ".join(fences))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row for each language and source with the fence of every metric."""
+    """One row for each language and source: the middle of every metric, how
+    far a text may lie from it on a side, and the middle of every size."""
     return sketch.sparkSession.sql(thresholds_sql("{sketch}"), sketch=sketch)
 
 
-def verdict(prefix: str, fence: str):
-    """False beyond any fence; also base_failed, see the module."""
-    ok = F.lit(True)
-    for m, value in metric_columns(prefix).items():
-        for side in METRICS[m][0]:
-            edge = F.col(f"{fence}.{m}_{side}")
-            ok = ok & (value <= edge if side == "high" else value >= edge)
-    return ok
+def verdict_sql(counts: str, fence: str) -> str:
+    """The condition of a good text; counts and fence are prefixes of columns.
+    Runs in Spark and DuckDB."""
+    good = []
+    for m, (sides, part, size, least) in METRICS.items():
+        n = f"greatest({counts}{size}, 1)"
+        value = f"({counts}{part} / {n})"
+        for side in sides:
+            reach = f"{fence}{m}_{side}"
+            reach = f"greatest({reach}, {RULE_OF_THREE * least}e0 / {n})" if least else f"{reach} * sqrt(greatest(1e0, {fence}middle_{size} / {n}))"
+            good.append(f"{value} <= {fence}{m} + {reach}" if side == "high" else f"{value} >= {fence}{m} - {reach}")
+    return " AND ".join(good)
 
 
-def base_failed(prefix: str = ""):
-    n, r = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
-    return (n < MIN_WORDS) | (100 * r > 20 * n)
+def base_failed_sql(counts: str) -> str:
+    return f"({counts}n_words < {MIN_WORDS} OR 100 * {counts}n_repeat_words > 20 * {counts}n_words)"
 
 
 #: Fences take under 200 bytes a row, so a broadcast stays under 20 MB.
@@ -179,28 +199,36 @@ def fences_for(counts: DataFrame) -> DataFrame:
     return base.maybe_broadcast(found, found.count(), BROADCAST_GROUPS)
 
 
-def joined(rows: DataFrame, fences: DataFrame) -> DataFrame:
-    f = fences.alias("__fence")
-    return rows.join(f, rows["lang"].eqNullSafe(F.col("__fence.lang")) & rows["source"].eqNullSafe(F.col("__fence.source")), "left")
+def joined(rows: DataFrame, fences: DataFrame) -> tuple[DataFrame, str]:
+    """rows with the fences of their group in a struct column, and its name."""
+    lang, source, fence = base.fresh(rows, "fence_lang", "fence_source", "fence")
+    own = fences.select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*fences.columns[2:]).alias(fence))
+    return rows.join(own, F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source)), "left"), fence
+
+
+def counted(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and the counts of every document, stored for two passes."""
+    return base.stored(measured(docs, keep, "counts").select(*keep, "counts.*"), "quality")
 
 
 def score_quality(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every document."""
-    flat = measured(docs, ["doc_id", "lang", "source"], "__m").select("doc_id", "lang", "source", *[F.col(f"__m.{c}").alias(c) for c in COUNTS])
-    counts = base.stored(flat, "quality")
-    failed = base_failed()
-    return joined(counts, fences_for(counts)).select(counts["doc_id"], *[counts[c] for c in COUNTS[:5]], failed.alias("base_failed"), (~failed & verdict("", "__fence")).alias("kept"))
+    counts = counted(docs, ["doc_id", "lang", "source"])
+    rows, fence = joined(counts, fences_for(counts))
+    failed = base_failed_sql("")
+    return rows.select("doc_id", *COUNTS[:5], F.expr(failed).alias("base_failed"), F.expr(f"NOT {failed} AND {verdict_sql('', f'{fence}.')}").alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with all their columns: one pass measures
     for the sketches, a second filters against the joined fences."""
-    counts = base.stored(measured(docs, ["lang", "source"], "__m").select("lang", "source", *[F.col(f"__m.{c}").alias(c) for c in COUNTS]), "quality")
+    counts = counted(docs, ["lang", "source"])
     fences = fences_for(counts)
-    names = docs.columns
-    rows = measured(docs, names, "__m")
-    good = joined(rows, fences).where(~base_failed("__m.") & verdict("__m.", "__fence"))
-    return good.select(*[rows[f"`{c}`"] for c in names])
+    base.discard(counts)
+    (field,) = base.fresh(docs, "counts")
+    rows, fence = joined(measured(docs, docs.columns, field), fences)
+    good = rows.where(f"NOT {base_failed_sql(f'{field}.')} AND {verdict_sql(f'{field}.', f'{fence}.')}")
+    return good.select(*base.columns_of(docs))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -237,18 +265,20 @@ WITH words AS (
          CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS repeated_lines,
          CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeated_words
   FROM counts
+), measured AS (
+  SELECT lang, source, word_length, symbol_share, repeated_lines, repeated_words,
+         n_words::DOUBLE AS n_words, word_chars::DOUBLE AS word_chars, n_lines::DOUBLE AS n_lines FROM metrics
 ), sketch AS (
   SELECT lang, source, metric, CASE WHEN value > 0 THEN ceil(ln(value) / ln(@growth))::INT END AS bucket, count(*) AS n
-  FROM (UNPIVOT metrics ON word_length, symbol_share, repeated_lines, repeated_words INTO NAME metric VALUE value)
+  FROM (UNPIVOT measured ON word_length, symbol_share, repeated_lines, repeated_words, n_words, word_chars, n_lines INTO NAME metric VALUE value)
   GROUP BY ALL
 ), fences AS (
 @thresholds
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
-       NOT failed AND @verdict AS kept
-FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS failed FROM metrics) m
-LEFT JOIN fences f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, @failed AS base_failed, NOT @failed AND @verdict AS kept
+FROM counts m LEFT JOIN fences f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
 """.replace("@growth", f"{GROWTH}e0")
     .replace("@thresholds", thresholds_sql("sketch"))
-    .replace("@verdict", " AND ".join(f"{m} {'<=' if side == 'high' else '>='} f.{m}_{side}" for m, (sides, _) in METRICS.items() for side in sides))
+    .replace("@failed", base_failed_sql("m."))
+    .replace("@verdict", verdict_sql("m.", "f."))
 )

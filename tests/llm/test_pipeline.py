@@ -18,33 +18,43 @@ from lectern.llm import quality
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def fences(values):
-    """Quartiles from a sketch's buckets, then the fences of one measure."""
+def quartiles(values):
+    """From a sketch's buckets, whose middles stand for their values."""
     edge = lambda v: 0.0 if v <= 0 else 2 * quality.GROWTH ** math.ceil(math.log(v) / math.log(quality.GROWTH)) / (quality.GROWTH + 1)
     ranked = sorted(values)
     return [edge(ranked[max(0, math.ceil(q * len(ranked)) - 1)]) for q in (0.25, 0.5, 0.75)]
 
 
 def good(docs):
+    """The rules of the quality module, spelled out text by text."""
     rows = []
     for d in docs:
         n, chars, symbols, dup, repeat, failed = counts(d[1])
-        lines = [x for x in (d[1] or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+        lines = len([x for x in (d[1] or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")])
         share = lambda a, b: a / b if b else 0.0
-        rows.append((d, failed, {"word_length": share(chars, n), "symbol_share": share(symbols, chars), "repeated_lines": share(dup, len(lines)), "repeated_words": share(repeat, n)}))
-    kept = []
+        own = {"word_length": share(chars, n), "symbol_share": share(symbols, chars), "repeated_lines": share(dup, lines), "repeated_words": share(repeat, n)}
+        rows.append((d, failed, own | {"n_words": n, "word_chars": chars, "n_lines": lines}))
+
+    def blended(d, m):
+        found = None
+        for level in (lambda x: True, lambda x: x[0][2] == d[2], lambda x: x[0][2:4] == d[2:4]):
+            group = [x[2][m] for x in rows if level(x)]
+            q = quartiles(group)
+            found = q if found is None else [(len(group) * a + 50 * b) / (len(group) + 50) for a, b in zip(q, found)]
+        return found
+
+    kept, known = [], {}
     for d, failed, own in rows:
-        ok = not failed
-        for m, (sides, slack) in quality.METRICS.items():
-            for level in ((lambda x: x[0][2:4] == d[2:4]), (lambda x: x[0][2] == d[2]), (lambda x: True)):
-                group = [x[2][m] for x in rows if level(x)]
-                if len(group) >= quality.LEAST_TEXTS:
-                    break
-            q1, q2, q3 = fences(group)
-            if "high" in sides:
-                ok = ok and own[m] <= max(q2 + quality.REACH * (q3 - q2), q2 + slack)
-            if "low" in sides:
-                ok = ok and own[m] >= min(q2 - quality.REACH * (q2 - q1), q2 - slack)
+        if d[2:4] not in known:
+            known[d[2:4]] = {m: blended(d, m) for m in own}
+        q = known[d[2:4]]
+        n = {m: max(1, own[m]) for m in ("n_words", "word_chars", "n_lines")}
+        middle = {m: max(1, q[m][1]) for m in n}
+        low, mid, high = q["word_length"]
+        wider = math.sqrt(max(1, middle["n_words"] / n["n_words"]))
+        ok = not failed and mid - max(6 * (mid - low), 0.02 * mid) * wider <= own["word_length"] <= mid + max(6 * (high - mid), 0.02 * mid) * wider
+        for m, size, least in (("symbol_share", "word_chars", 1), ("repeated_lines", "n_lines", 1), ("repeated_words", "n_words", 10)):
+            ok = ok and own[m] <= q[m][1] + max(6 * (q[m][2] - q[m][1]), 0.02 * q[m][1], 3 * least / min(middle[size], n[size]))
         if ok:
             kept.append(d)
     return kept

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lectern.llm import quality
 
 SCHEMA = "doc_id long, lang string, source string, text string, kept string"
@@ -46,6 +48,49 @@ def test_thresholds_follow_their_group(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 1
 
 
+def test_every_fence_comes_from_the_data(spark):
+    """Other texts, other fences; and each measure rejects what the base rule
+    lets pass."""
+    r = random.Random(5)
+    word = lambda k: "".join(r.choices("abcdefgh", k=r.randrange(2, k)))
+    text = lambda k, n: "\n".join(" ".join(word(k) for _ in range(6)) for _ in range(n))
+    rows = [(i, "en", "web", text(7, 30), "") for i in range(300)] + [(1000 + i, "en", "notes", text(12, 8), "") for i in range(300)]
+    fences = {x.source: x for x in quality.thresholds(quality.sketches(quality.counted(spark.createDataFrame(rows, SCHEMA), ["lang", "source"]))).collect()}
+    for m, (sides, *_) in quality.METRICS.items():
+        for side in sides:
+            assert fences["web"][f"{m}_{side}"] != fences["notes"][f"{m}_{side}"], (m, side)
+    twice = " ".join(word(7) for _ in range(18))
+    odd = [
+        (5000, "en", "web", text(30, 30), ""),
+        (5001, "en", "web", " ".join("ab" for _ in range(9)).replace(" ", "\n") + "\n" + text(7, 20), ""),
+        (5002, "en", "web", twice + "\n" + twice + "\n" + text(7, 27), ""),
+        (5003, "en", "web", text(7, 30) + " # $ # $ # $", ""),
+        (5004, "en", "web", " ".join(r.choices("abcdefghijkl", k=180)), ""),
+    ]
+    got = {x.doc_id: x for x in quality.score_quality(spark.createDataFrame(rows + odd, SCHEMA)).collect()}
+    lost = {i for i, x in got.items() if not x.kept}
+    assert lost == {x[0] for x in odd} and not any(got[i].base_failed for i in lost)
+
+
+def test_small_groups_borrow_smoothly(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randrange(3, 8)))
+    rows = [(i, "en", "big", " ".join(word() for _ in range(60)), "") for i in range(400)]
+    rows += [(1000 + i, "en", f"s{n}", " ".join(word() * 2 for _ in range(60)), "") for n in (1, 10, 100) for i in range(n)]
+    rows += [(2000, None, None, None, ""), (2001, "", "big", "", "")]
+    middle = {x.source: x.word_length for x in quality.thresholds(quality.sketches(quality.counted(spark.createDataFrame(rows, SCHEMA), ["lang", "source"]))).where("lang = 'en'").collect()}
+    assert middle["big"] < middle["s1"] < middle["s10"] < middle["s100"] < 2 * middle["big"]
+
+
+def test_equal_texts_and_clashing_names(spark):
+    rows = [(i, "l", "s", "one text that all rows of the corpus have in common so", "x") for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in ("counts", "FENCE", "fence_lang", "__m", "a`b", "n_words", "word_length", "middle_n_words"):
+        docs = docs.withColumn(c, F.lit("q"))
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == 40
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert quality.score_quality(docs).count() == 0 and quality.keep_good(docs).count() == 0
