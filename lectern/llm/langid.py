@@ -1,21 +1,25 @@
 """Language identification by Kneser-Ney character models.
 
-Each language has an interpolated Kneser-Ney model of ORDER letters, counted
-over every training text: the highest order by occurrences, lower orders by
-distinct left neighbours. An n-gram is its ORDER symbols of 16 bits, a whole
-64-bit key: it is kept as it is, in sorted arrays with one column of
-probabilities for each language, and found by a hash index that checks the
-key. So no two n-grams meet, and the model grows with the distinct n-grams of
-the corpus.
-A text goes to the language of the lowest cross-entropy per letter. It is
-rejected where that lies beyond the CALIBRATION quantile of the training
-texts of the language, a mergeable sketch over all of them.
+Each language has an interpolated Kneser-Ney model of ORDER letters: the
+highest order by occurrences, lower orders by distinct left neighbours. An
+n-gram is its ORDER symbols of 16 bits, a whole 64-bit key. A language keeps
+its own n-grams only, in sorted arrays with a probability for each, found by
+bisection: no two n-grams meet, and a model grows with the distinct n-grams of
+its language, 16 bytes each (and as much for each context).
+A text goes to the language of the lowest cross-entropy per letter.
+
+Rejection is calibrated on one text in HELD_BACK, chosen by content, which the
+counts leave out. A text's p-value is the share of such texts of its language
+and length class (doublings of letters) that are at least as far off. Shares
+of small classes are averaged with those of the whole language, and these with
+those of all languages, which weigh like 1/REJECTED texts each. p-values below
+REJECTED are rejected, which befalls that share of texts like the learned ones.
 
 Letters are those of Unicode, lower-cased; all else is one gap. Null text, or
-no letter: `und`, score 0. Nothing to learn from: `und`. Null language: not
-learned from. Null id: as an empty id. Repeated rows: each counts. Ties:
-the language first by code point. Empty table: empty result. Extra columns:
-ignored.
+no letter: `und`, score 0, not accepted. Nothing to learn from: `und`. Null
+language: not learned from. Null id: as an empty id. Repeated rows: each
+counts, and all stand on the same side of the calibration. Ties: the language
+first by code point. Empty table: empty result. Extra columns: ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +29,18 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base, buffers
 
 ORDER = 4
-CALIBRATION = 0.999
+REJECTED = 0.005
+HELD_BACK = 4
+#: Width of a bucket of cross-entropy, in bits.
+STEP = 1 / 64
 #: Letters of evidence that the score counts at most.
 EVIDENCE = 12.0
 _COMPACT = 1 << 21
@@ -112,7 +120,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     own = found[np.repeat(langs == lang, np.diff(first))]
                     if not len(own):
                         continue
-                    keys, counts = np.unique(own, return_counts=True)
+                    codes, keys = pd.factorize(own)
+                    counts = np.bincount(codes, minlength=len(keys))
                     h = held.setdefault(lang, [[], [], 0])
                     h[0].append(keys)
                     h[1].append(counts)
@@ -133,99 +142,67 @@ def continuations(counts: DataFrame, order: int) -> DataFrame:
     return counts.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1)).alias("gram")).agg(F.count("*").alias("n"))
 
 
-class Table:
-    """Sorted keys with a row of values for each, found through an index of
-    slots: a key stands at the slot of its hash, or at the next free one."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values.astype(np.float32)
-        self._slot = None
-
-    def __getstate__(self):
-        return {"keys": self.keys, "values": self.values, "_slot": None}
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        bits = max(1, int(2 * len(self.keys)).bit_length())
-        return (buffers.mixed(keys) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Rows of the keys, -1 where there is none."""
-        if self._slot is None:
-            home = self._home(self.keys)
-            order = np.argsort(home, kind="stable")
-            index = np.arange(len(order))
-            place = np.maximum.accumulate(home[order] - index) + index
-            self._slot = np.full((1 << max(1, int(2 * len(order)).bit_length())) + len(order) + 1, -1, np.int32)
-            self._slot[place] = order
-        at = self._home(keys)
-        row = self._slot[at]
-        open_ = np.flatnonzero(row >= 0)
-        open_ = open_[self.keys[row[open_]] != keys[open_]]
-        while len(open_):
-            at[open_] += 1
-            row[open_] = own = self._slot[at[open_]]
-            some = own >= 0
-            open_, own = open_[some], own[some]
-            open_ = open_[self.keys[own] != keys[open_]]
-        return row
+def _sorted(keys: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Places of queries in sorted keys, -1 where they are not."""
+    if not len(keys):
+        return np.full(len(queries), -1)
+    at = np.minimum(np.searchsorted(keys, queries), len(keys) - 1)
+    return np.where(keys[at] == queries, at, -1)
 
 
-class Model:
-    """Probabilities of all languages, order by order."""
-
-    def __init__(self, langs: list[str], parts: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray, float]], symbols: int):
-        self.langs, self.symbols = langs, max(1, symbols)
-        self.full: dict[int, Table] = {}
-        self.back: dict[int, Table] = {}
-        width = len(langs)
-        self.base = np.full(width, 1.0 / self.symbols)
+class Language:
+    """The probabilities of one language, order by order."""
+
+    def __init__(self, parts: dict[int, tuple[np.ndarray, np.ndarray, float]], symbols: int):
+        self.base = 1.0 / max(1, symbols)
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.back: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for order in range(1, ORDER + 1):
-            rows = [parts[lang, order] for lang in langs]  # gram, n, discount
-            keys = np.unique(np.concatenate([r[0] for r in rows]))
-            ctx = np.unique(keys >> np.uint64(16))
-            direct, weight = np.zeros((len(keys), width), np.float32), np.ones((len(ctx), width), np.float32)
-            for i, (gram, n, discount) in enumerate(rows):
-                if not len(gram):
-                    continue
-                at = np.searchsorted(ctx, gram >> np.uint64(16))
-                total = np.bincount(at, n, len(ctx))
-                kinds = np.bincount(at, minlength=len(ctx))
-                some = total > 0
-                weight[some, i] = discount * kinds[some] / total[some]
-                direct[np.searchsorted(keys, gram), i] = np.maximum(n - discount, 0) / total[at]
-            self.back[order] = Table(ctx, weight)
-            self.full[order] = Table(keys, direct)
-            # from the discounted share to the whole interpolated probability,
-            # in steps that bound what is held besides the model
-            for j in range(0, len(keys), _COMPACT):
-                part = keys[j : j + _COMPACT]
-                lower = self.probability(part & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
-                self.full[order].values[j : j + _COMPACT] += weight[np.searchsorted(ctx, part >> np.uint64(16))] * lower
-
-    def probability(self, gram: np.ndarray, order: int) -> np.ndarray:
-        """P(newest symbol | the ones before) for each gram and language."""
+            gram, n, discount = parts[order]
+            before = gram >> np.uint64(16)
+            ctx, at = np.unique(before, return_inverse=True)
+            total, kinds = np.bincount(at, n, len(ctx)), np.bincount(at, minlength=len(ctx))
+            weight = discount * kinds / total if len(ctx) else np.zeros(0)
+            p = np.maximum(n - discount, 0) / total[at] if len(ctx) else np.zeros(0)
+            for j in range(0, len(gram), _COMPACT):
+                part = slice(j, j + _COMPACT)
+                p[part] += weight[at[part]] * self.probability(gram[part] & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
+            self.grams[order], self.back[order] = (gram, p), (ctx, weight)
+
+    def probability(self, gram: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """P(newest symbol | the ones before) for each gram."""
         if order == 0:
-            return np.broadcast_to(self.base, (len(gram), len(self.langs)))
-        row = self.full[order].find(gram)
-        out = self.full[order].values[row].astype(np.float64) if len(self.full[order].keys) else np.zeros((len(gram), len(self.langs)))
-        miss = np.flatnonzero(row < 0)
+            return np.full(len(gram), self.base)
+        keys, values = self.grams[order]
+        at = _sorted(keys, gram)
+        out = values[at] if len(keys) else np.zeros(len(gram))
+        miss = np.flatnonzero(at < 0)
         if len(miss):
             own = gram[miss]
-            lower = self.probability(own & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
-            at = self.back[order].find(own >> np.uint64(16))
-            weight = np.where((at >= 0)[:, None], self.back[order].values[at], 1.0) if len(self.back[order].keys) else 1.0
-            out[miss] = weight * lower
+            ctx, weight = self.back[order]
+            known = _sorted(ctx, own >> np.uint64(16))
+            back = np.where(known >= 0, weight[known], 1.0) if len(ctx) else 1.0
+            out[miss] = back * self.probability(own & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
         return out
 
+
+class Model:
+    def __init__(self, parts: dict[str, dict[int, tuple[np.ndarray, np.ndarray, float]]], symbols: int):
+        self.langs = sorted(parts, key=lambda x: x.encode("utf-8", "surrogatepass"))
+        self.symbols = symbols
+        self.own = [Language(parts[lang], symbols) for lang in self.langs]
+
     def entropies(self, found: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Bits per symbol of each text under each language."""
-        sums = np.zeros((len(first) - 1, len(self.langs)))
+        """Bits per symbol of each text under each language. Every distinct
+        n-gram of the texts is looked up once."""
+        out = np.zeros((len(first) - 1, len(self.langs)))
         some = np.flatnonzero(np.diff(first))
-        step = max(1, (1 << 21) // max(1, len(self.langs)))
-        logs = [np.log2(self.probability(found[i : i + step], ORDER)).astype(np.float32) for i in range(0, len(found), step)]
         if len(some):
-            sums[some] = -np.add.reduceat(np.concatenate(logs), first[some], axis=0, dtype=np.float64)
-        return sums / np.maximum(1, np.diff(first))[:, None]
+            codes, grams_ = pd.factorize(found)
+            for i, own in enumerate(self.own):
+                bits = -np.log2(own.probability(grams_))
+                out[some, i] = np.add.reduceat(bits[codes], first[some])
+        return out / np.maximum(1, np.diff(first))[:, None]
 
 
 def learn(docs: DataFrame) -> Model | None:
@@ -233,32 +210,35 @@ def learn(docs: DataFrame) -> Model | None:
     counts = {ORDER: base.stored(count_grams(docs), "grams")}
     for order in range(ORDER, 1, -1):
         counts[order - 1] = base.stored(continuations(counts[order], order), "grams")
-    stats = {}
-    for order, df in counts.items():
-        for r in df.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect():
-            stats[r.lang, order] = r.n1 / (r.n1 + 2 * r.n2) if r.n1 and r.n2 else 0.5
-    langs = sorted({lang for lang, _ in stats}, key=lambda x: x.encode())
-    if not langs:
-        return None
-    parts, symbols = {}, counts[1].select("gram").distinct().count()
+    symbols = counts[1].select("gram").distinct().count()
+    parts: dict[str, dict[int, tuple]] = {}
     for order, df in counts.items():
-        for lang in langs:
-            t = df.where(F.col("lang") == lang).select("gram", "n").toArrow()
-            parts[lang, order] = (t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy().astype(np.float64), stats[lang, order])
-    return Model(langs, parts, symbols)
+        t = df.select("lang", "gram", "n").toArrow()
+        codes, langs = pd.factorize(t.column(0).to_numpy())
+        gram, n = t.column(1).to_numpy().view(np.uint64), t.column(2).to_numpy()
+        for i, lang in enumerate(langs):
+            rows = np.flatnonzero(codes == i)
+            rows = rows[np.argsort(gram[rows])]
+            once, twice = int((n[rows] == 1).sum()), int((n[rows] == 2).sum())
+            discount = once / (once + 2 * twice) if once and twice else 0.5
+            parts.setdefault(str(lang), {})[order] = (gram[rows], n[rows].astype(np.float64), discount)
+        base.discard(df)
+    return Model(parts, symbols) if parts else None
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns keep, lang_pred, score and bits (the lowest cross-entropy)."""
-    carried = docs.select(*keep, F.col("text").alias("__text"))
+    """The columns keep, lang_pred, score, bits (the lowest cross-entropy) and
+    letters (symbols read, gaps among them)."""
+    (name,) = base.fresh(docs.select(*keep), "body")
+    carried = docs.select(*keep, F.col("text").alias(name))
     if model is None:
-        return carried.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"))
+        return carried.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"), F.lit(0).cast("long").alias("letters"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for rows, data, at in buffers.slices(batch, "__text"):
+            for rows, data, at in buffers.slices(batch, name):
                 found, first = grams(data, at)
                 n = np.diff(first)
                 bits = own.entropies(found, first)
@@ -267,27 +247,64 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
                 odds = np.exp2(-np.minimum(n, EVIDENCE)[:, None] * (bits - low[:, None]))
                 score = np.where(n > 0, 1 / odds.sum(axis=1), 0.0)
                 pred = [own.langs[b] if k else "und" for b, k in zip(best.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(pred), pa.array(score), pa.array(low, mask=n == 0)], names=[*keep, "lang_pred", "score", "bits"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(pred), pa.array(score), pa.array(low, mask=n == 0), pa.array(n)], names=[*keep, "lang_pred", "score", "bits", "letters"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1])
-    return carried.mapInArrow(run, f"{schema}, lang_pred string, score double, bits double")
-
-
-def calibrated(found: DataFrame, training) -> DataFrame:
-    """found(lang, lang_pred, bits, …) with accepted: false beyond the cutoff
-    of the predicted language, and for `und`."""
-    own = found.where(training & F.col("lang").isNotNull() & (F.col("lang") == F.col("lang_pred")))
-    cut = own.groupBy("lang_pred").agg(F.percentile_approx("bits", F.lit(CALIBRATION), F.lit(10_000)).alias("cut"))
-    cut = base.stored(cut, "cutoffs")
-    cut = base.maybe_broadcast(cut.withColumnRenamed("lang_pred", "__lang"), cut.count(), 10_000)
-    return found.join(cut, F.col("lang_pred") == F.col("__lang"), "left").withColumn("accepted", F.coalesce(F.col("bits") <= F.col("cut"), F.lit(False))).drop("__lang", "cut")
+    return carried.mapInArrow(run, f"{schema}, lang_pred string, score double, bits double, letters long")
+
+
+def held_back(text: str = "text") -> Column:
+    """Whether a text serves for the calibration, not for the counts."""
+    return F.pmod(F.xxhash64(text), F.lit(HELD_BACK)) == 0
+
+
+def cutoffs(sketch: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int]]:
+    """From (language, length class, bucket, texts), the last bucket that is
+    accepted in each language and class."""
+    prior = 1 / REJECTED
+    size = max((b for _, _, b, _ in sketch), default=0) + 2
+
+    def above(rows) -> tuple[np.ndarray, int]:
+        """For each bucket, the texts in it or beyond, and all of them."""
+        line = np.bincount([r[2] for r in rows], [r[3] for r in rows], size)
+        return line[::-1].cumsum()[::-1], line.sum()
+
+    beyond, n = above(sketch)
+    everywhere = (1 + beyond) / (1 + n)
+    out = []
+    for lang in sorted({r[0] for r in sketch}):
+        own = [r for r in sketch if r[0] == lang]
+        beyond, n = above(own)
+        of_lang = (beyond + prior * everywhere) / (n + prior)
+        for kind in range(64):
+            beyond, n = above([r for r in own if r[1] == kind])
+            p = (beyond + prior * of_lang) / (n + prior)
+            last = int(np.flatnonzero(p >= REJECTED)[-1])
+            out.append((lang, kind, last if last < size - 1 else 2**31 - 1))  # too few texts to reject any
+    return out
+
+
+def calibrated(found: DataFrame, training: Column) -> DataFrame:
+    """found(lang, lang_pred, bits, letters, …) with accepted, from the rows
+    where training holds; false for `und`. The sketch has some thousands of
+    rows for each language at most."""
+    bucket, kind = F.floor(F.col("bits") / F.lit(STEP)).cast("int"), F.floor(F.log2("letters")).cast("int")
+    own = found.where(training & (F.col("lang") == F.col("lang_pred")) & F.col("bits").isNotNull())
+    sketch = own.groupBy("lang", kind.alias("kind"), bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()
+    cuts = cutoffs([tuple(r) for r in sketch])
+    if not cuts:
+        return found.withColumn("accepted", F.lit(False))
+    table = found.sparkSession.createDataFrame(cuts, "cut_lang string, cut_kind int, cut int")
+    table = base.maybe_broadcast(table, len(cuts), 1_000_000)
+    rows = found.join(table, (F.col("lang_pred") == F.col("cut_lang")) & (kind == F.col("cut_kind")), "left")
+    return rows.withColumn("accepted", F.coalesce(bucket <= F.col("cut"), F.lit(False))).drop("cut_lang", "cut_kind", "cut")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base.table(spark, sf_dir, "documents").select("doc_id", "lang", "text", (F.pmod(base.crc32_of_id(), F.lit(4)) == 2).alias("held_out"))
-    model = learn(docs.where("NOT held_out AND lang IS NOT NULL"))
-    found = base.stored(identify(docs, model, ["doc_id", "held_out", "lang"]), "entropies")
-    return calibrated(found, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "lang", "text", (F.pmod(base.crc32_of_id(), F.lit(4)) == 2).alias("held_out"), held_back().alias("held_back"))
+    model = learn(docs.where("NOT held_out AND NOT held_back AND lang IS NOT NULL"))
+    found = base.stored(identify(docs, model, ["doc_id", "held_out", "held_back", "lang"]), "entropies")
+    return calibrated(found, F.expr("NOT held_out AND held_back")).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
 def brute_probability(texts: list[str], gram: tuple[str, ...], symbols: int) -> float:
