@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +39,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._lectern_path = path
+    if (made := _scratch.get()) is not None:
+        made.append(back)
     return back
 
 
+_scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch():
+    """A list of the tables that stored() makes inside the block; at its end
+    those still in the list are deleted. What the block hands out must be a
+    stored table that is taken off the list."""
+    made: list[DataFrame] = []
+    token = _scratch.set(made)
+    try:
+        yield made
+    finally:
+        _scratch.reset(token)
+        for df in made:
+            discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by stored() that no later plan reads."""
     path = getattr(df, "_lectern_path", None)

@@ -1,14 +1,15 @@
 """Toxicity by weak supervision.
 
-1. Features are words and beginnings of words. From a sample of labelled rows,
-   at most TRAIN_ROWS, those that tell toxic from other texts significantly
-   are kept.
+1. Features are words and beginnings of words. From a sample of labelled
+   texts, at most TRAIN_ROWS and no text twice, those that tell toxic from other
+   texts significantly are kept.
 2. The strongest become lexicon voters (whole words) and pattern voters
    (beginnings of words, several hits, dense hits). A voter says toxic or
    abstains; the given label, where there is one, is one more voter, which
    says toxic or not and may be wrong.
-3. A generative model of the votes of all texts outside the held-out part is
-   fitted by expectation maximisation over counts of vote patterns: how often
+3. A generative model of the votes of all documents outside the held-out part,
+   each counted once, is fitted by expectation maximisation over counts of vote
+   patterns: how often
    each voter fires in either class. Its second moments give correlations
    within the classes, and a voter's weight is shared among those it moves with.
 4. A linear classifier over the kept features is trained on the posterior
@@ -17,8 +18,9 @@
 Null or empty text: no feature, the classifier's constant. No labels, or of
 one class only: score is the share of toxic labels (0 without any). Labels
 with null id or value: ignored; several of one text: toxic if any is. Null
-id: as an empty id. Repeated rows: scored each. Empty table: empty result.
-Extra columns: ignored.
+id: as an empty id. Repeated rows: scored each, alike; as training texts they
+count once. A score of exactly 0.5 is predicted toxic. Equally strong features:
+the smaller hash first. Empty table: empty result. Extra columns: ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,8 @@ VOTERS = 48
 SIGNIFICANT = 24.0
 PREFIXES = (4, 5, 6, 7, 8)
 ROUNDS = 12
+#: Up to so many counts of patterns the driver sums them itself: 2 MB.
+FEW_PATTERNS = 100_000
 _SALT = 0x51ED270B9F1A3C57
 
 
@@ -77,13 +82,23 @@ def _sum_rows(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, most: int) -> DataFrame:
-    """At most `most` labelled rows (doc_id, text, toxic), a pseudo-random and
-    repeatable choice; the join's small side has that many rows."""
+def chosen_labels(labels: DataFrame, allowed: Column, most: int) -> DataFrame:
+    """(doc_id, toxic) of at most `most` ids, a pseudo-random and repeatable
+    choice, and so small enough to be broadcast."""
     own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(allowed)
     own = own.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    chosen = base.stored(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labelled")
-    return base.stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
+    return base.stored(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labelled")
+
+
+def labelled_sample(docs: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
+    """(key, text, toxic) of the texts of the chosen ids, each text once and
+    `most` in all: an id may stand for many rows."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = base.stored(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("key", F.xxhash64("text")), "texts")
+    if texts.count() > most:
+        last = texts.select("key").orderBy("key").limit(most).agg(F.max("key")).first()[0]
+        texts = base.stored(texts.where(F.col("key") <= last), "sample")
+    return texts
 
 
 def mine(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -144,9 +159,9 @@ def voters_of(features: np.ndarray) -> Voters:
     return Voters(lookup, bit)
 
 
-def vote_patterns(docs: DataFrame, sample: DataFrame, voters: Voters, allowed: Column) -> DataFrame:
-    """(votes, label, n) over all texts outside the held-out part; label is
-    null where the sample has none."""
+def vote_patterns(docs: DataFrame, chosen: DataFrame, voters: Voters, allowed: Column) -> DataFrame:
+    """(votes, label, n) over all documents outside the held-out part, each
+    counted once; label is null where none was chosen."""
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +169,8 @@ def vote_patterns(docs: DataFrame, sample: DataFrame, voters: Voters, allowed: C
             for rows, data, at in buffers.slices(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(shared.value.votes(data, at)), rows.column(1)], names=["votes", "toxic"])
 
-    kind = "votes long, toxic int"
-    all_votes = docs.where(allowed).select("text", F.lit(None).cast("int").alias("toxic")).mapInArrow(run, kind)
-    given = sample.select("text", "toxic").mapInArrow(run, kind)
-    return base.stored(all_votes.union(given).groupBy("votes", "toxic").agg(F.count("*").alias("n")), "patterns")
+    rows = docs.select("doc_id", "text").where(allowed).join(F.broadcast(chosen), "doc_id", "left").select("text", "toxic")
+    return base.stored(rows.mapInArrow(run, "votes long, toxic int").groupBy("votes", "toxic").agg(F.count("*").alias("n")), "patterns")
 
 
 def _bits(votes: np.ndarray, n: int) -> np.ndarray:
@@ -184,38 +197,52 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _moments(patterns: DataFrame, model: LabelModel, second: bool) -> np.ndarray:
-    """Sums over all patterns, one partial sum for each partition: for either
-    class its weight, then its votes (with second: its pairs of votes), and
-    the weight of given labels and of right ones."""
+def _sums(votes: np.ndarray, labels: np.ndarray, n: np.ndarray, model: LabelModel, second: bool) -> np.ndarray:
+    """For either class its weight, then its votes (with second: its pairs of
+    votes), and the weight of given labels and of right ones."""
     v = model.fires.shape[1]
-    width = 2 * (1 + (v * v if second else v)) + 2
+    total = np.zeros(2 * (1 + (v * v if second else v)) + 2)
+    for i in range(0, len(votes), 4096):
+        part = slice(i, i + 4096)
+        p = model.posterior(votes[part], labels[part])
+        b, m, out = _bits(votes[part], v), n[part], []
+        for w in (m * (1 - p), m * p):
+            out += [[w.sum()], ((b * w[:, None]).T @ b).ravel() if second else w @ b]
+        given = labels[part] >= 0
+        right = np.where(labels[part] == 1, p, 1 - p)
+        total += np.concatenate([*out, [m[given].sum(), (m * right)[given].sum()]])
+    return total
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                votes, n = part.column(0).to_numpy(), part.column(2).to_numpy().astype(np.float64)
-                labels = part.column(1).fill_null(-1).to_numpy()
-                p = model.posterior(votes, labels)
-                b = _bits(votes, v)
-                out = []
-                for w in (n * (1 - p), n * p):
-                    out += [[w.sum()], ((b * w[:, None]).T @ b).ravel() if second else w @ b]
-                given = labels >= 0
-                right = np.where(labels == 1, p, 1 - p)
-                total += np.concatenate([*out, [n[given].sum(), (n * right)[given].sum()]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total)], names=["i", "x"])
-
-    rows = patterns.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(width)
-    for r in rows:
-        out[r.i] = r.x
-    return out
-
-
-def fit_label_model(patterns: DataFrame, voters: Voters, toxic: int, other: int) -> LabelModel:
+
+def _columns(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    votes, toxic, n = (batch.column(c) for c in ("votes", "toxic", "n"))
+    return votes.to_numpy(), pc.fill_null(toxic, -1).to_numpy(), n.to_numpy().astype(np.float64)
+
+
+class Patterns:
+    """Counts of vote patterns: on the driver where they are few, for then a
+    round is no job; else on the executors, one partial sum a partition."""
+
+    def __init__(self, patterns: DataFrame):
+        self.rows = patterns
+        self.own = _columns(patterns.orderBy("votes", "toxic").toArrow()) if patterns.count() <= FEW_PATTERNS else None
+
+    def moments(self, model: LabelModel, second: bool) -> np.ndarray:
+        if self.own is not None:
+            return _sums(*self.own, model, second)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for batch in batches:
+                total = total + _sums(*_columns(batch), model, second)
+            if not np.isscalar(total):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
+
+        rows = self.rows.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        return np.array([r.x for r in sorted(rows, key=lambda r: r.i)])
+
+
+def fit_label_model(patterns: Patterns, voters: Voters, toxic: int, other: int) -> LabelModel:
     """EM from the labels' share of toxic rows, then correlations: of each
     voter with the others within the classes, from the posterior's second
     moments; correlated voters share their evidence, and EM goes on."""
@@ -223,13 +250,13 @@ def fit_label_model(patterns: DataFrame, voters: Voters, toxic: int, other: int)
     prior = (toxic + 0.5) / (toxic + other + 1)
     model = LabelModel(prior, np.stack([np.full(v, 0.002), np.full(v, 0.2)]), np.ones(v), 0.95)
     for step in range(ROUNDS):
-        m = _moments(patterns, model, False)
+        m = patterns.moments(model, False)
         w0, f0, w1, f1 = m[0], m[1 : v + 1], m[v + 1], m[v + 2 : 2 * v + 2]
         fires = np.stack([(f0 + 0.01) / (w0 + 1), (f1 + 0.1) / (w1 + 1)])
         right = np.clip((m[-1] + 19) / (m[-2] + 20), 0.8, 0.99)
         share = model.share
         if step in (2, ROUNDS // 2):
-            s = _moments(patterns, model, True)
+            s = patterns.moments(model, True)
             share = np.ones(v)
             both = np.zeros((v, v))
             for c in (0, 1):
@@ -271,9 +298,9 @@ def train_linear(sample: DataFrame, voters: Voters, model: LabelModel) -> Classi
                 p = label_model.posterior(own.votes(data, at), rows.column(2).to_numpy())
                 at_row = np.searchsorted(text, np.arange(rows.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(at_row.astype(np.int32)), pa.array(feature.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(p), lists], names=["doc_id", "p", "features"])
+                yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(p), lists], names=["key", "p", "features"])
 
-    rows = sample.select("text", "doc_id", "toxic").mapInArrow(run, "doc_id long, p double, features array<int>").orderBy("doc_id", "p").toArrow()
+    rows = sample.select("text", "key", "toxic").mapInArrow(run, "key long, p double, features array<int>").orderBy("key", "p").toArrow()
     target = rows.column("p").to_numpy()
     lists = rows.column("features").combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
@@ -297,14 +324,16 @@ def train_linear(sample: DataFrame, voters: Voters, model: LabelModel) -> Classi
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = TRAIN_ROWS) -> Classifier:
     """A classifier from docs(doc_id, text) and labels(doc_id, toxic), using
     rows where allowed holds only."""
-    sample = labelled_sample(docs, labels, allowed, most)
-    features, _, toxic, other = mine(sample)
-    if not len(features):
-        share = (toxic + 0.0) / max(1, toxic + other)
-        return Classifier(None, np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    voters = voters_of(features)
-    model = fit_label_model(vote_patterns(docs, sample, voters, allowed), voters, toxic, other)
-    return train_linear(sample, voters, model)
+    with base.scratch():
+        chosen = chosen_labels(labels, allowed, most)
+        sample = labelled_sample(docs, chosen, most)
+        features, _, toxic, other = mine(sample)
+        if not len(features):
+            share = (toxic + 0.0) / max(1, toxic + other)
+            return Classifier(None, np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+        voters = voters_of(features)
+        model = fit_label_model(Patterns(vote_patterns(docs, chosen, voters, allowed)), voters, toxic, other)
+        return train_linear(sample, voters, model)
 
 
 def scored(docs: DataFrame, classifier: Classifier, keep: list[str]) -> DataFrame:

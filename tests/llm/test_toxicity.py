@@ -20,7 +20,11 @@ def test_label_model_finds_accuracies_and_shares_evidence(spark):
     rows = [(int(v), None if t < 0 else int(t)) for v, t in zip(votes, labels)]
     patterns = spark.createDataFrame(rows, "votes long, toxic int").groupBy("votes", "toxic").agg(F.count("*").alias("n"))
     voters = toxicity.Voters(toxicity.Lookup(np.arange(3, dtype=np.uint64)), np.arange(3))
-    model = toxicity.fit_label_model(patterns, voters, 150, 1350)
+    model = toxicity.fit_label_model(toxicity.Patterns(patterns), voters, 150, 1350)
+    spread = toxicity.Patterns(patterns)
+    spread.own = None
+    for second in (False, True):
+        assert np.allclose(spread.moments(model, second), toxicity.Patterns(patterns).moments(model, second), rtol=1e-9)
     assert abs(model.prior - 0.1) < 0.03
     for v, (p, q) in enumerate(rates):
         assert abs(model.fires[1, v] - p) < 0.1 and abs(model.fires[0, v] - q) < 0.02
@@ -46,3 +50,17 @@ def test_edges(spark):
     none = toxicity.learn(docs, labels.limit(0), F.lit(True))
     assert all(x.score < 0.5 for x in toxicity.scored(docs, none, ["doc_id"]).collect())
     assert toxicity.scored(docs.limit(0), c, ["doc_id"]).count() == 0
+
+
+def test_bounds_hold_for_repeated_documents(spark):
+    docs = spark.createDataFrame([(1, "you fool")] * 1000 + [(2, f"text {i}") for i in range(300)] + [(i, f"own text {i}") for i in range(3, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    for most in (10, 50, 5000):
+        chosen = toxicity.chosen_labels(labels, F.lit(True), most)
+        sample = toxicity.labelled_sample(docs, chosen, most).collect()
+        assert len(sample) == len({x.text for x in sample}) <= most
+    assert len(sample) == 1 + 300 + 57
+    voters = toxicity.voters_of(np.arange(1, 4, dtype=np.uint64))
+    counted = toxicity.vote_patterns(docs, chosen, voters, F.lit(True)).agg(F.sum("n")).first()[0]
+    assert counted == docs.count()
+
