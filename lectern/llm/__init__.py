@@ -1,5 +1,5 @@
 """Operators for preparing training text at scale.
 
-Nothing outside this folder imports it. ``catalog.queries()`` lists the
-queries, ``catalog.oracle_sql()`` their SQL where SQL can say the same.
+Nothing outside this folder imports it. ``catalog.QUERIES`` holds the queries,
+``catalog.ORACLE_SQL`` their SQL where SQL can say the same.
 """

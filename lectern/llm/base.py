@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,23 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def filed(docs: DataFrame) -> DataFrame:
+    """docs as one scan of files: itself, or else written and read back."""
+    try:
+        docs.metadataColumn("_metadata")
+        return docs
+    except AnalysisException:
+        return stored(docs, "rows")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs, a scan, with the path of its file and the row number there in two
+    last columns."""
+    place = docs.metadataColumn("_metadata")
+    file, row = fresh(docs, "file", "row")
+    return docs.select("*", place.getField("file_path").alias(file), place.getField("row_index").alias(row))
+
+
 def crc32_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))

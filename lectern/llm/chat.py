@@ -10,8 +10,8 @@ A turn is `<|im_start|>role\\ntext<|im_end|>\\n`. In texts, `<|` becomes `<\\|`
 `<\\|` takes one more backslash, so no marker can occur inside one; roles are
 escaped with `%`. The loss mask covers the texts of assistant turns.
 
-Null text or role: empty. Null score: 0. Null tree: a tree of its own. Null
-node: ignored. A parent that is null or missing in its tree: the node is a
+Null text or role: empty. Null score: 0. Rows without a tree id are one tree, for
+one conversation is one text. Null node: ignored. A parent that is null or missing in its tree: the node is a
 root. Nodes on a cycle reach no root and belong to no
 path. Several rows of one (tree, node): the least by parent, role and text
 counts. Equal path scores: the least leaf first. Empty table: empty result.

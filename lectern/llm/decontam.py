@@ -8,13 +8,18 @@ prefix is one token, the rarest: only that is looked up in the second pass.
 Where it stands in the window bounds where the window can begin, and the
 window's length must fit into the text; what is left is compared word by word.
 
-The benchmark goes to the executors in blocks of BLOCK_BYTES of text at most
-(or one item), one pass over the documents for each. Memory of a task depends
-on the block and one slice of text only.
+Items of equal words are one text, however many there are; texts are cut into
+pieces that overlap by a window less one word, and go to the executors in
+blocks of about BLOCK_BYTES, with two readings of the documents for each and no
+writing: of a document only its row number and its hits are kept from one block
+to the next. The ids of items are joined to the texts that were found at the
+end. Memory of a task, and of the driver, depends on the block and one slice of
+text only.
 
 Null text: no words, no hit. Items with null text, no word or null id: no
-window. Repeated items: one window, each id counts once. Empty tables: empty
-result, or no hit at all. Extra columns: ignored, or carried along untouched.
+window. Repeated items: one window, each id counts once. Repeated documents:
+each for itself. Empty tables: empty result, or no hit at all. Extra columns:
+ignored, or carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +40,9 @@ from . import base, buffers
 WINDOW = 10
 SHINGLE = 5
 BLOCK_BYTES = 2 << 20
+PIECE_BYTES = 64 << 10
+#: Rows of hits that are broadcast at most, of some 100 bytes each.
+BROADCAST_ROWS = 200_000
 
 
 class Lookup:
@@ -63,7 +71,7 @@ class Windows:
     words: np.ndarray  # of each window, how many
     hashes: np.ndarray
     shingles: list[list[int]]  # of each window, in order
-    items: list[list[str]]
+    owners: list[list[str]]  # the texts it is from
 
 
 @dataclass
@@ -82,21 +90,51 @@ def _hashed(words: list[bytes]) -> np.ndarray:
     return buffers.word_hashes(np.frombuffer(b" ".join(words), np.uint8), starts, ends)
 
 
-def windows_of(items: list[tuple[str, str]]) -> Windows:
+def pieces_of(words: list[bytes]) -> Iterator[bytes]:
+    """Runs of words, about PIECE_BYTES long, that share WINDOW - 1 words with
+    the next: every window is whole in one of them."""
+    begin = 0
+    while True:
+        end, size = begin, 0
+        while end < len(words) and (size < PIECE_BYTES or end < begin + WINDOW):
+            size += len(words[end]) + 1
+            end += 1
+        yield b" ".join(words[begin:end])
+        if end == len(words):
+            return
+        begin = end - WINDOW + 1
+
+
+def texts_of(bench: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item, text) with a digest of the words for each item, and (text, no,
+    piece) for each distinct text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, at in buffers.slices(batch):
+                low = buffers.LOWER[data]
+                starts, ends, first = buffers.spans(low, at, buffers.ALNUM)
+                whole, out = low.tobytes(), []
+                for i, item in enumerate(rows.column(0).to_pylist()):
+                    words = [whole[a:b] for a, b in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]])]
+                    if words:
+                        text = hashlib.md5(b" ".join(words), usedforsecurity=False).hexdigest()
+                        out += [(item, text, no, piece) for no, piece in enumerate(pieces_of(words))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.binary()))], names=["item", "text", "no", "piece"])
+
+    items = bench.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+    found = base.stored(items.mapInArrow(run, "item string, text string, no long, piece binary"), "items")
+    # equal words have equal digests and pieces; partial maxima keep one of each
+    return found.where("no = 0").select("item", "text"), base.stored(found.groupBy("text", "no").agg(F.max("piece").alias("piece")), "pieces")
+
+
+def windows_of(pieces: list[tuple[str, bytes]]) -> Windows:
+    """The windows of pieces (text, words joined by spaces)."""
     number: dict[bytes, int] = {}
     owners: dict[int, set[str]] = defaultdict(set)
     out = Windows([], [], [], [], [])
-    by_text: dict[bytes, list[str]] = defaultdict(list)
-    for item, text in items:
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        low = buffers.LOWER[raw]
-        starts, ends, _ = buffers.spans(low, np.array([0, len(low)]), buffers.ALNUM)
-        whole = low.tobytes()
-        by_text[b" ".join(whole[a:b] for a, b in zip(starts, ends))].append(item)
-    for text, ids in by_text.items():
-        if not text:
-            continue
-        words = text.split(b" ")
+    for text, piece in pieces:
+        words = piece.split(b" ")
         size, k = min(WINDOW, len(words)), min(SHINGLE, len(words))
         hashes = _hashed(words)
         grams, wholes = buffers.window_hashes(hashes, k).tolist(), buffers.window_hashes(hashes, size)
@@ -108,9 +146,9 @@ def windows_of(items: list[tuple[str, str]]) -> Windows:
                 out.words.append(size)
                 out.hashes.append(wholes[i])
                 out.shingles.append(grams[i : i + size - k + 1])
-            owners[w].update(ids)
+            owners[w].add(text)
     out.words, out.hashes = np.array(out.words, np.int64), np.array(out.hashes, np.uint64)
-    out.items = [sorted(owners[w]) for w in range(len(out.texts))]
+    out.owners = [sorted(owners[w]) for w in range(len(out.texts))]
     return out
 
 
@@ -166,7 +204,8 @@ def count_shingles(docs: DataFrame, lookups: dict[int, Lookup]) -> dict[tuple[in
             some = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some), pa.array(x[some])], names=["k", "i", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(run, "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n"))
+    # as many rows as the block has shingles, at most
     return {(r.k, r.i): r.n for r in rows.collect()}
 
 
@@ -199,66 +238,88 @@ def find_windows(data: np.ndarray, at: np.ndarray, windows: Windows, prefixes: d
     return first, np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-_HIT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+_HIT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("texts", T.ArrayType(T.StringType()))])
+_HIT_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
 
 
-def _marked(rows: DataFrame, keep: list[str], windows: Windows) -> DataFrame:
-    """rows with their column __hit renewed by the windows of a block: spans
-    are word indexes, begin and end by turns."""
-    prefixes = prefixes_of(windows, lookups := shingle_lookups(windows), count_shingles(rows, lookups))
+def _marked(rows: DataFrame, windows: Windows, some: bool) -> DataFrame:
+    """rows(…, text, hit) with their last column renewed by the windows of a
+    block, and without the text: spans are word indexes, begin and end by
+    turns. some: only rows with a hit in this block."""
+    prefixes = prefixes_of(windows, lookups := shingle_lookups(windows), count_shingles(rows.select(F.col(base.quoted(rows.columns[-2])).alias("text")), lookups))
     shared = rows.sparkSession.sparkContext.broadcast((windows, prefixes))
+    numbered = base.numbered(rows)
+    text = numbered.columns[-2]
+    schema = T.StructType([*numbered.schema.fields[:-2], T.StructField("hit", _HIT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, at in buffers.slices(batch):
+            for part, data, at in buffers.slices(batch, text):
                 own, prefix = shared.value
                 first, starts, number = find_windows(data, at, own, prefix)
                 before = part.column(part.num_columns - 1).to_pylist()
                 cover = np.zeros(first[-1] + 1, np.int64)
                 np.add.at(cover, starts, 1)
                 np.add.at(cover, starts + own.words[number], -1)
-                items = [set(x["items"]) if x else set() for x in before]
+                texts = [set(x["texts"]) if x else set() for x in before]
                 for i, x in enumerate(before):
                     for a, b in zip(x["spans"][::2], x["spans"][1::2]) if x else ():
                         cover[first[i] + a] += 1
                         cover[first[i] + b] -= 1
                 for i, w in set(zip((np.searchsorted(first, starts, "right") - 1).tolist(), number.tolist())):
-                    items[i].update(own.items[w])
+                    texts[i].update(own.owners[w])
                 inside = np.cumsum(cover[:-1]) > 0
                 out = []
-                for i, ids in enumerate(items):
+                for i, own_texts in enumerate(texts):
                     a, b = int(first[i]), int(first[i + 1])
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside[a:b], [False]]).astype(np.int8))) if ids else np.zeros(0, np.int64)
-                    out.append({"n_words": b - a, "spans": edge.tolist(), "items": sorted(ids)})
-                kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, kind)], names=[*keep, "__hit"])
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside[a:b], [False]]).astype(np.int8))) if own_texts else np.zeros(0, np.int64)
+                    out.append({"n_words": b - a, "spans": edge.tolist(), "texts": sorted(own_texts)})
+                done = pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(out, _HIT_ARROW)], names=schema.names)
+                yield done.filter(pa.array([bool(x) for x in texts])) if some else done
 
-    return rows.mapInArrow(run, rows.schema)
+    return numbered.mapInArrow(run, schema).toDF(*rows.columns[:-2], rows.columns[-1])
 
 
-def blocks_of(bench: DataFrame) -> list[DataFrame]:
-    """The items in blocks of about BLOCK_BYTES; equal texts share a block."""
-    items = bench.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
-    n = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+def blocks_of(pieces: DataFrame) -> list[DataFrame]:
+    """The pieces in blocks of about BLOCK_BYTES."""
+    n = pieces.agg(F.sum(F.octet_length("piece")).alias("n")).first().n or 0
     parts = max(1, -(-n // BLOCK_BYTES))
     if parts == 1:
-        return [items]
-    return [items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == i) for i in range(parts)]
-
-
-def contamination(docs: DataFrame, bench: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep of docs (text among them) and __hit: n_words, the word
-    spans inside windows, and the ids of the items they come from."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast(_HIT).alias("__hit"))
-    blocks = blocks_of(bench)
-    for i, block in enumerate(blocks):
-        after = _marked(rows, keep, windows_of([(r.item, r.text) for r in block.collect()]))
-        rows = after if i == len(blocks) - 1 else base.stored(after, "decontam")
-    return rows
+        return [pieces]
+    return [pieces.where(F.pmod(F.xxhash64("text", "no"), F.lit(parts)) == i) for i in range(parts)]
+
+
+def contamination(docs: DataFrame, bench: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The columns keep of docs and last a struct: n_words, the word spans
+    inside windows, and the digests of the texts they come from; and (item,
+    text), whose items those are."""
+    items, pieces = texts_of(bench)
+    blocks = blocks_of(pieces)
+    (hit,) = base.fresh(docs, "hit")
+    none = F.lit(None).cast(_HIT).alias(hit)
+    rows = docs.select(*[F.col(base.quoted(c)) for c in keep], F.col("text").alias("text_"), none)
+    if len(blocks) > 1:
+        where = base.located(docs := base.filed(docs))
+        file, row = where.columns[-2:]
+        found = None
+        for block in blocks[:-1]:
+            own = _marked(where.select(file, row, "text", none), _collected(block), True)
+            own = base.stored(own, "hits")
+            found = own if found is None else found.union(own)
+        merged = found.groupBy(file, row).agg(F.flatten(F.collect_list(f"{hit}.spans")).alias("s"), F.flatten(F.collect_list(f"{hit}.texts")).alias("t"))
+        merged = base.stored(merged.select(file, row, F.struct(F.lit(0).cast("long").alias("n_words"), F.col("s").alias("spans"), F.col("t").alias("texts")).alias(hit)), "hits")
+        rows = where.join(base.maybe_broadcast(merged, merged.count(), BROADCAST_ROWS), [file, row], "left")
+        rows = rows.select(*[F.col(base.quoted(c)) for c in keep], F.col("text").alias("text_"), hit)
+    return _marked(rows, _collected(blocks[-1]), False), items
+
+
+def _collected(block: DataFrame) -> Windows:
+    return windows_of([(r.text, bytes(r.piece)) for r in block.orderBy("text", "no").collect()])
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    return contamination(docs, bench, docs.columns).where(F.size("__hit.items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, _ = contamination(docs, bench, docs.columns)
+    return rows.where(F.size(F.col(rows.columns[-1]).getField("texts")) == 0).select(*base.columns_of(docs))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -270,16 +331,26 @@ def hit_words(spans: str):
     return ends
 
 
+def scored(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted as strings) of every document."""
+    rows, items = contamination(docs.select("doc_id", "text"), bench, ["doc_id"])
+    rows = base.stored(rows.withColumn("key", F.monotonically_increasing_id()), "contamination")
+    found = rows.where(F.size("hit.texts") > 0).select("key", F.explode("hit.texts").alias("text")).join(items, "text")
+    found = found.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = base.stored(found, "found-items")
+    rows = rows.join(base.maybe_broadcast(found, found.count(), BROADCAST_ROWS), "key", "left")
+    return rows.select("doc_id", F.col("hit.n_words").alias("n_words"), hit_words("hit.spans").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = contamination(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"), ["doc_id", "text"])
-    n_hit = hit_words("__hit.spans")
+    rows = scored(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
     return rows.select(
         "doc_id",
-        F.col("__hit.n_words").alias("n_words"),
-        n_hit.alias("n_hit"),
-        F.size("__hit.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__hit.items", ","), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 

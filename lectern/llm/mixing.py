@@ -11,7 +11,9 @@ one of those, then by key, so no source is ever ordered in one task.
 
 Size: words `[^\\x20\\x09-\\x0D]+`; null text: 0. Null source: the last source.
 Null id: digest of the seed alone. Rows of one id are taken together. Empty
-table: empty result. Extra columns: ignored, or carried along untouched.
+table: empty result. Extra columns: ignored, or carried along untouched,
+whatever their names. The targets are found in one task, which holds a row for
+each source.
 """
 
 from __future__ import annotations
@@ -108,10 +110,10 @@ def repeat_rows(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """docs with each row as often as the mix takes it."""
     sizes = base.stored(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
     names = docs.columns
-    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), "doc_id", "source")
+    carried = docs.select(F.struct(*base.columns_of(docs)).alias("__row"), "doc_id", "source")
     rows = _planned(carried, sizes, seed).where("__copies > 0")
     rows = rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__i"))
-    return rows.select(*[F.col(f"__row.`{c}`").alias(c) for c in names])
+    return rows.select(*[F.col(f"__row.{base.quoted(c)}").alias(c) for c in names])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

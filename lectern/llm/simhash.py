@@ -267,15 +267,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     an id last, and of equal ids the first row. Rows are removed, not ids, so
     what a row shares with others is its group alone."""
     # written with their keys, so that both readings see the same ones
-    rows = base.stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    prints = fingerprinted(rows, ["__row"])
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__row")).alias("first")
+    row, head = base.fresh(docs, "row_key", "head_key")
+    rows = base.stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    prints = fingerprinted(rows.select("doc_id", F.col(row).alias("key"), "text"), ["key"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("first")
     classes = base.stored(prints.groupBy("fp").agg(first), "classes")
     reached = components.least_reachable(links(classes)).select(F.col("a").alias("fp"), F.col("b").alias("top"))
     heads = classes.join(reached, "fp", "left").groupBy(F.coalesce("top", "fp").alias("top")).agg(F.min("first").alias("first"))
-    heads = base.stored(heads.select(F.col("first.__row").alias("__head")), "heads")
+    heads = base.stored(heads.select(F.col("first.key").alias(head)), "heads")
     # a merge join at every size: the list of kept rows grows with the data
-    return rows.join(heads.hint("merge"), F.col("__row") == F.col("__head"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(heads.hint("merge"), F.col(row) == F.col(head), "left_semi").select(*base.columns_of(docs))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ ROWS = [
 def folder(spark, tmp_path_factory):
     where = str(tmp_path_factory.mktemp("edges"))
     docs = spark.createDataFrame([(*r, 7) for r in ROWS], "doc_id long, text string, lang string, source string, n_chars long")
-    clash = docs.select("*", *[F.lit("q").alias(c) for c in ("size", "kept", "score", "shard", "fp", "taken", "items", "held_out", "component_id", "n_words", "position", "bytes", "block")])
+    clash = docs.select("*", *[F.lit("q").alias(c) for c in ("size", "kept", "score", "shard", "fp", "taken", "items", "held_out", "component_id", "n_words", "position", "bytes", "block", "__m", "__hit", "__gone", "__row", "__HEAD", "Row_Key", "hit", "file", "ROW", "slot", "counts", "a`b", "a.b", "a b")])
     clash.write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame([(1, "long enough to pass", "q"), (None, None, None), (2, "", None)], "item_id long, text string, hits string").write.parquet(f"{where}/benchmark.parquet")
     spark.createDataFrame([(1, 1, 0, "q"), (2, 0, 1, "q"), (None, None, None, None), (3, None, None, "q")], "doc_id long, quality int, toxic int, text string").write.parquet(f"{where}/labels.parquet")
