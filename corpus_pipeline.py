@@ -21,7 +21,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base.table(spark, sf_dir, "documents")
+    docs, last = base.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = base.stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with base.scratch() as made:  # what the stage alone needed goes once its rows are stored
+            docs = base.stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+            made.remove(docs)
+        if last is not None:
+            base.discard(last)
+        last = docs
+    # the last table stays: shards that need no rewriting are its files
     return STAGES[-1][1](spark, docs, sf_dir)
