@@ -31,7 +31,7 @@ TABLES = {
     "collections": "slug string, name string, url string, blurb string, source string",
     "publication_collections": "publication_id long, slug string, source string",
     "landscape_coords": "publication_id long, x double, y double, placed string, computed_at timestamp",
-    "notes": "id long, working_title string, note string, expected string, created_at date, updated_at date, landed_at date, shelved_at date, publication_id long",
+    "notes": "id long, working_title string, note string, expected string, created_at date, updated_at date, landed_at date, shelved_at date, publication_id long, shelved_reason string",
     "note_topics": "note_id long, topic_slug string",
     "note_people": "note_id long, person_id long",
 }
@@ -55,8 +55,13 @@ def _every_summary_primary(c: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return c | {"enrichments": c["enrichments"].withColumn("is_primary", F.lit(True)), "reviews": rest.unionByName(own)}
 
 
+def _reasons_of_shelving(c: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Shelved notes say why."""
+    return c | {"notes": c["notes"] if "shelved_reason" in c["notes"].columns else c["notes"].withColumn("shelved_reason", F.lit(None).cast("string"))}
+
+
 #: In order; the version of a catalog is how many it has seen.
-MIGRATIONS: list[Callable[[dict[str, DataFrame]], dict[str, DataFrame]]] = [_every_summary_primary]
+MIGRATIONS: list[Callable[[dict[str, DataFrame]], dict[str, DataFrame]]] = [_every_summary_primary, _reasons_of_shelving]
 
 
 def migrate(catalog: dict[str, DataFrame], version: int) -> tuple[dict[str, DataFrame], int]:

@@ -123,3 +123,97 @@ def test_schemas_parse(spark, name):
     from lectern import schema
 
     assert schema.struct(name).fieldNames()
+
+
+def test_merges_end_on_cycles_and_long_chains(spark):
+    for n in (2, 3, 5):
+        rows = [(10 + i, 10 + (i + 1) % n) for i in range(n)] + [(1, 12 if n > 2 else 11), (2, 1), (3, None), (4, 3), (90, 99)]
+        got = {r.id: r.survivor for r in M.resolve_merged(spark.createDataFrame(rows, "id long, merged_into long")).collect()}
+        assert got == {10 + i: 10 for i in range(n)} | {1: 10, 2: 10, 3: 3, 4: 3, 90: 99}
+    chain = spark.createDataFrame([(1, None)] + [(i, i - 1) for i in range(2, 10_001)], "id long, merged_into long")
+    got = M.resolve_merged(chain)
+    assert got.where("survivor <> 1").count() == 0 and got.count() == 10_000
+    assert M.resolve_merged(chain.where("id = 1")).collect() == [(1, 1)]
+
+
+PEOPLE = "id long, slug string, name string, is_internal boolean, job_title string, roster_title string, is_current boolean, merged_into long"
+CREDITS = "publication_id long, person_id long, role string, position int, source string"
+
+
+def test_merging_a_person(spark):
+    people = spark.createDataFrame([(1, "a", "A", True, None, None, True, None), (2, "b", "A", False, "T", "R", True, None), (3, "c", "A", False, None, None, False, 2)], PEOPLE)
+    credits = spark.createDataFrame([(9, 1, "author", 0, "parsed"), (9, 2, "author", 1, "parsed"), (9, 2, "host", 2, "parsed"), (8, 2, "author", 0, "manual")], CREDITS)
+    p, c, report = M.merge_person(people, credits, 2, 1)
+    assert report == {"duplicate": "A", "survivor": "A", "moved": 2, "already_there": 1}
+    assert table(c) == [(8, 1, "author", 0, "manual"), (9, 1, "author", 0, "parsed"), (9, 1, "host", 2, "parsed")]
+    assert [tuple(r)[3:] for r in p.orderBy("id").collect()] == [(True, "T", "R", True, None), (False, "T", "R", False, 1), (False, None, None, False, 1)]
+    with pytest.raises(ValueError):
+        M.merge_person(p, c, 2, 1)
+
+
+def test_people_are_found_or_made(spark):
+    people = spark.createDataFrame([(1, "a", "Old", False, "T", None, True, None), (2, "b", "Gone", False, None, None, False, 1), (3, None, "X", False, None, None, True, None), (4, None, "X", False, None, None, True, None)], PEOPLE)
+    seen = spark.createDataFrame([(1, "a", "New", False, None), (2, "b", "Other", True, "J"), (3, None, "X", False, "first"), (4, None, "X", False, None), (5, None, "Y", False, None), (6, "z", "Y", True, "t"), (7, "z", "Z", False, None)], "turn int, slug string, name string, is_internal boolean, job_title string")
+    out, found = M.resolve_people(people, seen)
+    assert {(r.slug, r.name, r.person_id) for r in found.collect()} == {("a", "New", 1), ("b", "Other", 1), (None, "X", 3), (None, "Y", 5), ("z", "Y", 6), ("z", "Z", 6)}
+    assert {r.id: (r.name, r.is_internal, r.job_title) for r in out.collect()} == {1: ("New", True, "T"), 2: ("Gone", False, None), 3: ("X", False, "first"), 4: ("X", False, None), 5: ("Y", False, None), 6: ("Z", True, "t")}
+    again, same = M.resolve_people(out, seen)
+    assert again.count() == 6 and table(same) == table(found)
+
+
+def test_records_are_upserted_whole(spark):
+    from lectern import schema
+
+    c = schema.empty(spark)
+    c["people"] = spark.createDataFrame([(1, "a", "A", False, None, None, None, None, None, None)], schema.struct("people"))
+    person = "struct<slug:string,name:string,is_internal:boolean,job_title:string,role:string>"
+    records = spark.createDataFrame([("u1", "T1", [("a", "A", True, "J", "author"), (None, "B", False, None, "guest")], ["x", "y"]), ("u2", "T2", [], [])], f"url string, title string, people array<{person}>, site_tags array<string>")
+    one = M.upsert_publications(c, records, "2024-01-01")
+    assert {(r.id, r.url, r.title) for r in one["publications"].collect()} == {(1, "u1", "T1"), (2, "u2", "T2")}
+    assert {tuple(r) for r in one["credits"].collect()} == {(1, 1, "author", 0, "parsed"), (1, 2, "guest", 1, "parsed")}
+    assert {tuple(r) for r in one["site_tags"].collect()} == {(1, "x"), (2, "y")} and one["publication_site_tags"].count() == 2
+    one["credits"] = M.credit(one["credits"], spark.createDataFrame([(1, 1, "host"), (1, 1, "author")], "publication_id long, person_id long, role string"))
+    assert (1, 1, "host", 2, "manual") in {tuple(r) for r in one["credits"].collect()}
+    changed = spark.createDataFrame([("u1", "New", [(None, "B", False, None, "author")], ["y", "z"])], records.schema)
+    two = M.upsert_publications(one, changed, "2024-02-01")
+    assert {(r.id, r.title) for r in two["publications"].collect()} == {(1, "New"), (2, "T2")}
+    assert {tuple(r) for r in two["credits"].collect()} == {(1, 2, "author", 0, "parsed"), (1, 1, "host", 2, "manual")}
+    assert {tuple(r) for r in two["publication_site_tags"].collect()} == {(1, 2), (1, 3)}
+    three = M.upsert_publications(two, changed, "2024-02-01")
+    assert all(table(three[k].drop("scraped_at")) == table(two[k].drop("scraped_at")) for k in ("publications", "people", "credits", "site_tags", "publication_site_tags"))
+    assert M.uncredit(two["credits"], two["credits"].where("source = 'manual'")).count() == 1
+    with pytest.raises(ValueError):
+        M.credit(two["credits"], spark.createDataFrame([(1, 1, "editor")], "publication_id long, person_id long, role string"))
+
+
+def test_note_transitions(spark):
+    from lectern import schema
+
+    pubs = spark.createDataFrame([(7,)], "id long")
+    notes = M.edited_notes(spark.createDataFrame([], schema.struct("notes")), spark.createDataFrame([(None, " B ", " ", "2024-Q1"), (None, "A", "n", None)], "id long, working_title string, note string, expected string"), "2024-01-01")
+    assert {(r.id, r.working_title, r.note, r.expected) for r in notes.collect()} == {(1, "A", "n", None), (2, "B", None, "2024-Q1")}
+    ask = lambda *rows: spark.createDataFrame(rows, "id long, action string, text string, publication_id long")
+    notes, bad = M.note_changes(notes, pubs, ask((1, "shelve", " no ", None), (2, "link", None, 7), (3, "reopen", None, None)), "2024-02-01")
+    assert {(r.id, str(r.shelved_at), r.shelved_reason, r.publication_id) for r in notes.collect()} == {(1, "2024-02-01", "no", None), (2, "None", None, 7)}
+    assert table(bad) == [(3, "no such note")]
+    notes, bad = M.note_changes(notes, pubs, ask((1, "link", None, 7), (2, "shelve", "x", None)), "2024-03-01")
+    assert dict(table(bad)) == {1: "it is shelved", 2: "it has landed"}
+    notes, bad = M.note_changes(notes, pubs, ask((1, "reopen", None, None), (2, "shelve", " ", None)), "2024-03-01")
+    assert dict(table(bad)) == {2: "shelving takes a reason"}
+    notes, bad = M.note_changes(notes, pubs, ask((1, "link", None, 8)), "2024-03-01")
+    assert dict(table(bad)) == {1: "no such publication"}
+    row = notes.where("id = 1").first()
+    assert (row.shelved_at, row.shelved_reason, str(row.created_at)) == (None, None, "2024-01-01")
+    with pytest.raises(ValueError):
+        M.edited_notes(notes, spark.createDataFrame([(1, "A", None, "2024-05")], "id long, working_title string, note string, expected string"), "x")
+
+
+def test_decisions_and_collections(spark):
+    urls = spark.createDataFrame([("a", "exclude", None, None), ("b", "ingest", "n", "2023-01-01")], "url string, disposition string, note string, settled_at string")
+    out = M.decided(urls, spark.createDataFrame([("a", "todo", " why ")], "url string, disposition string, note string"), "2024-01-01")
+    assert table(out) == [("a", "todo", "why", "2024-01-01"), ("b", "ingest", "n", "2023-01-01")]
+    assert table(M.reopened_urls(out, out.where("url = 'b'"))) == [("a", "todo", "why", "2024-01-01"), ("b", "ingest", "n", None)]
+    c = {"collections": spark.createDataFrame([("x", "X"), ("y", "Y")], "slug string, name string"), "publication_collections": spark.createDataFrame([(1, "x"), (1, "y")], "publication_id long, slug string")}
+    assert table(M.renamed_collection(c, "x", " Z ")) == [("x", "Z"), ("y", "Y")]
+    out = M.dropped_collection(c, "x")
+    assert table(out["collections"]) == [("y", "Y")] and table(out["publication_collections"]) == [(1, "y")]
