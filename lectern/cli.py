@@ -53,7 +53,7 @@ COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "todo": lambda c: M.pending_urls(c["sitemap_urls"]),
     "backlog": lambda c: V.backlog(c, c["reviews"].where("scope = 'backlog' AND verdict = 'parked'").selectExpr("subject_id AS id")),
     "status": lambda c: V.status_report(c),
-    "caveats": lambda c: V.caveats(V.status_report(c)),
+    "caveats": lambda c: V.caveats(c),
     "duplicates": lambda c: V.duplicate_names(c["people"]),
     "reviews": lambda c: V.review_stats(c),
     "models": lambda c: V.model_stats(c),

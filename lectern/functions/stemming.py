@@ -89,6 +89,11 @@ def folded(text: str) -> str:
 _TOKEN = re.compile(r"[^\W_]+")
 
 
+def words(text: str | None) -> list[str]:
+    """Runs of letters and digits, folded."""
+    return _TOKEN.findall(folded(text or ""))
+
+
 def tokens(text: str | None, stemmed: bool = True) -> list[str]:
-    found = _TOKEN.findall(folded(text or ""))
+    found = words(text)
     return [stem(t) for t in found] if stemmed else found

@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space of Unicode and the four separators of ASCII, as Python's
+#: str.split() sees it: page text is full of no-break spaces.
+SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for null and empty text."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACES}]+")), F.lit(0))
 
 
 def first_words(text: Column, n: int) -> Column:
     """The first n words, joined by single spaces."""
-    return F.array_join(F.slice(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), 1, n), " ")
+    return F.array_join(F.slice(F.split(F.trim(F.regexp_replace(text, f"[{SPACES}]+", " ")), " "), 1, n), " ")
+
+
+def spaces_count(text: Column) -> Column:
+    """A quick estimate of words: spaces and one; 0 for null and empty text."""
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
 
 
 def truncated(text: Column, n: int) -> tuple[Column, Column]:

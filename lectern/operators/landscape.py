@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from . import vectors
 
 FIT_POINTS = 4000
@@ -88,10 +89,17 @@ def fit(points: DataFrame, limit: int = FIT_POINTS) -> DataFrame:
         return spark.createDataFrame([], "id long, x double, y double, placed string")
     y = embed2(np.stack(chosen.vector.map(np.asarray).to_list()))
     fitted = spark.createDataFrame([(int(i), float(a), float(b), "fit") for i, (a, b) in zip(chosen.id, y)], "id long, x double, y double, placed string")
-    rest = points.join(F.broadcast(fitted.select("id")), "id", "left_anti")
+    rest = points.join(storage.small(fitted.select("id")), "id", "left_anti")
     return fitted.union(placed(fitted, points, rest))
 
 
+def place_term(coords: DataFrame, points: DataFrame, query: list[float]) -> DataFrame:
+    """(x, y) of a search term's vector among the points of the map; no row
+    where nothing is placed."""
+    one = points.sparkSession.createDataFrame([(-1, [float(x) for x in query])], "id long, vector array<double>")
+    return vectors.place(coords, points, one).select("x", "y")
+
+
 def placed(fitted: DataFrame, points: DataFrame, new: DataFrame) -> DataFrame:
     return vectors.place(fitted, points, new).select("id", "x", "y", F.lit("incremental").alias("placed"))
 
@@ -105,6 +113,6 @@ def refreshed(coords: DataFrame, points: DataFrame) -> DataFrame:
 
 def projected(c, coords: DataFrame) -> DataFrame:
     """Map points with type, month and cluster; -1 where a topic is unknown."""
-    lead = c["publication_topics"].where("position = 1").join(F.broadcast(c["topics"]), F.col("topic_slug") == F.col("slug")).select(F.col("publication_id").alias("id"), "label", "cluster")
+    lead = c["publication_topics"].where("position = 1").join(storage.small(c["topics"]), F.col("topic_slug") == F.col("slug")).select(F.col("publication_id").alias("id"), "label", "cluster")
     scope = c["publications"].where("parent_id IS NULL AND pub_type <> 'Podcast'").select("id", "title", "pub_type", F.date_format("date_published", "yyyy-MM").alias("month"))
     return coords.join(scope, "id").join(lead, "id", "left").select("id", "x", "y", "title", "pub_type", "month", "label", F.coalesce("cluster", F.lit(-1)).alias("cluster"))

@@ -39,9 +39,19 @@ def plain_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+_STEMS: dict[str, str] = {}
+
+
+def _stems(words: list[str]) -> list[str]:
+    """Each distinct word is stemmed once a process, up to a bound."""
+    if len(_STEMS) > 1 << 20:
+        _STEMS.clear()
+    return [_STEMS[w] if w in _STEMS else _STEMS.setdefault(w, stemming.stem(w)) for w in words]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(text: pd.Series) -> pd.Series:
-    return text.map(stemming.tokens)
+    return text.map(lambda t: _stems(stemming.words(t)))
 
 
 def stemmed_tokens(text: Column) -> Column:
@@ -247,18 +257,20 @@ def parse(query: str, index: Index | Scan):
     return _Parser(query, index).whole()
 
 
+# A part of a query stays as it is if it matches one of these: a quote in it, a
+# leading sign, an operator, or a plain word with or without a closing star.
+_MEANT = re.compile(r'.*".*|[-^].*|AND|OR|NOT|[^\W_]+\**', re.S)
+
+
 def safe_query(text: str | None) -> str:
     """Any text as a match expression: syntax that is surely meant stays, and
-    what would not parse becomes a quoted phrase without its punctuation."""
-    out = []
-    for part in (text or "").split():
-        meant = '"' in part or part[0] in "-^" or part in ("AND", "OR", "NOT")
-        bare = part.rstrip("*").isalnum() and part.replace("*", "").isalnum()
-        if meant or bare:
-            out.append(part)
-        elif words := re.sub(r"[^\w]|_", " ", part).split():
-            out.append('"' + " ".join(words) + '"')
-    return " ".join(out)
+    each other part becomes a phrase of its letters and digits."""
+
+    def said(part: str) -> str:
+        phrase = " ".join(re.findall(r"[^\W_]+", part))
+        return part if _MEANT.fullmatch(part) else phrase and f'"{phrase}"'
+
+    return " ".join(filter(None, map(said, (text or "").split())))
 
 
 def _phrase_hits(index: Index, p: Phrase) -> DataFrame:

@@ -8,17 +8,22 @@ is a literal of the plan.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from . import search as S
 
 FUSION_K = 60
 #: What a shortlisted publication gains: two positions at the top.
 SHORTLIST_BOOST = 1 / (FUSION_K + 1) - 1 / (FUSION_K + 3)
 SIM_ADJACENT, SIM_FLOOR = 0.40, 0.15
+#: Placed points of a block: some 40 MB of 768 numbers each.
+ANCHORS = 8192
 
 
 def similarity(vector: Column, query: Sequence[float]) -> Column:
@@ -106,9 +111,61 @@ def citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
 def place(points: DataFrame, vectors: DataFrame, new: DataFrame, neighbours: int = 10) -> DataFrame:
     """Coordinates for new(id, vector) from placed points(id, x, y): the mean
     of the nearest `neighbours`, weighted by squared similarity of 0.05 at
-    least. New points come in small batches and are the broadcast side."""
-    anchors = points.join(vectors.select("id", "vector"), "id").select(F.col("id").alias("anchor"), "x", "y", F.col("vector").alias("v"))
-    sims = anchors.crossJoin(F.broadcast(new.select("id", "vector"))).select("id", "anchor", "x", "y", F.aggregate(F.zip_with("v", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x).alias("s"))
-    ranked = sims.selectExpr("*", "row_number() OVER (PARTITION BY id ORDER BY s DESC, anchor) AS r").where(F.col("r") <= neighbours)
-    w = F.pow(F.greatest("s", F.lit(0.05)), 2)
-    return ranked.groupBy("id").agg((F.sum(w * F.col("x")) / F.sum(w)).alias("x"), (F.sum(w * F.col("y")) / F.sum(w)).alias("y"))
+    least; ties go to the lesser id. The placed points go to the executors in
+    blocks of ANCHORS at most, one pass over the new ones for each, which
+    keeps the best of a block; those are merged by id."""
+    anchors = storage.stored(points.select("id", "x", "y").join(vectors.select("id", "vector"), "id"), "anchors")
+    blocks = max(1, -(-anchors.count() // ANCHORS))
+    best = None
+    for k in range(blocks):
+        own = anchors.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else anchors
+        found = _nearest(new.select("id", "vector"), own, neighbours)
+        best = found if best is None else best.union(found)
+    order = lambda x: F.struct((-x["s"]).alias("d"), x["anchor"].alias("a"), x["x"].alias("x"), x["y"].alias("y"), x["s"].alias("s"))
+    near = best.groupBy("id").agg(F.slice(F.array_sort(F.transform(F.flatten(F.collect_list("near")), order)), 1, neighbours).alias("near"))
+    weight = lambda n: F.pow(F.greatest(n["s"], F.lit(0.05)), 2)
+    total = lambda value: F.aggregate("near", F.lit(0.0), lambda a, n: a + value(n))
+    return near.where(F.size("near") > 0).select("id", *[(total(lambda n, c=c: weight(n) * n[c]) / total(weight)).alias(c) for c in ("x", "y")])
+
+
+def _nearest(new: DataFrame, anchors: DataFrame, neighbours: int) -> DataFrame:
+    """(id, near) with the nearest anchors of each new point, as an array of
+    (anchor, s, x, y). anchors are ANCHORS at most."""
+    t = anchors.orderBy("id").toArrow()
+    ids, x, y = (t.column(c).to_numpy() for c in ("id", "x", "y"))
+    matrix = np.array(t.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
+    shared = new.sparkSession.sparkContext.broadcast((ids, x, y, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, y, matrix = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                out = []
+                own = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                sims = own @ matrix.T if len(ids) else np.zeros((part.num_rows, 0))
+                for row in sims:
+                    k = min(neighbours, len(row))
+                    edge = np.partition(row, len(row) - k)[len(row) - k] if k else 0.0
+                    at = np.flatnonzero(row >= edge)  # all that tie with the last one
+                    at = at[np.lexsort((ids[at], -row[at]))][:k]
+                    out.append([{"anchor": int(ids[j]), "s": float(row[j]), "x": float(x[j]), "y": float(y[j])} for j in at])
+                kind = pa.list_(pa.struct([("anchor", pa.int64()), ("s", pa.float64()), ("x", pa.float64()), ("y", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], names=["id", "near"])
+
+    return new.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, "id long, near array<struct<anchor: long, s: double, x: double, y: double>>")
+
+
+def semantic_search(c: Mapping[str, DataFrame], query: Sequence[float], limit: int = 10, source: str = "section") -> DataFrame:
+    """The best vectors of a kind, one for each publication: a window of limit
+    * 6 vectors is taken first, so a publication is found only through one of
+    those; with title, type, date and, for sections, heading and body."""
+    rows = c["embeddings"].where(F.col("source_type") == source).select("source_id", "publication_id", similarity(F.col("vector"), query).alias("similarity"))
+    window = rows.orderBy(F.desc("similarity"), "source_id").limit(6 * limit)
+    best = window.groupBy("publication_id").agg(F.max(F.struct("similarity", (-F.col("source_id")).alias("s"))).alias("b"))
+    top = best.select("publication_id", "b.similarity", (-F.col("b.s")).alias("source_id")).orderBy(F.desc("similarity"), "source_id").limit(limit)
+    top = top.selectExpr("*", "row_number() OVER (ORDER BY similarity DESC, source_id) AS position")
+    out = top.join(c["publications"].select(F.col("id").alias("publication_id"), "title", "pub_type", "date_published"), "publication_id")
+    if source == "section":
+        out = out.join(c["sections"].select(F.col("id").alias("source_id"), "heading", "body"), "source_id", "left")
+    return out

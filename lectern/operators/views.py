@@ -2,34 +2,50 @@
 
 ``c`` maps role names (publications, credits, people, publication_topics,
 topics, publication_text, enrichments, reviews) to DataFrames; see
-``lectern.schema`` for their columns. Vocabularies are the only sides that are
-broadcast by hint, since they are maintained by hand and small by nature; all
-other joins are left to the planner and to AQE.
+``lectern.schema`` for their columns. Sides are broadcast by hint only where a
+count found them small; all other joins are left to the planner and to AQE.
+What a catalog says of its publication types is in ``c["types"]``, a Types.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as X
 
 Catalog = Mapping[str, DataFrame]
 
-#: How much a publication of a type counts; others count 1.
-TYPE_WEIGHTS = {"Report": 8, "Tracker": 4, "Exec Memo": 4, "External": 2, "Interview": 2, "Briefs": 2, "Comment": 1}
-EXCLUDED_TYPES = ("Podcast",)
+
+@dataclass(frozen=True)
+class Types:
+    """weights: how much a publication of a type counts, 1 if not named;
+    excluded: types that insight views leave out; thin_exempt: types that are
+    never too short."""
+
+    weights: Mapping[str, int]
+    excluded: tuple[str, ...]
+    thin_exempt: tuple[str, ...]
+
+
+TYPES = Types({"Report": 8, "Tracker": 4, "Exec Memo": 4, "External": 2, "Interview": 2, "Briefs": 2, "Comment": 1}, ("Podcast",), ("Podcast", "External"))
 CREDIT_ROLES = ("author", "guest")
 THIN_SHARE = 0.25
-THIN_EXEMPT = ("Podcast", "External")
 LEAST_TEXTS = 5
 
 
-def type_weight(kind: Column) -> Column:
+def types_of(c: Catalog) -> Types:
+    return c["types"] if "types" in c else TYPES
+
+
+def type_weight(c: Catalog, kind: Column) -> Column:
     out = F.lit(1)
-    for name, weight in reversed(TYPE_WEIGHTS.items()):
+    for name, weight in reversed(types_of(c).weights.items()):
         out = F.when(kind == name, weight).otherwise(out)
     return out
 
@@ -38,9 +54,9 @@ def parents_only(pubs: DataFrame) -> DataFrame:
     return pubs.where(F.col("parent_id").isNull())
 
 
-def insight_scope(pubs: DataFrame) -> DataFrame:
+def insight_scope(c: Catalog) -> DataFrame:
     """What the insight views count: no chapters, no excluded types."""
-    return parents_only(pubs).where(~F.col("pub_type").isin(*EXCLUDED_TYPES))
+    return parents_only(c["publications"]).where(~F.col("pub_type").isin(*types_of(c).excluded))
 
 
 def credited(c: Catalog) -> DataFrame:
@@ -65,7 +81,9 @@ def list_publications(c: Catalog, *, pub_type=None, year=None, person_id=None, t
     if series:
         pubs = pubs.where(F.col("series").isin(*many(series)))
     if year:
-        pubs = pubs.where(F.year("date_published").isin(*[int(y) for y in many(year)]))
+        # ranges of days reach the scan, years of them would not
+        day = lambda y: F.lit(f"{int(y):04}-01-01").cast("date")
+        pubs = pubs.where(reduce(Column.__or__, [(F.col("date_published") >= day(y)) & (F.col("date_published") < day(int(y) + 1)) for y in many(year)]))
     if person_id:
         own = c["credits"].where(F.col("person_id").isin(*many(person_id))).select(F.col("publication_id").alias("id"))
         pubs = pubs.join(own, "id", "left_semi")
@@ -115,9 +133,9 @@ def topic_counts(c: Catalog) -> DataFrame:
 def topic_graph_nodes(c: Catalog) -> DataFrame:
     """Publications, their weight, and how many are about each topic."""
     least = c["publication_topics"].groupBy("publication_id", "topic_slug").agg(F.min("position").alias("position"))
-    rows = least.join(insight_scope(c["publications"]).select("id", "pub_type"), F.col("publication_id") == F.col("id"))
-    own = rows.groupBy("topic_slug").agg(F.count("*").alias("pubs"), F.sum(type_weight(F.col("pub_type"))).alias("weighted"), F.count_if(F.col("position") == 1).alias("about"))
-    return own.join(F.broadcast(c["topics"]), F.col("topic_slug") == F.col("slug")).select("slug", "label", "pubs", "weighted", "about")
+    rows = least.join(insight_scope(c).select("id", "pub_type"), F.col("publication_id") == F.col("id"))
+    own = rows.groupBy("topic_slug").agg(F.count("*").alias("pubs"), F.sum(type_weight(c, F.col("pub_type"))).alias("weighted"), F.count_if(F.col("position") == 1).alias("about"))
+    return own.join(storage.small(c["topics"]), F.col("topic_slug") == F.col("slug")).select("slug", "label", "pubs", "weighted", "about")
 
 
 def topic_graph_edges(c: Catalog, least: int = 2) -> DataFrame:
@@ -126,7 +144,7 @@ def topic_graph_edges(c: Catalog, least: int = 2) -> DataFrame:
     self-join: one aggregation per publication, one per pair."""
     trusted = c["publication_topics"].where("position <= 2")
     lists = trusted.groupBy("publication_id").agg(F.sort_array(F.collect_list("topic_slug")).alias("s")).where(F.size("s") > 1)
-    own = lists.join(insight_scope(c["publications"]).select(F.col("id").alias("publication_id")), "publication_id", "left_semi")
+    own = lists.join(insight_scope(c).select(F.col("id").alias("publication_id")), "publication_id", "left_semi")
     first = own.select("s", F.posexplode("s").alias("i", "s1"))
     pairs = first.select("s1", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("s2")).where("s1 < s2")
     return pairs.groupBy("s1", "s2").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -146,12 +164,12 @@ def topic_time(c: Catalog) -> DataFrame:
     """Weight, words and number per topic and quarter, gaps as zeros. The
     axis spans all quarters that a primary topic falls in, whether or not the
     vocabulary still has it."""
-    pubs = _dated(insight_scope(c["publications"])).select("id", "pub_type", "quarter")
+    pubs = _dated(insight_scope(c)).select("id", "pub_type", "quarter")
     rows = c["publication_topics"].where("position = 1").join(pubs, F.col("publication_id") == F.col("id"))
     rows = rows.join(c["publication_text"].select("publication_id", "word_count"), "publication_id", "left")
-    cells = rows.groupBy("topic_slug", "quarter").agg(F.sum(type_weight(F.col("pub_type"))).alias("w"), F.sum(F.coalesce("word_count", F.lit(0))).alias("words"), F.count("*").alias("n"))
+    cells = rows.groupBy("topic_slug", "quarter").agg(F.sum(type_weight(c, F.col("pub_type"))).alias("w"), F.sum(F.coalesce("word_count", F.lit(0))).alias("words"), F.count("*").alias("n"))
     axis = spine(cells.agg(F.min("quarter").alias("lo"), F.max("quarter").alias("hi")))
-    own = cells.select("topic_slug").distinct().join(F.broadcast(c["topics"].select("slug", "label")), F.col("topic_slug") == F.col("slug")).select("slug", "label")
+    own = cells.select("topic_slug").distinct().join(storage.small(c["topics"].select("slug", "label")), F.col("topic_slug") == F.col("slug")).select("slug", "label")
     full = own.crossJoin(F.broadcast(axis))
     zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
     return full.join(cells.withColumnRenamed("quarter", "q"), (F.col("slug") == F.col("topic_slug")) & (F.col("quarter") == F.col("q")), "left").select("slug", "label", "quarter", zero("w"), zero("words"), zero("n"))
@@ -160,9 +178,9 @@ def topic_time(c: Catalog) -> DataFrame:
 def term_time(c: Catalog, hits: DataFrame) -> DataFrame:
     """Weight, words and number per quarter of the publications behind
     hits(id); the axis is that of the whole scoped catalog."""
-    scoped = _dated(insight_scope(c["publications"]))
+    scoped = _dated(insight_scope(c))
     own = with_roots(c, hits).join(scoped, "id").join(c["publication_text"].select(F.col("publication_id").alias("id"), "word_count"), "id", "left")
-    cells = own.groupBy("quarter").agg(F.sum(type_weight(F.col("pub_type"))).alias("w"), F.sum(F.coalesce("word_count", F.lit(0))).alias("words"), F.count("*").alias("n"))
+    cells = own.groupBy("quarter").agg(F.sum(type_weight(c, F.col("pub_type"))).alias("w"), F.sum(F.coalesce("word_count", F.lit(0))).alias("words"), F.count("*").alias("n"))
     axis = spine(scoped.agg(F.min("quarter").alias("lo"), F.max("quarter").alias("hi")))
     zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
     return axis.join(cells, "quarter", "left").select("quarter", zero("w"), zero("words"), zero("n"))
@@ -177,7 +195,7 @@ def who_knows_what(c: Catalog, current_only: bool = True) -> DataFrame:
     with all credits of the person and how many of them the cells cover."""
     lead = c["publication_topics"].where("position = 1").select("publication_id", "topic_slug")
     cells = credited(c).join(lead, "publication_id").groupBy("person_id", "topic_slug").agg(F.countDistinct("publication_id").alias("n"))
-    cells = cells.join(F.broadcast(c["topics"].select("slug")), F.col("topic_slug") == F.col("slug"))
+    cells = cells.join(storage.small(c["topics"].select("slug")), F.col("topic_slug") == F.col("slug"))
     totals = credited(c).groupBy("person_id").agg(F.count("*").alias("credits_total"))
     mapped = cells.groupBy("person_id").agg(F.sum("n").alias("mapped_total"))
     people = c["people"].where("merged_into IS NULL")
@@ -190,7 +208,7 @@ def type_length_norms(c: Catalog) -> DataFrame:
     """The upper median of words per type, and a quarter of it. Counts per
     distinct length are summed first, so a type never gathers in one task."""
     rows = c["publication_text"].join(c["publications"].select("id", "pub_type"), F.col("publication_id") == F.col("id"))
-    lengths = rows.where(~F.col("pub_type").isin(*THIN_EXEMPT)).groupBy("pub_type", "word_count").agg(F.count("*").alias("n"))
+    lengths = rows.where(~F.col("pub_type").isin(*types_of(c).thin_exempt)).groupBy("pub_type", "word_count").agg(F.count("*").alias("n"))
     ranked = lengths.selectExpr("pub_type", "word_count", "sum(n) OVER (PARTITION BY pub_type ORDER BY word_count) AS upto", "sum(n) OVER (PARTITION BY pub_type) AS total")
     middle = ranked.where((F.col("total") >= LEAST_TEXTS) & (F.col("upto") > F.expr("total div 2")))
     return middle.groupBy("pub_type").agg(F.min("word_count").alias("median_words")).withColumn("floor_words", F.floor(F.col("median_words") * THIN_SHARE).cast("long"))
@@ -198,7 +216,7 @@ def type_length_norms(c: Catalog) -> DataFrame:
 
 def thin_records(c: Catalog) -> DataFrame:
     rows = c["publications"].where("access = 'public'").join(c["publication_text"], F.col("id") == F.col("publication_id"))
-    norms = F.broadcast(type_length_norms(c).withColumnRenamed("pub_type", "kind"))
+    norms = storage.small(type_length_norms(c).withColumnRenamed("pub_type", "kind"))
     return rows.join(norms, (F.col("pub_type") == F.col("kind")) & (F.col("word_count") < F.col("floor_words"))).select("id", "pub_type", "word_count", F.col("median_words").alias("expected"), "source", "pdf_url", "date_published")
 
 
@@ -206,7 +224,7 @@ def pdf_needed(c: Catalog) -> DataFrame:
     """Short by a quarter of their type's mean, or without text: distinct."""
     rows = c["publications"].join(c["publication_text"], F.col("id") == F.col("publication_id"), "left")
     means = rows.where("word_count IS NOT NULL").groupBy(F.col("pub_type").alias("kind")).agg(F.floor(F.avg("word_count") * THIN_SHARE).alias("floor_words"))
-    return rows.where("pdf_url IS NOT NULL").join(F.broadcast(means), F.col("pub_type") == F.col("kind"), "left").where("word_count IS NULL OR word_count < floor_words").select("id", "pdf_url").distinct()
+    return rows.where("pdf_url IS NOT NULL").join(storage.small(means), F.col("pub_type") == F.col("kind"), "left").where("word_count IS NULL OR word_count < floor_words").select("id", "pdf_url").distinct()
 
 
 def shared_pdfs(c: Catalog) -> DataFrame:
@@ -214,44 +232,141 @@ def shared_pdfs(c: Catalog) -> DataFrame:
     return c["publications"].where("pdf_url IS NOT NULL").groupBy("pdf_url").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def _counts(df: DataFrame, **measures: Column) -> DataFrame:
+    """(measure, n) from one aggregation."""
+    one = df.agg(*[m.cast("long").alias(k) for k, m in measures.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("n")) for k in measures])).alias("x")).select("x.measure", "x.n")
+
+
+def _without(left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame:
+    return left.join(right.select(F.col(other).alias(key)), key, "left_anti")
+
+
 def status_report(c: Catalog) -> DataFrame:
     """(measure, n): one aggregation for each table, none of them joined with
-    another but where the measure itself compares two."""
+    another but where the measure itself compares two. A catalog without some
+    of the tables has no measures of them."""
     pubs, people, texts = c["publications"], c["people"], c["publication_text"]
     first = primary(c)
-
-    def long(df: DataFrame, **measures: Column) -> DataFrame:
-        one = df.agg(*[m.cast("long").alias(k) for k, m in measures.items()])
-        return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("n")) for k in measures])).alias("x")).select("x.measure", "x.n")
-
     parts = [
-        long(pubs, publications=F.count_if(F.col("parent_id").isNull()), chapters=F.count_if(F.col("parent_id").isNotNull())),
-        long(people, people=F.count_if(F.col("merged_into").isNull())),
-        long(texts, texts=F.count("*"), words=F.coalesce(F.sum("word_count"), F.lit(0))),
-        long(first, enriched=F.count("*"), models=F.countDistinct("model")),
-        long(c["publication_topics"], mapped=F.countDistinct("publication_id")),
-        long(texts.where("word_count > 0").join(first, "publication_id", "left_anti"), unenriched=F.count("*")),
-        long(first.join(c["publication_topics"], "publication_id", "left_anti"), no_topics=F.count("*")),
-        long(uncredited(c), uncredited=F.count("*")),
-        long(pubs.join(texts, F.col("id") == F.col("publication_id"), "left_anti"), no_text=F.count("*")),
+        _counts(pubs, publications=F.count_if(F.col("parent_id").isNull()), chapters=F.count_if(F.col("parent_id").isNotNull())),
+        _counts(people, people=F.count_if(F.col("merged_into").isNull())),
+        _counts(texts, texts=F.count("*"), words=F.coalesce(F.sum("word_count"), F.lit(0))),
+        _counts(first, enriched=F.count("*"), models=F.countDistinct("model")),
+        _counts(c["publication_topics"], mapped=F.countDistinct("publication_id")),
+        _counts(_without(texts.where("word_count > 0"), "publication_id", first, "publication_id"), unenriched=F.count("*")),
+        _counts(_without(first, "publication_id", c["publication_topics"], "publication_id"), no_topics=F.count("*")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
-def caveats(status: DataFrame) -> DataFrame:
-    """Sentences a claim of absence has to carry; each goes away with its gap."""
-    said = {
-        "uncredited": "%s records credit no person, so author-based answers under-report",
-        "no_text": "%s records have no full text and are matchable by title alone",
-        "unenriched": "%s texts have no summary yet",
-        "no_topics": "%s summaries carry no topics yet",
-    }
-    text = F.create_map(*[x for k, v in said.items() for x in (F.lit(k), F.lit(v))])
-    known = status.where(F.col("measure").isin(*said) & (F.col("n") > 0))
-    return known.select("measure", F.format_string("%s", F.replace(text[F.col("measure")], F.lit("%s"), F.col("n").cast("string"))).alias("caveat"))
+    if "site_tags" in c:
+        parts.append(_counts(c["site_tags"], site_tags=F.count("*")))
+    if "indexed" in c:
+        parts.append(_counts(c["indexed"], indexed=F.count("*")))
+    if "sections" in c and "embeddings" in c:
+        sections, vectors = c["sections"], c["embeddings"]
+        of = lambda kind: vectors.where(F.col("source_type") == kind).select("source_id").distinct()
+        parts += [
+            _counts(sections, sections=F.count("*")),
+            _counts(_without(texts, "publication_id", sections, "publication_id"), no_sections=F.count("*")),
+            _counts(_without(sections.where("NOT is_boilerplate"), "id", of("section"), "source_id"), no_vector=F.count("*")),
+            _counts(_without(first, "publication_id", of("one_liner"), "source_id"), no_one_liner=F.count("*")),
+            _counts(vectors, vectors=F.count("*")),
+        ]
+    return reduce(DataFrame.union, parts)
+
+
+def status_groups(c: Catalog) -> DataFrame:
+    """(facet, value, n): parents by type, credits by role, unmerged people by
+    affiliation (and current ones apart), and where the tables are there,
+    addresses by scope and status and vectors by source."""
+    one = lambda df, facet, value, n=F.count("*"): df.groupBy(value.cast("string").alias("value")).agg(n.cast("long").alias("n")).select(F.lit(facet).alias("facet"), "value", "n")
+    people = c["people"].where("merged_into IS NULL")
+    parts = [
+        one(parents_only(c["publications"]), "type", F.col("pub_type")),
+        one(c["credits"], "role", F.col("role")),
+        one(people, "affiliation", F.col("affiliation")),
+        one(people, "current", F.col("affiliation"), F.count_if("is_current")),
+    ]
+    if "sitemap_urls" in c:
+        parts.append(one(c["sitemap_urls"], "sitemap", F.concat_ws(" ", "scope", "status")))
+    if "embeddings" in c:
+        parts.append(one(c["embeddings"], "vectors", F.col("source_type")))
+    return reduce(DataFrame.union, parts)
+
+
+def status_warnings(c: Catalog) -> DataFrame:
+    """(measure, warning): what has fallen behind, and how to mend it."""
+    n = status_report(c).groupBy().pivot("measure", ["publications", "chapters", "indexed", "no_sections", "no_vector", "no_one_liner", "no_topics", "vectors"]).agg(F.first("n"))
+    split = duplicate_names(c["people"]).agg(F.count("*").alias("split"))
+    rows = n.crossJoin(split)
+    total = F.col("publications") + F.col("chapters")
+    say = lambda measure, when, *text: F.when(when, F.struct(F.lit(measure).alias("measure"), F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in text]).alias("warning")))
+    col = F.col
+    found = F.array(
+        say("split", col("split") > 0, col("split"), " names are carried by more than one person, merge them"),
+        say("indexed", col("indexed") != total, "the keyword index holds ", col("indexed"), " of ", total, " publications and chapters, build it again"),
+        say("no_sections", col("no_sections") > 0, col("no_sections"), " texts have no sections, extract them"),
+        say("no_vector", col("no_vector") > 0, col("no_vector"), " sections have no vector, embed them"),
+        say("no_one_liner", col("no_one_liner") > 0, col("no_one_liner"), " summaries have no vector, embed them"),
+        say("no_topics", col("no_topics") > 0, col("no_topics"), " summaries carry no topics, map them"),
+        say("vectors", col("vectors") == 0, "no vector is stored, searches rest on keywords alone"),
+    )
+    return rows.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+
+def gaps(c: Catalog) -> DataFrame:
+    """(measure, n) of what a claim of absence rests on."""
+    pubs, texts = c["publications"], c["publication_text"]
+    parts = [
+        _counts(uncredited(c), uncredited=F.count("*")),
+        _counts(duplicate_names(c["people"]), split=F.count("*")),
+        _counts(c["credits"], by_hand=F.count_if(F.col("source") == "manual") if "source" in c["credits"].columns else F.lit(0)),
+        _counts(_without(pubs, "id", texts, "publication_id"), no_text=F.count("*"), title_only=F.count_if(F.coalesce("description", F.lit("")) == "") if "description" in pubs.columns else F.count("*")),
+    ]
+    if "sitemap_urls" in c:
+        root, own = F.col("scope") == "root-level", F.col("scope") == "publication"
+        excluded = F.coalesce("disposition", F.lit("")) == "exclude"
+        parts.append(
+            _counts(
+                c["sitemap_urls"],
+                legacy=F.count_if(root & (F.col("status") == "pending") & ~excluded),
+                declined=F.count_if(root & excluded),
+                unscraped=F.count_if(own & F.col("status").isin("failed", "skipped")),
+                gone=F.count_if(own & (F.col("status") == "gone")),
+            )
+        )
+    return reduce(DataFrame.union, parts)
+
+
+CAVEATS = {
+    "legacy": "% pages at the root of the site are not ingested",
+    "declined": "% pages at the root of the site were looked at and left out on purpose",
+    "unscraped": "% pages failed or were skipped in scraping",
+    "gone": "% publications are listed but no longer there, and so absent",
+    "uncredited": "% records credit no person, so author-based answers under-report",
+    "split": "% people exist as more than one row, which splits their credits until merged",
+    "by_hand": "% credits were given by hand and not read from a page",
+    "no_text": "% records have no full text and are matchable by title alone",
+    "title_only": "% of the records without text have no description either",
+}
+#: The one limit that nothing here can measure.
+ELSEWHERE = "work that was published elsewhere only is not listed and therefore absent; its extent is unknown"
+
+
+def caveats(c: Catalog) -> DataFrame:
+    """(measure, n, caveat): sentences a claim of absence has to carry. Each
+    goes away with its gap, but for the last, which cannot be measured."""
+    known = gaps(c).where("n > 0")
+    text = F.create_map(*[x for k, v in CAVEATS.items() for x in (F.lit(k), F.lit(v))])
+    said = known.select("measure", "n", F.replace(text[F.col("measure")], F.lit("%"), F.col("n").cast("string")).alias("caveat"))
+    always = known.sparkSession.createDataFrame([("elsewhere", None, ELSEWHERE)], "measure string, n long, caveat string")
+    return said.union(always)
+
+
+def tags_matching(c: Catalog, term: str) -> DataFrame:
+    """(tag, id, title) of publications with a tag that contains term."""
+    tags = c["site_tags"].where(X.ascii_ilike(F.col("name"), f"%{term}%")).select(F.col("id").alias("tag_id"), F.col("name").alias("tag"))
+    own = c["publication_site_tags"].join(tags, "tag_id").select("publication_id", "tag")
+    return own.join(c["publications"].select(F.col("id").alias("publication_id"), "title"), "publication_id").select("tag", F.col("publication_id").alias("id"), "title")
 
 
 def review_stats(c: Catalog) -> DataFrame:
@@ -265,17 +380,40 @@ def duplicate_names(people: DataFrame) -> DataFrame:
     return own.where("n > 1")
 
 
-def series_members(c: Catalog) -> DataFrame:
-    """Collections with member counts, 0 for empty ones."""
-    names = c["publications"].select("series").where("series IS NOT NULL").distinct()
-    own = c["publications"].where("series IS NOT NULL AND access = 'member'").select(F.col("series").alias("s"), "id")
-    return names.join(own, F.col("series") == F.col("s"), "left").groupBy("series").agg(F.count("id").alias("members"))
+def collection_counts(c: Catalog) -> DataFrame:
+    """Collections with how many publications are in each, 0 for empty ones."""
+    own = c["publication_collections"].groupBy(F.col("slug").alias("s")).agg(F.count("*").alias("n"))
+    return c["collections"].join(own, F.col("slug") == F.col("s"), "left").select("slug", "name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _listed(c: Catalog, own: DataFrame) -> DataFrame:
+    """own(publication_id, …) with what a list shows of each publication."""
+    lines = primary(c).select("publication_id", "one_liner")
+    pubs = c["publications"].select(F.col("id").alias("publication_id"), "title", "pub_type", "date_published")
+    return own.join(pubs, "publication_id").join(lines, "publication_id", "left").withColumnRenamed("publication_id", "id")
+
+
+def collection_members(c: Catalog, slug: str) -> DataFrame:
+    """A collection's publications, newest first."""
+    own = c["publication_collections"].where(F.col("slug") == slug).select("publication_id", "source")
+    return _listed(c, own).orderBy(F.desc_nulls_last("date_published"), "id")
+
+
+def collections_for(c: Catalog) -> DataFrame:
+    """(publication_id, slug, name, source) of all memberships, each
+    publication's by name."""
+    return c["publication_collections"].join(c["collections"].select("slug", "name"), "slug").select("publication_id", "slug", "name", "source")
+
+
+def shortlist_rows(c: Catalog) -> DataFrame:
+    """What was marked, the newest mark first."""
+    return _listed(c, c["shortlist"].select("publication_id", "note", "added_at")).orderBy(F.desc("added_at"), "id")
 
 
 def tier(c: Catalog, hits: DataFrame) -> DataFrame:
     """Hits by type, chapters rolled up, with the type's weight."""
     own = with_roots(c, hits).join(c["publications"].select("id", "pub_type"), "id")
-    return own.groupBy("pub_type").agg(F.count("*").alias("n"), F.sum(type_weight(F.col("pub_type"))).alias("weighted"))
+    return own.groupBy("pub_type").agg(F.count("*").alias("n"), F.sum(type_weight(c, F.col("pub_type"))).alias("weighted"))
 
 
 def adjacent_topics(c: Catalog, ids: DataFrame) -> DataFrame:
@@ -313,6 +451,14 @@ def length_bands(c: Catalog, bands: int = 5, seed: int = 7) -> DataFrame:
     return own.groupBy("band").agg(F.min_by(F.struct("publication_id", "word_count"), F.xxhash64(F.lit(seed), "publication_id")).alias("x")).select("band", "x.*")
 
 
+def parent_typeahead(pubs: DataFrame, text: str, limit: int = 10) -> DataFrame:
+    """Publications that can be a chapter's parent, by their titles: those
+    that start with text, then with a word that does, then the rest."""
+    own = parents_only(pubs).where(X.ascii_ilike(F.col("title"), f"%{text}%"))
+    rank = F.when(X.ascii_ilike(F.col("title"), f"{text}%"), 0).when(X.ascii_ilike(F.col("title"), f"% {text}%"), 1).otherwise(2)
+    return own.select("id", "title", "date_published", rank.alias("rank")).orderBy("rank", F.desc_nulls_last("date_published"), "id").limit(limit)
+
+
 def typeahead(people: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     """Names that start with prefix, then those with a word that does, then
     those that contain it; current people first."""
@@ -336,20 +482,20 @@ def publication_detail(c: Catalog) -> DataFrame:
 def person_page(c: Catalog, person_id: int) -> DataFrame:
     """Publications of a person by role, following a merge to the survivor."""
     own = c["people"].where(F.col("id") == person_id).select(F.coalesce("merged_into", "id").alias("person_id"))
-    rows = c["credits"].join(F.broadcast(own), "person_id").join(c["publications"], F.col("publication_id") == F.col("id"))
+    rows = c["credits"].join(F.broadcast(own.limit(1)), "person_id").join(c["publications"], F.col("publication_id") == F.col("id"))
     return rows.select("role", "id", "title", "pub_type", "date_published")
 
 
 def topic_spotlight(c: Catalog, slug: str, limit: int = 6) -> DataFrame:
     own = c["publication_topics"].where((F.col("topic_slug") == slug) & (F.col("position") == 1)).select(F.col("publication_id").alias("id"))
-    rows = insight_scope(c["publications"]).join(own, "id", "left_semi")
+    rows = insight_scope(c).join(own, "id", "left_semi")
     best = rows.select("id", "title", "pub_type", "date_published").orderBy(F.desc("date_published"), F.desc("id")).limit(limit)
     return best.join(primary(c).select(F.col("publication_id").alias("id"), "summary"), "id", "left")
 
 
 def topic_pair(c: Catalog, a: str, b: str, limit: int = 30) -> DataFrame:
     own = c["publication_topics"].where(F.col("topic_slug").isin(a, b) & (F.col("position") <= 2)).groupBy("publication_id").agg(F.countDistinct("topic_slug").alias("k")).where("k = 2")
-    rows = insight_scope(c["publications"]).join(own.select(F.col("publication_id").alias("id")), "id", "left_semi")
+    rows = insight_scope(c).join(own.select(F.col("publication_id").alias("id")), "id", "left_semi")
     return rows.select("id", "title", "pub_type", "date_published").orderBy(F.desc("date_published"), F.desc("id")).limit(limit)
 
 
@@ -364,7 +510,7 @@ def streamgraph(c: Catalog, top: int = 8) -> DataFrame:
     other, stacked around a middle line."""
     rows = topic_time(c).select("slug", "quarter", "w")
     rank = rows.groupBy("slug").agg(F.sum("w").alias("total")).selectExpr("slug AS s", "row_number() OVER (ORDER BY total DESC, slug) AS r")
-    named = rows.join(F.broadcast(rank), F.col("slug") == F.col("s")).select(F.when(F.col("r") <= top, F.col("slug")).otherwise("other").alias("layer"), F.when(F.col("r") <= top, F.col("r")).otherwise(top + 1).alias("r"), "quarter", "w")
+    named = rows.join(storage.small(rank), F.col("slug") == F.col("s")).select(F.when(F.col("r") <= top, F.col("slug")).otherwise("other").alias("layer"), F.when(F.col("r") <= top, F.col("r")).otherwise(top + 1).alias("r"), "quarter", "w")
     layers = named.groupBy("layer", "r", "quarter").agg(F.sum("w").alias("w"))
     return layers.selectExpr("layer", "quarter", "w", "sum(w) OVER (PARTITION BY quarter ORDER BY r) - w - sum(w) OVER (PARTITION BY quarter) / 2 AS base")
 
@@ -427,6 +573,44 @@ def ordered_notes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return notes.where(shut.isNull()).orderBy(F.asc_nulls_last("expected"), "created_at", "id"), notes.where(shut.isNotNull()).orderBy(F.desc(shut), "id")
 
 
+def coverage_check(c: Catalog, term: str, hits: DataFrame, limit: int = 10) -> dict[str, DataFrame]:
+    """Whether something is covered, by three probes and what bounds them:
+    hits(id, position), the best of a search, tags and people that contain
+    term, and the caveats. Never a bare no."""
+    pubs = c["publications"].select("id", "title", "pub_type", "date_published")
+    return {
+        "full_text": hits.orderBy("position").limit(limit).join(pubs, "id").orderBy("position"),
+        "matches": hits.agg(F.count("*").alias("n")),
+        "site_tags": tags_matching(c, term),
+        "people": people_by_fragment(c, term),
+        "caveats": caveats(c),
+    }
+
+
+def neighbours(c: Catalog, similarity: DataFrame, limit: int = 12) -> DataFrame:
+    """The publications nearest in meaning from similarity(id, similarity),
+    with type, month, one-liner, first topic and place on the map."""
+    near = similarity.join(insight_scope(c).select("id", "title", "pub_type", F.date_format("date_published", "yyyy-MM").alias("month")), "id")
+    near = near.orderBy(F.desc("similarity"), "id").limit(limit)
+    topic = c["publication_topics"].where("position = 1").join(storage.small(c["topics"]), F.col("topic_slug") == F.col("slug")).select(F.col("publication_id").alias("id"), F.col("label").alias("topic"))
+    out = near.join(topic, "id", "left").join(primary(c).select(F.col("publication_id").alias("id"), "summary"), "id", "left")
+    if "landscape_coords" in c:
+        out = out.join(c["landscape_coords"].select(F.col("publication_id").alias("id"), "x", "y"), "id", "left")
+    return out.withColumn("similarity", F.round("similarity", 3))
+
+
+def coverage_view(c: Catalog, term: str, hits: DataFrame, about: DataFrame, similarity: DataFrame | None, limit: int = 12) -> dict[str, DataFrame]:
+    """The coverage check with a measured verdict, the nearest publications,
+    and the topics and people of those. hits and about are all publications a
+    search finds anywhere and in titles; without similarity the verdict rests
+    on keywords alone."""
+    out = coverage_check(c, term, hits) | {"verdict": coverage(c, hits.select("id"), about.select("id"), similarity)}
+    if similarity is not None:
+        near = storage.stored(neighbours(c, similarity, limit), "neighbours")
+        out |= {"neighbours": near, "adjacent_topics": adjacent_topics(c, near), "adjacent_people": adjacent_people(c, near)}
+    return out
+
+
 def coverage(c: Catalog, direct: DataFrame, about: DataFrame, similarity: DataFrame | None) -> DataFrame:
     """One row: mentions and about with chapters rolled up, their weight, the
     best similarity (null without a scan), and the verdict."""
@@ -460,7 +644,7 @@ def bylines(c: Catalog) -> DataFrame:
 def matrix_order(cells: DataFrame, topic: str) -> DataFrame:
     """People of a matrix by their cell in one topic, then by their total."""
     own = cells.groupBy("id", "name").agg(F.coalesce(F.max(F.when(F.col("topic") == topic, F.col("n"))), F.lit(0)).alias("own"), F.max("mapped_total").alias("total"))
-    return own.selectExpr("id", "name", "own", "total", "row_number() OVER (ORDER BY own DESC, total DESC, id) AS position")
+    return storage.numbered(own, [F.desc("own"), F.desc("total"), "id"], "position").select("id", "name", "own", "total", "position")
 
 
 def roster_entries(people: DataFrame, roster: DataFrame) -> DataFrame:

@@ -23,11 +23,13 @@ VIEWS = {
                CASE WHEN o_custkey % 10 = 0 THEN 'member' ELSE 'public' END AS access,
                CASE WHEN o_orderkey % 16 IN (5, 6) THEN o_orderkey - o_orderkey % 16 END AS parent_id,
                CASE WHEN o_orderkey % 16 IN (5, 6) THEN o_orderkey % 16 - 4 END AS parent_position,
-               CASE WHEN o_custkey % 3 = 0 THEN concat('https://example.org/pdf/', o_custkey) END AS pdf_url
+               CASE WHEN o_custkey % 3 = 0 THEN concat('https://example.org/pdf/', o_custkey) END AS pdf_url,
+               CASE WHEN o_custkey % 4 = 0 THEN concat('About ', o_custkey) END AS description
         FROM orders""",
     "credits": """
         SELECT l_orderkey AS publication_id, l_suppkey AS person_id,
-               CASE l_returnflag WHEN 'A' THEN 'author' WHEN 'R' THEN 'guest' ELSE 'host' END AS role, MIN(l_linenumber) AS position
+               CASE l_returnflag WHEN 'A' THEN 'author' WHEN 'R' THEN 'guest' ELSE 'host' END AS role, MIN(l_linenumber) AS position,
+               CASE WHEN l_suppkey % 7 = 0 THEN 'manual' ELSE 'parsed' END AS source
         FROM lineitem GROUP BY l_orderkey, l_suppkey, l_returnflag""",
     "people": """
         SELECT s_suppkey AS id, s_name AS name, concat('person-', s_suppkey) AS slug, s_acctbal > 0 AS is_internal,
@@ -47,7 +49,7 @@ VIEWS = {
         FROM lineitem WHERE l_linenumber <> 7 GROUP BY l_orderkey""",
     "enrichments": """
         SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS publication_id, l_linenumber = 1 AS is_primary,
-               concat('model-', MIN(l_linestatus)) AS model, MIN(p_name) AS summary, CAST(SUM(l_quantity) AS BIGINT) AS prompt_tokens,
+               concat('model-', MIN(l_linestatus)) AS model, MIN(p_name) AS summary, concat('On ', MIN(p_brand)) AS one_liner, CAST(SUM(l_quantity) AS BIGINT) AS prompt_tokens,
                CAST(SUM(l_suppkey) AS BIGINT) AS completion_tokens, CAST(MIN(l_partkey) % 90 + 5 AS BIGINT) AS seconds, MAX(l_shipdate) AS enriched_at
         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber""",
     "reviews": """
@@ -58,6 +60,21 @@ VIEWS = {
         SELECT user_id AS n, concat('https://example.org/en/report/u', user_id) AS url, CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS lastmod,
                event_type AS kind, event_id AS seen
         FROM events""",
+    "site_tags": "SELECT DISTINCT CAST(replace(p_brand, 'Brand#', '') AS BIGINT) % 10 AS id, concat('Tag ', CAST(replace(p_brand, 'Brand#', '') AS BIGINT) % 10) AS name FROM part",
+    "publication_site_tags": "SELECT DISTINCT l_orderkey AS publication_id, CAST(replace(p_brand, 'Brand#', '') AS BIGINT) % 10 AS tag_id FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "collections": "SELECT concat('c', n_nationkey) AS slug, n_name AS name FROM nation UNION ALL SELECT concat('r', r_regionkey), r_name FROM region",
+    "publication_collections": """
+        SELECT o_orderkey AS publication_id, concat('c', c_nationkey) AS slug, CASE WHEN o_custkey % 2 = 0 THEN 'manual' ELSE 'auto' END AS source
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 150000""",
+    "shortlist": "SELECT doc_id AS publication_id, concat('q', quality) AS note, toxic AS added_at FROM labels",
+    "sitemap_urls": """
+        SELECT concat('https://example.org/en/', event_id) AS url, CASE user_id % 3 WHEN 0 THEN 'root-level' WHEN 1 THEN 'publication' ELSE 'excluded' END AS scope,
+               CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'gone' ELSE 'skipped' END AS status,
+               CASE WHEN event_id % 5 = 0 THEN 'exclude' WHEN event_id % 5 = 1 THEN 'ingest' END AS disposition
+        FROM events""",
+    "sections_": "SELECT conv_id * 1000 + turn AS id, conv_id AS publication_id, role AS heading, text AS body, role = 'system' AS is_boilerplate FROM conversations",
+    "vectors_": "SELECT CASE WHEN label < 5 THEN 'section' ELSE 'one_liner' END AS source_type, vec_id AS source_id, vec_id AS publication_id, embedding AS vector FROM embeddings",
+    "landscape_coords": "SELECT vec_id AS publication_id, CAST(label AS DOUBLE) AS x, CAST(vec_id % 17 AS DOUBLE) AS y FROM embeddings",
     "documents_": "SELECT doc_id AS id, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS title, text AS body, lang, source FROM documents",
 }
 
@@ -69,6 +86,13 @@ class Roles(dict):
         super().__init__()
         self._spark, self._dir = spark, sf_dir
 
+    def __contains__(self, name: object) -> bool:
+        return name in TABLES or name in VIEWS or super().__contains__(name)
+
+    def catalog(self, **others: str) -> dict[str, DataFrame]:
+        """All roles by name; others: the role that stands for a name."""
+        return {name: self[name] for name in VIEWS} | {name: self[role] for name, role in others.items()}
+
     def __missing__(self, name: str) -> DataFrame:
         if name in TABLES:
             self[name] = self._spark.read.parquet(f"{self._dir}/{name}.parquet")

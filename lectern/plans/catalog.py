@@ -25,7 +25,7 @@ FLAGSHIP = "hybrid_find"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Queries that show a day.
-DATED = ("facet_filter", "newest_page", "topic_spotlight", "topic_pair", "person_page", "thin_records")
+DATED = ("collection_members", "shortlist_rows", "semantic_search", "facet_filter", "newest_page", "topic_spotlight", "topic_pair", "person_page", "thin_records")
 
 
 def query(name: str, sql: str | None = None, *roles: str):
@@ -232,9 +232,9 @@ def _(c):
 
 @query("duplicate_names", """
 SELECT name, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids
-FROM (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_size <= 25) GROUP BY name HAVING count(*) > 1""")
+FROM (SELECT p_partkey AS id, p_name AS name FROM part) GROUP BY name HAVING count(*) > 1""")
 def _(c):
-    return V.duplicate_names(c["part"].where("p_size <= 25").selectExpr("p_partkey AS id", "p_name AS name", "cast(null AS long) AS merged_into"))
+    return V.duplicate_names(c["part"].selectExpr("p_partkey AS id", "p_name AS name", "cast(null AS long) AS merged_into"))
 
 
 @query("merged_credits", """
@@ -297,22 +297,68 @@ UNION ALL SELECT 'models', count(DISTINCT model) FROM first
 UNION ALL SELECT 'mapped', count(DISTINCT publication_id) FROM publication_topics
 UNION ALL SELECT 'unenriched', count(*) FROM publication_text WHERE word_count > 0 AND publication_id NOT IN (SELECT publication_id FROM first)
 UNION ALL SELECT 'no_topics', count(*) FROM first WHERE publication_id NOT IN (SELECT publication_id FROM publication_topics)
-UNION ALL SELECT 'uncredited', count(*) FROM publications WHERE parent_id IS NULL AND id NOT IN (SELECT publication_id FROM credits)
-UNION ALL SELECT 'no_text', count(*) FROM publications WHERE id NOT IN (SELECT publication_id FROM publication_text))
+UNION ALL SELECT 'site_tags', count(*) FROM site_tags
+UNION ALL SELECT 'indexed', count(*) FROM documents
+UNION ALL SELECT 'sections', count(*) FROM sections_
+UNION ALL SELECT 'no_sections', count(*) FROM publication_text WHERE publication_id NOT IN (SELECT publication_id FROM sections_)
+UNION ALL SELECT 'no_vector', count(*) FROM sections_ WHERE NOT is_boilerplate AND id NOT IN (SELECT source_id FROM vectors_ WHERE source_type = 'section')
+UNION ALL SELECT 'no_one_liner', count(*) FROM first WHERE publication_id NOT IN (SELECT source_id FROM vectors_ WHERE source_type = 'one_liner')
+UNION ALL SELECT 'vectors', count(*) FROM vectors_)
 """
-_STATUS_ROLES = ("publications", "people", "publication_text", "enrichments", "publication_topics", "credits")
+_STATUS_ROLES = ("publications", "people", "publication_text", "enrichments", "publication_topics", "credits", "site_tags", "sections_", "vectors_")
+
+
+def _whole(c):
+    return c.catalog(sections="sections_", embeddings="vectors_", indexed="documents")
 
 
 @query("status_report", _STATUS + "SELECT * FROM status", *_STATUS_ROLES)
 def _(c):
-    return V.status_report(c)
+    return V.status_report(_whole(c))
+
+
+@query("status_groups", """
+SELECT 'type' AS facet, pub_type AS value, count(*) AS n FROM publications WHERE parent_id IS NULL GROUP BY 2
+UNION ALL SELECT 'role', role, count(*) FROM credits GROUP BY 2
+UNION ALL SELECT 'affiliation', affiliation, count(*) FROM people WHERE merged_into IS NULL GROUP BY 2
+UNION ALL SELECT 'current', affiliation, count(*) FILTER (is_current) FROM people WHERE merged_into IS NULL GROUP BY 2
+UNION ALL SELECT 'sitemap', concat(scope, ' ', status), count(*) FROM sitemap_urls GROUP BY 2
+UNION ALL SELECT 'vectors', source_type, count(*) FROM vectors_ GROUP BY 2""", "publications", "credits", "people", "sitemap_urls", "vectors_")
+def _(c):
+    return V.status_groups(_whole(c))
+
+
+@query("status_warnings", _STATUS + """, n AS (SELECT measure, n FROM status),
+split AS (SELECT count(*) AS n FROM (SELECT name FROM people WHERE merged_into IS NULL GROUP BY name HAVING count(*) > 1)),
+total AS (SELECT CAST(sum(n) AS BIGINT) AS n FROM n WHERE measure IN ('publications', 'chapters'))
+SELECT 'split' AS measure, concat(n, ' names are carried by more than one person, merge them') AS warning FROM split WHERE n > 0
+UNION ALL SELECT measure, concat(n.n, ' of ', total.n) FROM n, total WHERE false
+UNION ALL SELECT measure, concat('the keyword index holds ', n.n, ' of ', total.n, ' publications and chapters, build it again') FROM n, total WHERE measure = 'indexed' AND n.n <> total.n
+UNION ALL SELECT measure, concat(n, CASE measure WHEN 'no_sections' THEN ' texts have no sections, extract them' WHEN 'no_vector' THEN ' sections have no vector, embed them'
+  WHEN 'no_one_liner' THEN ' summaries have no vector, embed them' ELSE ' summaries carry no topics, map them' END) FROM n WHERE n > 0 AND measure IN ('no_sections', 'no_vector', 'no_one_liner', 'no_topics')
+UNION ALL SELECT measure, 'no vector is stored, searches rest on keywords alone' FROM n WHERE measure = 'vectors' AND n = 0""", *_STATUS_ROLES)
+def _(c):
+    return V.status_warnings(_whole(c))
+
 
+_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.CAVEATS.items())
 
-@query("coverage_caveats", _STATUS + """SELECT measure, replace(CASE measure WHEN 'uncredited' THEN '% records credit no person, so author-based answers under-report'
-WHEN 'no_text' THEN '% records have no full text and are matchable by title alone' WHEN 'unenriched' THEN '% texts have no summary yet'
-ELSE '% summaries carry no topics yet' END, '%', CAST(n AS VARCHAR)) AS caveat FROM status WHERE n > 0 AND measure IN ('uncredited', 'no_text', 'unenriched', 'no_topics')""", *_STATUS_ROLES)
+
+@query("coverage_caveats", f"""
+WITH root AS (SELECT *, coalesce(disposition, '') = 'exclude' AS out_ FROM sitemap_urls), gaps AS (
+SELECT 'legacy' AS measure, count(*) AS n FROM root WHERE scope = 'root-level' AND status = 'pending' AND NOT out_
+UNION ALL SELECT 'declined', count(*) FROM root WHERE scope = 'root-level' AND out_
+UNION ALL SELECT 'unscraped', count(*) FROM root WHERE scope = 'publication' AND status IN ('failed', 'skipped')
+UNION ALL SELECT 'gone', count(*) FROM root WHERE scope = 'publication' AND status = 'gone'
+UNION ALL SELECT 'uncredited', count(*) FROM publications WHERE parent_id IS NULL AND id NOT IN (SELECT publication_id FROM credits)
+UNION ALL SELECT 'split', count(*) FROM (SELECT name FROM people WHERE merged_into IS NULL GROUP BY name HAVING count(*) > 1)
+UNION ALL SELECT 'by_hand', count(*) FROM credits WHERE source = 'manual'
+UNION ALL SELECT 'no_text', count(*) FROM publications WHERE id NOT IN (SELECT publication_id FROM publication_text)
+UNION ALL SELECT 'title_only', count(*) FROM publications WHERE description IS NULL AND id NOT IN (SELECT publication_id FROM publication_text))
+SELECT measure, n, replace(CASE measure {_CASES} END, '%', CAST(n AS VARCHAR)) AS caveat FROM gaps WHERE n > 0
+UNION ALL SELECT 'elsewhere', -1, '{V.ELSEWHERE}'""", "sitemap_urls", "publications", "credits", "people", "publication_text")
 def _(c):
-    return V.caveats(V.status_report(c))
+    return V.caveats(_whole(c)).fillna(-1, ["n"])
 
 
 @query("review_stats", "SELECT count(*) FILTER (verdict = 'confirmed') AS confirmed, count(*) FILTER (verdict = 'flagged') AS flagged FROM reviews WHERE scope = 'enrichment'", "reviews")
@@ -326,11 +372,42 @@ def _(c):
     return M.latest(c["reviews"], ["scope", "subject_id"], ["created_at", "id"]).select("scope", "subject_id", "verdict", "note", "created_at")
 
 
-@query("series_members", """
-SELECT s.series, count(id) AS members FROM (SELECT DISTINCT series FROM publications WHERE series IS NOT NULL) s
-LEFT JOIN publications p ON p.series = s.series AND access = 'member' GROUP BY s.series""", "publications")
+@query("collection_counts", """
+SELECT c.slug, name, count(p.publication_id) AS n FROM collections c LEFT JOIN publication_collections p ON c.slug = p.slug GROUP BY c.slug, name""", "collections", "publication_collections")
+def _(c):
+    return V.collection_counts(c)
+
+
+@query("collection_members", """
+SELECT p.id, title, pub_type, date_published, m.source, one_liner FROM publication_collections m JOIN publications p ON publication_id = p.id
+LEFT JOIN enrichments e ON e.publication_id = p.id AND is_primary WHERE m.slug = 'c7'""", "publication_collections", "publications", "enrichments")
+def _(c):
+    return V.collection_members(c, "c7")
+
+
+@query("collections_for", "SELECT publication_id, slug, name, source FROM publication_collections JOIN collections USING (slug)", "publication_collections", "collections")
+def _(c):
+    return V.collections_for(c)
+
+
+@query("shortlist_rows", """
+SELECT p.id, title, pub_type, date_published, s.note, s.added_at, one_liner FROM shortlist s JOIN publications p ON s.publication_id = p.id
+LEFT JOIN enrichments e ON e.publication_id = p.id AND is_primary""", "shortlist", "publications", "enrichments")
+def _(c):
+    return V.shortlist_rows(c)
+
+
+@query("tags_matching", """
+SELECT name AS tag, p.id, title FROM site_tags t JOIN publication_site_tags x ON t.id = x.tag_id JOIN publications p ON p.id = x.publication_id WHERE lower(name) LIKE '%ag 3%'""", "site_tags", "publication_site_tags", "publications")
+def _(c):
+    return V.tags_matching(c, "AG 3")
+
+
+@query("parent_typeahead", """
+SELECT id, title, CAST(date_published AS VARCHAR) AS date_published, CASE WHEN lower(title) LIKE 'paper 37%' THEN 0 WHEN lower(title) LIKE '% paper 37%' THEN 1 ELSE 2 END AS rank
+FROM publications WHERE parent_id IS NULL AND lower(title) LIKE '%paper 37%' ORDER BY rank, date_published DESC, id LIMIT 10""", "publications")
 def _(c):
-    return V.series_members(c)
+    return V.parent_typeahead(c["publications"], "Paper 37")
 
 
 @query("round_robin_worklist", """
@@ -419,7 +496,7 @@ def _(c):
     p, t = c["publications"], c["publication_text"].withColumnRenamed("source", "stored_source").withColumnRenamed("word_count", "stored_words")
     medians = p.join(t, F.col("id") == F.col("publication_id")).groupBy(F.col("pub_type").alias("kind")).agg(F.median("stored_words").alias("type_median"))
     shared = p.where("pdf_url IS NOT NULL").groupBy("pdf_url").agg(F.count("*").alias("k"))
-    rows = p.join(shared, "pdf_url").join(t, F.col("id") == F.col("publication_id"), "left").join(F.broadcast(medians), F.col("pub_type") == F.col("kind"))
+    rows = p.join(shared, "pdf_url").join(t, F.col("id") == F.col("publication_id"), "left").join(medians, F.col("pub_type") == F.col("kind"))
     rows = rows.selectExpr("id", "stored_source", "stored_words", "id % 11 = 0 AS foreign_host", "CASE WHEN k > 5 THEN k ELSE 1 END AS n_sharing", "id % 7 <> 0 AS found", "id % 400 AS pdf_words", "type_median")
     return M.pdf_decisions(rows)
 
@@ -545,14 +622,28 @@ def _(c):
     return hits.withColumn("score", F.round("score", 9))
 
 
-@query("coverage_verdicts", """
-WITH m AS (SELECT topic_slug, count(*) AS mentions, count(*) FILTER (position = 1 AND publication_id % 97 = 0) AS about FROM publication_topics WHERE publication_id % 53 = 0 GROUP BY topic_slug),
-t AS (SELECT *, mentions + 10 * about AS mass, CASE WHEN about >= 8 OR (about >= 3 AND mentions >= 80) OR mentions >= 150 THEN 4 WHEN about >= 2 OR (about >= 1 AND mentions >= 20) THEN 3 ELSE 2 END AS band FROM m),
-u AS (SELECT *, CASE band WHEN 4 THEN (ln(1 + mass) - ln(151)) / (ln(1501) - ln(151)) WHEN 3 THEN (about + mentions / 50 - 1) / 7 ELSE mass / 20 END AS t FROM t)
-SELECT topic_slug, mentions, about, band, round((band + least(greatest(t, 0), 1)) / 5, 4) AS pos FROM u""", "publication_topics")
+_VERDICT = """CASE WHEN mentions = 0 THEN NULL WHEN about >= 8 OR (about >= 3 AND mentions >= 80) OR mentions >= 150 THEN 4 WHEN about >= 2 OR (about >= 1 AND mentions >= 20) THEN 3 ELSE 2 END"""
+_POS = """round((band + least(greatest(CASE band WHEN 4 THEN (ln(1 + mentions + 10 * about) - ln(151)) / (ln(1501) - ln(151)) WHEN 3 THEN (about + mentions / 50 - 1) / 7 ELSE (mentions + 10 * about) / 20 END, 0), 1)) / 5, 4)"""
+
+
+@query("coverage_verdicts", f"""
+WITH m AS (SELECT topic_slug, strftime(date_published, '%Y-%m') AS month, count(*) AS mentions, count(*) FILTER (position = 1 AND parent_id IS NULL) AS about
+  FROM publication_topics JOIN publications ON publication_id = id GROUP BY 1, 2), t AS (SELECT *, {_VERDICT} AS band FROM m)
+SELECT topic_slug, month, mentions, about, band, {_POS} AS pos FROM t""", "publication_topics", "publications")
+def _(c):
+    rows = c["publication_topics"].join(c["publications"].select("id", "parent_id", F.date_format("date_published", "yyyy-MM").alias("month")), F.col("publication_id") == F.col("id"))
+    own = rows.groupBy("topic_slug", "month").agg(F.count("*").alias("mentions"), F.count_if(F.expr("position = 1 AND parent_id IS NULL")).alias("about"))
+    return own.withColumn("v", R.verdict(F.col("about"), F.col("mentions"), F.lit(0.0), F.lit(False))).select("topic_slug", "month", "mentions", "about", "v.band", "v.pos")
+
+
+@query("similarity_verdicts", f"""
+SELECT id, CASE WHEN similarity >= 0.4 THEN 1 ELSE 0 END AS band,
+  round((CASE WHEN similarity >= 0.4 THEN 1 + least((similarity - 0.4) / 0.25, 1) ELSE greatest((similarity - 0.15) / 0.25, 0) END) / 5, 4) AS pos FROM ({{}})""".format(
+    "SELECT vec_id AS id, list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7)), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS similarity FROM embeddings"
+))
 def _(c):
-    own = c["publication_topics"].where("publication_id % 53 = 0").groupBy("topic_slug").agg(F.count("*").alias("mentions"), F.count_if(F.expr("position = 1 AND publication_id % 97 = 0")).alias("about"))
-    return own.withColumn("v", R.verdict(F.col("about"), F.col("mentions"), F.lit(0.0), F.lit(False))).select("topic_slug", "mentions", "about", "v.band", "v.pos")
+    rows = _vectors(c).select("id", R.similarity(F.col("vector"), _query_vector(c)).alias("s"))
+    return rows.select("id", R.verdict(F.lit(0), F.lit(0), F.col("s"), F.lit(False)).alias("v")).select("id", "v.band", "v.pos")
 
 
 @query("citations", """
@@ -577,10 +668,10 @@ def _(c):
 
 
 @query("slugs_and_words", r"""
-SELECT doc_id, rtrim(substr(trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-') AS slug,
-  len(regexp_extract_all(text, '[^\s\x0B]+')) AS words FROM documents""")
+SELECT doc_id, rtrim(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-') AS slug,
+  len(regexp_extract_all(text, '[^@]+')) AS words, length(text) - length(replace(text, ' ', '')) + 1 AS spaces FROM documents""".replace("@", X.SPACES))
 def _(c):
-    return c["documents"].select("doc_id", X.slugify(F.substring("text", 1, 200)).alias("slug"), X.word_count(F.col("text")).cast("long").alias("words"))
+    return c["documents"].select("doc_id", X.slugify(F.col("text")).alias("slug"), X.word_count(F.col("text")).cast("long").alias("words"), X.spaces_count(F.col("text")).cast("long").alias("spaces"))
 
 
 @query("quarters", f"SELECT id, {_QUARTER} AS quarter, CAST((month(date_published) + 2) // 3 AS INT) AS q FROM publications", "publications")
@@ -606,7 +697,7 @@ def _(c):
 
 
 @query("first_words", r"""
-SELECT doc_id, array_to_string(list_slice(string_split(trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g')), ' '), 1, 12), ' ') AS opening FROM documents""")
+SELECT doc_id, array_to_string(list_slice(string_split(trim(regexp_replace(text, '[@]+', ' ', 'g')), ' '), 1, 12), ' ') AS opening FROM documents""".replace("@", X.SPACES))
 def _(c):
     return c["documents"].select("doc_id", X.first_words(F.col("text"), 12).alias("opening"))
 
@@ -703,15 +794,45 @@ def _(c):
     return rows
 
 
+_TERMS = ("watch", "finance", "370", "27", "zebra")
+_WORDS = "regexp_extract_all(lower(concat_ws(' ', title, series)), '[a-z0-9]+')"
+
+
 @query("coverage_view", f"""
-WITH direct AS (SELECT id FROM publications WHERE list_contains(regexp_extract_all(lower(concat_ws(' ', title, series)), '[a-z0-9]+'), 'watch')),
-about AS (SELECT id FROM publications WHERE list_contains(regexp_extract_all(lower(title), '[a-z0-9]+'), 'finance') AND id % 10 = 0),
-tier AS (SELECT 'm' AS k, count(*) AS n, sum({_WEIGHT}) AS w FROM publications WHERE id IN (SELECT coalesce(parent_id, p.id) FROM direct JOIN publications p USING (id))
-  UNION ALL SELECT 'a', count(*), sum({_WEIGHT}) FROM publications WHERE id IN (SELECT coalesce(parent_id, p.id) FROM about JOIN publications p USING (id)))
-SELECT mentions, weighted, about, 4 AS band, round((4 + least(greatest((ln(1 + mentions + 10 * about) - ln(151)) / (ln(1501) - ln(151)), 0), 1)) / 5, 4) AS pos
-FROM (SELECT CAST(sum(n) FILTER (k = 'm') AS BIGINT) AS mentions, CAST(sum(w) FILTER (k = 'm') AS BIGINT) AS weighted, CAST(sum(n) FILTER (k = 'a') AS BIGINT) AS about FROM tier)""", "publications")
+WITH terms AS (SELECT unnest({list(_TERMS)}) AS term),
+direct AS (SELECT DISTINCT term, coalesce(parent_id, id) AS id FROM publications, terms WHERE list_contains({_WORDS}, term)),
+about AS (SELECT DISTINCT term, coalesce(parent_id, id) AS id FROM publications, terms WHERE list_contains(regexp_extract_all(lower(title), '[a-z0-9]+'), term)),
+d AS (SELECT term, count(*) AS mentions, CAST(sum({_WEIGHT}) AS BIGINT) AS weighted FROM direct JOIN publications USING (id) GROUP BY term),
+a AS (SELECT term, count(*) AS about FROM about GROUP BY term),
+n AS (SELECT term, coalesce(mentions, 0) AS mentions, coalesce(weighted, 0) AS weighted, coalesce(about, 0) AS about FROM terms LEFT JOIN d USING (term) LEFT JOIN a USING (term)),
+t AS (SELECT *, {_VERDICT} AS band FROM n)
+SELECT term, mentions, weighted, about, coalesce(band, -1) AS band, coalesce({_POS}, -1) AS pos FROM t""", "publications")
 def _(c):
     index = S.Scan(c["publications"].select("id", "title", "series"), ("title", "series"))
-    direct = S.match(index, "watch", (1.0, 1.0)).select("id")
-    about = S.match(index, "{title} : (finance)", (1.0, 1.0)).select("id").where("id % 10 = 0")
-    return V.coverage(c, direct, about, None).select("mentions", "weighted", "about", "verdict.band", "verdict.pos")
+    rows = None
+    for term in _TERMS:
+        direct = S.match(index, term, (1.0, 1.0)).select("id")
+        about = S.match(index, "{title} : (" + term + ")", (1.0, 1.0)).select("id")
+        one = V.coverage(c, direct, about, None).select(F.lit(term).alias("term"), "mentions", "weighted", "about", "verdict.band", "verdict.pos")
+        rows = one if rows is None else rows.union(one)
+    return rows.fillna(-1, ["band"]).fillna(-1.0, ["pos"])
+
+
+@query("neighbours", f"""
+WITH s AS ({_VECTOR_RANK}), near AS (SELECT s.id, round(similarity, 3) AS similarity, title, pub_type, strftime(date_published, '%Y-%m') AS month FROM s JOIN publications USING (id) WHERE {_SCOPE}
+  ORDER BY s.similarity DESC, s.id LIMIT 12)
+SELECT near.*, label AS topic, summary, x, y FROM near
+LEFT JOIN (SELECT publication_id, label FROM publication_topics JOIN topics ON topic_slug = slug WHERE position = 1) t ON t.publication_id = near.id
+LEFT JOIN (SELECT publication_id, summary FROM enrichments WHERE is_primary) e ON e.publication_id = near.id LEFT JOIN landscape_coords l ON l.publication_id = near.id""", "publications", "publication_topics", "topics", "enrichments", "landscape_coords")
+def _(c):
+    rows = _vectors(c).select("id", R.similarity(F.col("vector"), _query_vector(c)).alias("similarity"))
+    return V.neighbours(c, rows)
+
+
+@query("semantic_search", f"""
+WITH s AS (SELECT v.*, similarity FROM vectors_ v JOIN ({_VECTOR_RANK}) r ON r.id = v.source_id WHERE source_type = 'section' ORDER BY similarity DESC, source_id LIMIT 48),
+best AS (SELECT publication_id, max(similarity) AS similarity, arg_max(source_id, (similarity, -source_id)) AS source_id FROM s GROUP BY publication_id)
+SELECT b.publication_id, source_id, round(b.similarity, 6) AS similarity, row_number() OVER (ORDER BY b.similarity DESC, source_id) AS position, title, pub_type, date_published, heading, body FROM
+(SELECT * FROM best ORDER BY similarity DESC, source_id LIMIT 8) b JOIN publications p ON p.id = b.publication_id LEFT JOIN sections_ x ON x.id = b.source_id""", "vectors_", "publications", "sections_")
+def _(c):
+    return R.semantic_search(_whole(c), _query_vector(c), 8).withColumn("similarity", F.round("similarity", 6))

@@ -13,9 +13,9 @@ from ..operators import views as V
 from .catalog import _QUERY_VEC, _TOKENS, _bm25, _doc_index, _query_vector, _top, _vectors, query
 
 
-@query("filtered_search", _bm25(["trash", "moron", "idiot"], False, 30) + """SELECT id, round(score, 9) AS score, position FROM top WHERE id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND doc_id % 2 = 0)""", "documents_")
+@query("filtered_search", _bm25(["trash", "moron", "idiot"], False, 30) + """SELECT id, round(score, 9) AS score, position FROM top WHERE id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'fr'))""", "documents_")
 def _(c):
-    pubs = c["documents_"].where("id % 2 = 0").select("id", "lang")
+    pubs = c["documents_"].select("id", "lang")
     return V.filtered_hits(_top(_doc_index(c), "trash OR moron OR idiot", 30), pubs, lang=["en", "fr"])
 
 
@@ -62,11 +62,11 @@ def _sections(c):
     return c["conversations"].selectExpr("conv_id * 1000 + turn AS id", "conv_id AS publication_id", "role AS heading", "text AS body")
 
 
-@query("best_sections", f"""WITH {_SECTIONS} SELECT id, section_id, round(score, 9) AS score FROM scored WHERE id % 2 = 0
+@query("best_sections", f"""WITH {_SECTIONS} SELECT id, section_id, round(score, 9) AS score FROM scored
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9), section_id) = 1""")
 def _(c):
     s = _sections(c)
-    ids = s.where("publication_id % 2 = 0").select(F.col("publication_id").alias("id")).distinct()
+    ids = s.select(F.col("publication_id").alias("id")).distinct()
     scan = S.Scan(s.select("id", "heading", "body"), ("heading", "body"))
     return S.best_sections(scan, s, "with", ids).withColumn("score", F.round("score", 9))
 
@@ -93,14 +93,15 @@ def _(c):
     return S.stale(c["publications"].where("id % 11 <> 0").selectExpr("id", "CASE WHEN id % 9 = 0 THEN upper(title) ELSE title END AS title"), c["publications"])
 
 
-@query("placed_points", f"""
-WITH dots AS (SELECT a.vec_id AS anchor, b.vec_id AS id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 7 <> 0 AND b.vec_id % 70 = 0),
+@query("placed_points", """
+WITH dots AS (SELECT a.vec_id AS anchor, b.vec_id AS id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS s FROM embeddings a, embeddings b WHERE a.label < 8 AND b.label >= 8),
 near AS (SELECT *, power(greatest(s, 0.05), 2) AS w FROM dots QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, anchor) <= 10)
 SELECT id, round(sum(w * (anchor % 13)) / sum(w), 6) AS x, round(sum(w * (anchor % 17)) / sum(w), 6) AS y FROM near GROUP BY id""")
 def _(c):
-    v = _vectors(c)
-    points = v.where("id % 7 <> 0").selectExpr("id", "CAST(id % 13 AS DOUBLE) AS x", "CAST(id % 17 AS DOUBLE) AS y")
-    return R.place(points, v, v.where("id % 70 = 0")).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """Points of two clusters are new, all others have their places."""
+    old = c["embeddings"].where("label < 8").selectExpr("vec_id AS id", "CAST(vec_id % 13 AS DOUBLE) AS x", "CAST(vec_id % 17 AS DOUBLE) AS y")
+    new = c["embeddings"].where("label >= 8").selectExpr("vec_id AS id", "embedding AS vector")
+    return R.place(old, _vectors(c), new).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query("similar_unit_vectors", f"""
@@ -206,4 +207,49 @@ def _(c):
 def _(c):
     from ..operators import landscape
 
-    return landscape.fit(_vectors(c), 300)
+    return landscape.fit(_vectors(c))
+
+
+@query("merged_people", "SELECT c_custkey AS id, c_custkey - c_custkey % 8 AS survivor FROM customer")
+def _(c):
+    people = c["customer"].selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 8 <> 0 THEN c_custkey - 1 END AS merged_into")
+    return M.resolve_merged(people)
+
+
+@query("people_found", """
+WITH seen AS (SELECT p_partkey AS turn, CASE WHEN p_partkey % 3 = 0 THEN concat('person-', p_size) END AS slug, p_name AS name FROM part),
+keyed AS (SELECT *, CASE WHEN slug IS NOT NULL THEN concat('slug ', slug) ELSE concat('name ', name) END AS key FROM seen),
+known AS (SELECT concat('slug ', slug) AS key, id, merged_into FROM people), keys AS (SELECT DISTINCT key FROM keyed),
+ids AS (SELECT key, coalesce(merged_into, id) AS person_id FROM keys JOIN known USING (key)
+  UNION ALL SELECT key, (SELECT max(id) FROM people) + row_number() OVER (ORDER BY key) FROM keys WHERE key NOT IN (SELECT key FROM known))
+SELECT DISTINCT slug, name, person_id FROM keyed JOIN ids USING (key)""", "people")
+def _(c):
+    people = c["people"].withColumn("job_title", F.lit(None).cast("string"))
+    seen = c["part"].selectExpr("p_partkey AS turn", "CASE WHEN p_partkey % 3 = 0 THEN concat('person-', p_size) END AS slug", "p_name AS name", "false AS is_internal", "CAST(NULL AS STRING) AS job_title")
+    return M.resolve_people(people, seen)[1]
+
+
+@query("credited_by_hand", """
+WITH added AS (SELECT DISTINCT o_orderkey AS publication_id, o_custkey % 50 AS person_id, 'guest' AS role FROM orders WHERE o_orderstatus = 'P'),
+new AS (SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM credits c WHERE c.publication_id = a.publication_id AND c.person_id = a.person_id AND c.role = a.role)),
+last AS (SELECT publication_id, max(position) AS last FROM credits GROUP BY 1)
+SELECT publication_id, person_id, role, CAST(position AS BIGINT) AS position, source FROM credits
+UNION ALL SELECT publication_id, person_id, role, coalesce(last, -1) + row_number() OVER (PARTITION BY publication_id ORDER BY person_id), 'manual' FROM new LEFT JOIN last USING (publication_id)""", "credits")
+def _(c):
+    return M.credit(c["credits"], c["orders"].where("o_orderstatus = 'P'").selectExpr("o_orderkey AS publication_id", "o_custkey % 50 AS person_id", "'guest' AS role"))
+
+
+_ASKED = """SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'shelve' WHEN 'click' THEN 'link' WHEN 'error' THEN 'reopen' ELSE 'other' END AS action,
+  CASE WHEN user_id % 4 = 0 THEN ' ' ELSE props END AS text, user_id * 40 AS publication_id FROM {}"""
+
+
+@query("note_refusals", f"""
+WITH asked AS ({_ASKED.format('events')}), state AS (SELECT event_id AS id, event_id % 6 = 0 AS landed, event_id % 6 = 1 AS shelved FROM events WHERE event_id % 10 <> 0)
+SELECT a.id, CASE WHEN s.id IS NULL THEN 'no such note' WHEN action = 'shelve' AND trim(text) = '' THEN 'shelving takes a reason' WHEN action = 'shelve' AND landed THEN 'it has landed'
+  WHEN action = 'link' AND shelved THEN 'it is shelved' WHEN action = 'link' AND p.id IS NULL THEN 'no such publication' ELSE 'no such action' END AS problem
+FROM asked a LEFT JOIN state s ON a.id = s.id LEFT JOIN publications p ON p.id = a.publication_id
+WHERE s.id IS NULL OR (action = 'shelve' AND (trim(text) = '' OR landed)) OR (action = 'link' AND (shelved OR p.id IS NULL)) OR action = 'other'""", "publications")
+def _(c):
+    notes = c["events"].where("event_id % 10 <> 0").selectExpr("event_id AS id", "CASE WHEN event_id % 6 = 0 THEN 1L END AS publication_id", "CAST(NULL AS DATE) AS landed_at", "CASE WHEN event_id % 6 = 1 THEN DATE '2024-01-01' END AS shelved_at", "CAST(NULL AS STRING) AS shelved_reason", "CAST(NULL AS DATE) AS updated_at")
+    asked = c["events"].sparkSession.sql(_ASKED.format("{events}"), events=c["events"])
+    return M.note_changes(notes, c["publications"], asked, "2024-05-01")[1]
