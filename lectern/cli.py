@@ -1,12 +1,15 @@
 """A command line over stored catalogs: ``python -m lectern.cli FOLDER COMMAND``.
 
 Every command prints JSON lines of one lazy view; none computes anything of
-its own. ``serve`` answers the same commands over HTTP, read-only.
+its own. Changes write a new version of the tables they touch. ``serve``
+answers the reading commands over HTTP. The keyword indexes of a version are
+built once, when a search first asks for them, and kept beside it.
 """
 
 from __future__ import annotations
 
 import argparse
+import datetime
 import hmac
 import json
 import sys
@@ -15,24 +18,75 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .operators import ingest as I
+from .operators import landscape
 from .operators import search as S
 from .operators import state as M
+from .operators import vectors as R
 from .operators import views as V
 from .sources import snapshot
 
-Catalog = dict[str, DataFrame]
+FIELDS = ("title", "subtitle", "description", "body")
+#: Makes a vector of a question, where there is a model: set by the caller.
+EMBED: Callable[[str], list[float]] | None = None
 
 
-def index_of(c: Catalog) -> S.Index:
-    texts = c["publication_text"].select("publication_id", "body").withColumnRenamed("publication_id", "id")
-    docs = c["publications"].select("id", "title", "subtitle", "description").join(texts, "id", "left")
-    return S.Index.build(M.reindexed(docs), ("title", "subtitle", "description", "body"), stemmed=True)
+class Catalog(dict):
+    """The tables of a stored version, and where its indexes are kept."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(snapshot.load(spark, folder))
+        self.folder = folder
+        self.version = (snapshot.versions(spark, folder) or [0])[-1]
+
+    def index(self) -> S.Index:
+        texts = self["publication_text"].select(F.col("publication_id").alias("id"), "body")
+        docs = self["publications"].select("id", "title", "subtitle", "description").join(texts, "id", "left")
+        return S.Index.kept(M.reindexed(docs), f"{self.folder}/index/v={self.version}/publications", FIELDS, True)
+
+    def section_index(self) -> S.Index:
+        return S.Index.kept(self["sections"].select("id", "heading", "body"), f"{self.folder}/index/v={self.version}/sections", ("heading", "body"), True)
+
+
+def _shown(c: Catalog, hits: DataFrame) -> DataFrame:
+    return hits.join(c["publications"].select("id", "title", "url", "pub_type", "date_published", "parent_id"), "id").orderBy("position")
 
 
 def search(c: Catalog, q: str = "", limit: int = 10, strict: bool = False) -> DataFrame:
-    hits = S.search(index_of(c), q if strict else S.safe_query(q), S.PUBLICATION_WEIGHTS, int(limit))
-    return hits.join(c["publications"].select("id", "title", "url", "pub_type", "date_published"), "id").orderBy("position")
+    return _shown(c, S.search(c.index(), q if strict else S.safe_query(q), S.PUBLICATION_WEIGHTS, int(limit)))
+
+
+def _vector(q: str, vector: str | None) -> list[float] | None:
+    return json.loads(vector) if vector else EMBED(q) if EMBED else None
+
+
+def find(c: Catalog, q: str = "", limit: int = 10, vector: str | None = None) -> DataFrame:
+    """Hybrid search: keywords and both kinds of vectors, with the one-liner,
+    the best section, the parent's title, and the shortlist's mark."""
+    own, kinds = _vector(q, vector), []
+    if own:
+        kinds = [(c["embeddings"].where(F.col("source_type") == kind).select(F.col("publication_id").alias("id"), "vector"), own) for kind in ("one_liner", "section")]
+    hits, notes = R.hybrid(c.index(), q, kinds, int(limit), c["shortlist"])
+    parents = c["publications"].select(F.col("id").alias("parent_id"), F.col("title").alias("parent"))
+    lines = V.primary(c).select(F.col("publication_id").alias("id"), "one_liner")
+    marks = c["shortlist"].select(F.col("publication_id").alias("id"), F.lit(True).alias("shortlisted"))
+    out = _shown(c, hits).join(parents, "parent_id", "left").join(lines, "id", "left").join(marks, "id", "left")
+    try:
+        best = S.best_sections(c.section_index(), c["sections"], S.safe_query(q), hits.select("id"))
+        best = best.join(c["sections"].select(F.col("id").alias("section_id"), "heading"), "section_id").select("id", F.col("heading").alias("section"))
+        out = out.join(best, "id", "left")
+    except S.MatchError:
+        out = out.withColumn("section", F.lit(None).cast("string"))
+    return out.withColumns({"shortlisted": F.coalesce("shortlisted", F.lit(False)), "notes": F.lit("; ".join(notes))}).orderBy("position")
+
+
+def semantic(c: Catalog, q: str = "", limit: int = 10, source: str = "section", vector: str | None = None) -> DataFrame:
+    own = _vector(q, vector)
+    if not own:
+        raise ValueError("a semantic search needs a vector of the question")
+    return R.semantic_search(c, own, int(limit), source).orderBy("position")
 
 
 def listing(c: Catalog, type: str | None = None, year: str | None = None, topic: str | None = None, series: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -43,20 +97,150 @@ def people(c: Catalog, q: str = "", limit: int = 10) -> DataFrame:
     return V.typeahead(c["people"].where("merged_into IS NULL"), q, int(limit))
 
 
+def publication(c: Catalog, ref: str = "") -> DataFrame:
+    """All of one publication, by id, url or slug."""
+    own = F.col("id") == I.find_publication(c["publications"], ref)
+    shelves = V.collections_for(c).groupBy(F.col("publication_id").alias("id")).agg(F.array_sort(F.collect_list("name")).alias("collections"))
+    pieces = c["sections"].groupBy(F.col("publication_id").alias("id")).agg(F.count("*").alias("sections"))
+    return V.publication_detail(c).where(own).join(shelves, "id", "left").join(pieces, "id", "left")
+
+
+def _parts(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row for each row of the parts, as JSON, by name of the part."""
+    out = None
+    for name, df in parts.items():
+        one = df.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("row"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _hits(c: Catalog, q: str, limit: int | None) -> DataFrame:
+    if limit is not None:
+        return S.search(c.index(), S.safe_query(q), S.PUBLICATION_WEIGHTS, limit).select("id", "position")
+    return S.match(c.index(), S.safe_query(q), S.PUBLICATION_WEIGHTS).select("id", F.lit(1).alias("position"))
+
+
+def coverage_check(c: Catalog, q: str = "", limit: int = 10) -> DataFrame:
+    found = V.coverage_check(c, q, _hits(c, q, int(limit)), int(limit))
+    return _parts(found | {"matches": _hits(c, q, None).agg(F.count("*").alias("n"))})
+
+
+def coverage(c: Catalog, q: str = "", vector: str | None = None) -> DataFrame:
+    about = S.match(c.index(), "{title subtitle description} : (" + S.safe_query(q) + ")", S.PUBLICATION_WEIGHTS).select("id")
+    own, near = _vector(q, vector), None
+    if own:
+        vectors = c["embeddings"].where("source_type = 'one_liner'").select(F.col("publication_id").alias("id"), "vector")
+        near = vectors.select("id", R.similarity(F.col("vector"), own).alias("similarity"))
+    found = V.coverage_view(_with_topics(c), q, _hits(c, q, 10), about, near)
+    found["verdict"] = V.coverage(c, _hits(c, q, None).select("id"), about, near)
+    if own:
+        points = c["embeddings"].where("source_type = 'one_liner'").select(F.col("publication_id").alias("id"), "vector")
+        found["place"] = landscape.place_term(c["landscape_coords"].select(F.col("publication_id").alias("id"), "x", "y"), points, own)
+    return _parts(found)
+
+
+def _with_topics(c: Catalog) -> dict[str, DataFrame]:
+    """The vocabulary, or else the topics that are in use."""
+    return dict(c) | {"topics": c["publication_topics"].selectExpr("topic_slug AS slug", "topic_slug AS label", "0 AS cluster").distinct()}
+
+
 COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "search": search,
+    "find": find,
+    "semantic": semantic,
     "list": listing,
     "people": people,
+    "parents": lambda c, q="", limit=10: V.parent_typeahead(c["publications"], q, int(limit)),
     "person": lambda c, id="0": V.person_page(c, int(id)),
+    "publication": publication,
+    "coverage": coverage,
+    "coverage-check": coverage_check,
     "facets": lambda c: V.facet_counts(c),
-    "topics": lambda c: V.glossary(c | {"topics": c["publication_topics"].selectExpr("topic_slug AS slug", "topic_slug AS label", "0 AS cluster").distinct()}),
+    "topics": lambda c: V.glossary(_with_topics(c)),
+    "topic-graph": lambda c: V.topic_graph_edges(c),
+    "topic-time": lambda c: V.topic_time(_with_topics(c)),
+    "who-knows": lambda c: V.who_knows_what(_with_topics(c)),
     "todo": lambda c: M.pending_urls(c["sitemap_urls"]),
+    "open-urls": lambda c: I.open_urls(c["sitemap_urls"]),
+    "to-ingest": lambda c: I.waiting(c["sitemap_urls"]),
     "backlog": lambda c: V.backlog(c, c["reviews"].where("scope = 'backlog' AND verdict = 'parked'").selectExpr("subject_id AS id")),
     "status": lambda c: V.status_report(c),
+    "groups": lambda c: V.status_groups(c),
+    "warnings": lambda c: V.status_warnings(c),
     "caveats": lambda c: V.caveats(c),
     "duplicates": lambda c: V.duplicate_names(c["people"]),
     "reviews": lambda c: V.review_stats(c),
+    "flagged": lambda c: V.flagged(c),
     "models": lambda c: V.model_stats(c),
+    "candidates": lambda c: V.candidates(c),
+    "thin": lambda c: V.thin_records(c),
+    "pdf-needed": lambda c: V.pdf_needed(c),
+    "uncredited": lambda c: V.uncredited(c).select("id", "slug", "title"),
+    "collections": lambda c: V.collection_counts(c),
+    "collection": lambda c, slug="": V.collection_members(c, slug),
+    "shortlist": lambda c: V.shortlist_rows(c),
+    "notes": lambda c: M.note_status(c["notes"], datetime.date.today().isoformat()),
+}
+
+Tables = dict[str, DataFrame]
+
+
+def _reviewed(c: Catalog, scope: str, subject: int, verdict: str, note: str | None, now: str) -> Tables:
+    """The last verdict on a subject stands alone."""
+    rows = c["reviews"]
+    spark = rows.sparkSession
+    number = rows.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
+    new = spark.createDataFrame([(number, scope, subject, verdict, note)], "id long, scope string, subject_id long, verdict string, note string").withColumn("created_at", F.lit(now).cast("timestamp"))
+    return {"reviews": rows.where(~((F.col("scope") == scope) & (F.col("subject_id") == subject))).unionByName(new.select(*rows.columns))}
+
+
+def flag_summary(c: Catalog, now: str, ref: str = "", note: str = "") -> Tables:
+    """Mark the primary summary of a publication as wrong, and say why."""
+    if not note.strip():
+        raise ValueError("a flag takes a note")
+    row = V.primary(c).where(F.col("publication_id") == I.find_publication(c["publications"], ref)).select("id").first()
+    if row is None:
+        raise ValueError("it has no summary")
+    return _reviewed(c, "enrichment", row.id, "flagged", note.strip(), now)
+
+
+def merge(c: Catalog, now: str, duplicate: str = "0", survivor: str = "0") -> Tables:
+    people_, credits, _ = M.merge_person(c["people"], c["credits"], int(duplicate), int(survivor))
+    return {"people": people_, "credits": credits}
+
+
+def mark(c: Catalog, now: str, ref: str = "", note: str = "") -> Tables:
+    rows = c["shortlist"]
+    new = rows.sparkSession.createDataFrame([(I.find_publication(c["publications"], ref), note.strip() or None)], "publication_id long, note string").withColumn("added_at", F.lit(now).cast("timestamp"))
+    return {"shortlist": M.shortlist(rows, new).select(*rows.columns)}
+
+
+def unmark(c: Catalog, now: str, ref: str = "") -> Tables:
+    return {"shortlist": c["shortlist"].where(F.col("publication_id") != I.find_publication(c["publications"], ref))}
+
+
+def settle(c: Catalog, now: str, url: str = "", disposition: str = "", note: str = "") -> Tables:
+    new = c["sitemap_urls"].sparkSession.createDataFrame([(url, disposition, note)], "url string, disposition string, note string")
+    return {"sitemap_urls": M.decided(c["sitemap_urls"], new.withColumn("note", F.col("note")), now).withColumn("settled_at", F.col("settled_at").cast("timestamp"))}
+
+
+def chapters(c: Catalog, now: str, parent: str = "", chapters: str = "") -> Tables:
+    find_ = lambda ref: I.find_publication(c["publications"], ref)
+    return {"publications": I.attach_chapters(c["publications"], find_(parent), [find_(x) for x in chapters.split(",") if x.strip()])}
+
+
+CHANGES: dict[str, Callable[..., Tables]] = {
+    "flag-summary": flag_summary,
+    "park": lambda c, now, ref="", note="": _reviewed(c, "backlog", I.find_publication(c["publications"], ref), "parked", note or None, now),
+    "merge-person": merge,
+    "mark": mark,
+    "unmark": unmark,
+    "settle": settle,
+    "unsettle": lambda c, now, url="": {"sitemap_urls": M.reopened_urls(c["sitemap_urls"], c["sitemap_urls"].where(F.col("url") == url))},
+    "add-pdf": lambda c, now, url="", **fields: I.add_pdf_record(c, url, now, **fields),
+    "attach-chapters": chapters,
+    "rename-collection": lambda c, now, slug="", name="": {"collections": M.renamed_collection(c, slug, name)},
+    "drop-collection": lambda c, now, slug="": M.dropped_collection(c, slug),
 }
 
 
@@ -65,6 +249,12 @@ def rows(c: Catalog, command: str, **options: str) -> list[str]:
     return COMMANDS[command](c, **options).toJSON().collect()
 
 
+def change(c: Catalog, command: str, **options: str) -> int:
+    """Write the version after a change; gives its number."""
+    now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    return snapshot.save(dict(c) | CHANGES[command](c, now, **options), c.folder)
+
+
 def server(spark: SparkSession, folder: str, port: int, token: str | None = None) -> ThreadingHTTPServer:
     """GET /command?option=value; with a token, only for its bearer."""
 
@@ -77,7 +267,7 @@ def server(spark: SparkSession, folder: str, port: int, token: str | None = None
             if command not in COMMANDS:
                 return self._send(404, [json.dumps({"error": "no such command", "commands": sorted(COMMANDS)})])
             try:
-                out = rows(snapshot.load(spark, folder), command, **{k: v[0] for k, v in parse_qs(at.query).items()})
+                out = rows(Catalog(spark, folder), command, **{k: v[0] for k, v in parse_qs(at.query).items()})
             except (TypeError, ValueError) as why:
                 return self._send(400, [json.dumps({"error": str(why)})])
             return self._send(200, out)
@@ -99,18 +289,25 @@ def server(spark: SparkSession, folder: str, port: int, token: str | None = None
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("folder")
-    p.add_argument("command", choices=[*sorted(COMMANDS), "serve"])
+    p.add_argument("command", choices=[*sorted(COMMANDS), *sorted(CHANGES), "serve"])
     p.add_argument("options", nargs="*", help="name=value")
     args = p.parse_args(argv)
     options = dict(o.split("=", 1) for o in args.options)
     spark = SparkSession.builder.appName("lectern").getOrCreate()
     if args.command == "serve":
         server(spark, args.folder, int(options.get("port", 8000)), options.get("token")).serve_forever()
+    c = Catalog(spark, args.folder)
     try:
-        print("\n".join(rows(snapshot.load(spark, args.folder), args.command, **options)))
+        if args.command in CHANGES:
+            print(json.dumps({"version": change(c, args.command, **options)}))
+        else:
+            print("\n".join(rows(c, args.command, **options)))
     except S.MatchError as why:
         print(f"not a query: {why}", file=sys.stderr)
         return 2
+    except (TypeError, ValueError) as why:
+        print(why, file=sys.stderr)
+        return 1
     return 0
 
 

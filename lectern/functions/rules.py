@@ -72,6 +72,7 @@ def affiliation(on_roster: Column, roster_title: Column, job_title: Column, has_
     """struct(affiliation, is_current). The roster says who is current; the
     title says who is staff, an affiliate, or someone else's employee."""
     fellow = lambda t: F.coalesce(F.lower(t), F.lit("")).rlike(r"\b(fellow|associate)\b")
+    # fixed value: how a title names another employer
     other = F.regexp_replace(job_title, rf"(?i)\b{organisation}\b", "").rlike(r",\s+[A-Z]|\bat\s+(?:the\s+)?[A-Z]|\bof\s+the\s+[A-Z]")
     blank = lambda t: F.coalesce(t, F.lit("")) == ""
     title = F.when(~blank(roster_title), roster_title).otherwise(job_title)
@@ -96,6 +97,34 @@ def enrichment_prompt(title: Column, body: Column, executive: Column, outline: C
     return F.concat_ws("\n\n", F.concat(F.lit("Title: "), title), text)
 
 
+def _record_lines(title: Column, pub_type: Column, day: Column, one_liner: Column, summary: Column, findings: Column, subtitle: Column | None = None) -> Column:
+    """What is known of a publication, a paragraph each; parts that are
+    missing are left out."""
+    said = lambda label, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(f"{label}: "), x))
+    head = F.concat_ws("\n", said("Title", title), said("Subtitle", subtitle) if subtitle is not None else F.lit(None).cast("string"), said("Type", pub_type), said("Date", day.cast("string")))
+    points = F.when(F.size(findings) > 0, F.concat(F.lit("Key findings:\n"), F.array_join(F.transform(findings, lambda f: F.concat(F.lit("- "), f)), "\n")))
+    return F.concat_ws("\n\n", head, said("One-liner", one_liner), said("Summary", summary), points)
+
+
+def topics_prompt(title: Column, subtitle: Column, pub_type: Column, day: Column, one_liner: Column, summary: Column, findings: Column, vocabulary: list[tuple[str, str]]) -> Column:
+    """A publication's summary, and the vocabulary (slug, label) to choose 1
+    to 4 topics from, the leading one first."""
+    words = "\n".join(f"- {slug}: {label}" for slug, label in vocabulary)
+    task = f'Choose 1 to 4 topics, the leading one first, and answer as {{"topics": ["slug"]}}. The vocabulary:\n{words}'
+    return F.concat_ws("\n\n", F.lit(task), _record_lines(title, pub_type, day, one_liner, summary, findings, subtitle))
+
+
+def blurb_prompt(title: Column, pub_type: Column, day: Column, one_liner: Column, summary: Column, findings: Column) -> Column:
+    """A publication's summary, to be told anew for readers in 30 to 110 words."""
+    task = 'Say in 30 to 110 words why a reader should care; add what the one-liner leaves out. Answer as {"blurb": "..."}.'
+    return F.concat_ws("\n\n", F.lit(task), _record_lines(title, pub_type, day, one_liner, summary, findings))
+
+
+def vision_prompt(title: Column, pub_type: Column, pictures: Column) -> Column:
+    """For publications that only pictures tell about."""
+    return F.concat(F.lit("Summarise what these "), pictures.cast("string"), F.lit(" pictures show. Read numbers off charts only where they are written. Publication: "), title, F.lit(" ("), pub_type, F.lit(")"))
+
+
 def series_from_subtitle(subtitle: Column, runs: list[tuple[str, str, str]]) -> Column:
     """struct(pub_type, series) of the first run (pattern, type, series) whose
     pattern a subtitle begins with; null if there is none."""

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import search as S
+from . import vectors as R
 from . import views as V
 
 Chat = Callable[[str], tuple[str, int, int]]
@@ -26,22 +28,28 @@ Check = Callable[[str], list[str]]
 ANSWER = "id long, answer string, attempts int, prompt_tokens long, completion_tokens long, seconds double, error string"
 
 
-def ask(worklist: DataFrame, chat: Chat, check: Check, attempts: int = 3) -> DataFrame:
+def ask(worklist: DataFrame, chat: Chat, check: Check, attempts: int = 3, most_errors: int = 3) -> DataFrame:
     """One row of ANSWER for each of worklist(id, prompt). A re-ask quotes
     what was wrong; tokens and seconds add up over attempts; error holds the
-    last problems, or what the provider raised."""
+    last problems, or what the provider raised. After most_errors raised in a
+    row a task stops asking; what it leaves has no row and stays on the
+    worklist."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        failed = 0
         for batch in batches:
             rows = []
             for key, prompt in zip(*(c.to_pylist() for c in batch.columns)):
+                if failed >= most_errors:
+                    break
                 used, got, cost, began, error, answer = 0, prompt, [0, 0], time.time(), None, None
+                raised = False
                 while used < attempts:
                     used += 1
                     try:
                         answer, sent, made = chat(got)
                     except Exception as why:  # a provider may raise anything; the row keeps what
-                        error = f"{type(why).__name__}: {why}"
+                        error, raised = f"{type(why).__name__}: {why}", True
                         break
                     cost = [cost[0] + sent, cost[1] + made]
                     problems = check(answer)
@@ -49,6 +57,7 @@ def ask(worklist: DataFrame, chat: Chat, check: Check, attempts: int = 3) -> Dat
                     if not problems:
                         break
                     got = f"{prompt}\n\nYour last answer was not valid: {error}. Answer again."
+                failed = failed + 1 if raised else 0
                 rows.append((key, None if error else answer, used, *cost, time.time() - began, error))
             cols = list(zip(*rows)) if rows else [()] * 7
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
@@ -153,19 +162,56 @@ def answer(question: str, excerpts: list[tuple[int, str]], chat: Chat) -> tuple[
     return text, [i for i in cited if i in known], [i for i in cited if i not in known]
 
 
+def answer_from(c: V.Catalog, index: S.Index | S.Scan, question: str, vectors: list, chat: Chat, limit: int = 10, section_words: int = 300) -> dict:
+    """Retrieve by hybrid search, ask, and resolve citations. The excerpts
+    are each hit's title, type, date, one-liner and best section."""
+    hits, notes = R.hybrid(index, question, vectors, limit, c.get("shortlist"))
+    pubs = c["publications"].select("id", "title", "pub_type", "date_published")
+    rows = hits.join(pubs, "id").join(V.primary(c).select(F.col("publication_id").alias("id"), "one_liner"), "id", "left")
+    found = {r.id: r for r in rows.orderBy("position").collect()}
+    best = {}
+    if "sections" in c and found and S.safe_query(question):
+        ids = c["publications"].where(F.col("id").isin(list(found))).select("id")
+        own = c["sections"].select("id", "publication_id", "heading", "body")
+        try:
+            scan = S.Scan(own.select("id", "heading", "body"), ("heading", "body"), index.stemmed)
+            top = S.best_sections(scan, own, S.safe_query(question), ids)
+            best = {r.id: r for r in top.join(own.select(F.col("id").alias("section_id"), "heading", "body"), "section_id").collect()}
+        except S.MatchError as why:
+            notes.append(f"no sections ({why})")
+    excerpts = []
+    for i, r in found.items():
+        lines = [f"{r.title}, {r.pub_type}, {r.date_published or 'undated'}", f"Summary: {r.one_liner or 'none, only the title is known'}"]
+        if i in best:
+            lines.append(f"{best[i].heading or ''}: {' '.join((best[i].body or '').split()[:section_words])}")
+        excerpts.append((i, "\n".join(lines)))
+    text, cited, unknown = answer(question, excerpts, chat)
+    return {"question": question, "hits": list(found), "notes": notes, "text": text, "cited": cited, "invalid": unknown}
+
+
+# HTTP statuses that are worth another try, and those of them
+# that say a quota is spent.
+RETRY_STATUS = frozenset({402, 408, 409, 425, 429, 500, 502, 503, 504, 529})
+QUOTA_STATUS = frozenset({402, 429})
+QUOTA_WAIT, QUOTA_MOST = 60.0, 900.0
+
+
 def with_backoff(chat: Chat, tries: int = 5, wait: float = 5.0, sleep=time.sleep) -> Chat:
-    """chat that waits out transient failures, twice as long each time; an
-    error that says so itself (retry_after) is waited for as long as it says."""
+    """chat that waits out transient failures (timeouts, lost connections, and
+    errors whose `status` is one of RETRY_STATUS), twice as long each time.
+    Quotas are waited for in minutes; an error that says so itself
+    (retry_after) for as long as it says. Other errors are raised at once."""
 
     def call(prompt: str) -> tuple[str, int, int]:
         for turn in range(tries):
             try:
                 return chat(prompt)
-            except (TimeoutError, ConnectionError) as why:
-                if turn == tries - 1:
+            except Exception as why:
+                status = getattr(why, "status", None)
+                if turn == tries - 1 or not (isinstance(why, (TimeoutError, ConnectionError)) or status in RETRY_STATUS):
                     raise
-                sleep(getattr(why, "retry_after", None) or wait * 2**turn)
+                usual = min(QUOTA_MOST, QUOTA_WAIT * 2**turn) if status in QUOTA_STATUS else wait * 2**turn
+                sleep(getattr(why, "retry_after", None) or usual)
         raise RuntimeError("no try was allowed")
 
     return call
-

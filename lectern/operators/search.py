@@ -81,6 +81,16 @@ class Index:
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
 
+    @staticmethod
+    def kept(docs: DataFrame, folder: str, fields: tuple[str, ...], stemmed: bool = False) -> Index:
+        """The index in folder, built from docs where there is none whole."""
+        spark = docs.sparkSession
+        marks = [spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}/_SUCCESS") for part in ("postings", "lengths")]
+        fs = marks[0].getFileSystem(spark._jsc.hadoopConfiguration())
+        if not all(fs.exists(m) for m in marks):
+            Index.build(docs, fields, stemmed).save(folder)
+        return Index.open(spark, folder, fields, stemmed)
+
     @staticmethod
     def open(spark: SparkSession, folder: str, fields: tuple[str, ...], stemmed: bool = False) -> Index:
         return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), fields, stemmed)

@@ -30,10 +30,13 @@ def similarity(vector: Column, query: Sequence[float]) -> Column:
     return F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in query]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
 
 
-def rank(vectors: DataFrame, query: Sequence[float], limit: int) -> DataFrame:
+def rank(vectors: DataFrame, query: Sequence[float], limit: int | None) -> DataFrame:
     """(id, similarity, position): the best vector of each publication over
-    the whole index, so long documents can't fill a candidate window."""
+    the whole index, so long documents can't fill a candidate window. Without
+    a limit all are ranked."""
     best = vectors.select("id", similarity(F.col("vector"), query).alias("similarity")).groupBy("id").agg(F.max("similarity").alias("similarity"))
+    if limit is None:
+        return storage.numbered(best, [F.desc("similarity"), "id"], "position").select("id", "similarity", "position")
     top = best.orderBy(F.desc("similarity"), "id").limit(limit)
     return top.selectExpr("id", "similarity", "row_number() OVER (ORDER BY similarity DESC, id) AS position")
 
@@ -99,6 +102,31 @@ def recall(hits: DataFrame, cases: DataFrame, k: int) -> DataFrame:
     return top.groupBy("case").agg(hit.alias("hit")).agg(F.avg(F.col("hit").cast("int")).alias("recall"))
 
 
+def recall_by_ranker(cases: Sequence[tuple[str, str, Sequence[float], str]], index: S.Index | S.Scan, vectors: Mapping[str, DataFrame], shown: DataFrame, weights=S.PUBLICATION_WEIGHTS, ks: Sequence[int] = (1, 3)) -> DataFrame:
+    """(ranker, k, recall) of real retrieval, without the shortlist's boost:
+    keyword search, each kind of vectors, and all of them fused. cases are
+    (name, question, its vector, pattern that a right hit shows); shown(id,
+    title, one_liner) is what patterns are looked for in. A few dozen cases,
+    each some searches."""
+    spark, depth = shown.sparkSession, max(20, 3 * max(ks))
+    hits = None
+    for name, question, vector, _ in cases:
+        own = {"keyword": S.search(index, S.safe_query(question), weights, depth).select("id", "position")}
+        own |= {kind: rank(v, vector, depth).select("id", "position") for kind, v in vectors.items()}
+        fused = hybrid(index, question, [(v, vector) for v in vectors.values()], max(ks), None, weights)[0]
+        for ranker, rows in (own | {"hybrid": fused}).items():
+            one = rows.select(F.lit(ranker).alias("ranker"), F.lit(name).alias("case"), "id", F.col("position").cast("long").alias("position")).where(F.col("position") <= max(ks))
+            hits = one if hits is None else hits.union(one)
+    hits = storage.stored(hits.join(shown.select("id", "title", "one_liner"), "id"), "retrieved")
+    asked = spark.createDataFrame([(name, pattern) for name, _, _, pattern in cases], "case string, pattern string")
+    out = None
+    for ranker in ("keyword", *vectors, "hybrid"):
+        for k in ks:
+            one = recall(hits.where(F.col("ranker") == ranker), asked, k).select(F.lit(ranker).alias("ranker"), F.lit(k).alias("k"), "recall")
+            out = one if out is None else out.union(one)
+    return out
+
+
 def citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
     """(answer_id, cited, valid) for every `[3]` or `[1, 2]` in answers(
     answer_id, text), checked against hits(answer_id, id)."""
@@ -133,7 +161,7 @@ def _nearest(new: DataFrame, anchors: DataFrame, neighbours: int) -> DataFrame:
     (anchor, s, x, y). anchors are ANCHORS at most."""
     t = anchors.orderBy("id").toArrow()
     ids, x, y = (t.column(c).to_numpy() for c in ("id", "x", "y"))
-    matrix = np.array(t.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
+    matrix = np.array(t.column("vector").to_pylist(), np.float64)
     shared = new.sparkSession.sparkContext.broadcast((ids, x, y, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +170,7 @@ def _nearest(new: DataFrame, anchors: DataFrame, neighbours: int) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 out = []
-                own = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
-                sims = own @ matrix.T if len(ids) else np.zeros((part.num_rows, 0))
+                sims = np.array(part.column(1).to_pylist(), np.float64) @ matrix.T if len(ids) else np.zeros((part.num_rows, 0))
                 for row in sims:
                     k = min(neighbours, len(row))
                     edge = np.partition(row, len(row) - k)[len(row) - k] if k else 0.0

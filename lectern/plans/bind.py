@@ -84,7 +84,7 @@ class Roles(dict):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
-        self._spark, self._dir = spark, sf_dir
+        self._spark, self.folder = spark, sf_dir
 
     def __contains__(self, name: object) -> bool:
         return name in TABLES or name in VIEWS or super().__contains__(name)
@@ -95,7 +95,7 @@ class Roles(dict):
 
     def __missing__(self, name: str) -> DataFrame:
         if name in TABLES:
-            self[name] = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+            self[name] = self._spark.read.parquet(f"{self.folder}/{name}.parquet")
         else:
             text = VIEWS[name]
             own = {t for t in TABLES if re.search(rf"(FROM|JOIN) {t}\b", text)}

@@ -7,11 +7,13 @@ itself is a top-k or a page.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import rules
 from ..functions import text as X
 from ..operators import documents as D
@@ -541,6 +543,14 @@ top AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9), id) AS po
 """
 
 
+def _stored_index(c):
+    """The documents' index, built when first asked for and then opened: a
+    query's terms are a filter that the scan of the postings skips by."""
+    spark = c["documents_"].sparkSession
+    folder = f"{storage.shared_folder(spark)}/lectern/index-{spark.sparkContext.applicationId}-{hashlib.md5(c.folder.encode(), usedforsecurity=False).hexdigest()}"
+    return S.Index.kept(c["documents_"].select("id", "title", "body"), folder, ("title", "body"))
+
+
 def _doc_index(c, stemmed=False):
     return S.Scan(c["documents_"].select("id", "title", "body"), ("title", "body"), stemmed)
 
@@ -552,12 +562,12 @@ def _top(index, text, limit):
 
 @query("keyword_search", _bm25(["with", "idiot"], True, 20) + "SELECT id, round(score, 9) AS score, position FROM top", "documents_")
 def _(c):
-    return _top(_doc_index(c), "with idiot", 20)
+    return _top(_stored_index(c), "with idiot", 20)
 
 
 @query("keyword_search_any", _bm25(["worthless", "licensed", "moron"], False, 50) + "SELECT id, round(score, 9) AS score, position FROM top", "documents_")
 def _(c):
-    return _top(_doc_index(c), "worthless OR licensed OR moron", 50)
+    return _top(_stored_index(c), "worthless OR licensed OR moron", 50)
 
 
 @query("phrase_not_prefix_match", f"""
@@ -608,17 +618,20 @@ def _(c):
 SELECT label AS id, round(max(similarity), 6) AS similarity, row_number() OVER (ORDER BY max(similarity) DESC, label) AS position FROM ({_VECTOR_RANK}) v JOIN embeddings e ON v.id = e.vec_id GROUP BY label""")
 def _(c):
     own = c["embeddings"].select(F.col("label").alias("id"), F.col("embedding").alias("vector"))
-    return R.rank(own, _query_vector(c), 1000).withColumn("similarity", F.round("similarity", 6))
+    return R.rank(own, _query_vector(c), None).withColumn("similarity", F.round("similarity", 6))
+
+
+_RANKERS = " UNION ALL ".join(f"SELECT * FROM (SELECT id, {i} AS ranker, row_number() OVER (ORDER BY similarity DESC, id) AS position FROM ({_VECTOR_RANK}) r JOIN vectors_ v ON v.source_id = r.id WHERE source_type = '{kind}' ORDER BY position LIMIT 30)" for i, kind in ((1, "one_liner"), (2, "section")))
 
 
-@query("hybrid_find", _bm25(["trash", "scum"], False, 30) + f""", vec AS (SELECT id, row_number() OVER (ORDER BY similarity DESC, id) AS position FROM ({_VECTOR_RANK}) ORDER BY position LIMIT 30),
-both_ AS (SELECT id, 0 AS ranker, position FROM top UNION ALL SELECT id, 1, position FROM vec),
+@query("hybrid_find", _bm25(["trash", "scum"], False, 30) + f""", both_ AS (SELECT id, 0 AS ranker, position FROM top UNION ALL {_RANKERS}),
 fused AS (SELECT id, sum(1.0 / (60 + position)) + CASE WHEN id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 1) THEN 1.0 / 61 - 1.0 / 63 ELSE 0 END AS score,
-  min(ranker) AS r, arg_min(position, ranker) AS p, string_agg(CASE ranker WHEN 0 THEN 'K' ELSE 'V1' END, '' ORDER BY ranker) AS rankers FROM both_ GROUP BY id)
-SELECT id, round(score, 9) AS score, rankers, row_number() OVER (ORDER BY round(score, 12) DESC, r, p) AS position FROM fused ORDER BY position LIMIT 10""", "documents_")
+  min(ranker) AS r, arg_min(position, ranker) AS p, string_agg(CASE ranker WHEN 0 THEN 'K' ELSE concat('V', ranker) END, '' ORDER BY ranker) AS rankers FROM both_ GROUP BY id)
+SELECT id, round(score, 9) AS score, rankers, row_number() OVER (ORDER BY round(score, 12) DESC, r, p) AS position FROM fused ORDER BY position LIMIT 10""", "documents_", "vectors_")
 def _(c):
     stars = c["labels"].where("quality = 1 AND toxic = 1").selectExpr("doc_id AS publication_id")
-    hits, _ = R.hybrid(_doc_index(c), "trash OR scum", [(_vectors(c), _query_vector(c))], 10, stars, (10.0, 1.0))
+    kinds = [c["vectors_"].where(F.col("source_type") == kind).select(F.col("publication_id").alias("id"), "vector") for kind in ("one_liner", "section")]
+    hits, _ = R.hybrid(_stored_index(c), "trash OR scum", [(v, _query_vector(c)) for v in kinds], 10, stars, (10.0, 1.0))
     return hits.withColumn("score", F.round("score", 9))
 
 

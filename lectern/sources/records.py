@@ -107,8 +107,9 @@ def _pdf(article: dom.Element, fields: dict[str, list[dom.Element]], m: Markup)
     return next((e.attrs["href"] for e in near if e.tag == "a" and ".pdf" in e.attrs.get("href", "").lower()), None)
 
 
-def record(html: str | None, m: Markup) -> tuple[dict | None, str | None]:
-    """(record, None) or (None, why there is none)."""
+def record(html: str | None, m: Markup, pub_type: str | None = None, series: str | None = None) -> tuple[dict | None, str | None]:
+    """(record, None) or (None, why there is none). A type that is given
+    stands for the page's own, with its series."""
     root = dom.parse(html)
     article = own_article(root, m)
     if article is None:
@@ -123,9 +124,9 @@ def record(html: str | None, m: Markup) -> tuple[dict | None, str | None]:
     meta = {e.attrs.get("property"): e.attrs.get("content", "").strip() or None for e in root.walk() if e.tag == "meta"}
 
     kind = first("publication-type")
-    if kind is None:
+    if kind is None and not pub_type:
         return None, "no publication type"
-    terms = [t for e in kind.walk() if "taxonomy-term" in e.classes and (t := e.text())] or [t for t in [kind.text()] if t]
+    terms = [t for t in (pub_type, series) if t] if pub_type else [t for e in kind.walk() if "taxonomy-term" in e.classes and (t := e.text())] or [t for t in [kind.text()] if t]
     title = said(article.first(tag="h1")) or meta.get("og:title")
     if not terms or not title:
         return None, "no title" if terms else "no publication type"
@@ -153,18 +154,18 @@ def record(html: str | None, m: Markup) -> tuple[dict | None, str | None]:
     }, None
 
 
-def records(pages: DataFrame, markup: Markup = Markup()) -> DataFrame:
+def records(pages: DataFrame, markup: Markup = Markup(), given: bool = False) -> DataFrame:
     """(page_id, url, slug, record, problem, date_published) of pages(page_id,
-    url, html)."""
+    url, html), with given also of their columns pub_type and series."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                got = [record(h, markup) for h in part.column(2).to_pylist()]
+                got = [record(h, markup, *more) for h, *more in zip(*(c.to_pylist() for c in part.columns[2:]))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r for r, _ in got], RECORD), pa.array([p for _, p in got], pa.string())], names=["page_id", "url", "record", "problem"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, f"page_id long, url string, record {DDL}, problem string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", *(["pub_type", "series"] if given else [])).mapInArrow(run, f"page_id long, url string, record {DDL}, problem string")
     return rows.withColumn("slug", X.url_slug(F.col("url"))).withColumn("date_published", X.parsed_date(F.col("record.date_text")))
 
 
