@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, maybe_broadcast, scratch, shared_folder, stored  # noqa: F401  the operators find them here
+
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -18,60 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see. Nothing stands in for one that is not
-    set: a folder of this machine would be another disk on each executor."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder and context.master.startswith("local") and not context.master.startswith("local-cluster"):
-        # one process, one disk: tests, bench and notebooks
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
-        folder = context.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends here,
-    and a lost executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lectern/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._lectern_path = path
-    if (made := _scratch.get()) is not None:
-        made.append(back)
-    return back
-
-
-_scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
-
-
-@contextmanager
-def scratch():
-    """A list of the tables that stored() makes inside the block; at its end
-    those still in the list are deleted. What the block hands out must be a
-    stored table that is taken off the list."""
-    made: list[DataFrame] = []
-    token = _scratch.set(made)
-    try:
-        yield made
-    finally:
-        _scratch.reset(token)
-        for df in made:
-            discard(df)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by stored() that no later plan reads."""
-    path = getattr(df, "_lectern_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def filed(docs: DataFrame) -> DataFrame:
     """docs as one scan of files: itself, or else written and read back."""
     try:
@@ -119,9 +62,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         found.append(name)
     return found
-
-
-def maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """A broadcast hint only for a side counted and found small; beyond the
-    limit the planner shuffles both sides and AQE splits skewed keys."""
-    return F.broadcast(df) if rows <= limit else df
