@@ -77,8 +77,9 @@ class Index:
         return Index(postings, lengths, fields, stemmed)
 
     def save(self, folder: str) -> None:
-        """Postings sorted by term, so that a query's filter skips row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+        """Postings sorted by term, so that a query's filter skips row groups;
+        ranges are of (term, id), which splits a term that is everywhere."""
+        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
 
     @staticmethod

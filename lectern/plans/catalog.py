@@ -543,7 +543,7 @@ top AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9), id) AS po
 """
 
 
-def _stored_index(c):
+def stored_index(c):
     """The documents' index, built when first asked for and then opened: a
     query's terms are a filter that the scan of the postings skips by."""
     spark = c["documents_"].sparkSession
@@ -562,12 +562,12 @@ def _top(index, text, limit):
 
 @query("keyword_search", _bm25(["with", "idiot"], True, 20) + "SELECT id, round(score, 9) AS score, position FROM top", "documents_")
 def _(c):
-    return _top(_stored_index(c), "with idiot", 20)
+    return _top(stored_index(c), "with idiot", 20)
 
 
 @query("keyword_search_any", _bm25(["worthless", "licensed", "moron"], False, 50) + "SELECT id, round(score, 9) AS score, position FROM top", "documents_")
 def _(c):
-    return _top(_stored_index(c), "worthless OR licensed OR moron", 50)
+    return _top(stored_index(c), "worthless OR licensed OR moron", 50)
 
 
 @query("phrase_not_prefix_match", f"""
@@ -631,7 +631,7 @@ SELECT id, round(score, 9) AS score, rankers, row_number() OVER (ORDER BY round(
 def _(c):
     stars = c["labels"].where("quality = 1 AND toxic = 1").selectExpr("doc_id AS publication_id")
     kinds = [c["vectors_"].where(F.col("source_type") == kind).select(F.col("publication_id").alias("id"), "vector") for kind in ("one_liner", "section")]
-    hits, _ = R.hybrid(_stored_index(c), "trash OR scum", [(v, _query_vector(c)) for v in kinds], 10, stars, (10.0, 1.0))
+    hits, _ = R.hybrid(stored_index(c), "trash OR scum", [(v, _query_vector(c)) for v in kinds], 10, stars, (10.0, 1.0))
     return hits.withColumn("score", F.round("score", 9))
 
 
