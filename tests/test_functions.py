@@ -85,3 +85,11 @@ def test_affiliations(spark):
     assert a(False, None, "Analyst", True, True) == ("external", False) and a(False, None, "Analyst", False, False) == ("external", False)
     assert a(False, None, None, True, False) == ("unknown", False)
     assert a(False, None, "Director, Some Org", True, False) == ("external", False) and a(False, None, "Analyst at ACME", True, False) == ("staff", False)
+
+
+def test_words_end_at_all_white_space(spark):
+    texts = ["a b c d", "a\x1cb\x85c", "　a  ", "​a b", "", None, "a\x0bb\x0cc\r\nd"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.n, r.w, r.s) for r in rows.select("i", X.word_count(F.col("t")).alias("n"), X.first_words(F.col("t"), 2).alias("w"), X.spaces_count(F.col("t")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (len((t or "").split()), None if t is None else " ".join(t.split()[:2]), t.count(" ") + 1 if t else 0)

@@ -88,3 +88,22 @@ def test_recall_and_typeahead(spark):
     assert R.recall(hits, cases, 1).first().recall == 0 and abs(R.recall(hits, cases, 2).first().recall - 1 / 3) < 1e-9
     people = spark.createDataFrame([(1, "Max Anders", True), (2, "Anna", False), (3, "Joanna", True), (4, "Andy", True)], "id long, name string, is_current boolean")
     assert [x.id for x in V.typeahead(people, "an").collect()] == [4, 2, 1, 3]
+
+
+def test_types_are_the_catalogs_own(spark):
+    c = {
+        "publications": spark.createDataFrame([(1, "Big", None), (2, "Big", None), (3, "Talk", None)], "id long, pub_type string, parent_id long"),
+        "types": V.Types({"Big": 7}, ("Talk",), ()),
+    }
+    hits = c["publications"].select("id")
+    assert {(r.pub_type, r.n, r.weighted) for r in V.tier(c, hits).collect()} == {("Big", 2, 14), ("Talk", 1, 1)}
+    assert V.insight_scope(c).count() == 2
+    del c["types"]
+    assert {(r.pub_type, r.weighted) for r in V.tier(c, hits).collect()} == {("Big", 2), ("Talk", 1)}
+
+
+def test_years_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "1997-12-31"), (2, "1998-01-01"), (3, "1999-06-01")], "id long, d string").selectExpr("id", "CAST(d AS DATE) AS date_published", "CAST(NULL AS LONG) AS parent_id").write.parquet(f"{tmp_path}/p")
+    pubs = V.list_publications({"publications": spark.read.parquet(f"{tmp_path}/p")}, year=[1998, 1999])
+    assert {r.id for r in pubs.collect()} == {2, 3}
+    assert "GreaterThanOrEqual(date_published,1998-01-01)" in pubs._jdf.queryExecution().executedPlan().toString()
