@@ -88,7 +88,7 @@ def test_affiliations(spark):
 
 
 def test_words_end_at_all_white_space(spark):
-    texts = ["a b c d", "a\x1cb\x85c", "　a  ", "​a b", "", None, "a\x0bb\x0cc\r\nd"]
+    texts = ["a\u00a0b\u2003c\u2028d", "a\x1cb\x85c", "\u3000a  ", "\u200ba b", "", None, "a\x0bb\x0cc\r\nd"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: (r.n, r.w, r.s) for r in rows.select("i", X.word_count(F.col("t")).alias("n"), X.first_words(F.col("t"), 2).alias("w"), X.spaces_count(F.col("t")).alias("s")).collect()}
     for i, t in enumerate(texts):
