@@ -64,3 +64,23 @@ def test_bounds_hold_for_repeated_documents(spark):
     counted = toxicity.vote_patterns(docs, chosen, voters, F.lit(True)).agg(F.sum("n")).first()[0]
     assert counted == docs.count()
 
+
+
+def test_repeated_documents_and_ties(spark, tmp_path):
+    """Equal texts score alike wherever they stand, and a text without any
+    feature stands at the classifier's constant; 0.5 is predicted toxic."""
+    texts = [(f"you fool {i}", 1) if i % 4 == 0 else (f"fine day number {i}", 0) for i in range(400)]
+    docs = [(i, t, "en", "s") for i, (t, _) in enumerate(texts)] + [(i, t, "de", None) for i, (t, _) in enumerate(texts[:50])] + [(900, None, None, None), (901, "", None, None), (None, "you fool", None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = toxicity.op8_toxicity(spark, str(tmp_path)).collect()
+    assert len(rows) == len(docs)
+    own = {i: t for i, t, *_ in docs}
+    scores = {}
+    for r in rows:
+        scores.setdefault((own[r.doc_id] or ""), set()).add(r.score)
+    assert all(len(x) == 1 for x in scores.values())
+    assert all(r.predicted == int(r.score >= 0.5) for r in rows)
+    assert all(r.predicted == int((own[r.doc_id] or "").startswith("you")) for r in rows)
+    even = toxicity.Classifier(None, np.zeros(0), 0.0)
+    assert {x.score for x in toxicity.scored(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"), even, ["doc_id"]).collect()} == {0.5}
