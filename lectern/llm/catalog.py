@@ -4,7 +4,7 @@ Languages, pages, licenses, shards, toxicity and SimHash have no SQL: their
 tests hold them against brute force, exact round trips or held-out rows.
 """
 
-from . import chat, decontam, html_text, langid, licenses, mixing, quality, sharding, simhash, toxicity
+from . import chat, decontam, fim, html_text, langid, licenses, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -17,10 +17,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op3_decontaminate": decontam.OP3_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
 }
