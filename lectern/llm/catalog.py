@@ -4,7 +4,7 @@ Languages, pages, licenses, shards, toxicity and SimHash have no SQL: their
 tests hold them against brute force, exact round trips or held-out rows.
 """
 
-from . import chat, decontam, fim, html_text, langid, licenses, mixing, negatives, quality, sharding, simhash, toxicity
+from . import chat, decontam, fim, html_text, langid, licenses, minhash, mixing, negatives, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_minhash_near_dedup": minhash.op13_minhash_near_dedup,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op10_mix_sources": mixing.OP10_SQL,
     "op11_fill_in_middle": fim.OP11_SQL,
     "op12_hard_negatives": negatives.OP12_SQL,
+    "op13_minhash_near_dedup": minhash.OP13_SQL,
 }
