@@ -169,6 +169,8 @@ class _Positives(_Anchors):
 
 
 class _Histogram(_Anchors):
+    k = NEGATIVES
+
     def __init__(self, batch: pa.RecordBatch):
         super().__init__(batch)
         self.counts = np.zeros(self.windows[0].size << DIGIT_BITS, np.int64)
@@ -181,7 +183,9 @@ class _Histogram(_Anchors):
         yield from ()
 
     def end(self) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(self.counts)
+        # the kth score of all is no lower than the kth in here, so later buckets tell nothing
+        counts = self.counts.reshape(-1, 1 << DIGIT_BITS)
+        at = np.flatnonzero((counts > 0) & (np.cumsum(counts, axis=1) - counts < self.k))
         a, w = np.divmod(at >> DIGIT_BITS, self.windows[0].shape[1])
         yield _table(anchor=self.key[a], turn=w, bucket=at & ((1 << DIGIT_BITS) - 1), n=self.counts[at])
 
@@ -222,7 +226,7 @@ def mined(rows: DataFrame, anchors: Column, positives: int = POSITIVES, negative
     chosen = base.stored(rows.where(anchors).withColumn("anchor", F.monotonically_increasing_id()), "anchors")
     parts, blocks = (-(-df.count() // size) or 1 for df, size in ((rows, ROWS), (chosen, BLOCK)))
     none = [F.array().cast("array<long>").alias(c) for c in ("low", "high", "shift")]
-    work = {c: type(c.__name__, (c,), {"k": k}) for c, k in ((_Positives, positives), (_Gather, negatives))}
+    work = {c: type(c.__name__, (c,), {"k": k}) for c, k in ((_Positives, positives), (_Histogram, negatives), (_Gather, negatives))}
 
     found = _met(rows, chosen.select("*", *none), parts, blocks, work[_Positives], "anchor long, vec_id long, score long")
     pairs = _top(found, ["anchor"], positives).select("anchor", (F.col("rank") - 1).cast("long").alias("turn"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
@@ -238,7 +242,7 @@ def mined(rows: DataFrame, anchors: Column, positives: int = POSITIVES, negative
         return chosen.join(packed, "anchor").select("*", *[F.col(f"w.{c}").alias(c) for c in ("low", "high", "shift")])
 
     while state.where("open").limit(1).count():
-        counts = _met(rows, with_windows(state, "high"), parts, blocks, _Histogram, "anchor long, turn long, bucket long, n long").groupBy("anchor", "turn", "bucket").agg(F.sum("n").alias("n"))
+        counts = _met(rows, with_windows(state, "high"), parts, blocks, work[_Histogram], "anchor long, turn long, bucket long, n long").groupBy("anchor", "turn", "bucket").agg(F.sum("n").alias("n"))
         so_far = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("anchor", "turn").orderBy("bucket"))).join(state.select("anchor", "turn", "need"), ["anchor", "turn"])
         kth = so_far.where("upto >= need").groupBy("anchor", "turn").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("kth"))
         shift = _shift(F.col("low"), F.col("high"))
