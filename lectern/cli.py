@@ -2,8 +2,8 @@
 
 Every command prints JSON lines of one lazy view; none computes anything of
 its own. Changes write a new version of the tables they touch. ``serve``
-answers the reading commands over HTTP. The keyword indexes of a version are
-built once, when a search first asks for them, and kept beside it.
+answers the reading commands over HTTP. The keyword indexes are kept beside the
+versions; the first search of a new version indexes what changed in it.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ from .operators import search as S
 from .operators import state as M
 from .operators import vectors as R
 from .operators import views as V
+from .operators.indexing import StoredIndex
 from .sources import snapshot
 
 FIELDS = ("title", "subtitle", "description", "body")
+SECTION_FIELDS = ("heading", "body")
 #: Makes a vector of a question, where there is a model: set by the caller.
 EMBED: Callable[[str], list[float]] | None = None
 
@@ -40,14 +42,21 @@ class Catalog(dict):
         super().__init__(snapshot.load(spark, folder))
         self.folder = folder
         self.version = (snapshot.versions(spark, folder) or [0])[-1]
+        self.spark = spark
 
-    def index(self) -> S.Index:
+    def documents(self) -> DataFrame:
         texts = self["publication_text"].select(F.col("publication_id").alias("id"), "body")
-        docs = self["publications"].select("id", "title", "subtitle", "description").join(texts, "id", "left")
-        return S.Index.kept(M.reindexed(docs), f"{self.folder}/index/v={self.version}/publications", FIELDS, True)
+        return M.reindexed(self["publications"].select("id", "title", "subtitle", "description").join(texts, "id", "left"))
+
+    def stored(self, of: str) -> StoredIndex:
+        return StoredIndex(self.spark, f"{self.folder}/index/{of}", FIELDS if of == "publications" else SECTION_FIELDS, True)
+
+    def index(self) -> S.Index:
+        """Of publications, brought to this version where it lags behind."""
+        return self.stored("publications").at(self.documents(), str(self.version))
 
     def section_index(self) -> S.Index:
-        return S.Index.kept(self["sections"].select("id", "heading", "body"), f"{self.folder}/index/v={self.version}/sections", ("heading", "body"), True)
+        return self.stored("sections").at(self["sections"].select("id", *SECTION_FIELDS), str(self.version))
 
 
 def _shown(c: Catalog, hits: DataFrame) -> DataFrame:
@@ -55,7 +64,46 @@ def _shown(c: Catalog, hits: DataFrame) -> DataFrame:
 
 
 def search(c: Catalog, q: str = "", limit: int = 10, strict: bool = False) -> DataFrame:
-    return _shown(c, S.search(c.index(), q if strict else S.safe_query(q), S.PUBLICATION_WEIGHTS, int(limit)))
+    """Hits, best first, with the best window of words of each and, where a
+    section matches, that section's heading and window."""
+    query, index = q if strict else S.safe_query(q), c.index()
+    hits = S.search(index, query, S.PUBLICATION_WEIGHTS, int(limit))
+    texts = c.documents().join(hits.select("id"), "id", "left_semi")
+    return _shown(c, hits.join(S.snippets(index, texts, query), "id", "left").join(_best_sections(c, query, hits), "id", "left"))
+
+
+def _best_sections(c: Catalog, query: str, hits: DataFrame) -> DataFrame:
+    """(id, section, section_snippet) of the hits whose sections match."""
+    index = c.section_index()
+    best = S.best_sections(index, c["sections"], query, hits.select("id")).select(F.col("id").alias("publication"), F.col("section_id").alias("id"))
+    rows = c["sections"].select("id", *SECTION_FIELDS).join(best, "id")
+    cut = S.snippets(index, rows.select("id", *SECTION_FIELDS), query, column=1)
+    return rows.join(cut, "id").select(F.col("publication").alias("id"), F.col("heading").alias("section"), F.col("snippet").alias("section_snippet"))
+
+
+def reindex(c: Catalog, ref: str = "") -> DataFrame:
+    """Bring one publication's row of the index up to date, or without one all
+    that changed. One row: what the index holds now."""
+    mine = c.stored("publications")
+    if ref:
+        own = c["publications"].where(F.col("id") == I.find_publication(c["publications"], ref)).select("id")
+        mine.update(c.documents(), mine.manifest()[1], own)
+    else:
+        mine.update(c.documents(), str(c.version))
+        c.stored("sections").update(c["sections"].select("id", *SECTION_FIELDS), str(c.version))
+    return _indexed(c)
+
+
+def _indexed(c: Catalog) -> DataFrame:
+    rows = [(of, len(s), sum(x.documents for x in s), sum(x.void for x in s)) for of in ("publications", "sections") for s in [c.stored(of).manifest()[0]]]
+    return c.spark.createDataFrame(rows, "index string, segments int, documents long, void long")
+
+
+def index_fts(c: Catalog) -> DataFrame:
+    """Both keyword indexes anew."""
+    c.stored("publications").rebuild(c.documents(), str(c.version))
+    c.stored("sections").rebuild(c["sections"].select("id", *SECTION_FIELDS), str(c.version))
+    return _indexed(c)
 
 
 def _vector(q: str, vector: str | None) -> list[float] | None:
@@ -74,11 +122,9 @@ def find(c: Catalog, q: str = "", limit: int = 10, vector: str | None = None) ->
     marks = c["shortlist"].select(F.col("publication_id").alias("id"), F.lit(True).alias("shortlisted"))
     out = _shown(c, hits).join(parents, "parent_id", "left").join(lines, "id", "left").join(marks, "id", "left")
     try:
-        best = S.best_sections(c.section_index(), c["sections"], S.safe_query(q), hits.select("id"))
-        best = best.join(c["sections"].select(F.col("id").alias("section_id"), "heading"), "section_id").select("id", F.col("heading").alias("section"))
-        out = out.join(best, "id", "left")
+        out = out.join(_best_sections(c, S.safe_query(q), hits), "id", "left")
     except S.MatchError:
-        out = out.withColumn("section", F.lit(None).cast("string"))
+        out = out.withColumns({x: F.lit(None).cast("string") for x in ("section", "section_snippet")})
     return out.withColumns({"shortlisted": F.coalesce("shortlisted", F.lit(False)), "notes": F.lit("; ".join(notes))}).orderBy("position")
 
 
@@ -147,6 +193,8 @@ def _with_topics(c: Catalog) -> dict[str, DataFrame]:
 COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "search": search,
     "find": find,
+    "index-fts": index_fts,
+    "reindex": reindex,
     "semantic": semantic,
     "list": listing,
     "people": people,

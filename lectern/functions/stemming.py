@@ -9,7 +9,7 @@ from functools import lru_cache
 _VOWELS = "aeiou"
 # The suffix tables of the published algorithm.
 STEP2 = {
-    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
     "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log",
 }
 STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
@@ -38,14 +38,14 @@ def _short(word: str) -> bool:
 
 @lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
-    if len(word) < 3 or len(word) > 20 or not word.isascii() or not word.isalpha():
+    if not 3 <= len(word.encode()) <= 64:
         return word
-    w = word
-    if w.endswith("sses") or w.endswith("ies"):
+    w = word if word.isascii() else word.encode().decode("latin-1")  # bytes count as letters
+    if len(w) > 3 and (w.endswith("sses") or w.endswith("ies")):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
-    if w.endswith("eed"):
+    if w.endswith("eed") and len(w) > 3:
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     else:
@@ -76,22 +76,23 @@ def stem(word: str) -> str:
             w = w[:-1]
     if w.endswith("ll") and _measure(w[:-1]) > 1:
         w = w[:-1]
-    return w
+    return w if word.isascii() else w.encode("latin-1").decode(errors="ignore")
 
 
-def folded(text: str) -> str:
-    """Lower case without diacritics."""
-    if text.isascii():
-        return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+def fold(word: str) -> str:
+    """Lower case without diacritics; ligatures and fractions stay."""
+    if word.isascii():
+        return word.lower()
+    split = unicodedata.normalize("NFD", word.lower())
+    return unicodedata.normalize("NFC", "".join(c for c in split if not "\u0300" <= c <= "\u036f"))
 
 
-_TOKEN = re.compile(r"[^\W_]+")
+_TOKEN = re.compile("(?:[^\\W_][\u0300-\u036f]*)+")
 
 
 def words(text: str | None) -> list[str]:
     """Runs of letters and digits, folded."""
-    return _TOKEN.findall(folded(text or ""))
+    return [fold(w) for w in _TOKEN.findall(text or "")]
 
 
 def tokens(text: str | None, stemmed: bool = True) -> list[str]:

@@ -1,9 +1,13 @@
 """Keyword search: postings, match grammar and BM25.
 
-``Index`` holds one row for each (document, field, term) with its positions,
-and one for each document with its length. A query reads only the postings of
-its own terms (a filter that reaches the scan of a stored index); two numbers,
-the count of documents and their mean length, are all the driver learns.
+``Index`` holds one row for each token with its place, and one for each
+document with its length. A query reads only the postings of its own terms (a
+filter that reaches the scan of a stored index); the driver learns the count of
+documents, their mean length, and in a stemmed index which words have a stem.
+
+Terms are lower-cased words. A stemmed index has a word list besides, (term,
+stem), made once for each distinct word after the shuffle; a query's stems are
+turned into words there, so no text ever meets the stemmer.
 
 ``Scan`` answers the same queries from the documents themselves, for catalogs
 that have no stored index: two passes that look for the query's own terms in
@@ -14,13 +18,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import stemming
 
@@ -39,62 +43,61 @@ def plain_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-_STEMS: dict[str, str] = {}
+#: Letters and digits, in a word list's terms each with the diacritics after it.
+SURFACE, PLAIN = r"(?:[\p{L}\p{N}][\u0300-\u036f]*)+", r"[\p{L}\p{N}]+"
 
 
-def _stems(words: list[str]) -> list[str]:
-    """Each distinct word is stemmed once a process, up to a bound."""
-    if len(_STEMS) > 1 << 20:
-        _STEMS.clear()
-    return [_STEMS[w] if w in _STEMS else _STEMS.setdefault(w, stemming.stem(w)) for w in words]
+def surface_tokens(text: Column) -> Column:
+    """Lower-cased words with their diacritics, for a word list to fold and
+    stem; stays in the JVM."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({SURFACE})"), F.lit(1))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stemmed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: _stems(stemming.words(t)))
+def word_list(terms: DataFrame) -> DataFrame:
+    """(term, stem) for distinct terms(term): case and diacritics folded, then
+    Porter's stem."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stems = [stemming.stem(stemming.fold(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stems, pa.string())], names=["term", "stem"])
 
-def stemmed_tokens(text: Column) -> Column:
-    """Case and diacritics folded, Porter-stemmed; Arrow batches."""
-    return _stemmed(F.coalesce(text, F.lit("")))
+    return terms.select("term").mapInArrow(run, "term string, stem string")
 
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # id, field, term, positions
+    postings: DataFrame  # id, field, term, position
     lengths: DataFrame  # id, length
     fields: tuple[str, ...]
     stemmed: bool = False
+    words: DataFrame | None = None  # term, stem
 
     @staticmethod
     def build(docs: DataFrame, fields: tuple[str, ...], stemmed: bool = False) -> Index:
-        """From docs(id, *fields). One shuffle, on (id, field, term)."""
-        tokens = stemmed_tokens if stemmed else plain_tokens
-        rows = docs.select("id", F.posexplode(F.array(*[tokens(F.col(f)) for f in fields])).alias("field", "tokens"))
-        lengths = rows.groupBy("id").agg(F.sum(F.size("tokens")).alias("length"))
-        spread = rows.select("id", "field", F.posexplode("tokens").alias("position", "term"))
-        postings = spread.groupBy("id", "field", "term").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-        return Index(postings, lengths, fields, stemmed)
+        """From docs(id, *fields). Tokens are exploded in place: only the word
+        list needs a shuffle, of distinct words."""
+        tokens = surface_tokens if stemmed else plain_tokens
+        rows = docs.select("id", F.array(*[tokens(F.col(f)) for f in fields]).alias("tokens"))
+        lengths = rows.select("id", F.aggregate("tokens", F.lit(0).cast("long"), lambda n, t: n + F.size(t)).alias("length"))
+        postings = rows.select("id", F.posexplode("tokens").alias("field", "t")).select("id", "field", F.posexplode("t").alias("position", "term"))
+        postings = postings.select("id", "field", "term", "position")
+        return Index(postings, lengths, fields, stemmed, word_list(postings.select("term").distinct()) if stemmed else None)
 
     def save(self, folder: str) -> None:
-        """Postings sorted by term, so that a query's filter skips row groups;
-        ranges are of (term, id), which splits a term that is everywhere."""
-        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+        """One shuffle: postings in ranges of term and id, so that a query's
+        filter skips files and row groups, and a term that is everywhere is
+        split. The word list is made of the terms as they are stored."""
+        order = ("term", "id", "field", "position")
+        self.postings.repartitionByRange("term", "id").sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
-
-    @staticmethod
-    def kept(docs: DataFrame, folder: str, fields: tuple[str, ...], stemmed: bool = False) -> Index:
-        """The index in folder, built from docs where there is none whole."""
-        spark = docs.sparkSession
-        marks = [spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}/_SUCCESS") for part in ("postings", "lengths")]
-        fs = marks[0].getFileSystem(spark._jsc.hadoopConfiguration())
-        if not all(fs.exists(m) for m in marks):
-            Index.build(docs, fields, stemmed).save(folder)
-        return Index.open(spark, folder, fields, stemmed)
+        if self.stemmed:
+            terms = self.postings.sparkSession.read.parquet(f"{folder}/postings").select("term").distinct()
+            word_list(terms).repartitionByRange("stem").sortWithinPartitions("stem", "term").write.mode("overwrite").parquet(f"{folder}/words")
 
     @staticmethod
     def open(spark: SparkSession, folder: str, fields: tuple[str, ...], stemmed: bool = False) -> Index:
-        return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), fields, stemmed)
+        return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), fields, stemmed, spark.read.parquet(f"{folder}/words") if stemmed else None)
 
     def terms(self, text: str) -> list[str]:
         return query_terms(text, self.stemmed)
@@ -284,39 +287,63 @@ def safe_query(text: str | None) -> str:
     return " ".join(filter(None, map(said, (text or "").split())))
 
 
-def _phrase_hits(index: Index, p: Phrase) -> DataFrame:
-    """(id, field, hits): where a phrase occurs and how often."""
+#: Words of a query's stems that become a filter of the scan; more are joined.
+MANY = 2000
+Variants = dict[tuple[str, bool], list[str]]
+
+
+def _of(column: Column, term: str, prefix: bool) -> Column:
+    return column.startswith(term) if prefix else column == term
+
+
+def _asked(leaves: list[Phrase]) -> list[tuple[str, bool]]:
+    return sorted({(t, p.prefix and k == len(p.terms) - 1) for p in leaves for k, t in enumerate(p.terms)})
+
+
+def _variants(words: DataFrame, leaves: list[Phrase]) -> Variants | None:
+    """The words of every stem that is asked for; None if they are many."""
+    asked = _asked(leaves)
+    if not asked:
+        return {}
+    own = words.where(reduce(lambda a, b: a | b, [_of(F.col("stem"), *a) for a in asked]))
+    found = own.select("term", "stem").limit(MANY + 1).collect()
+    if len(found) > MANY:
+        return None
+    return {(t, prefix): sorted({r.term for r in found if (r.stem.startswith(t) if prefix else r.stem == t)}) for t, prefix in asked}
+
+
+def _phrase_at(index: Index, p: Phrase, variants: Variants | None) -> DataFrame:
+    """(id, field, at): every place where a phrase begins."""
     fields = [i for i, f in enumerate(index.fields) if p.fields is None or f in p.fields]
-    own = index.postings.where(F.col("field").isin(fields)) if fields else index.postings.where("false")
-    if not p.terms:
-        return own.where("false").select("id", "field", F.lit(0).alias("hits"))
+    own = index.postings.where(F.col("field").isin(fields)) if fields and p.terms else index.postings.where("false")
     found = None
-    for k, term in enumerate(p.terms):
-        last = k == len(p.terms) - 1
-        rows = own.where(F.col("term").startswith(term) if last and p.prefix else F.col("term") == term)
-        if last and p.prefix:
-            rows = rows.select("id", "field", F.explode("positions").alias("at")).groupBy("id", "field").agg(F.collect_set("at").alias("positions"))
-        rows = rows.select("id", "field", F.transform("positions", lambda x: x - k).alias("here"))
-        found = rows if found is None else found.join(rows.withColumnRenamed("here", "next"), ["id", "field"]).select("id", "field", F.array_intersect("here", "next").alias("here"))
-    if p.initial:
-        found = found.withColumn("here", F.filter("here", lambda x: x == 0))
-    return found.select("id", "field", F.size("here").alias("hits")).where("hits > 0")
-
-
-def _matches(index: Index, node, weights: tuple[float, ...], totals) -> DataFrame:
+    for k, term in enumerate(p.terms or ("",)):
+        asked = (term, p.prefix and k == len(p.terms) - 1)
+        if not index.stemmed:
+            rows = own.where(_of(F.col("term"), *asked))
+        elif variants is not None:
+            rows = own.where(F.col("term").isin(variants.get(asked, [])))
+        else:
+            rows = own.join(index.words.where(_of(F.col("stem"), *asked)).select("term"), "term", "left_semi")
+        rows = rows.select("id", "field", (F.col("position") - k).alias("at"))
+        found = rows if found is None else found.join(rows, ["id", "field", "at"], "left_semi")
+    return found.where("at = 0") if p.initial else found
+
+
+def _matches(index: Index, node, weights: tuple[float, ...], totals, variants: Variants | None) -> DataFrame:
     """(id, score) of the documents that satisfy node. A branch that does not
     hold for a document adds nothing, even if some of its terms occur."""
     if isinstance(node, Phrase):
         weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("field") + 1)
-        hits = _phrase_hits(index, node).groupBy("id").agg(F.sum(weight * F.col("hits")).alias("f"))
+        hits = _phrase_at(index, node, variants).groupBy("id").agg(F.sum(weight).alias("f"))
         n = hits.agg(F.count("*").alias("n"))
         idf = F.log((F.lit(totals.n) - F.col("n") + 0.5) / (F.col("n") + 0.5))
         rows = hits.join(index.lengths, "id").crossJoin(F.broadcast(n))
         score = -F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.lit(totals.mean)))
         return rows.select("id", score.alias("score"))
     if isinstance(node, Without):
-        return _matches(index, node.keep, weights, totals).join(_matches(index, node.drop, weights, totals), "id", "left_anti")
-    parts = [_matches(index, p, weights, totals) for p in node.parts]
+        return _matches(index, node.keep, weights, totals, variants).join(_matches(index, node.drop, weights, totals, variants), "id", "left_anti")
+    parts = [_matches(index, p, weights, totals, variants) for p in node.parts]
     both = reduce(DataFrame.union, parts).groupBy("id").agg(F.sum("score").alias("score"), F.count("*").alias("n"))
     return (both.where(F.col("n") == len(parts)) if isinstance(node, Both) else both).select("id", "score")
 
@@ -327,22 +354,28 @@ def _leaves(node) -> list[Phrase]:
     return [p for n in ((node.keep, node.drop) if isinstance(node, Without) else node.parts) for p in _leaves(n)]
 
 
-def _occurrences(tokens: Column, p: Phrase) -> Column:
+def _occurrences(tokens: Column, p: Phrase, variants: Variants | None) -> Column:
     """How often one field's tokens hold a phrase."""
 
     def here(x: Column, i: Column) -> Column:
         out = F.lit(True) if not p.initial else i == 0
         for k, term in enumerate(p.terms):
             word = x if k == 0 else F.coalesce(F.get(tokens, i + k), F.lit(""))
-            out = out & (word.startswith(term) if p.prefix and k == len(p.terms) - 1 else word == term)
+            asked = (term, p.prefix and k == len(p.terms) - 1)
+            out = out & (_of(word, *asked) if variants is None else word.isin(variants[asked]))
         return out
 
     return F.size(F.filter(tokens, here)) if p.terms else F.lit(0)
 
 
 def _scan(scan: Scan, node, weights: tuple[float, ...]) -> DataFrame:
-    cut = stemmed_tokens if scan.stemmed else plain_tokens
-    leaves = _leaves(node)
+    cut = surface_tokens if scan.stemmed else plain_tokens
+    leaves, variants = _leaves(node), None
+    if scan.stemmed:
+        index = Index.build(scan.docs, scan.fields, True)
+        variants = _variants(index.words, leaves)
+        if variants is None:  # too many words for an expression: joined instead
+            return match(index, node, weights)
 
     def tokenised(docs: DataFrame) -> DataFrame:
         # a generator, so that no filter above it repeats the tokenising
@@ -353,7 +386,7 @@ def _scan(scan: Scan, node, weights: tuple[float, ...]) -> DataFrame:
         return tokenised(docs).select("id", length.alias("length"), *[w.alias(f"f{k}") for k, w in enumerate(weighted)])
 
     weighted = [
-        sum((F.lit(weights[i]) * _occurrences(F.col(f"t{i}"), p) for i, f in enumerate(scan.fields) if p.fields is None or f in p.fields), F.lit(0.0)) for p in leaves
+        sum((F.lit(weights[i]) * _occurrences(F.col(f"t{i}"), p, variants) for i, f in enumerate(scan.fields) if p.fields is None or f in p.fields), F.lit(0.0)) for p in leaves
     ]
     length = sum((F.size(f"t{i}") for i in range(len(scan.fields))), F.lit(0))
     stats = counted(scan.docs).agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(leaves))]).first()
@@ -382,13 +415,15 @@ def _scan(scan: Scan, node, weights: tuple[float, ...]) -> DataFrame:
     return counted(docs).where(holds).select("id", score.alias("score"))
 
 
-def match(index: Index | Scan, query: str, weights: tuple[float, ...]) -> DataFrame:
-    """(id, score) of all documents that match; a lower score is better."""
-    node = parse(query, index)
+def match(index: Index | Scan, query, weights: tuple[float, ...]) -> DataFrame:
+    """(id, score) of all documents that match; a lower score is better. query
+    is a match expression or its tree."""
+    node = parse(query, index) if isinstance(query, str) else query
     if isinstance(index, Scan):
         return _scan(index, node, weights)
+    variants = _variants(index.words, _leaves(node)) if index.stemmed else None
     totals = index.lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
-    return _matches(index, node, weights, totals)
+    return _matches(index, node, weights, totals, variants)
 
 
 def term_stats(docs: DataFrame, field: str) -> DataFrame:
@@ -406,16 +441,64 @@ def search(index: Index | Scan, query: str, weights: tuple[float, ...], limit: i
     return top.selectExpr("id", "score", "row_number() OVER (ORDER BY score, id) AS position")
 
 
-def snippet(text: Column, terms: list[str], width: int = 12) -> Column:
-    """The first window of `width` words that holds the most query words, in
-    brackets, with an ellipsis where text is left out."""
-    words = F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " ")
-    low = [t.lower() for t in terms]
-    hit = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")).isin(low)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - width))
-    best = F.element_at(F.array_sort(F.transform(starts, lambda s: F.struct((-F.size(F.filter(F.slice(words, s + 1, width), hit))).alias("n"), s.alias("s")))), 1)["s"]
-    body = F.array_join(F.transform(F.slice(words, best + 1, width), lambda w: F.when(hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)), " ")
-    return F.concat(F.when(best > 0, F.lit("… ")).otherwise(F.lit("")), body, F.when(best + width < F.size(words), F.lit(" …")).otherwise(F.lit("")))
+def snippets(index: Index | Scan, docs: DataFrame, query: str, column: int | None = None, width: int = 12, marks: tuple[str, str] = ("[", "]"), more: str = " … ") -> DataFrame:
+    """(id, snippet) for docs(id, *fields), the rows to show: the best window of
+    `width` tokens, in the best field if none is given, hits in marks.
+
+    A window begins at a hit, or at the sentence around it; each phrase counts
+    1,000 and each further hit 1, a sentence's start 100 and a field's 120; of
+    equal ones the first stays. One that begins at a hit is then centred on its
+    hits. Counts slide over the sorted hits of a field; only the rows to show
+    are cut into tokens again, for where these begin and end."""
+    if isinstance(index, Scan):
+        index = Index.build(docs, index.fields, index.stemmed)
+    leaves = _leaves(parse(query, index))
+    variants = _variants(index.words, leaves) if index.stemmed else None
+    own = [i for i in range(len(index.fields)) if column is None or i == column]
+    word = SURFACE if index.stemmed else PLAIN
+    texts = docs.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.coalesce(F.col(index.fields[i]), F.lit("")).alias("text")) for i in own])).alias("t")).select("id", "t.*")
+    texts = texts.withColumns({"words": F.regexp_extract_all("text", F.lit(f"({word})"), F.lit(1)), "gaps": F.split("text", word, -1)}).withColumn("n", F.size("words"))
+    opening = F.when(F.col("n") > 0, F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | F.get("gaps", i).rlike(r"[.:][ \t\r\n]+$")))
+
+    def places(k: int, p: Phrase) -> DataFrame:
+        return _phrase_at(index, p, variants).where(F.col("field").isin(own)).select("id", "field", "at", F.lit(k).alias("phrase"), (F.col("at") + len(p.terms)).alias("end"))
+
+    hits = reduce(DataFrame.union, [places(k, p) for k, p in enumerate(leaves)])
+    hits = texts.select("id", "field", "n", opening.alias("opening")).join(hits, ["id", "field"])
+    begins = F.array_max(F.filter("opening", lambda x: x <= F.col("at")))
+    kinds = F.array(F.struct(F.col("at").alias("s"), F.lit(0).alias("kind")), F.struct(begins.alias("s"), F.lit(1).alias("kind")))
+    tries = hits.select("id", "field", "n", F.col("at").alias("hit"), F.explode(kinds).alias("k")).where((F.col("k.kind") == 0) | ((F.col("n") > width) & (F.col("k.s") < F.col("hit"))))
+    none = F.lit(None).cast("int")
+    events = hits.select("id", "field", "n", "at", "phrase", "end", none.alias("hit"), none.alias("kind")).union(tries.select("id", "field", "n", "k.s", none, none, "hit", "k.kind"))
+    inside = Window.partitionBy("id", "field").orderBy("at").rangeBetween(0, width - 1)
+    there = F.when(F.col("phrase").isNotNull(), F.struct("at", "phrase", "end"))
+    seen = events.withColumns({"hits": F.count("phrase").over(inside), "kinds": F.size(F.collect_set("phrase").over(inside)), "first": F.min(F.when(F.col("phrase").isNotNull(), F.col("at"))).over(inside), "last": F.max(there).over(inside).getField("end")}).where("kind IS NOT NULL")
+    spare = F.lit(width) - (F.col("last") - F.col("first"))
+    half = F.when(spare < 0, F.ceil(spare / 2)).otherwise(F.floor(spare / 2)).cast("int")
+    centred = F.greatest(F.least(F.col("first") - half, F.col("n") - width), F.lit(0))
+    score = F.col("hits") + 999 * F.col("kinds") + F.when(F.col("kind") == 0, 0).when(F.col("at") == 0, 120).otherwise(100)
+    best = seen.groupBy("id").agg(F.max_by(F.struct("field", F.when(F.col("kind") == 0, centred).otherwise(F.col("at")).alias("start")), F.struct(score, -F.col("field"), -F.col("hit"), -F.col("kind"))).alias("best"))
+
+    # phrases that overlap are marked as one
+    sorted_ = Window.partitionBy("id", "field").orderBy("at", "phrase")
+    apart = (F.col("at") >= F.max("end").over(sorted_.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+    runs = hits.withColumn("apart", F.coalesce(apart, F.lit(0))).withColumn("run", F.sum("apart").over(sorted_))
+    runs = runs.groupBy("id", "field", "run").agg(F.min("at").alias("s"), (F.max("end") - 1).alias("e"))
+
+    chosen = docs.select("id").join(best, "id", "left").select("id", F.coalesce("best.field", F.lit(own[0])).alias("field"), F.coalesce("best.start", F.lit(0)).alias("start"))
+    near = chosen.join(runs, ["id", "field"]).where((F.col("s") >= F.col("start")) & (F.col("s") < F.col("start") + width)).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    rows = chosen.join(texts, ["id", "field"]).join(near, "id", "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<s:int,e:int>>")))
+    end = F.col("start") + width - 1
+
+    def shown(i: Column) -> Column:
+        gap = F.when((i > F.col("start")) | (F.col("start") == 0), F.get("gaps", i)).otherwise("")
+        left = F.when(F.exists("runs", lambda r: r["s"] == i), marks[0]).otherwise("")
+        right = F.when(F.exists("runs", lambda r: (r["e"] == i) | ((i == end) & (r["s"] <= i) & (r["e"] > i))), marks[1]).otherwise("")
+        return F.concat(gap, left, F.get("words", i), right)
+
+    body = F.array_join(F.transform(F.sequence(F.col("start"), F.least(end, F.col("n") - 1)), shown), "")
+    cut = F.concat(F.when(F.col("start") > 0, more).otherwise(""), body, F.when(end >= F.col("n") - 1, F.get("gaps", F.col("n"))).otherwise(more))
+    return rows.select("id", F.when(F.col("n") == 0, F.col("text")).otherwise(cut).alias("snippet"))
 
 
 def best_sections(index: Index, sections: DataFrame, query: str, ids: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ itself is a top-k or a page.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,9 @@ from ..operators import search as S
 from ..operators import state as M
 from ..operators import vectors as R
 from ..operators import views as V
+from ..operators.indexing import StoredIndex
 from .bind import load, prelude
+from .stems import porter
 
 FLAGSHIP = "hybrid_find"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -543,12 +546,21 @@ top AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9), id) AS po
 """
 
 
+def _files(spark, path: str) -> str:
+    """A digest of the names, sizes and times of a table's files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where))
+    return hashlib.md5(repr(found).encode(), usedforsecurity=False).hexdigest()
+
+
 def stored_index(c):
-    """The documents' index, built when first asked for and then opened: a
-    query's terms are a filter that the scan of the postings skips by."""
+    """The documents' index, built when first asked for, opened while the
+    table's files stay, and brought up to date when they change: a query's
+    terms are a filter that the scan of the postings skips by."""
     spark = c["documents_"].sparkSession
     folder = f"{storage.shared_folder(spark)}/lectern/index-{spark.sparkContext.applicationId}-{hashlib.md5(c.folder.encode(), usedforsecurity=False).hexdigest()}"
-    return S.Index.kept(c["documents_"].select("id", "title", "body"), folder, ("title", "body"))
+    return StoredIndex(spark, folder, ("title", "body")).at(c["documents_"].select("id", "title", "body"), _files(spark, f"{c.folder}/documents.parquet"))
 
 
 def _doc_index(c, stemmed=False):
@@ -577,9 +589,65 @@ def _(c):
     return S.match(_doc_index(c), '(body: "licensed under the" OR body: idio*) NOT body: gnu', (10.0, 1.0)).select("id")
 
 
-@query("stemmed_search")
+_SURFACE = r"'(?:[\p{L}\p{N}][\x{0300}-\x{036F}]*)+'"
+
+
+def _stemmed_bm25(words: list[str], every: bool, limit: int) -> str:
+    said = ", ".join(f"'{w}'" for w in words)
+    return f"""WITH docs AS (SELECT id, regexp_extract_all(lower(coalesce(title, '')), {_SURFACE}) AS t, regexp_extract_all(lower(coalesce(body, '')), {_SURFACE}) AS b FROM documents_),
+size AS (SELECT id, len(t) + len(b) AS d FROM docs), total AS (SELECT count(*) AS n, avg(d) AS mean FROM size),
+tokens AS (SELECT id, unnest(t) AS term, 10.0 AS weight FROM docs UNION ALL SELECT id, unnest(b), 1.0 FROM docs),
+folded AS (SELECT term, strip_accents(term) AS w FROM (SELECT term FROM tokens UNION SELECT unnest([{said}]))),
+{porter('folded', 'stems')},
+asked AS (SELECT DISTINCT stem FROM stems WHERE term IN ({said})),
+hits AS (SELECT id, stem AS q, sum(weight) AS f FROM tokens JOIN stems USING (term) JOIN asked USING (stem) GROUP BY id, stem),
+df AS (SELECT q, ln((any_value(total.n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM hits, total GROUP BY q),
+scored AS (SELECT h.id, -sum(CASE WHEN idf > 0 THEN idf ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean))) AS score FROM hits h JOIN df USING (q) JOIN size s ON h.id = s.id, total
+  GROUP BY h.id {f'HAVING count(*) = (SELECT count(*) FROM asked)' if every else ''}),
+top AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9), id) AS position FROM scored ORDER BY position LIMIT {limit})
+SELECT id, round(score, 9) AS score, position FROM top"""
+
+
+@query("stemmed_search", _stemmed_bm25(["licensing", "public", "works"], True, 30), "documents_")
+def _(c):
+    return _top(_doc_index(c, True), S.safe_query("licensing public works?"), 30)
+
+
+@query("index_after_changes", _stemmed_bm25(["worthlessness", "licensing", "morons"], False, 60), "documents_")
+def _(c):
+    """An index of another state of the table, brought to this one: texts that
+    differ, are new or are gone go to one more segment."""
+    docs = c["documents_"].select("id", "title", "body")
+    other = docs.where("id % 10 <> 3").withColumn("body", F.when(F.col("id") % 7 == 0, F.concat("body", F.lit(" worthless morons"))).otherwise(F.col("body")))
+    gone = docs.where("id % 11 = 0").withColumn("id", -1 - F.col("id"))
+    spark = docs.sparkSession
+    mine = StoredIndex(spark, f"{storage.shared_folder(spark)}/lectern/index-changes-{uuid.uuid4().hex}", ("title", "body"), True)
+    mine.rebuild(other.union(gone), "before")
+    return _top(mine.update(docs, "after"), "worthlessness OR licensing OR morons", 60)
+
+
+_SAID = "('worthless', 'licensed', 'moron')"
+
+
+@query("search_snippets", _bm25(["worthless", "licensed", "moron"], False, 50) + f"""
+, texts AS (SELECT d.id, field, coalesce(CASE field WHEN 0 THEN title ELSE body END, '') AS text FROM documents_ d JOIN top USING (id), range(2) AS r(field)),
+cut AS (SELECT *, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS words, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') AS gaps, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS n FROM texts),
+places AS (SELECT id, field, n, gaps, i AS spot, lower(words[i + 1]) AS phrase FROM (SELECT *, unnest(range(n)) AS i FROM cut) WHERE lower(words[i + 1]) IN {_SAID}),
+tries AS (SELECT id, field, n, spot AS hit, spot AS s, 0 AS kind FROM places UNION ALL
+  SELECT * FROM (SELECT id, field, n, spot AS hit, list_max(list_filter(range(spot + 1), lambda x: x = 0 OR regexp_matches(gaps[x + 1], '[.:][ \\t\\r\\n]+$'))) AS s, 1 AS kind FROM places) WHERE n > 12 AND s < hit),
+counted AS (SELECT t.id, t.field, t.n, t.hit, t.s, t.kind, count(*) + 999 * count(DISTINCT phrase) + CASE WHEN t.kind = 0 THEN 0 WHEN t.s = 0 THEN 120 ELSE 100 END AS points, min(spot) AS lo, max(spot) + 1 AS hi
+  FROM tries t JOIN places p ON t.id = p.id AND t.field = p.field AND p.spot BETWEEN t.s AND t.s + 11 GROUP BY t.id, t.field, t.n, t.hit, t.s, t.kind),
+best AS (SELECT id, field, CASE WHEN kind = 1 THEN s ELSE greatest(least(lo - CAST(trunc((12 - (hi - lo)) / 2.0) AS BIGINT), n - 12), 0) END AS opens
+  FROM counted QUALIFY row_number() OVER (PARTITION BY id ORDER BY points DESC, field, hit, kind) = 1)
+SELECT id, position, CASE WHEN opens > 0 THEN ' … ' ELSE '' END || array_to_string(list_transform(range(opens, least(opens + 12, n)), lambda i:
+  CASE WHEN i > opens OR opens = 0 THEN gaps[i + 1] ELSE '' END || CASE WHEN lower(words[i + 1]) IN {_SAID} THEN '[' || words[i + 1] || ']' ELSE words[i + 1] END), '')
+  || CASE WHEN opens + 11 >= n - 1 THEN gaps[n + 1] ELSE ' … ' END AS snippet
+FROM best JOIN cut USING (id, field) JOIN top USING (id)""", "documents_")
 def _(c):
-    return S.search(_doc_index(c, True), S.safe_query("licensing public works?"), (10.0, 1.0), 30)
+    asked, index = "worthless OR licensed OR moron", stored_index(c)
+    top = _top(index, asked, 50).select("id", "position")
+    texts = c["documents_"].select("id", "title", "body").join(top.select("id"), "id", "left_semi")
+    return top.join(S.snippets(index, texts, asked), "id").select("id", "position", "snippet")
 
 
 @query("postings", f"""

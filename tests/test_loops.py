@@ -122,7 +122,8 @@ def test_commands(spark, folder, capsys):
 def test_the_index_is_built_once_and_pruned_by_term(spark, folder):
     c = cli.Catalog(spark, folder)
     first = c.index()
-    plan = S._phrase_hits(first, S.Phrase(("tariff",)))._jdf.queryExecution().toString()
+    phrase = S.Phrase(("tariff",))
+    plan = S._phrase_at(first, phrase, S._variants(first.words, [phrase]))._jdf.queryExecution().toString()
     assert "EqualTo(term,tariff)" in plan
     import os
 
