@@ -47,6 +47,8 @@ AGREE = 60
 #: Classes of a band, and shingles (with MEMBER for each class) of a cluster, that one task compares.
 BAND_LIMIT, CLUSTER_LIMIT, MEMBER = 4096, 1 << 20, 32
 HUBS = 8
+#: Bits of the map of rows that are read again: 8 MB for every task.
+SIEVE_BITS = 1 << 26
 #: Up to so many classes of a band are compared all at once.
 SMALL = 16
 
@@ -285,6 +287,26 @@ def spanning_links(members: DataFrame, loads: DataFrame, compare: Callable, limi
     return base.stored(links.union(_run(loaded(second), compare)), "near")
 
 
+def sieved(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs(file, row, text) without most rows that are not wanted(file_,
+    row_): a bitmap of hashed places, of one size whatever the number of rows,
+    goes to all tasks, so that texts of no cluster are not shuffled. What it
+    lets through besides, the join that follows takes out."""
+    place = lambda *of: F.pmod(F.xxhash64(*of), F.lit(SIEVE_BITS))
+    bits = wanted.select(place("file_", "row_").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
+    words = np.zeros(SIEVE_BITS >> 6, np.uint64)
+    words[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            there = shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            yield batch.filter(pa.array(there.astype(bool))).select(["file", "row", "text"])
+
+    return docs.select("file", "row", "text", place("file", "row").alias("at")).mapInArrow(run, "file string, row long, text string")
+
+
 def _tops(links: DataFrame) -> DataFrame:
     """(node, top) of every linked node."""
     reached = components.least_reachable(links)
@@ -307,7 +329,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     own = classes.select(F.col("node").alias("node_"), "n", "place")
     placed = base.stored(clusters.join(own, F.col("node") == F.col("node_")).select("top", "node", "n", F.col("place.file").alias("file_"), F.col("place.row").alias("row_")), "clusters")
-    texts = docs.join(placed, (F.col("file") == F.col("file_")) & (F.col("row") == F.col("row_"))).select("node", "n", F.col("text").alias("load"))
+    texts = sieved(docs, placed).join(placed, (F.col("file") == F.col("file_")) & (F.col("row") == F.col("row_"))).select("node", "n", F.col("text").alias("load"))
     members = placed.select(F.col("top").alias("grp"), "node", (F.col("n") + MEMBER).alias("weight"))
     links = spanning_links(members, base.stored(texts, "texts"), links_by_sets, CLUSTER_LIMIT)
 
