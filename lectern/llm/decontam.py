@@ -295,9 +295,9 @@ def contamination(docs: DataFrame, bench: DataFrame, keep: list[str]) -> tuple[D
     text), whose items those are."""
     items, pieces = texts_of(bench)
     blocks = blocks_of(pieces)
-    (hit,) = base.fresh(docs, "hit")
+    hit, body = base.fresh(docs, "hit", "body")
     none = F.lit(None).cast(_HIT).alias(hit)
-    rows = docs.select(*[F.col(base.quoted(c)) for c in keep], F.col("text").alias("text_"), none)
+    rows = docs.select(*[F.col(base.quoted(c)) for c in keep], F.col("text").alias(body), none)
     if len(blocks) > 1:
         where = base.located(docs := base.filed(docs))
         file, row = where.columns[-2:]
@@ -309,7 +309,7 @@ def contamination(docs: DataFrame, bench: DataFrame, keep: list[str]) -> tuple[D
         merged = found.groupBy(file, row).agg(F.flatten(F.collect_list(f"{hit}.spans")).alias("s"), F.flatten(F.collect_list(f"{hit}.texts")).alias("t"))
         merged = base.stored(merged.select(file, row, F.struct(F.lit(0).cast("long").alias("n_words"), F.col("s").alias("spans"), F.col("t").alias("texts")).alias(hit)), "hits")
         rows = where.join(base.maybe_broadcast(merged, merged.count(), BROADCAST_ROWS), [file, row], "left")
-        rows = rows.select(*[F.col(base.quoted(c)) for c in keep], F.col("text").alias("text_"), hit)
+        rows = rows.select(*[F.col(base.quoted(c)) for c in keep], F.col("text").alias(body), hit)
     return _marked(rows, _collected(blocks[-1]), False), items
 
 
