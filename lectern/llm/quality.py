@@ -10,14 +10,16 @@ each: the smaller a group, the more it borrows, without a switch.
 
 A text fails when a measure lies beyond the middle of its group by more than
 the group's reach, REACH times the distance from the median to the quartile on
-that side. Two sampling laws replace any least cutoff:
+that side. Sampling laws take the place of any least cutoff:
 
 * a mean over n words spreads as 1/sqrt(n): texts shorter than the middle text
   of the group get a reach wider by that much;
-* a share of n things can't be told closer than to a few of them: seeing none
-  among n still allows a rate of 3/n (the rule of three). So a group whose
-  spread is zero reaches RULE_OF_THREE occurrences in its middle text, and a
-  shorter text that many of its own.
+* shares of rare things have quartiles of zero, so their spread is taken from
+  where the mass is: the group's rate, the mean of its sketch below the TRIM
+  quantile. Things of that rate r number n*r in a text of n and spread as
+  sqrt(n*r), so the fence is r + DEVIATIONS * sqrt(r / n), with n no larger
+  than the middle text's; it is no nearer than 3 / n, since seeing none among
+  n still allows that rate (the rule of three).
 
 Null text, empty text: no words, base_failed. Null language or source: a
 group of its own. Repeated rows: measured each. A corpus of equal texts: all
@@ -40,6 +42,10 @@ from . import base, buffers
 
 GROWTH = 1.02
 REACH = 6.0
+#: As many standard deviations are REACH distances from median to quartile.
+DEVIATIONS = round(REACH * 0.6745, 3)
+#: The share of a group's lowest values that its rates are means of.
+TRIM = 0.95
 PRIOR_TEXTS = 50
 RULE_OF_THREE = 3
 MIN_WORDS = 10
@@ -136,7 +142,8 @@ WITH levels AS (
   SELECT level, lang, source, metric, CAST(max(total) AS DOUBLE) AS total,
          coalesce(min(CASE WHEN 4 * upto >= total THEN coalesce({value}, 0) END), 0) AS q1,
          coalesce(min(CASE WHEN 2 * upto >= total THEN coalesce({value}, 0) END), 0) AS q2,
-         coalesce(min(CASE WHEN 4 * upto >= 3 * total THEN coalesce({value}, 0) END), 0) AS q3
+         coalesce(min(CASE WHEN 4 * upto >= 3 * total THEN coalesce({value}, 0) END), 0) AS q3,
+         sum(greatest(least(CAST(n AS DOUBLE), {trim} * total - (upto - n)), 0e0) * coalesce({value}, 0)) / ({trim} * max(total)) AS rate
   FROM ranked GROUP BY level, lang, source, metric
 ), languages AS (
   SELECT l.lang, l.metric, {l_mix}
@@ -151,19 +158,28 @@ SELECT lang, source, {sizes}, {fences} FROM middles
 """
 
 
+def _law(rate: str, least: int, n: str) -> str:
+    """How large a share of n things may be where the rate is this."""
+    return f"greatest({rate} + {DEVIATIONS}e0 * sqrt({rate} * {least} / {n}), {RULE_OF_THREE * least}e0 / {n})"
+
+
 def thresholds_sql(sketch: str) -> str:
-    mix = lambda own, up: ", ".join(f"({own}.total * {own}.{q} + {PRIOR_TEXTS} * {up}.{q}) / ({own}.total + {PRIOR_TEXTS}) AS {q}" for q in ("q1", "q2", "q3"))
+    mix = lambda own, up: ", ".join(f"({own}.total * {own}.{q} + {PRIOR_TEXTS} * {up}.{q}) / ({own}.total + {PRIOR_TEXTS}) AS {q}" for q in ("q1", "q2", "q3", "rate"))
     pick = lambda m, q: f"max(CASE WHEN metric = '{m}' THEN {q} END)"
     middles = [f"greatest({pick(s, 'q2')}, 1e0) AS middle_{s}" for s in SIZES]
     fences = []
     for m, (sides, _, size, least) in METRICS.items():
         middles += [f"{pick(m, 'q2')} AS {m}", *[f"{REACH}e0 * {pick(m, 'q3 - q2' if side == 'high' else 'q2 - q1')} AS {m}_{side}" for side in sides]]
         fences.append(m)
+        if least:
+            middles.append(f"{pick(m, 'rate')} AS {m}_rate")
+            fences.append(f"{m}_rate")
         for side in sides:
             blur = f"{m} * {GROWTH - 1:.6g}e0"  # a sketch tells values no closer
-            fences.append(f"greatest({m}_{side}, {blur}{f', {RULE_OF_THREE * least}e0 / middle_{size}' if least else ''}) AS {m}_{side}")
+            rare = f", {_law(f'{m}_rate', least, f'middle_{size}')} - {m}" if least else ""
+            fences.append(f"greatest({m}_{side}, {blur}{rare}) AS {m}_{side}")
     value = f"2 * power({GROWTH}e0, bucket) / ({GROWTH}e0 + 1)"
-    return _THRESHOLDS.format(sketch=sketch, value=value, l_mix=mix("l", "a"), g_mix=mix("g", "l"), middles=", ".join(middles), sizes=", ".join(f"middle_{s}" for s in SIZES), fences=", ".join(fences))
+    return _THRESHOLDS.format(sketch=sketch, value=value, trim=f"{TRIM}e0", l_mix=mix("l", "a"), g_mix=mix("g", "l"), middles=", ".join(middles), sizes=", ".join(f"middle_{s}" for s in SIZES), fences=", ".join(fences))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
@@ -181,7 +197,11 @@ def verdict_sql(counts: str, fence: str) -> str:
         value = f"({counts}{part} / {n})"
         for side in sides:
             reach = f"{fence}{m}_{side}"
-            reach = f"greatest({reach}, {RULE_OF_THREE * least}e0 / {n})" if least else f"{reach} * sqrt(greatest(1e0, {fence}middle_{size} / {n}))"
+            if least:
+                few = f"least({n}, {fence}middle_{size})"
+                good.append(f"{value} <= greatest({fence}{m} + {reach}, {_law(f'{fence}{m}_rate', least, few)})")
+                continue
+            reach = f"{reach} * sqrt(greatest(1e0, {fence}middle_{size} / {n}))"
             good.append(f"{value} <= {fence}{m} + {reach}" if side == "high" else f"{value} >= {fence}{m} - {reach}")
     return " AND ".join(good)
 

@@ -94,3 +94,28 @@ def test_equal_texts_and_clashing_names(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert quality.score_quality(docs).count() == 0 and quality.keep_good(docs).count() == 0
+
+
+def test_rates_of_rare_things_set_their_fences(spark):
+    """One text in seven of a source has a few symbols, so its quartiles are
+    zero as everywhere; its fence follows its rate all the same, and what it
+    lets pass falls in a source without symbols."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randrange(3, 8)))
+
+    def text(symbols):
+        words = [word() for _ in range(120)]
+        for i in r.sample(range(120), symbols):
+            words[i] += "#"
+        return " ".join(words)
+
+    rows = [(i, "en", "web", text(0), "") for i in range(400)] + [(1000 + i, "en", "notes", text(40 if i % 7 == 0 else 0), "") for i in range(400)]
+    rows += [(5000, "en", "web", text(9), ""), (5001, "en", "notes", text(9), ""), (5002, "en", "notes", text(110), "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    fences = {x.source: x for x in quality.thresholds(quality.sketches(quality.counted(docs, ["lang", "source"]))).collect()}
+    floor = lambda x: quality.RULE_OF_THREE / x.middle_word_chars
+    far = {s: x.symbol_share_rate + quality.DEVIATIONS * (x.symbol_share_rate / x.middle_word_chars) ** 0.5 for s, x in fences.items()}
+    assert all(x.symbol_share == 0 for x in fences.values())
+    assert far["notes"] > 3 * floor(fences["notes"]) and far["notes"] > 1.5 * far["web"]
+    lost = {x.doc_id for x in quality.score_quality(docs).where("NOT kept").collect()}
+    assert 5000 in lost and 5001 not in lost and 5002 in lost
