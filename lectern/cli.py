@@ -20,19 +20,29 @@ from urllib.parse import parse_qs, urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
 from .operators import ingest as I
-from .operators import landscape
+from .operators import landscape, runs
 from .operators import search as S
 from .operators import state as M
 from .operators import vectors as R
 from .operators import views as V
 from .operators.indexing import StoredIndex
-from .sources import snapshot
+from .sources import readers, snapshot
 
 FIELDS = ("title", "subtitle", "description", "body")
 SECTION_FIELDS = ("heading", "body")
 #: Makes a vector of a question, where there is a model: set by the caller.
 EMBED: Callable[[str], list[float]] | None = None
+#: What runs need, set by the caller: a model that answers, one that makes
+#: vectors of texts, and what gets a page, with their names.
+CHAT: runs.L.Chat | None = None
+VECTORS: Callable[[list[str]], list[list[float]]] | None = None
+FETCH: runs.Fetch | None = None
+MODEL, PROMPT_VERSION, VECTOR_MODEL = "model", "1", "vectors"
+#: Hosts and paths of a site's publications.
+HOSTS: list[str] = []
+PREFIXES: list[str] = []
 
 
 class Catalog(dict):
@@ -43,6 +53,7 @@ class Catalog(dict):
         self.folder = folder
         self.version = (snapshot.versions(spark, folder) or [0])[-1]
         self.spark = spark
+        self.refused: list[str] = []
 
     def documents(self) -> DataFrame:
         texts = self["publication_text"].select(F.col("publication_id").alias("id"), "body")
@@ -277,7 +288,58 @@ def chapters(c: Catalog, now: str, parent: str = "", chapters: str = "") -> Tabl
     return {"publications": I.attach_chapters(c["publications"], find_(parent), [find_(x) for x in chapters.split(",") if x.strip()])}
 
 
-CHANGES: dict[str, Callable[..., Tables]] = {
+def _with(tool, what: str):
+    if tool is None:
+        raise ValueError(f"this needs {what}")
+    return tool
+
+
+def _vocabulary(c: Catalog) -> list[tuple[str, str]]:
+    """The topics of the setting `vocabulary`: {slug: label}."""
+    found = snapshot.setting(c["settings"], "vocabulary", {})
+    if not found:
+        raise ValueError("the setting vocabulary holds no topics")
+    return sorted(found.items())
+
+
+def _regenerate(c: Catalog, now: str, ref: str = ""):
+    return runs.regenerate(c, I.find_publication(c["publications"], ref), _with(CHAT, "a model"), MODEL, PROMPT_VERSION, now)
+
+
+def _promote(c: Catalog, now: str, ref: str = "", id: str = "0"):
+    return runs.promoted(c, c.spark.createDataFrame([(I.find_publication(c["publications"], ref), int(id))], "publication_id long, id long"))
+
+
+def _classify(c: Catalog, now: str, again: str = "") -> Tables:
+    """Probes of the pages at the site's root, fetched here and stored."""
+    todo = c["sitemap_urls"].where("scope = 'root-level' AND status = 'pending'" + ("" if again else " AND probe_words IS NULL")).select("url")
+    pages = storage.stored(runs._fetched(todo, _with(FETCH, "a way to get pages")), "probed")
+    return {"sitemap_urls": runs.classified(c["sitemap_urls"], pages.where("html IS NOT NULL"), again=bool(again))}
+
+
+def _sync(c: Catalog, now: str, path: str = "") -> Tables:
+    """States of all urls after the sitemap files at path."""
+    return runs.synced(c, readers.sitemap(c.spark, path), now, HOSTS, PREFIXES)
+
+
+def scrape(c: Catalog, limit: str | None = None) -> DataFrame:
+    """A run that commits batch by batch; states of its urls."""
+    now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    return runs.scrape(c.spark, c.folder, _with(FETCH, "a way to get pages"), now, limit=int(limit) if limit else None)
+
+
+#: Reading commands that also write, each by itself.
+RUNS: dict[str, Callable[..., DataFrame]] = {"scrape": scrape}
+
+CHANGES: dict[str, Callable[..., Tables | tuple[Tables, DataFrame]]] = {
+    "enrich": lambda c, now, limit=None: runs.enrich(c, _with(CHAT, "a model"), MODEL, PROMPT_VERSION, now, int(limit) if limit else None),
+    "regenerate": _regenerate,
+    "promote": _promote,
+    "map-topics": lambda c, now: runs.map_topics(c, _vocabulary(c), _with(CHAT, "a model"), MODEL, PROMPT_VERSION, now),
+    "blurbs": lambda c, now, stale="": runs.describe(c, _with(CHAT, "a model"), MODEL, now, bool(stale)),
+    "embed": lambda c, now: runs.embed(c, _with(VECTORS, "a model that makes vectors"), VECTOR_MODEL, now),
+    "classify-root": _classify,
+    "sync-sitemap": _sync,
     "flag-summary": flag_summary,
     "park": lambda c, now, ref="", note="": _reviewed(c, "backlog", I.find_publication(c["publications"], ref), "parked", note or None, now),
     "merge-person": merge,
@@ -298,9 +360,13 @@ def rows(c: Catalog, command: str, **options: str) -> list[str]:
 
 
 def change(c: Catalog, command: str, **options: str) -> int:
-    """Write the version after a change; gives its number."""
+    """Write the version after a change; gives its number. What a run could
+    not do is in c.refused, as JSON texts."""
     now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-    return snapshot.save(dict(c) | CHANGES[command](c, now, **options), c.folder)
+    out = CHANGES[command](c, now, **options)
+    tables, refused = out if isinstance(out, tuple) else (out, None)
+    c.refused = refused.toJSON().collect() if refused is not None else []
+    return snapshot.save(dict(c) | tables, c.folder)
 
 
 def server(spark: SparkSession, folder: str, port: int, token: str | None = None) -> ThreadingHTTPServer:
@@ -337,7 +403,7 @@ def server(spark: SparkSession, folder: str, port: int, token: str | None = None
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("folder")
-    p.add_argument("command", choices=[*sorted(COMMANDS), *sorted(CHANGES), "serve"])
+    p.add_argument("command", choices=[*sorted(COMMANDS), *sorted(CHANGES), *sorted(RUNS), "serve"])
     p.add_argument("options", nargs="*", help="name=value")
     args = p.parse_args(argv)
     options = dict(o.split("=", 1) for o in args.options)
@@ -348,6 +414,9 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if args.command in CHANGES:
             print(json.dumps({"version": change(c, args.command, **options)}))
+            print(*c.refused, sep="\n", end="\n" * bool(c.refused), file=sys.stderr)
+        elif args.command in RUNS:
+            print("\n".join(RUNS[args.command](c, **options).toJSON().collect()))
         else:
             print("\n".join(rows(c, args.command, **options)))
     except S.MatchError as why:

@@ -25,6 +25,10 @@ from . import views as V
 Chat = Callable[[str], tuple[str, int, int]]
 Check = Callable[[str], list[str]]
 
+class QuotaSpent(Exception):
+    """A provider's quota is spent: the run ends, its rest stays to be done."""
+
+
 ANSWER = "id long, answer string, attempts int, prompt_tokens long, completion_tokens long, seconds double, error string"
 
 
@@ -32,8 +36,8 @@ def ask(worklist: DataFrame, chat: Chat, check: Check, attempts: int = 3, most_e
     """One row of ANSWER for each of worklist(id, prompt). A re-ask quotes
     what was wrong; tokens and seconds add up over attempts; error holds the
     last problems, or what the provider raised. After most_errors raised in a
-    row a task stops asking; what it leaves has no row and stays on the
-    worklist."""
+    row, or when a quota is spent, a task stops asking; what it leaves has no
+    row and stays on the worklist."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         failed = 0
@@ -48,6 +52,9 @@ def ask(worklist: DataFrame, chat: Chat, check: Check, attempts: int = 3, most_e
                     used += 1
                     try:
                         answer, sent, made = chat(got)
+                    except QuotaSpent:
+                        failed = most_errors
+                        break
                     except Exception as why:  # a provider may raise anything; the row keeps what
                         error, raised = f"{type(why).__name__}: {why}", True
                         break
@@ -57,6 +64,8 @@ def ask(worklist: DataFrame, chat: Chat, check: Check, attempts: int = 3, most_e
                     if not problems:
                         break
                     got = f"{prompt}\n\nYour last answer was not valid: {error}. Answer again."
+                if failed >= most_errors:
+                    break
                 failed = failed + 1 if raised else 0
                 rows.append((key, None if error else answer, used, *cost, time.time() - began, error))
             cols = list(zip(*rows)) if rows else [()] * 7
@@ -196,11 +205,12 @@ QUOTA_STATUS = frozenset({402, 429})
 QUOTA_WAIT, QUOTA_MOST = 60.0, 900.0
 
 
-def with_backoff(chat: Chat, tries: int = 5, wait: float = 5.0, sleep=time.sleep) -> Chat:
+def with_backoff(chat: Chat, tries: int = 5, wait: float = 5.0, sleep=time.sleep, end_on_quota: bool = False) -> Chat:
     """chat that waits out transient failures (timeouts, lost connections, and
     errors whose `status` is one of RETRY_STATUS), twice as long each time.
-    Quotas are waited for in minutes; an error that says so itself
-    (retry_after) for as long as it says. Other errors are raised at once."""
+    Quotas are waited for in minutes, or with end_on_quota raise QuotaSpent at
+    once; an error that says so itself (retry_after) is waited for as long as
+    it says. Other errors are raised at once."""
 
     def call(prompt: str) -> tuple[str, int, int]:
         for turn in range(tries):
@@ -208,6 +218,8 @@ def with_backoff(chat: Chat, tries: int = 5, wait: float = 5.0, sleep=time.sleep
                 return chat(prompt)
             except Exception as why:
                 status = getattr(why, "status", None)
+                if end_on_quota and status in QUOTA_STATUS:
+                    raise QuotaSpent(str(why)) from why
                 if turn == tries - 1 or not (isinstance(why, (TimeoutError, ConnectionError)) or status in RETRY_STATUS):
                     raise
                 usual = min(QUOTA_MOST, QUOTA_WAIT * 2**turn) if status in QUOTA_STATUS else wait * 2**turn

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..functions import text as X
 
 
 def latest(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -267,6 +268,52 @@ def promote(enrichments: DataFrame, chosen: DataFrame) -> DataFrame:
     return out.withColumn("is_primary", F.when(F.col("touched"), F.coalesce("picked", F.lit(False))).otherwise(F.col("is_primary"))).select(*enrichments.columns)
 
 
+#: The model of summaries that a person wrote.
+BY_HAND = "manual"
+
+
+def _new_summaries(enrichments: DataFrame, made: DataFrame, now: str, after: int) -> DataFrame:
+    """made(publication_id, …, is_primary) as rows with ids from after + 1."""
+    ranked = storage.numbered(made.drop("id"), ["publication_id", F.xxhash64("model", "prompt_version", "summary")], "id", after)
+    values = {"enriched_at": F.lit(now)}
+    return ranked.select(*[(values.get(f.name, F.col(f.name) if f.name in ranked.columns else F.lit(None))).cast(f.dataType).alias(f.name) for f in enrichments.schema])
+
+
+def _last_id(rows: DataFrame) -> int:
+    return rows.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
+
+def upsert_primary(enrichments: DataFrame, made: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(enrichments, refused, changed) after primary summaries made(
+    publication_id, one_liner, summary, …). A publication without one gets a
+    row; one that a model wrote is replaced in place and keeps its id. Refused
+    as (publication_id, id, problem): over one written by hand, which is the
+    only copy there is; all of several for one publication; and where a
+    publication has more than one primary already. changed(publication_id)."""
+    old = enrichments.where("is_primary").groupBy("publication_id").agg(F.min("id").alias("old_id"), F.count("*").alias("primaries"), F.max((F.col("model") == BY_HAND).cast("int")).alias("by_hand"))
+    many = made.groupBy("publication_id").agg(F.count("*").alias("many"))
+    problem = F.when(F.col("many") > 1, "several for one publication").when(F.col("by_hand") == 1, "a summary written by hand").when(F.col("primaries") > 1, "several primary summaries")
+    judged = storage.stored(made.join(many, "publication_id").join(old, "publication_id", "left").withColumn("problem", problem), "summaries")
+    refused = judged.where("problem IS NOT NULL").select("publication_id", F.col("old_id").alias("id"), "problem").distinct()
+    good = judged.where("problem IS NULL").drop("many", "primaries", "by_hand", "problem").withColumn("is_primary", F.lit(True))
+    fresh = _new_summaries(enrichments, good.where("old_id IS NULL").drop("old_id"), now, _last_id(enrichments))
+    again = good.where("old_id IS NOT NULL").withColumnRenamed("old_id", "id")
+    again = again.select(*[(F.lit(now) if f.name == "enriched_at" else F.col(f.name) if f.name in again.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in enrichments.schema])
+    kept = enrichments.join(again.select("id"), "id", "left_anti").select(*enrichments.columns)
+    return kept.unionByName(again).unionByName(fresh), refused, good.select("publication_id")
+
+
+def add_candidates(enrichments: DataFrame, made: DataFrame, now: str) -> DataFrame:
+    """enrichments with made(publication_id, one_liner, summary, …) beside what
+    is there. Where a publication has no primary summary, its first one is: one
+    with candidates only would have none at all."""
+    last = _last_id(enrichments)
+    new = storage.stored(_new_summaries(enrichments, made.withColumn("is_primary", F.lit(False)), now, last), "candidates")
+    first = new.join(enrichments.where("is_primary").select("publication_id"), "publication_id", "left_anti").groupBy("publication_id").agg(F.min("id").alias("id"))
+    new = new.join(first.select("id", F.lit(True).alias("first")), "id", "left").withColumn("is_primary", F.coalesce("first", F.lit(False)))
+    return enrichments.unionByName(new.select(*enrichments.columns))
+
+
 def primary_violations(enrichments: DataFrame) -> DataFrame:
     return enrichments.where("is_primary").groupBy("publication_id").agg(F.count("*").alias("n")).where("n > 1")
 
@@ -456,7 +503,7 @@ def written_summaries(enrichments: DataFrame, written: DataFrame, now: str) -> D
     rows. written(publication_id, one_liner, summary) of over 30 words in the
     one-liner is left out; findings and entities carry over from the primary
     row there was."""
-    fit = written.where(F.regexp_count("one_liner", F.lit(r"\S+")) <= 30).select("publication_id", F.col("one_liner").alias("__line"), F.col("summary").alias("__text"))
+    fit = written.where(X.word_count(F.col("one_liner")) <= 30).select("publication_id", F.col("one_liner").alias("__line"), F.col("summary").alias("__text"))
     old = enrichments.where("is_primary").join(fit, "publication_id")
     last = enrichments.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     ranked = storage.numbered(fit.join(old.drop("__line", "__text"), "publication_id", "left"), ["publication_id"], "__id", last)
