@@ -1,8 +1,9 @@
 """Language identification by Kneser-Ney character models.
 
-Each language has an interpolated Kneser-Ney model of ORDER letters: the
-highest order by occurrences, lower orders by distinct left neighbours. An
-n-gram is its ORDER symbols of 16 bits, a whole 64-bit key. A language keeps
+Each language has an interpolated Kneser-Ney model of ORDER symbols: the
+highest order by occurrences, lower orders by distinct left neighbours. Symbols
+are the UTF-16 units of letters: one a letter, or two above the first plane.
+An n-gram is its ORDER symbols of 16 bits, a whole 64-bit key. A language keeps
 its own n-grams only, in sorted arrays with a probability for each, found by
 bisection: no two n-grams meet, and a model grows with the distinct n-grams of
 its language, 16 bytes each (and as much for each context).
@@ -48,17 +49,28 @@ _COMPACT = 1 << 21
 
 @cache
 def _symbols() -> np.ndarray:
-    """Code point to a symbol of 16 bits; 0 if it is no letter. Letters above
-    the first plane share the surrogates' numbers."""
-    table = np.zeros(0x110000, np.uint16)
+    """Code point to its letter in lower case; 0 if it is none."""
+    table = np.zeros(0x110000, np.uint32)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            table[i] = low if low <= 0xFFFF else 0xD800 + low % 0x800
+            table[i] = ord(c.lower()[0])
     return table
 
 
+def _in_units(letters: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """letters as units of UTF-16: two for one above the first plane. at are
+    the texts' bounds, renewed."""
+    wide = letters > 0xFFFF
+    if not wide.any():
+        return letters, at
+    ends = np.concatenate([[0], np.cumsum(1 + wide)])
+    units = np.repeat(letters, 1 + wide)
+    high, off = ends[:-1][wide], letters[wide] - 0x10000
+    units[high], units[high + 1] = 0xD800 + (off >> 10), 0xDC00 + (off & 0x3FF)
+    return units, ends[at]
+
+
 def _code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw = data.tobytes()
     try:
@@ -74,7 +86,7 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     symbol lowest, and the index of each text's first. Texts without letters
     have none."""
     points, at = _code_points(data, at)
-    symbol = _symbols()[points]
+    symbol, at = _in_units(_symbols()[points], at)
     before = np.concatenate([[0], symbol[:-1]]) if len(symbol) else symbol
     before[at[:-1][at[:-1] < len(symbol)]] = 0
     keep = (symbol != 0) | (before != 0)
@@ -315,7 +327,8 @@ def brute_probability(texts: list[str], gram: tuple[str, ...], symbols: int) ->
         for c in text:
             c = c.lower()[0] if c.isalpha() else " "
             if c != " " or line[-1] != " ":
-                line.append(c)
+                units = c.encode("utf-16-be")
+                line += [chr(int.from_bytes(units[i : i + 2])) for i in range(0, len(units), 2)]
         if line[3:] and line[-1] != " ":
             line.append(" ")
         for i in range(3, len(line)):

@@ -21,7 +21,9 @@ def grams_of(text):
     line = [0, 0, 0]
     for c in text:
         s = ord(c.lower()[0]) if c.isalpha() else 0
-        if s or line[-1]:
+        if s > 0xFFFF:
+            line += [0xD800 + (s - 0x10000 >> 10), 0xDC00 + (s - 0x10000 & 0x3FF)]
+        elif s or line[-1]:
             line.append(s)
     if line[3:] and line[-1]:
         line.append(0)
@@ -81,6 +83,23 @@ def test_no_two_grams_of_a_large_alphabet_meet(spark):
         assert np.isclose(model.own[0].probability(np.array([gram]))[0], want, rtol=1e-12)
 
 
+def test_letters_above_the_first_plane_are_whole(spark):
+    adlam, gothic, han = ([chr(a + i) for i in range(n)] for a, n in ((0x1E900, 34), (0x10330, 27), (0x20000, 3000)))
+    r = np.random.default_rng(6)
+    texts = {name: [" ".join("".join(r.choice(letters, 5)) for _ in range(12)) + " ab" for _ in range(4)] for name, letters in (("adlam", adlam), ("gothic", gothic), ("han", han))}
+    every = [t for own in texts.values() for t in own]
+    found, first = langid.grams(*slice_of(every))
+    assert [[tuple(int(g) >> s & 0xFFFF for s in (48, 32, 16, 0)) for g in found[a:b]] for a, b in zip(first, first[1:])] == [grams_of(t) for t in every]
+    model = langid.learn(spark.createDataFrame([(i, name, t, "") for name, own in texts.items() for i, t in enumerate(own)], SCHEMA))
+    for i, name in enumerate(model.langs):
+        asked = texts[name][0][:7] + texts["gothic"][0][:3] + chr(0x2F800)
+        for got, gram in zip(model.own[i].probability(langid.grams(*slice_of([asked]))[0]), grams_of(asked)):
+            want = langid.brute_probability(texts[name], tuple(chr(c) if c else " " for c in gram), model.symbols)
+            assert np.isclose(got, want, rtol=1e-12)
+    docs = spark.createDataFrame([(i, "", t[:20], "") for i, t in enumerate(every)], SCHEMA)
+    assert [x.lang_pred for x in langid.identify(docs, model, ["doc_id"]).orderBy("doc_id").collect()] == [name for name in texts for _ in range(4)]
+
+
 def brute_query(rows, held_out, held_back):
     """The whole query by definition: (prediction, score, accepted) of each
     row (doc_id, lang, text)."""
