@@ -95,9 +95,11 @@ def fit(points: DataFrame, limit: int = FIT_POINTS) -> DataFrame:
 
 def place_term(coords: DataFrame, points: DataFrame, query: list[float]) -> DataFrame:
     """(x, y) of a search term's vector among the points of the map; no row
-    where nothing is placed."""
-    one = points.sparkSession.createDataFrame([(-1, [float(x) for x in query])], "id long, vector array<double>")
-    return vectors.place(coords, points, one).select("x", "y")
+    where nothing is placed. Ten ranked rows meet their coordinates."""
+    there = points.join(coords.select("id"), "id", "left_semi")
+    near = vectors.rank(there, query, 10).join(coords.select("id", "x", "y"), "id")
+    weight = F.pow(F.greatest("similarity", F.lit(0.05)), 2)
+    return near.agg(*[(F.sum(weight * F.col(c)) / F.sum(weight)).alias(c) for c in ("x", "y")]).where("x IS NOT NULL")
 
 
 def placed(fitted: DataFrame, points: DataFrame, new: DataFrame) -> DataFrame:

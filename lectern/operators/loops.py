@@ -171,9 +171,10 @@ def answer(question: str, excerpts: list[tuple[int, str]], chat: Chat) -> tuple[
     return text, [i for i in cited if i in known], [i for i in cited if i not in known]
 
 
-def answer_from(c: V.Catalog, index: S.Index | S.Scan, question: str, vectors: list, chat: Chat, limit: int = 10, section_words: int = 300) -> dict:
+def answer_from(c: V.Catalog, index: S.Index | S.Scan, question: str, vectors: list, chat: Chat, limit: int = 10, section_words: int = 300, sections: S.Index | None = None) -> dict:
     """Retrieve by hybrid search, ask, and resolve citations. The excerpts
-    are each hit's title, type, date, one-liner and best section."""
+    are each hit's title, type, date, one-liner and best section, by the
+    sections' index where one is given; else the sections are scanned."""
     hits, notes = R.hybrid(index, question, vectors, limit, c.get("shortlist"))
     pubs = c["publications"].select("id", "title", "pub_type", "date_published")
     rows = hits.join(pubs, "id").join(V.primary(c).select(F.col("publication_id").alias("id"), "one_liner"), "id", "left")
@@ -183,8 +184,8 @@ def answer_from(c: V.Catalog, index: S.Index | S.Scan, question: str, vectors: l
         ids = c["publications"].where(F.col("id").isin(list(found))).select("id")
         own = c["sections"].select("id", "publication_id", "heading", "body")
         try:
-            scan = S.Scan(own.select("id", "heading", "body"), ("heading", "body"), index.stemmed)
-            top = S.best_sections(scan, own, S.safe_query(question), ids)
+            found_in = sections or S.Scan(own.select("id", "heading", "body"), ("heading", "body"), index.stemmed)
+            top = S.best_sections(found_in, own, S.safe_query(question), ids)
             best = {r.id: r for r in top.join(own.select(F.col("id").alias("section_id"), "heading", "body"), "section_id").collect()}
         except S.MatchError as why:
             notes.append(f"no sections ({why})")

@@ -10,7 +10,7 @@ from ..operators import search as S
 from ..operators import state as M
 from ..operators import vectors as R
 from ..operators import views as V
-from .catalog import _QUERY_VEC, _TOKENS, _bm25, _doc_index, _query_vector, _top, _vectors, query
+from .catalog import _QUERY_VEC, _TOKENS, _bm25, _doc_index, _query_vector, _top, _vectors, query, stored_index
 
 
 @query("filtered_search", _bm25(["trash", "moron", "idiot"], False, 30) + """SELECT id, round(score, 9) AS score, position FROM top WHERE id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'fr'))""", "documents_")
@@ -86,6 +86,38 @@ def _(c):
     return R.recall(hits.withColumn("one_liner", F.lit(None).cast("string")), cases, 3)
 
 
+#: Questions with the words that ask for them, the vector that stands for the
+#: question, and what the title of a right hit shows.
+CASES = (("insults", ("worthless", "moron"), 7, "(?i)moron"), ("licenses", ("licensed", "copyright"), 11, "(?i)licen[sc]e"), ("waste", ("trash", "scum"), 23, "(?i)scum"), ("jesters", ("pathetic", "clown"), 42, "(?i)clown"))
+_CASES = ", ".join(f"('{name}', {v}, '{pattern}')" for name, _, v, pattern in CASES)
+_ASKED = ", ".join(f"('{name}', '{w}')" for name, words, _, _ in CASES for w in words)
+
+
+@query("recall_by_ranker", f"""
+WITH docs AS (SELECT id, title, {_TOKENS.format('title')} AS t, {_TOKENS.format('body')} AS b FROM documents_),
+size AS (SELECT id, len(t) + len(b) AS d FROM docs), total AS (SELECT count(*) AS n, avg(d) AS mean FROM size),
+cases(c, v, pattern) AS (VALUES {_CASES}), asked(c, q) AS (VALUES {_ASKED}),
+tf AS (SELECT * FROM (SELECT id, q, 10.0 * len(list_filter(t, lambda x: x = q)) + 1.0 * len(list_filter(b, lambda x: x = q)) AS f FROM docs, (SELECT DISTINCT q FROM asked)) WHERE f > 0),
+df AS (SELECT q, ln((any_value(total.n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, total GROUP BY q),
+kw AS (SELECT c, h.id, -sum(CASE WHEN idf > 0 THEN idf ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean))) AS score FROM asked JOIN tf h USING (q) JOIN df USING (q) JOIN size s ON h.id = s.id, total GROUP BY c, h.id),
+dots AS (SELECT c, CASE source_type WHEN 'one_liner' THEN 1 ELSE 2 END AS ranker, publication_id AS id, list_sum(list_transform(list_zip(x.vector, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS s
+  FROM cases JOIN embeddings e ON e.vec_id = v, vectors_ x),
+every AS (SELECT c, 0 AS ranker, id, row_number() OVER (PARTITION BY c ORDER BY score, id) AS position FROM kw
+  UNION ALL SELECT c, ranker, id, row_number() OVER (PARTITION BY c, ranker ORDER BY s DESC, id) FROM dots),
+deep AS (SELECT * FROM every WHERE position <= 20),
+fused AS (SELECT c, 3 AS ranker, id, row_number() OVER (PARTITION BY c ORDER BY round(score, 12) DESC, r, p) AS position
+  FROM (SELECT c, id, sum(1.0 / (60 + position)) AS score, min(ranker) AS r, arg_min(position, ranker) AS p FROM deep GROUP BY c, id)),
+hits AS (SELECT c, ranker, position, title FROM (SELECT * FROM deep UNION ALL SELECT * FROM fused) JOIN docs USING (id))
+SELECT ['keyword', 'one_liner', 'section', 'hybrid'][g.ranker + 1] AS ranker, CAST(g.k AS INTEGER) AS k, avg(g.hit) AS recall
+FROM (SELECT r.ranker, k.k, cases.c, max(CASE WHEN regexp_matches(title, pattern) THEN 1 ELSE 0 END) AS hit
+  FROM cases, range(4) AS r(ranker), (VALUES (1), (3)) AS k(k) LEFT JOIN hits h ON h.c = cases.c AND h.ranker = r.ranker AND h.position <= k.k GROUP BY ALL) g GROUP BY g.ranker, g.k""", "documents_", "vectors_")
+def _(c):
+    stored = {r.vec_id: list(r.embedding) for r in c["embeddings"].where(F.col("vec_id").isin([v for _, _, v, _ in CASES])).collect()}
+    kinds = {kind: c["vectors_"].where(F.col("source_type") == kind).select(F.col("publication_id").alias("id"), "vector") for kind in ("one_liner", "section")}
+    shown = c["documents_"].select("id", "title", F.lit(None).cast("string").alias("one_liner"))
+    return R.recall_by_ranker([(name, " OR ".join(words), stored[v], pattern) for name, words, v, pattern in CASES], stored_index(c), kinds, shown, (10.0, 1.0))
+
+
 @query("index_staleness", """
 SELECT count(*) FILTER (i.id IS NULL) AS missing_rows, count(*) FILTER (i.id IS NOT NULL AND i.title IS DISTINCT FROM p.title) AS stale_titles
 FROM publications p LEFT JOIN (SELECT id, CASE WHEN id % 9 = 0 THEN upper(title) ELSE title END AS title FROM publications WHERE id % 11 <> 0) i ON p.id = i.id""", "publications")
