@@ -9,7 +9,7 @@ What a catalog says of its publication types is in ``c["types"]``, a Types.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import text as X
+from . import state as M
 
 Catalog = Mapping[str, DataFrame]
 
@@ -486,6 +487,31 @@ def person_page(c: Catalog, person_id: int) -> DataFrame:
     return rows.select("role", "id", "title", "pub_type", "date_published")
 
 
+def person_facets(c: Catalog) -> DataFrame:
+    """(person_id, facet, value, n) for every person, merged ones counted with
+    the survivor: credits in all (total), by type of publication (type), and
+    episodes hosted (hosted), which a page tells as a number."""
+    who = M.resolve_merged(c["people"]).select(F.col("id").alias("credited"), "survivor")
+    own = c["credits"].withColumnRenamed("person_id", "credited").join(who, "credited", "left").withColumn("person_id", F.coalesce("survivor", "credited"))
+    rows = own.select("person_id", "publication_id", "role").distinct().join(c["publications"].select(F.col("id").alias("publication_id"), "pub_type"), "publication_id")
+    credited = F.col("role").isin(*CREDIT_ROLES)
+    facet = F.when(credited, F.array(F.struct(F.lit("total").alias("facet"), F.lit(None).cast("string").alias("value")), F.struct(F.lit("type").alias("facet"), F.col("pub_type").alias("value"))))
+    facet = facet.otherwise(F.array(F.struct(F.lit("hosted").alias("facet"), F.lit(None).cast("string").alias("value"))))
+    return rows.select("person_id", F.explode(facet).alias("f")).groupBy("person_id", "f.facet", "f.value").agg(F.count("*").alias("n"))
+
+
+def person_listing(c: Catalog, person_id: int, q: str | None = None, types: Sequence[str] = ()) -> DataFrame:
+    """What a person is credited with, by role, newest first, narrowed to
+    types and to a term in title, one-liner or summary: a filter, no ranking."""
+    lines = primary(c).select(F.col("publication_id").alias("id"), "one_liner", "summary")
+    rows = person_page(c, person_id).where(F.col("role").isin(*CREDIT_ROLES)).join(lines, "id", "left")
+    if types:
+        rows = rows.where(F.col("pub_type").isin(*types))
+    if (q or "").strip():
+        rows = rows.where(X.mentions(q.strip(), F.col("title"), F.col("one_liner"), F.col("summary")))
+    return rows.orderBy("role", F.desc("date_published"), "id")
+
+
 def topic_spotlight(c: Catalog, slug: str, limit: int = 6) -> DataFrame:
     own = c["publication_topics"].where((F.col("topic_slug") == slug) & (F.col("position") == 1)).select(F.col("publication_id").alias("id"))
     rows = insight_scope(c).join(own, "id", "left_semi")

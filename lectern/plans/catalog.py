@@ -30,7 +30,7 @@ FLAGSHIP = "hybrid_find"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Queries that show a day.
-DATED = ("collection_members", "shortlist_rows", "semantic_search", "facet_filter", "newest_page", "topic_spotlight", "topic_pair", "person_page", "thin_records")
+DATED = ("collection_members", "shortlist_rows", "semantic_search", "facet_filter", "newest_page", "topic_spotlight", "topic_pair", "person_page", "person_listing", "thin_records")
 
 
 def query(name: str, sql: str | None = None, *roles: str):
@@ -235,6 +235,24 @@ def _(c):
     return V.person_page(c, 19)
 
 
+@query("person_facets", """
+WITH rows AS (SELECT DISTINCT coalesce(merged_into, people.id) AS person_id, publication_id, role, pub_type FROM credits JOIN people ON person_id = people.id JOIN publications p ON publication_id = p.id)
+SELECT person_id, 'total' AS facet, NULL AS value, count(*) AS n FROM rows WHERE role IN ('author', 'guest') GROUP BY 1
+UNION ALL SELECT person_id, 'type', pub_type, count(*) FROM rows WHERE role IN ('author', 'guest') GROUP BY 1, 3
+UNION ALL SELECT person_id, 'hosted', NULL, count(*) FROM rows WHERE role = 'host' GROUP BY 1""", "credits", "people", "publications")
+def _(c):
+    return V.person_facets(c)
+
+
+@query("person_listing", """
+SELECT role, p.id, title, pub_type, date_published, one_liner, e.summary FROM credits JOIN publications p ON publication_id = p.id
+LEFT JOIN (SELECT publication_id, one_liner, summary FROM enrichments WHERE is_primary) e ON e.publication_id = p.id
+WHERE person_id = (SELECT coalesce(merged_into, id) FROM people WHERE id = 19) AND role IN ('author', 'guest') AND pub_type IN ('Report', 'Podcast')
+  AND contains(lower(concat_ws(' ', title, one_liner, e.summary)), 'finance') AND contains(lower(concat_ws(' ', title, one_liner, e.summary)), 'paper')""", "credits", "publications", "people", "enrichments")
+def _(c):
+    return V.person_listing(c, 19, " Paper finance", ["Report", "Podcast"])
+
+
 @query("duplicate_names", """
 SELECT name, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids
 FROM (SELECT p_partkey AS id, p_name AS name FROM part) GROUP BY name HAVING count(*) > 1""")
