@@ -328,6 +328,17 @@ def scrape(c: Catalog, limit: str | None = None) -> DataFrame:
     return runs.scrape(c.spark, c.folder, _with(FETCH, "a way to get pages"), now, limit=int(limit) if limit else None)
 
 
+def _map(c: Catalog, now: str, steps: str = "150") -> Tables:
+    """The map of all publications with a one-liner's vector: some fitted, the
+    rest placed, and all moved by the steps if there are others than fitted."""
+    points = c["embeddings"].where("source_type = 'one_liner'").groupBy(F.col("publication_id").alias("id")).agg(F.max_by("vector", "embedded_at").alias("vector"))
+    points = storage.stored(points, "points")
+    coords = storage.stored(landscape.fit(points), "fit")
+    if coords.where("placed <> 'fit'").limit(1).count():
+        coords = landscape.refined(coords, points, int(steps))
+    return {"landscape_coords": coords.select(F.col("id").alias("publication_id"), "x", "y", "placed", F.lit(now).cast("timestamp").alias("computed_at"))}
+
+
 #: Reading commands that also write, each by itself.
 RUNS: dict[str, Callable[..., DataFrame]] = {"scrape": scrape}
 
@@ -338,6 +349,7 @@ CHANGES: dict[str, Callable[..., Tables | tuple[Tables, DataFrame]]] = {
     "map-topics": lambda c, now: runs.map_topics(c, _vocabulary(c), _with(CHAT, "a model"), MODEL, PROMPT_VERSION, now),
     "blurbs": lambda c, now, stale="": runs.describe(c, _with(CHAT, "a model"), MODEL, now, bool(stale)),
     "embed": lambda c, now: runs.embed(c, _with(VECTORS, "a model that makes vectors"), VECTOR_MODEL, now),
+    "map": _map,
     "classify-root": _classify,
     "sync-sitemap": _sync,
     "flag-summary": flag_summary,

@@ -123,6 +123,8 @@ def test_runs_commit_whole_versions_or_none(spark, catalog, tmp_path, monkeypatc
     cli.change(c, "embed")
     c = cli.Catalog(spark, where)
     assert {(r.source_type, r.publication_id) for r in c["embeddings"].where("model = 'vectors'").collect()} == {("one_liner", 1), ("one_liner", 2), ("one_liner", 4)}
+    cli.change(c, "map")
+    assert {(r.publication_id, r.placed) for r in cli.Catalog(spark, where)["landscape_coords"].collect()} == {(i, "fit") for i in (1, 2, 4)}
 
 
 def test_a_spent_quota_ends_a_run(spark):
