@@ -283,6 +283,14 @@ def settle(c: Catalog, now: str, url: str = "", disposition: str = "", note: str
     return {"sitemap_urls": M.decided(c["sitemap_urls"], new.withColumn("note", F.col("note")), now).withColumn("settled_at", F.col("settled_at").cast("timestamp"))}
 
 
+def add_chapters(c: Catalog, now: str, parent: str = "", chapters: str = "", start: str = "1", type: str = "") -> tuple[Tables, DataFrame]:
+    """As attach-chapters, but addresses that are not in the catalog are taken
+    in first, and what can't be attached is told instead of stopping all."""
+    refs = [x.strip() for x in chapters.split(",") if x.strip()]
+    tables, refused, _ = runs.chaptered(c, I.find_publication(c["publications"], parent), refs, _with(FETCH, "a way to get pages"), now, int(start), type or None)
+    return tables, refused
+
+
 def chapters(c: Catalog, now: str, parent: str = "", chapters: str = "") -> Tables:
     find_ = lambda ref: I.find_publication(c["publications"], ref)
     return {"publications": I.attach_chapters(c["publications"], find_(parent), [find_(x) for x in chapters.split(",") if x.strip()])}
@@ -361,6 +369,7 @@ CHANGES: dict[str, Callable[..., Tables | tuple[Tables, DataFrame]]] = {
     "unsettle": lambda c, now, url="": {"sitemap_urls": M.reopened_urls(c["sitemap_urls"], c["sitemap_urls"].where(F.col("url") == url))},
     "add-pdf": lambda c, now, url="", **fields: I.add_pdf_record(c, url, now, **fields),
     "attach-chapters": chapters,
+    "add-chapters": add_chapters,
     "rename-collection": lambda c, now, slug="", name="": {"collections": M.renamed_collection(c, slug, name)},
     "drop-collection": lambda c, now, slug="": M.dropped_collection(c, slug),
 }

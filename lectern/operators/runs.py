@@ -299,6 +299,47 @@ def scrape(spark: SparkSession, folder: str, fetch: Fetch, now: str, markup: R.M
     return (urls.join(seen, "url", "left_semi") if seen is not None else urls.where("false")).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _resolved(publications: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(ref, at) with the id behind an id, a url or a slug; an id goes
+    before a url, a url before a slug, null is none."""
+    keys = publications.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("way"), x.alias("key")) for k, x in enumerate((F.col("id").cast("string"), F.col("url"), F.col("slug")))])).alias("k"))
+    slug = F.regexp_extract(F.rtrim(F.regexp_replace("ref", "[?#].*$", ""), F.lit("/")), "([^/]*)$", 1)
+    ways = asked.select("ref", "at", F.explode(F.array(*[F.struct(F.lit(k).alias("way"), x.alias("key")) for k, x in enumerate((F.col("ref"), F.col("ref"), slug))])).alias("k"))
+    found = ways.join(keys, "k").groupBy("ref").agg(F.min_by("id", F.struct("k.way", "id")).alias("id"))
+    return asked.join(found, "ref", "left").select("ref", "at", "id")
+
+
+def chaptered(c: Tables, parent: int, refs: Sequence[str], fetch: Fetch, now: str, start: int = 1, pub_type: str | None = None, markup: R.Markup = R.Markup()) -> tuple[Tables, DataFrame, dict[str, int]]:
+    """(tables, refused(ref, problem), counts) after refs became chapters of a
+    publication, at places that count from start. An address that is not in
+    the catalog is fetched and taken in, with its parent's type unless another
+    is given; what can't be a chapter leaves its place empty."""
+    spark = c["publications"].sparkSession
+    asked = spark.createDataFrame([(str(r).strip(), i) for i, r in enumerate(dict.fromkeys(refs), start)], "ref string, at int")
+    known = storage.stored(_resolved(c["publications"], asked), "chapters")
+    new = known.where("id IS NULL AND ref LIKE 'http%'").select(F.col("ref").alias("url"))
+    refused = known.where("id IS NULL AND ref NOT LIKE 'http%'").select("ref", F.lit("neither in the catalog nor an address").alias("problem"))
+    fetched, tables = 0, dict(c)
+    if new.limit(1).count():
+        kind = pub_type or c["publications"].where(F.col("id") == parent).select("pub_type").first()[0]
+        pages = storage.stored(_fetched(new, fetch), "pages")
+        bad = pages.where("error IS NOT NULL OR http_status <> 200").select(F.col("url").alias("ref"), F.coalesce("error", F.concat(F.lit("HTTP "), "http_status")).alias("problem"))
+        good = pages.where("error IS NULL AND http_status = 200").select("url", "final_url", "html", F.lit(kind).alias("pub_type"), F.lit(None).cast("string").alias("series"), F.lit(f"chapter of {parent}").alias("note"))
+        tables, no = I.ingest(c, good, markup, now)
+        refused = refused.union(bad).union(no.select("url", "problem"))
+        fetched = new.count() - bad.count() - no.count()
+    links = storage.stored(_resolved(tables["publications"], asked).where("id IS NOT NULL").withColumn("parent_id", F.lit(parent).cast("long")), "links")
+    wrong = storage.stored(M.attach_problems(tables["publications"], links.select("id", "parent_id")), "wrong")
+    refused = storage.stored(refused.union(links.join(wrong.select("id", "problem"), "id").select("ref", "problem")), "refused")
+    placed = links.join(wrong.select("id"), "id", "left_anti").groupBy("id").agg(F.min("at").alias("at"))
+    pubs = tables["publications"].join(placed.select("id", "at"), "id", "left")
+    own = F.col("at").isNotNull()
+    pubs = pubs.withColumns({"parent_id": F.when(own, F.lit(parent)).otherwise(F.col("parent_id")), "parent_position": F.when(own, F.col("at")).otherwise(F.col("parent_position"))})
+    tables["publications"] = pubs.select(*c["publications"].columns)
+    counts = {"already": known.where("id IS NOT NULL").count(), "ingested": fetched, "failed": refused.count(), "attached": placed.count()}
+    return tables, refused, counts
+
+
 def synced(c: Tables, seen: DataFrame, now: str, hosts: list[str], prefixes: list[str]) -> Tables:
     """sitemap_urls after a sitemap's seen(url, lastmod): states by M.upsert_urls;
     new rows get their scope and path from the url."""

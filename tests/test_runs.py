@@ -226,6 +226,25 @@ def test_probes_of_root_pages(spark):
     assert again["d"].probe_words == 300 and again["d"].disposition == "ingest"
 
 
+def test_chapters_are_taken_in_and_attached(spark, catalog):
+    catalog["publications"] = catalog["publications"].withColumn("pub_type", F.when(F.col("id") == 1, "Tracker").otherwise(F.col("pub_type")))
+    text = page("new", date=DATE)
+
+    def fetch(url):
+        if url.endswith("missing"):
+            raise OSError("no route")
+        return 200, url, text if url.endswith("new") else "<p>nothing</p>"
+
+    refs = ["2", "https://x/en/report/new", "nowhere", "https://x/en/report/missing", "https://x/en/report/empty", "p3", "1", "https://x/en/report/p4/?a=1"]
+    tables, refused, counts = runs.chaptered(catalog, 1, refs, fetch, NOW, start=3)
+    rows = {r.id: (r.title, r.pub_type, r.parent_id, r.parent_position) for r in tables["publications"].collect()}
+    assert rows == {1: ("One", "Tracker", None, None), 2: ("Two", "Report", 1, 3), 3: ("never", "Report", 1, 8), 4: ("Four", "Report", 1, 10), 5: ("Title new", "Tracker", 1, 4)}
+    problems = {r.ref.rsplit("/", 1)[-1]: r.problem for r in refused.collect()}
+    assert problems == {"nowhere": "neither in the catalog nor an address", "missing": "OSError: no route", "empty": "no main article", "1": "itself"}
+    assert counts == {"already": 4, "ingested": 1, "failed": 4, "attached": 4}
+    assert tables["sections"].count() >= 0 and tables["publication_text"].where("publication_id = 5").count() == 1
+
+
 def test_a_sitemap_gives_scopes(spark, tmp_path):
     (tmp_path / "s.xml").write_text("<urlset><url><loc>https://x/en/report/n</loc><lastmod>2</lastmod></url><url><loc>https://x/en/about</loc></url><url><loc>https://y/en/z/q</loc></url></urlset>")
     from lectern.sources import readers
