@@ -103,8 +103,7 @@ def test_stale(spark):
 SAID = ["tariff", "tariff OR export", '"export control" OR polic*', "title : nation OR body : running", "grunberg pressure", "semi + conductor OR 2025", '"control control" OR controls']
 
 
-@pytest.mark.parametrize("stemmed", [False, True])
-@pytest.mark.parametrize("column,width", [(None, 12), (3, 5), (0, 3)])
+@pytest.mark.parametrize("stemmed,column,width", [(True, None, 12), (False, None, 5), (True, 3, 5), (False, 0, 3)])
 def test_snippets_are_those_of_fts5(spark, stemmed, column, width):
     r = random.Random(8)
     gaps = [" ", ". ", ":\n", ", ", "; ", " - ", "..."]
