@@ -12,8 +12,11 @@ padded to the width of their column; pre keeps its spaces.
 
 Time and memory follow the page's length, whatever its nesting: beyond NESTED
 lists or quotes nothing is indented further, beyond TABLES tables inside each
-other or GRID places a table's rows are plain lines, and a column is padded to
-COLUMN at most. No text is left out by these bounds.
+other a table's rows are plain lines, and a column is padded to COLUMN at most.
+Tables of any size are aligned: what bounds the work is a rule of a single row,
+which shows ABOVE empty places of cells from above at most (its cells after
+those follow unpadded) and ROOM spaces in those and in cells of several
+columns. No text is left out by these bounds.
 
 Null or empty html: empty text. Broken markup: whatever text the tree shows; a
 tag that the page's end cuts off shows nothing. Invalid UTF-8: replacement
@@ -26,8 +29,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +41,9 @@ from . import base
 
 NESTED = 24
 TABLES = 6
-GRID = 100_000
 COLUMN = 120
+ABOVE = 100
+ROOM = 480
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -591,32 +597,43 @@ def _rows(node: Node) -> tuple[list[Node], list[Node | str]]:
     return rows, strays
 
 
-def _grid(rows: list[list[tuple[Node, list[str]]]]) -> list[list[tuple[list[str], int, int]]]:
-    """Cells of each row as (lines, first column, end). Cells that reach down
-    from above leave one empty place. Only columns where some cell begins or
-    ends are told apart."""
-    grid, over = [], []  # over: (begin, end, last row) of cells from above
+def _grid(rows: list[list[tuple[Node, list[str]]]]) -> list[list[tuple[list[str], int, int, bool]]]:
+    """Cells of each row as (lines, first column, end, from above). Cells that
+    reach down from above leave one empty place, ABOVE in a row at most; the
+    row's cells after those stand in no column (first and end are -1). Only
+    columns where some cell begins or ends are told apart."""
+    grid, over, ends = [], [], defaultdict(list)  # over: (begin, end, last row) of cells from above, sorted
     edges = set()
     for r, row in enumerate(rows):
-        over = sorted(x for x in over if x[2] >= r)
-        line, c, i, new = [], 0, 0, []
+        for x in ends.pop(r - 1, ()):
+            del over[bisect_left(over, x)]
+        line, c, i, above, new = [], 0, 0, 0, []
         for node, lines in row:
-            while i < len(over) and over[i][0] <= c:
+            while i < len(over) and over[i][0] <= c and above <= ABOVE:
                 if over[i][1] > c:
-                    line.append(([""], c, over[i][1]))
-                    c = over[i][1]
+                    above += 1
+                    if above <= ABOVE:
+                        line.append(([""], c, over[i][1], True))
+                        edges |= {c, over[i][1]}
+                        c = over[i][1]
                 i += 1
+            if above > ABOVE:
+                line.append((lines, -1, -1, False))
+                continue
             end = c + _whole(node.attrs.get("colspan"), 1, 1, 1000)
             down = _whole(node.attrs.get("rowspan"), 1, 0, 65534) or len(rows)
             if down > 1:
                 new.append((c, end, min(len(rows), r + down) - 1))
-            line.append((lines, c, end))
+            line.append((lines, c, end, False))
             edges |= {c, end}
             c = end
-        over += new
+        for x in new:
+            if x[2] > r:
+                insort(over, x)
+                ends[x[2]].append(x)
         grid.append(line)
-    number = {x: i for i, x in enumerate(sorted(edges | {a for row in grid for _, a, _ in row} | {b for row in grid for _, _, b in row}))}
-    return [[(lines, number[a], number[b]) for lines, a, b in row] for row in grid]
+    number = {x: i for i, x in enumerate(sorted(edges))} | {-1: -1}
+    return [[(lines, number[a], number[b], above) for lines, a, b, above in row] for row in grid]
 
 
 def _table(node: Node, pre: bool, shown: bool, tables: int) -> list[str]:
@@ -633,25 +650,32 @@ def _table(node: Node, pre: bool, shown: bool, tables: int) -> list[str]:
             elif not hidden(kid):
                 own.append((kid, _lines(kid.kids, pre, visible(kid, row_shown), tables) or [""]))
         cells.append(own)
-    spanned = sum(1 for row in cells for kid, _ in row if "rowspan" in kid.attrs)
-    grid = _grid(cells) if spanned * len(cells) <= GRID else None
-    if grid is None or sum(b - a for row in grid for _, a, b in row) > GRID:
-        return out + [" | ".join(" ".join(lines) for _, lines in row).rstrip() for row in cells]
-    columns = max((b for row in grid for _, _, b in row), default=0)
-    widths = [0] * columns
+    grid = _grid(cells)
+    columns = max((b for row in grid for _, _, b, _ in row), default=0)
+    widths = [0] * max(columns, 0)
     for row in grid:
-        for lines, a, b in row:
-            if b - a == 1:
+        for lines, a, b, above in row:
+            if b - a == 1 and not above:
                 widths[a] = max(widths[a], *(min(COLUMN, width(x)) for x in lines))
     for row in grid:
-        for lines, a, b in row:
-            need = min(COLUMN, max(width(x) for x in lines)) - sum(widths[a:b]) - 3 * (b - a - 1)
-            if b - a > 1 and need > 0:
-                widths[b - 1] += need
+        for lines, a, b, above in row:
+            if b - a > 1 and not above:
+                need = min(COLUMN, max(width(x) for x in lines)) - sum(widths[a:b]) - 3 * (b - a - 1)
+                widths[b - 1] += max(need, 0)
+    upto = [0, *accumulate(w + 3 for w in widths)]
     for row in grid:
-        high, texts = max((len(lines) for lines, _, _ in row), default=0), []
-        for lines, a, b in row:
-            room = sum(widths[a:b]) + 3 * (b - a - 1)
+        high, spare, texts = max((len(lines) for lines, *_ in row), default=0), ROOM, []
+        for lines, a, b, above in row:
+            room = upto[b] - upto[a] - 3 if b > a else 0
+            if above:
+                room = min(room, spare)
+                spare -= room
+                texts.append([" " * room] * high)
+                continue
+            if b - a > 1:
+                most = max(width(x) for x in lines)
+                room = min(room, most + spare)
+                spare -= max(room - most, 0)
             texts.append([x + " " * (room - width(x)) for x in lines + [""] * (high - len(lines))])
         out += [" | ".join(parts).rstrip() for parts in zip(*texts)]
     return out

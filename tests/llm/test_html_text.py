@@ -268,3 +268,11 @@ def test_repeated_rows_and_bytes(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     bad = pages.selectExpr("page_id", "url", "cast(concat(cast(html AS binary), X'FF') AS string) AS html", "'q' AS text")
     assert sorted((x.page_id or 0, x.text) for x in html_text.extracted(bad).collect()) == [(0, ""), (1, "a\ufffd"), (1, "a\ufffd")]
+
+
+@pytest.mark.parametrize("many", [10, 26_000])
+def test_a_table_of_any_size_is_aligned(many):
+    plain = extract("<table>" + "<tr><td>a<td>bc<tr><td>def<td>g" * many + "</table>").split("\n")
+    assert plain == ["a   | bc", "def | g"] * many
+    spanned = extract("<table>" + "<tr><td rowspan=2>abc<td>1<tr><td>2<tr><td colspan=2>x<td>y" * (many // 10) + "</table>").split("\n")
+    assert spanned == ["abc | 1", "    | 2", "x       | y"] * (many // 10)
