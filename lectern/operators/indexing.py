@@ -79,7 +79,8 @@ class StoredIndex:
     # -------------------------------------------------------------- segments
 
     def _read(self, segment: Segment, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/segments/{segment.name}/{part}")
+        rows = self.spark.read.parquet(f"{self.folder}/segments/{segment.name}/{part}")
+        return S.unblocked(rows) if part == "postings" else rows
 
     def _live(self, segments: list[Segment], part: str) -> DataFrame:
         """The rows of a part that no later segment makes void."""

@@ -4,6 +4,8 @@
 document with its length. A query reads only the postings of its own terms (a
 filter that reaches the scan of a stored index); the driver learns the count of
 documents, their mean length, and in a stemmed index which words have a stem.
+On disk each task's tokens are inverted block by block, a row a term with the
+list of its places, so that saving shuffles nothing.
 
 Terms are lower-cased words. A stemmed index has a word list besides, (term,
 stem), made once for each distinct word after the shuffle; a query's stems are
@@ -22,7 +24,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +69,61 @@ def word_list(terms: DataFrame) -> DataFrame:
     return terms.select("term").mapInArrow(run, "term string, stem string")
 
 
+#: Tokens of a block, and places of a row of it, at most.
+BLOCK, PLACES = 1 << 21, 4096
+
+
+def blocks(postings: DataFrame) -> DataFrame:
+    """(term, places) from postings: each task inverts its own rows, BLOCK at a
+    time, and gives a block's terms in order. A term with more than PLACES
+    places in a block has several rows."""
+    kind = dict(postings.dtypes)["id"]
+
+    def inverted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        coded = rows.column("term").combine_chunks().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        codes = rank[coded.indices.to_numpy()]
+        turn = np.argsort(codes, kind="stable")
+        codes = codes[turn]
+        begins = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        sizes = np.diff(np.r_[begins, len(codes)])
+        parts = -(-sizes // PLACES)  # rows of each term
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts = np.repeat(begins, parts) + nth * PLACES
+        terms = coded.dictionary.take(pa.array(order[codes[starts]]))
+        places = rows.select(["id", "field", "position"]).take(pa.array(turn)).combine_chunks()
+        values = pa.StructArray.from_arrays([c.combine_chunks() for c in places.columns], names=places.column_names)
+        edges = np.r_[starts, len(codes)]
+        for i in range(0, len(starts), 1024):
+            k = min(i + 1024, len(starts))
+            own = pa.ListArray.from_arrays(pa.array((edges[i : k + 1] - edges[i]).astype(np.int32)), values.slice(edges[i], edges[k] - edges[i]))
+            yield pa.RecordBatch.from_arrays([terms.slice(i, k - i), own], names=["term", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK:
+                yield from inverted(held)
+                held, n = [], 0
+        if n:
+            yield from inverted(held)
+
+    return postings.select("id", "field", "term", "position").mapInArrow(run, f"term string, places array<struct<id: {kind}, field: int, position: int>>")
+
+
+def unblocked(rows: DataFrame) -> DataFrame:
+    """Postings from stored rows: blocks, or one row a token as older indexes
+    have them. A filter on terms goes through to the scan."""
+    if "places" not in rows.columns:
+        return rows
+    return rows.select("term", F.explode("places").alias("p")).select("p.id", "p.field", "term", "p.position")
+
+
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame  # id, field, term, position
@@ -85,11 +144,10 @@ class Index:
         return Index(postings, lengths, fields, stemmed, word_list(postings.select("term").distinct()) if stemmed else None)
 
     def save(self, folder: str) -> None:
-        """One shuffle: postings in ranges of term and id, so that a query's
-        filter skips files and row groups, and a term that is everywhere is
-        split. The word list is made of the terms as they are stored."""
-        order = ("term", "id", "field", "position")
-        self.postings.repartitionByRange("term", "id").sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/postings")
+        """Postings as blocks, each task's own, without a shuffle: a query's
+        filter skips the pages of a block that lack its terms. The word list
+        is made of the terms as they are stored."""
+        blocks(self.postings).write.mode("overwrite").parquet(f"{folder}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
         if self.stemmed:
             terms = self.postings.sparkSession.read.parquet(f"{folder}/postings").select("term").distinct()
@@ -97,7 +155,7 @@ class Index:
 
     @staticmethod
     def open(spark: SparkSession, folder: str, fields: tuple[str, ...], stemmed: bool = False) -> Index:
-        return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), fields, stemmed, spark.read.parquet(f"{folder}/words") if stemmed else None)
+        return Index(unblocked(spark.read.parquet(f"{folder}/postings")), spark.read.parquet(f"{folder}/lengths"), fields, stemmed, spark.read.parquet(f"{folder}/words") if stemmed else None)
 
     def terms(self, text: str) -> list[str]:
         return query_terms(text, self.stemmed)

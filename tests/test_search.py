@@ -221,3 +221,19 @@ def test_porter_in_sql_agrees():
     c.execute("CREATE TABLE t (term VARCHAR, w VARCHAR)")
     c.executemany("INSERT INTO t VALUES (?, ?)", [(w, w) for w in sorted(words)])
     assert dict(c.execute(f"WITH {porter('t', 'p')} SELECT term, stem FROM p").fetchall()) == {w: stemming.stem(w) for w in words}
+
+
+def test_saving_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    """Blocks of a few tokens and rows of a few places hold what was built; a
+    term's filter reaches the scan."""
+    monkeypatch.setattr(S, "BLOCK", 50)
+    monkeypatch.setattr(S, "PLACES", 3)
+    docs = spark.createDataFrame([(i, "to be or not to be " * (i % 5), "é be" if i % 2 else None) for i in range(60)] + [(99, None, "")], "id long, title string, body string")
+    built = S.Index.build(docs, ("title", "body"))
+    assert "Exchange" not in S.blocks(built.postings)._jdf.queryExecution().executedPlan().toString()
+    built.save(f"{tmp_path}/i")
+    opened = S.Index.open(spark, f"{tmp_path}/i", ("title", "body"))
+    state = lambda i: sorted((r.term, r.id, r.field, r.position) for r in i.postings.collect())
+    assert state(opened) == state(built) and opened.postings.dtypes == built.postings.dtypes
+    assert max(r.n for r in spark.read.parquet(f"{tmp_path}/i/postings").selectExpr("size(places) AS n").collect()) <= 3
+    assert "EqualTo(term,be)" in opened.postings.where("term = 'be'")._jdf.queryExecution().executedPlan().toString()
