@@ -566,11 +566,16 @@ def flagged(c: Catalog) -> DataFrame:
 def backlog(c: Catalog, parked: DataFrame) -> DataFrame:
     """(kind, id) of what is unfinished: thin records and paywalled ones
     without words, but for those parked(id). What is incomplete by design is
-    no task."""
+    no task. Records and texts are spread by publication once for all three
+    joins."""
+    rows = c["publications"].count()
+    pubs = storage.spread(c["publications"].select("id", "pub_type", "access", "pdf_url", "date_published"), "id", rows)
+    texts = storage.spread(c["publication_text"].select("publication_id", "word_count", "source"), "publication_id", rows)
+    c = {**{k: c[k] for k in ("types",) if k in c}, "publications": pubs, "publication_text": texts}
     thin = thin_records(c).select(F.lit("thin").alias("kind"), "id")
     words = c["publication_text"].where("word_count > 0").select(F.col("publication_id").alias("id"))
     paywalled = c["publications"].where("access <> 'public'").join(words, "id", "left_anti").select(F.lit("paywalled").alias("kind"), "id")
-    return thin.union(paywalled).join(parked.select("id"), "id", "left_anti").select("kind", "id")
+    return thin.union(paywalled).join(parked.select("id").distinct(), "id", "left_anti").select("kind", "id")
 
 
 def homeless_urls(urls: DataFrame, publications: DataFrame) -> DataFrame:

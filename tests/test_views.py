@@ -107,3 +107,15 @@ def test_years_reach_the_scan(spark, tmp_path):
     pubs = V.list_publications({"publications": spark.read.parquet(f"{tmp_path}/p")}, year=[1998, 1999])
     assert {r.id for r in pubs.collect()} == {2, 3}
     assert "GreaterThanOrEqual(date_published,1998-01-01)" in pubs._jdf.queryExecution().executedPlan().toString()
+
+
+def spread_in(df, n):
+    """The final plan shuffles into n partitions that AQE leaves alone."""
+    return f", {n}), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_backlog_is_spread_by_its_records(c, monkeypatch):
+    monkeypatch.setattr(V.storage, "SPREAD_ROWS", 0.5)
+    pubs = c["publications"].selectExpr("*", "CAST(NULL AS STRING) AS pdf_url").replace({"public": "member"}, subset="access")
+    rows = V.backlog({**c, "publications": pubs}, pubs.where("id >= 4").select("id").union(pubs.select("id").where("id = 4")))
+    assert spread_in(rows, 10) and sorted((r.kind, r.id) for r in rows.collect()) == [("paywalled", 3)]
\ No newline at end of file
