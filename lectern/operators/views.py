@@ -132,8 +132,11 @@ def topic_counts(c: Catalog) -> DataFrame:
 
 
 def topic_graph_nodes(c: Catalog) -> DataFrame:
-    """Publications, their weight, and how many are about each topic."""
-    least = c["publication_topics"].groupBy("publication_id", "topic_slug").agg(F.min("position").alias("position"))
+    """Publications, their weight, and how many are about each topic. The
+    rows are spread by publication, which serves both the least position and
+    the join."""
+    topics = storage.spread(c["publication_topics"].select("publication_id", "topic_slug", "position"), "publication_id", c["publications"].count())
+    least = topics.groupBy("publication_id", "topic_slug").agg(F.min("position").alias("position"))
     rows = least.join(insight_scope(c).select("id", "pub_type"), F.col("publication_id") == F.col("id"))
     own = rows.groupBy("topic_slug").agg(F.count("*").alias("pubs"), F.sum(type_weight(c, F.col("pub_type"))).alias("weighted"), F.count_if(F.col("position") == 1).alias("about"))
     return own.join(storage.small(c["topics"]), F.col("topic_slug") == F.col("slug")).select("slug", "label", "pubs", "weighted", "about")

@@ -118,4 +118,9 @@ def test_backlog_is_spread_by_its_records(c, monkeypatch):
     monkeypatch.setattr(V.storage, "SPREAD_ROWS", 0.5)
     pubs = c["publications"].selectExpr("*", "CAST(NULL AS STRING) AS pdf_url").replace({"public": "member"}, subset="access")
     rows = V.backlog({**c, "publications": pubs}, pubs.where("id >= 4").select("id").union(pubs.select("id").where("id = 4")))
-    assert spread_in(rows, 10) and sorted((r.kind, r.id) for r in rows.collect()) == [("paywalled", 3)]
\ No newline at end of file
+    assert spread_in(rows, 10) and sorted((r.kind, r.id) for r in rows.collect()) == [("paywalled", 3)]
+
+def test_graph_nodes_are_spread_by_publication(c, monkeypatch):
+    monkeypatch.setattr(V.storage, "SPREAD_ROWS", 0.5)
+    nodes = V.topic_graph_nodes(c)
+    assert spread_in(nodes, 10) and nodes.count() == 3
