@@ -57,3 +57,17 @@ def test_refined_points_keep_their_neighbours(spark):
     placed, moved, exact = trust(v, xy(coords)), trust(v, xy(after)), trust(v, landscape.embed2(v, 10.0, 250))
     assert moved > placed and moved > exact - 0.05
     assert {r.placed for r in after.collect()} == {"fit", "incremental"} and after.count() == 120
+
+
+def test_a_step_holds_few_tables_of_all_pairs():
+    import tracemalloc
+
+    x = np.random.default_rng(3).normal(size=(600, 8))
+    p = landscape.affinities(x, 10.0)
+    tracemalloc.start()
+    with pytest.MonkeyPatch.context() as own:
+        own.setattr(landscape, "affinities", lambda *_: p)
+        landscape.embed2(x, 10.0, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * p.nbytes
