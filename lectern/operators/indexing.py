@@ -23,10 +23,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from . import search as S
 
 #: Segments of an index, and the share of void or late rows, before a merge.
 SEGMENTS, SHARE = 8, 0.25
+#: Void ids, some 16 bytes each, that are broadcast at most.
+VOIDS = 2_000_000
 
 
 def _print(fields: tuple[str, ...]) -> Column:
@@ -83,13 +86,15 @@ class StoredIndex:
         return S.unblocked(rows) if part == "postings" else rows
 
     def _live(self, segments: list[Segment], part: str) -> DataFrame:
-        """The rows of a part that no later segment makes void."""
+        """The rows of a part that no later segment makes void. The ids go to
+        the rows up to VOIDS of them, so that a merge shuffles no postings."""
         out = []
         for k, segment in enumerate(segments):
             later = [self._read(s, "void") for s in segments[k + 1 :] if s.void]
             rows = self._read(segment, part)
             if later:
-                rows = rows.join(reduce(DataFrame.union, later).distinct(), "id", "left_anti").select(*rows.columns)
+                ids = storage.maybe_broadcast(reduce(DataFrame.union, later).distinct(), sum(s.void for s in segments[k + 1 :]), VOIDS)
+                rows = rows.join(ids, "id", "left_anti").select(*rows.columns)
             out.append(rows)
         return reduce(DataFrame.unionByName, out)
 

@@ -237,3 +237,17 @@ def test_saving_shuffles_no_postings(spark, tmp_path, monkeypatch):
     assert state(opened) == state(built) and opened.postings.dtypes == built.postings.dtypes
     assert max(r.n for r in spark.read.parquet(f"{tmp_path}/i/postings").selectExpr("size(places) AS n").collect()) <= 3
     assert "EqualTo(term,be)" in opened.postings.where("term = 'be'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_void_ids_are_broadcast_to_postings(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word w{i}") for i in range(40)], "id long, body string")
+    mine = StoredIndex(spark, f"{tmp_path}/i", ("body",))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mine.rebuild(docs)
+        rows = mine.update(docs.where("id > 2")).postings
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 74
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
