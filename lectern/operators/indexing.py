@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,20 +98,18 @@ class StoredIndex:
             out.append(rows)
         return reduce(DataFrame.unionByName, out)
 
-    def _write(self, postings: DataFrame, lengths: DataFrame, void: DataFrame) -> Segment:
+    def _write(self, index: S.Index, void: DataFrame) -> Segment:
         name = uuid.uuid4().hex
         base = f"{self.folder}/segments/{name}"
-        S.Index(postings, lengths, self.fields, self.stemmed).save(base)
+        index.save(base)
         void.write.parquet(f"{base}/void")
         segment = Segment(name, 0, 0)
         return Segment(name, self._read(segment, "lengths").count(), self._read(segment, "void").count())
 
     def _segment(self, docs: DataFrame, void: DataFrame) -> Segment:
         docs = docs.where("id IS NOT NULL")
-        tokens = S.surface_tokens if self.stemmed else S.plain_tokens
-        length = reduce(Column.__add__, [F.size(tokens(F.col(f))).cast("long") for f in self.fields])
-        lengths = docs.select("id", _print(self.fields).alias("print"), length.alias("length"))
-        return self._write(S.Index.build(docs, self.fields, self.stemmed).postings, lengths, void)
+        lengths = S.text_lengths(docs, self.fields, self.stemmed, _print(self.fields).alias("print"))
+        return self._write(replace(S.Index.build(docs, self.fields, self.stemmed), lengths=lengths), void)
 
     # --------------------------------------------------------------- changes
 
@@ -121,7 +119,7 @@ class StoredIndex:
         return self.open()
 
     def _no_ids(self) -> DataFrame:
-        return self.spark.createDataFrame([], "id long")
+        return self.spark.range(0).select("id")
 
     def update(self, docs: DataFrame, mark: str | None = None, ids: DataFrame | None = None) -> S.Index:
         """Bring the index to docs; with ids(id), only those documents. Texts
@@ -154,7 +152,7 @@ class StoredIndex:
         """All segments as one, without what is void. No text is read."""
         segments, mark = self.manifest()
         if len(segments) > 1:
-            self._commit([self._write(self._live(segments, "postings"), self._live(segments, "lengths"), self._no_ids())], mark)
+            self._commit([self._write(S.Index(self._live(segments, "postings"), self._live(segments, "lengths"), self.fields, self.stemmed), self._no_ids())], mark)
         return self.open()
 
     def at(self, docs: DataFrame, mark: str) -> S.Index:

@@ -20,17 +20,19 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import stemming
+from ..functions import words as W
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Field weights of publications (title, subtitle, description, body) and sections.
@@ -73,47 +75,110 @@ def word_list(terms: DataFrame) -> DataFrame:
 BLOCK, PLACES = 1 << 21, 4096
 
 
+def _inverted(held: list[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(term, places) of rows (id, field, term, position), in the terms' order,
+    with most places in a row."""
+    rows = pa.Table.from_batches(held)
+    held.clear()
+    coded = rows.column("term").combine_chunks().dictionary_encode()
+    rows = rows.select(["id", "field", "position"])
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    # code and row as one number: a plain sort keeps equal terms in the rows' order
+    keyed = rank[coded.indices.to_numpy()]
+    dictionary, coded = coded.dictionary, None
+    keyed <<= 32
+    keyed |= np.arange(rows.num_rows)
+    keyed.sort()
+    codes = (keyed >> 32).astype(np.int32)
+    begins = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    sizes = np.diff(np.r_[begins, len(codes)])
+    parts = -(-sizes // most)  # rows of each term
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts = np.repeat(begins, parts) + nth * most
+    terms = dictionary.take(pa.array(order[codes[starts]]))
+    edges = np.r_[starts, len(codes)]
+    keyed &= 0xFFFFFFFF
+    turn, codes, names = pa.array(keyed), None, rows.column_names
+    # a column at a time: what was moved goes before the next is
+    columns = []
+    for name in names:
+        columns.append(rows.column(name).combine_chunks().take(turn))
+        rows = rows.drop_columns(name)
+    turn = keyed = None
+    values = pa.StructArray.from_arrays(columns, names=names)
+    for i in range(0, len(starts), 1024):
+        k = min(i + 1024, len(starts))
+        own = pa.ListArray.from_arrays(pa.array((edges[i : k + 1] - edges[i]).astype(np.int32)), values.slice(edges[i], edges[k] - edges[i]))
+        yield pa.RecordBatch.from_arrays([terms.slice(i, k - i), own], names=["term", "places"])
+    columns = values = own = terms = None
+    pa.default_memory_pool().release_unused()
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], block: int, most: int) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= block:
+            yield from _inverted(held, most)
+            held, n = [], 0
+    if n:
+        yield from _inverted(held, most)
+
+
+def _block_rows(kind: str) -> str:
+    return f"term string, places array<struct<id: {kind}, field: int, position: int>>"
+
+
 def blocks(postings: DataFrame) -> DataFrame:
     """(term, places) from postings: each task inverts its own rows, BLOCK at a
     time, and gives a block's terms in order. A term with more than PLACES
     places in a block has several rows."""
-    kind = dict(postings.dtypes)["id"]
-
-    def inverted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        coded = rows.column("term").combine_chunks().dictionary_encode()
-        order = pc.sort_indices(coded.dictionary).to_numpy()
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        codes = rank[coded.indices.to_numpy()]
-        turn = np.argsort(codes, kind="stable")
-        codes = codes[turn]
-        begins = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        sizes = np.diff(np.r_[begins, len(codes)])
-        parts = -(-sizes // PLACES)  # rows of each term
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = np.repeat(begins, parts) + nth * PLACES
-        terms = coded.dictionary.take(pa.array(order[codes[starts]]))
-        places = rows.select(["id", "field", "position"]).take(pa.array(turn)).combine_chunks()
-        values = pa.StructArray.from_arrays([c.combine_chunks() for c in places.columns], names=places.column_names)
-        edges = np.r_[starts, len(codes)]
-        for i in range(0, len(starts), 1024):
-            k = min(i + 1024, len(starts))
-            own = pa.ListArray.from_arrays(pa.array((edges[i : k + 1] - edges[i]).astype(np.int32)), values.slice(edges[i], edges[k] - edges[i]))
-            yield pa.RecordBatch.from_arrays([terms.slice(i, k - i), own], names=["term", "places"])
+    block, most = BLOCK, PLACES
+    return postings.select("id", "field", "term", "position").mapInArrow(lambda batches: _in_blocks(batches, block, most), _block_rows(dict(postings.dtypes)["id"]))
+
+
+def _lowered(docs: DataFrame, fields: tuple[str, ...]) -> list[Column]:
+    return [F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)]
+
+
+def text_blocks(docs: DataFrame, fields: tuple[str, ...], stemmed: bool = False) -> DataFrame:
+    """blocks() of docs(id, *fields): whole texts go to Python and are cut
+    there, so no row is made of a token before it is in its block."""
+    bits, block, most = W.letters(docs.sparkSession), BLOCK, PLACES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = W.unpacked(bits)
+
+        def cut() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(len(fields)):
+                    for row, position, terms in W.tokens(W.no_null(batch.column(k + 1)), known, stemmed):
+                        columns = [batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), k, np.int32)), terms, pa.array(position.astype(np.int32))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["id", "field", "term", "position"])
+
+        yield from _in_blocks(cut(), block, most)
+
+    return docs.select("id", *_lowered(docs, fields)).mapInArrow(run, _block_rows(dict(docs.dtypes)["id"]))
+
+
+def text_lengths(docs: DataFrame, fields: tuple[str, ...], stemmed: bool = False, *others: Column) -> DataFrame:
+    """(id, others, length) of docs(id, *fields), length being the number of
+    tokens in all fields."""
+    bits = W.letters(docs.sparkSession)
+    kept = docs.select("id", *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        known = W.unpacked(bits)
         for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= BLOCK:
-                yield from inverted(held)
-                held, n = [], 0
-        if n:
-            yield from inverted(held)
+            n = batch.num_columns - len(fields)
+            length = sum((W.counted(W.no_null(batch.column(n + k)), known, stemmed) for k in range(len(fields))), np.zeros(batch.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(length)], names=[*batch.schema.names[:n], "length"])
 
-    return postings.select("id", "field", "term", "position").mapInArrow(run, f"term string, places array<struct<id: {kind}, field: int, position: int>>")
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in [*kept.dtypes, ("length", "long")])
+    return docs.select("id", *others, *_lowered(docs, fields)).mapInArrow(run, kinds)
 
 
 def unblocked(rows: DataFrame) -> DataFrame:
@@ -131,6 +196,8 @@ class Index:
     fields: tuple[str, ...]
     stemmed: bool = False
     words: DataFrame | None = None  # term, stem
+    texts: DataFrame | None = None  # id, *fields: where it was built of these and is not saved yet
+    totals: Row | None = None  # n, mean: where lengths are of some documents only
 
     @staticmethod
     def build(docs: DataFrame, fields: tuple[str, ...], stemmed: bool = False) -> Index:
@@ -141,13 +208,14 @@ class Index:
         lengths = rows.select("id", F.aggregate("tokens", F.lit(0).cast("long"), lambda n, t: n + F.size(t)).alias("length"))
         postings = rows.select("id", F.posexplode("tokens").alias("field", "t")).select("id", "field", F.posexplode("t").alias("position", "term"))
         postings = postings.select("id", "field", "term", "position")
-        return Index(postings, lengths, fields, stemmed, word_list(postings.select("term").distinct()) if stemmed else None)
+        return Index(postings, lengths, fields, stemmed, word_list(postings.select("term").distinct()) if stemmed else None, docs)
 
     def save(self, folder: str) -> None:
         """Postings as blocks, each task's own, without a shuffle: a query's
         filter skips the pages of a block that lack its terms. The word list
         is made of the terms as they are stored."""
-        blocks(self.postings).write.mode("overwrite").parquet(f"{folder}/postings")
+        inverted = blocks(self.postings) if self.texts is None else text_blocks(self.texts, self.fields, self.stemmed)
+        inverted.write.mode("overwrite").parquet(f"{folder}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
         if self.stemmed:
             terms = self.postings.sparkSession.read.parquet(f"{folder}/postings").select("term").distinct()
@@ -473,6 +541,31 @@ def _scan(scan: Scan, node, weights: tuple[float, ...]) -> DataFrame:
     return counted(docs).where(holds).select("id", score.alias("score"))
 
 
+def _totals(index: Index) -> Row:
+    return index.lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
+
+
+def narrowed(index: Index | Scan, queries: Sequence[str]) -> Index | Scan:
+    """The index with no other postings than those of the queries' words, and
+    the lengths of their documents: a table read once for all queries, which
+    give the same scores as ever. A scan, or an index of which too many words
+    are asked for, stays as it is."""
+    if isinstance(index, Scan):
+        return index
+    leaves = [p for q in queries for p in _leaves(parse(q, index))]
+    asked = _asked(leaves)
+    variants = _variants(index.words, leaves) if index.stemmed else None
+    if not asked or len(asked) > MANY or index.stemmed and variants is None:
+        return index
+    if variants is None:
+        own = reduce(lambda a, b: a | b, [_of(F.col("term"), *a) for a in asked])
+    else:
+        own = F.col("term").isin(sorted({t for found in variants.values() for t in found}))
+    postings = storage.stored(index.postings.where(own), "asked")
+    lengths = storage.stored(index.lengths.join(postings.select("id").distinct(), "id", "left_semi"), "asked-lengths")
+    return replace(index, postings=postings, lengths=lengths, texts=None, totals=index.totals or _totals(index))
+
+
 def match(index: Index | Scan, query, weights: tuple[float, ...]) -> DataFrame:
     """(id, score) of all documents that match; a lower score is better. query
     is a match expression or its tree."""
@@ -480,7 +573,7 @@ def match(index: Index | Scan, query, weights: tuple[float, ...]) -> DataFrame:
     if isinstance(index, Scan):
         return _scan(index, node, weights)
     variants = _variants(index.words, _leaves(node)) if index.stemmed else None
-    totals = index.lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
+    totals = index.totals or _totals(index)
     return _matches(index, node, weights, totals, variants)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,16 @@ def rank(vectors: DataFrame, query: Sequence[float], limit: int | None) -> DataF
     return top.selectExpr("id", "similarity", "row_number() OVER (ORDER BY similarity DESC, id) AS position")
 
 
+def rank_each(vectors: DataFrame, queries: Sequence[Sequence[float]], limit: int) -> DataFrame:
+    """(case, id, similarity, position): rank() for each of some query vectors,
+    case being its number from 0, in one pass over the vectors."""
+    best = vectors.select("id", F.array(*[similarity(F.col("vector"), q) for q in queries]).alias("s"))
+    best = best.groupBy("id").agg(*[F.max(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(len(queries))])
+    rows = best.select("id", F.posexplode(F.array(*[f"s{i}" for i in range(len(queries))])).alias("case", "similarity"))
+    ranked = rows.selectExpr("case", "id", "similarity", "row_number() OVER (PARTITION BY case ORDER BY similarity DESC, id) AS position")
+    return ranked.where(F.col("position") <= limit)
+
+
 def fuse(rankings: Sequence[DataFrame]) -> DataFrame:
     """(id, score, ranker, position) from rankings(id, position from 1): sums
     of 1 / (FUSION_K + position). Ties go to the first ranker that has the
@@ -49,7 +60,11 @@ def fuse(rankings: Sequence[DataFrame]) -> DataFrame:
     for i, r in enumerate(rankings):
         own = r.select("id", F.lit(i).alias("ranker"), F.col("position").cast("int").alias("position"))
         rows = own if rows is None else rows.union(own)
-    return rows.groupBy("id").agg(
+    return _fused(rows, "id")
+
+
+def _fused(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(
         F.sum(F.lit(1.0) / (FUSION_K + F.col("position"))).alias("score"),
         F.min(F.struct("ranker", "position")).alias("first"),
         F.array_join(F.transform(F.array_sort(F.collect_set("ranker")), lambda x: F.when(x == 0, F.lit("K")).otherwise(F.concat(F.lit("V"), x.cast("string")))), "").alias("rankers"),
@@ -106,25 +121,27 @@ def recall_by_ranker(cases: Sequence[tuple[str, str, Sequence[float], str]], ind
     """(ranker, k, recall) of real retrieval, without the shortlist's boost:
     keyword search, each kind of vectors, and all of them fused. cases are
     (name, question, its vector, pattern that a right hit shows); shown(id,
-    title, one_liner) is what patterns are looked for in. A few dozen cases,
-    each some searches."""
+    title, one_liner) is what patterns are looked for in. A few dozen cases:
+    their postings are read in one pass over the index, vectors in one pass a
+    kind, and what is fused are the rankings as they were stored."""
     spark, depth = shown.sparkSession, max(20, 3 * max(ks))
-    hits = None
-    for name, question, vector, _ in cases:
-        own = {"keyword": S.search(index, S.safe_query(question), weights, depth).select("id", "position")}
-        own |= {kind: rank(v, vector, depth).select("id", "position") for kind, v in vectors.items()}
-        fused = hybrid(index, question, [(v, vector) for v in vectors.values()], max(ks), None, weights)[0]
-        for ranker, rows in (own | {"hybrid": fused}).items():
-            one = rows.select(F.lit(ranker).alias("ranker"), F.lit(name).alias("case"), "id", F.col("position").cast("long").alias("position")).where(F.col("position") <= max(ks))
-            hits = one if hits is None else hits.union(one)
-    hits = storage.stored(hits.join(shown.select("id", "title", "one_liner"), "id"), "retrieved")
-    asked = spark.createDataFrame([(name, pattern) for name, _, _, pattern in cases], "case string, pattern string")
-    out = None
-    for ranker in ("keyword", *vectors, "hybrid"):
-        for k in ks:
-            one = recall(hits.where(F.col("ranker") == ranker), asked, k).select(F.lit(ranker).alias("ranker"), F.lit(k).alias("k"), "recall")
-            out = one if out is None else out.union(one)
-    return out
+    asked = [S.safe_query(question) for _, question, _, _ in cases]
+    own = S.narrowed(index, asked)
+    place = F.col("position").cast("int").alias("position")
+    ranked = [S.search(own, q, weights, depth).select(F.lit(i).alias("case"), F.lit(0).alias("ranker"), "id", place) for i, q in enumerate(asked)]
+    ranked += [rank_each(v, [vector for _, _, vector, _ in cases], depth).select("case", F.lit(k).alias("ranker"), "id", place) for k, v in enumerate(vectors.values(), 1)]
+    deep = storage.stored(reduce(DataFrame.union, ranked), "ranked")
+    names = ("keyword", *vectors, "hybrid")
+    foremost = "row_number() OVER (PARTITION BY case ORDER BY round(score, 12) DESC, first.ranker, first.position) AS position"
+    fused = _fused(deep, "case", "id").selectExpr("case", f"{len(names) - 1} AS ranker", "id", foremost)
+    hits = storage.stored(deep.union(fused).where(F.col("position") <= max(ks)), "hits")
+    titles = shown.select("id", "title", "one_liner").join(F.broadcast(hits.select("id").distinct()), "id", "left_semi")
+    hits = hits.join(storage.stored(titles, "retrieved"), "id").withColumnsRenamed({"case": "of", "ranker": "by"})
+    grid = [(i, name, k, case, pattern) for i, name in enumerate(names) for k in ks for case, (_, _, _, pattern) in enumerate(cases)]
+    grid = spark.createDataFrame(grid, "i int, ranker string, k int, case int, pattern string")
+    found = grid.join(hits, (F.col("case") == F.col("of")) & (F.col("i") == F.col("by")) & (F.col("position") <= F.col("k")), "left")
+    hit = F.max(F.coalesce(F.expr("title rlike pattern OR one_liner rlike pattern"), F.lit(False))).cast("int")
+    return found.groupBy("i", "ranker", "k", "case").agg(hit.alias("hit")).groupBy("i", "ranker", "k").agg(F.avg("hit").alias("recall")).select("ranker", "k", "recall")
 
 
 def citations(answers: DataFrame, hits: DataFrame) -> DataFrame:

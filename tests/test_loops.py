@@ -1,6 +1,7 @@
 """Model loops with stub models, memberships, and the command line."""
 
 import json
+import re
 import threading
 import urllib.error
 import urllib.request
@@ -225,6 +226,29 @@ def test_recall_of_rankers(spark, library):
     assert got[("keyword", 1)] == 0.5 and got[("one_liner", 1)] == 0.5 and got[("hybrid", 3)] == 1.0
 
 
+def test_recall_searches_and_ranks_once(spark, library, monkeypatch):
+    index = S.Index.build(library["publications"].select("id", "title"), ("title",))
+    first, second = (spark.createDataFrame(rows, "id long, vector array<double>") for rows in ([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (1, [0.0, 1.0])], [(3, [0.7, 0.7]), (2, [0.1, 1.0])]))
+    shown = library["publications"].select("id", "title").join(library["enrichments"].selectExpr("publication_id AS id", "one_liner"), "id")
+    cases = [("a", "steel tariffs", [1.0, 0.1], "(?i)steel"), ("b", "solar OR rivers", [0.0, 1.0], "(?i)river"), ("c", "zebra", [0.5, 0.5], "light")]
+    vectors, want = {"one_liner": first, "section": second}, {}
+    for ranker in ("keyword", *vectors, "hybrid"):
+        for k in (1, 2):
+            hit = []
+            for _, q, v, pattern in cases:
+                if ranker == "hybrid":
+                    rows = R.hybrid(index, q, [(x, v) for x in vectors.values()], 2, None, (1.0,))[0]
+                else:
+                    rows = S.search(index, q, (1.0,), 20) if ranker == "keyword" else R.rank(vectors[ranker], v, 20)
+                ids = [r.id for r in rows.where(f"position <= {k}").collect()]
+                hit.append(any(re.search(pattern, f"{r.title}\n{r.one_liner}") for r in shown.collect() if r.id in ids))
+            want[ranker, k] = sum(hit) / len(hit)
+    searched = []
+    monkeypatch.setattr(R.S, "match", lambda *a, plain=S.match: (searched.append(a[1]), plain(*a))[1])
+    got = {(r.ranker, r.k): r.recall for r in R.recall_by_ranker(cases, index, vectors, shown, (1.0,), (1, 2)).collect()}
+    assert got == pytest.approx(want) and len(searched) == len(cases)
+
+
 def test_pages_are_ingested_whole(spark):
     from test_records import M as MARKUP
     from test_records import PAGE

@@ -3,6 +3,7 @@
 import random
 import sqlite3
 
+import pyarrow as pa
 import pytest
 
 from lectern.functions import stemming
@@ -251,3 +252,36 @@ def test_void_ids_are_broadcast_to_postings(spark, tmp_path):
         assert rows.count() == 74
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_are_cut_as_in_a_plan(spark, monkeypatch):
+    from lectern.functions import words
+
+    r = random.Random(5)
+    pool = "aZ9 .-_éÉßİıΣσς\u0301\u0300\u036f中文𝒜𐐀😀٣Ⅷ½ª\n\t\u200d\u1ab0"
+    rows = [(i, *["".join(r.choices(pool, k=r.randrange(k))) if r.random() > 0.1 else None for k in (3, 30)]) for i in range(800)]
+    docs = spark.createDataFrame([*rows, (None, "a b", "c"), (7, "", "")], "id long, title string, body string").repartition(2).cache()
+    seen = lambda df: sorted((tuple(x) for x in df.collect()), key=repr)
+    for stemmed in (False, True):
+        index = S.Index.build(docs, ("title", "body"), stemmed)
+        blocks = S.text_blocks(docs, ("title", "body"), stemmed)
+        assert "Generate" not in blocks._jdf.queryExecution().executedPlan().toString()  # no row of a single token
+        assert seen(S.unblocked(blocks)) == seen(index.postings)
+        assert seen(S.text_lengths(docs, ("title", "body"), stemmed)) == seen(index.lengths)
+    texts, known = pa.array(["aé. b" * 50, "", "c", "d e"]), words.unpacked(words.letters(spark))
+    monkeypatch.setattr(words, "SLICE_BYTES", 3)
+    assert len(list(words.slices(texts))) == 3 and words.counted(texts, known, False).tolist() == [len(texts[0].as_py().split()), 0, 1, 2]
+    assert [t for _, _, terms in words.tokens(texts.slice(2), known, False) for t in terms.to_pylist()] == ["c", "d", "e"]
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_a_narrowed_index_scores_the_same(spark, stemmed):
+    docs = spark.createDataFrame(corpus(9, 40), "id long, title string, subtitle string, description string, body string").cache()
+    index = S.Index.build(docs, FIELDS, stemmed)
+    queries = ["tariff OR polic*", "export NOT hoping"]
+    own = S.narrowed(index, queries)
+    assert 0 < own.postings.count() < index.postings.count()
+    for q in queries:
+        got, want = ({r.id: r.score for r in S.match(i, q, S.PUBLICATION_WEIGHTS).collect()} for i in (own, index))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert S.narrowed(S.Scan(docs, FIELDS), queries).docs is docs
