@@ -336,13 +336,14 @@ def scrape(c: Catalog, limit: str | None = None) -> DataFrame:
     return runs.scrape(c.spark, c.folder, _with(FETCH, "a way to get pages"), now, limit=int(limit) if limit else None)
 
 
-def _map(c: Catalog, now: str, steps: str = "150") -> Tables:
-    """The map of all publications with a one-liner's vector: some fitted, the
-    rest placed, and all moved by the steps if there are others than fitted."""
+def _map(c: Catalog, now: str, steps: str | None = None) -> Tables:
+    """The map of all publications with a one-liner's vector: all fitted; or,
+    where steps are given, FIT_POINTS fitted at most, the rest placed, and all
+    moved by the steps if there are others than fitted."""
     points = c["embeddings"].where("source_type = 'one_liner'").groupBy(F.col("publication_id").alias("id")).agg(F.max_by("vector", "embedded_at").alias("vector"))
     points = storage.stored(points, "points")
-    coords = storage.stored(landscape.fit(points), "fit")
-    if coords.where("placed <> 'fit'").limit(1).count():
+    coords = storage.stored(landscape.fit(points, landscape.FIT_POINTS if steps else None), "fit")
+    if steps and coords.where("placed <> 'fit'").limit(1).count():
         coords = landscape.refined(coords, points, int(steps))
     return {"landscape_coords": coords.select(F.col("id").alias("publication_id"), "x", "y", "placed", F.lit(now).cast("timestamp").alias("computed_at"))}
 

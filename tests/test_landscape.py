@@ -71,3 +71,22 @@ def test_a_step_holds_few_tables_of_all_pairs():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4 * p.nbytes
+
+
+def test_all_points_are_fitted_beyond_what_the_driver_takes(spark, monkeypatch):
+    """Every point stands where the method on all pairs puts it; the blocks
+    are of unequal sizes, with copies, and steps of both kinds."""
+    v = np.concatenate([unit(66), unit(66)[:4]])
+    for name, value in {"FIT_POINTS": 40, "PERPLEXITY": 8.0, "STEPS": 8, "EXAGGERATED_STEPS": 4}.items():
+        monkeypatch.setattr(landscape, name, value)
+    monkeypatch.setattr(landscape.allpairs, "LEAST", 32)
+    want = landscape.embed2(v, 8.0, 8)
+    got = landscape.fit(frame(spark, v).repartition(5)).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(70)) and {r.placed for r in got} == {"fit"}
+    assert np.allclose([[r.x, r.y] for r in got], want, rtol=0, atol=1e-6 * np.abs(want).max())
+
+
+def test_tiles_of_vectors_keep_whole_rows(spark):
+    odd = frame(spark, unit(20)).union(spark.createDataFrame([(20, [1.0])], "id long, vector array<double>"))
+    with pytest.raises(Exception, match="no vector of 12 numbers"):
+        landscape.allpairs.blocks(odd, 8)
